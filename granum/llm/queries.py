@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granum.llm import decontaminate, oracles, packing, secrets, tokens, topk, urls
+from granum.llm import decontaminate, lines, oracles, packing, secrets, tokens, topk, urls
 from granum.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the chunks of lines that occur before."""
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best other vectors of each query vector."""
     return topk.report(table(spark, sf_dir, "embeddings"))
@@ -44,10 +49,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
+    "op3_line_dedup": op3_line_dedup,
     "op5_topk": op5_topk,
     "op6_token_counts": op6_token_counts,
     "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
 }
-ORACLES: dict[str, str] = {"op5_topk": oracles.OP5, "op9_decontamination": oracles.OP9}
+ORACLES: dict[str, str] = {"op3_line_dedup": oracles.OP3, "op5_topk": oracles.OP5, "op9_decontamination": oracles.OP9}
