@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granum.llm import decontaminate, lines, oracles, packing, secrets, tokens, topk, urls
+from granum.llm import decontaminate, lines, oracles, packing, quality, secrets, tokens, topk, urls
 from granum.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality verdict on all documents."""
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best other vectors of each query vector."""
     return topk.report(table(spark, sf_dir, "embeddings"))
@@ -50,6 +55,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_quality": op4_quality,
     "op5_topk": op5_topk,
     "op6_token_counts": op6_token_counts,
     "op8_secret_scan": op8_secret_scan,
