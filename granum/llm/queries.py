@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granum.llm import decontaminate, lines, oracles, packing, quality, secrets, tokens, topk, urls
+from granum.llm import decontaminate, lines, oracles, packing, quality, secrets, simhash, tokens, topk, urls
 from granum.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.report(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of all documents."""
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents."""
     return secrets.report(table(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality": op4_quality,
     "op5_topk": op5_topk,
     "op6_token_counts": op6_token_counts,
+    "op7_simhash": op7_simhash,
     "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
