@@ -17,8 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granum.llm.common import free_name
-
 #: Largest test set, in UTF-8 bytes, that one broadcast may hold; larger sets are cut in parts.
 BROADCAST_BYTES = 16 << 20
 #: ASCII upper case to lower, all other ASCII but digits and letters to a space.
@@ -103,6 +101,26 @@ def test_sets(benchmark: DataFrame, n: int, id_col: str, text_col: str, limit: i
     return [WindowSet(p, n) for p in parts if p]
 
 
+def _broadcast_sets(docs: DataFrame, benchmark: DataFrame, n: int, id_col: str, text_col: str, limit: int) -> list:
+    sc = docs.sparkSession.sparkContext
+    return [sc.broadcast(p) for p in test_sets(benchmark, n, id_col, text_col, limit)]
+
+
+def covered(doc: list[bytes], sets: list[WindowSet]) -> tuple[np.ndarray, set[int]]:
+    """For each word whether a window of any set covers it, and the items hit."""
+    cover, owners = np.zeros(len(doc), dtype=bool), set()
+    for s in sets:
+        c, o = s.scan(doc)
+        cover |= c
+        owners |= o
+    return cover, owners
+
+
+def spans_of(cover: np.ndarray) -> list[list[int]]:
+    """``[first, end)`` of each run of covered words."""
+    return np.flatnonzero(np.diff(np.concatenate(([0], cover.view(np.int8), [0])))).reshape(-1, 2).tolist()
+
+
 def overlap(
     docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_id_col: str = "item_id",
     item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES,
@@ -116,8 +134,7 @@ def overlap(
     ``broadcast_bytes`` of text; each part is one more map-only pass over the
     documents, so a set of any size is scanned whole without a shuffle.
     """
-    sc = docs.sparkSession.sparkContext
-    parts = [sc.broadcast(p) for p in test_sets(benchmark, n, item_id_col, item_text_col, broadcast_bytes)]
+    parts = _broadcast_sets(docs, benchmark, n, item_id_col, item_text_col, broadcast_bytes)
     names = ("n_words", "n_hit", "item_ids", "hit_spans")
     keep = [c for c in docs.columns if c.lower() not in names]
     src = docs.select(*[F.col(f"`{c}`") for c in keep])
@@ -130,16 +147,11 @@ def overlap(
             n_words, n_hit, items, spans = [], [], [], []
             for text in batch.column(batch.schema.get_field_index(text_col)):
                 w = words(text.as_py())
-                cover, owners = np.zeros(len(w), dtype=bool), set()
-                for s in sets:
-                    c, o = s.scan(w)
-                    cover |= c
-                    owners |= o
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], cover.view(np.int8), [0]))))
+                cover, owners = covered(w, sets)
                 n_words.append(len(w))
                 n_hit.append(int(cover.sum()))
                 items.append(sorted(owners))
-                spans.append(edge.reshape(-1, 2).tolist())
+                spans.append(spans_of(cover))
             extra = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.list_(pa.int32())))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *names])
 
@@ -170,16 +182,24 @@ def decontaminate(
     loses exactly its covered spans.  Untouched documents, null texts included, come
     back unchanged.  The columns stay those of ``docs``.
     """
-    held = [c for c in docs.columns if c.lower() in ("n_words", "n_hit", "item_ids", "hit_spans")]
-    wrapped = docs
-    for c in held:
-        wrapped = wrapped.withColumnRenamed(c, free_name(wrapped, f"{c}_in"))
-    marked = overlap(wrapped, benchmark, n, text_col, item_id_col, item_text_col)
-    cut = F.udf(removed_spans, "string")
-    out = marked.where((F.col("n_hit") == 0) | (F.col("n_hit") <= drop_share * F.col("n_words"))).withColumn(
-        text_col, F.when(F.col("n_hit") > 0, cut(text_col, "hit_spans")).otherwise(F.col(text_col))
-    )
-    return out.select(*[F.col(f"`{w}`").alias(c) for w, c in zip(wrapped.columns, docs.columns, strict=True)])
+    parts = _broadcast_sets(docs, benchmark, n, item_id_col, item_text_col, BROADCAST_BYTES)
+    at = docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [p.value for p in parts]
+        for batch in batches:
+            texts, stay = [], []
+            for value in batch.column(at):
+                text = value.as_py()
+                w = words(text)
+                cover, _ = covered(w, sets)
+                hit = int(cover.sum())
+                stay.append(hit == 0 or hit <= drop_share * len(w))
+                texts.append(removed_spans(text, spans_of(cover)) if hit else text)
+            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:

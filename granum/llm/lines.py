@@ -5,8 +5,8 @@ hashes decides where a chunk ends, so the cuts move with the content, not with i
 A unit is a chunk of two or more lines, or a chunk with the next one.  A unit whose text
 occurs before, anywhere in the corpus, is removed; the first occurrence (by ``doc_id``,
 then text hash, then line) stays.  Unit hashes are counted with map-side combine, only
-texts of repeated hashes are gathered, and a removal needs equal bytes.  All steps are
-DataFrame expressions.
+texts of repeated hashes are gathered, and a removal needs the bytes of the first: a unit
+that only shares its hash stays.  All steps are DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -48,6 +48,11 @@ def _units(starts: Column, n: Column) -> Column:
     return F.filter(F.concat(single, double), lambda u: u["e"] - u["s"] >= 2)
 
 
+def _joined(start: Column, end: Column) -> Column:
+    """Lines ``start`` to ``end`` (exclusive) of column ``lines`` as one text."""
+    return F.array_join(F.slice("lines", start + 1, end - start), "\n")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated units cut from ``text`` and ``n_lines, n_removed`` added.
 
@@ -57,38 +62,37 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
     keep = base.columns
-    th, ls, us = (free_name(base, x) for x in ("text_hash", "lines_", "units_"))
-    lined = base.withColumn(th, F.xxhash64(text_col)).withColumn(ls, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
+    dk, ls, us = (free_name(base, x) for x in ("doc_key", "lines_", "units_"))
+    base = base.withColumn(dk, F.xxhash64(id_col, text_col))
+    cut_up = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
 
     found = (
-        lined.where(F.size(ls) >= 2)
-        .select(F.col(id_col).alias("id"), F.col(th).alias("th"), F.col(ls).alias("lines"), line_hashes(F.col(ls)).alias("h"))
-        .select("id", "th", "lines", F.explode(_units(chunk_starts(F.col("h")), F.size("lines"))).alias("u"))
-        .select("id", "th", F.col("u.s").alias("s"), F.col("u.e").alias("e"), F.array_join(F.slice("lines", F.col("u.s") + 1, F.col("u.e") - F.col("u.s")), "\n").alias("unit"))
+        base.select(F.col(id_col).alias("id"), F.col(dk).alias("dk"), cut_up.alias("lines"))
+        .where(F.size("lines") >= 2)
+        .withColumn("h", line_hashes(F.col("lines")))
+        .select("id", "dk", "lines", F.explode(_units(chunk_starts(F.col("h")), F.size("lines"))).alias("u"))
+        .select("id", "dk", F.col("u.s").alias("s"), F.col("u.e").alias("e"), _joined(F.col("u.s"), F.col("u.e")).alias("unit"))
         .where(F.expr("unit rlike '\\\\S'"))
-        .select("id", "th", "s", "e", F.xxhash64("unit").alias("uh"))
+        .select("id", "dk", "s", "e", F.xxhash64("unit").alias("uh"))
     )
-    place = F.struct(F.col("id").isNotNull().alias("k"), "id", "th", "s", "e")
+    place = F.struct(F.col("id").isNotNull().alias("k"), "id", "dk", "s", "e")
     repeated = found.groupBy("uh").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     occurrences = found.join(repeated, "uh").withColumn("lead", place.eqNullSafe(F.col("first")))
-    by_doc = occurrences.groupBy("id", "th").agg(F.collect_set(F.struct("s", "e", "uh", "lead")).alias("marks"))
+    by_doc = occurrences.groupBy(F.col("dk").alias("m_dk")).agg(F.collect_set(F.struct("s", "e", "uh", "lead")).alias("marks"))
 
+    placed = base.repartition(dk)  # the texts are dealt once and read by both joins
     texts = (
-        lined.select(F.col(id_col).alias("d_id"), F.col(th).alias("d_th"), F.col(ls).alias("lines"))
-        .join(by_doc, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_th") == F.col("th")))
-        .select("id", "th", "lines", F.explode("marks").alias("m"))
-        .select("id", "th", F.col("m.s").alias("s"), F.col("m.e").alias("e"), F.col("m.uh").alias("uh"), F.col("m.lead").alias("lead"), F.array_join(F.slice("lines", F.col("m.s") + 1, F.col("m.e") - F.col("m.s")), "\n").alias("unit"))
+        placed.select(F.col(id_col).alias("id"), F.col(dk).alias("dk"), F.col(text_col).alias("text"))
+        .join(by_doc, F.col("dk") == F.col("m_dk"))
+        .select("id", "dk", F.split("text", "\n", -1).alias("lines"), F.explode("marks").alias("m"))
+        .select("id", "dk", F.col("m.s").alias("s"), F.col("m.e").alias("e"), F.col("m.uh").alias("uh"), F.col("m.lead").alias("lead"), _joined(F.col("m.s"), F.col("m.e")).alias("unit"))
     )
     leads = texts.where("lead").groupBy(F.col("uh").alias("l_uh")).agg(F.first("unit").alias("l_unit"))
-    # equal hashes with other bytes than the first's: their own first occurrence stays
     same = texts.where("not lead").join(leads, F.col("uh") == F.col("l_uh"))
-    clash = same.where("unit <> l_unit")
-    keepers = clash.groupBy("unit").agg(F.min(place).alias("first"))
-    late = clash.join(keepers, "unit").where(~place.eqNullSafe(F.col("first")))
-    gone = same.where("unit = l_unit").select("id", "th", "s", "e").unionByName(late.select("id", "th", "s", "e"))
-    cuts = gone.groupBy(F.col("id").alias("c_id"), F.col("th").alias("c_th")).agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
+    gone = same.where("unit = l_unit")
+    cuts = gone.groupBy(F.col("dk").alias("c_dk")).agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
 
-    out = lined.join(cuts, F.col(id_col).eqNullSafe(F.col("c_id")) & (F.col(th) == F.col("c_th")), "left")
+    out = placed.join(cuts, F.col(dk) == F.col("c_dk"), "left").withColumn(ls, cut_up)
     kept = F.filter(ls, lambda x, i: ~F.exists("cuts", lambda c: (c["s"] <= i) & (i < c["e"])))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(ls))
     out = out.withColumn(us, F.when(F.col("cuts").isNotNull(), kept))

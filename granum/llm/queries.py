@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granum.llm import decontaminate, lines, oracles, packing, quality, secrets, simhash, tokens, topk, urls
+from granum.llm import decontaminate, language, lines, oracles, packing, quality, secrets, simhash, tokens, topk, urls
 from granum.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those not held out."""
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length buckets and batches of all documents."""
     return packing.report(table(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality": op4_quality,

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granum.llm.common import components, discard, free_name, materialize
+from granum.llm.common import components, free_name, materialize
 
 # The generator polynomial of the Golay code, and the segments (shift, bits).
 GENERATOR = 0b101011100011
@@ -354,6 +354,105 @@ def clusters(docs: DataFrame, n: int = 3, reach: int = 3, id_col: str = "doc_id"
     )
 
 
+# ---------------------------------------------------------------- near-duplicate removal
+
+#: Words of the normalised text that the candidate fingerprints hash, one by one.
+WORD_RUNS = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
+#: Candidate fingerprints, and the bits of one that may differ.
+CANDIDATE_SEEDS, CANDIDATE_REACH = (11, 12, 13), 8
+
+
+def _node_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: ``id, th, node`` and the candidate fingerprints ``p0, p1, p2``.
+
+    ``node`` is 64 bits of the SHA-256 of the lower-cased word sequence, so texts of equal
+    words are one node.  A candidate fingerprint is the SimHash of the distinct words.
+    """
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    kind = src.schema["id"].dataType.simpleString()
+    names = [f"p{i}" for i in range(len(CANDIDATE_SEEDS))]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = xxhash.xxh64_intdigest
+        for batch in batches:
+            nodes, prints = [], [[] for _ in names]
+            for t in batch.column(2):
+                text = t.as_py()
+                digest = hashlib.sha256(b" ".join(words_of(text))).digest()
+                nodes.append(_signed(int.from_bytes(digest[:8], "big")))
+                distinct = set(text.encode("utf-8", "surrogatepass").translate(WORD_RUNS).split()) if text else ()
+                for seed, out in zip(CANDIDATE_SEEDS, prints, strict=True):
+                    out.append(_signed(majority([h(w, seed) for w in distinct])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), *[pa.array(p, pa.int64()) for p in prints]], names=["id", "th", "node", *names])
+
+    return src.mapInArrow(each, f"id {kind}, th long, node long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, n: int, least: float) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose ``n``-word shingle sets have Jaccard similarity ``least`` or more."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    one = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "th")).alias("of")).select("node", F.col("of.id").alias("o_id"), F.col("of.th").alias("o_th"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    held = texts.join(one, F.col("th").eqNullSafe(F.col("o_th")) & F.col("id").eqNullSafe(F.col("o_id"))).select("node", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(np.array(shingle_hashes(words_of(t.as_py()), n), dtype=np.uint64)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "s"])
+
+    made = materialize(held.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "shingles")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                ok.append(both >= least * (len(s) + len(t) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    sides = pairs.select("a", "b").distinct().join(made.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(made.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    return sides.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+
+
+def without_near_duplicates(docs: DataFrame, n: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates.
+
+    Two texts are near-duplicates if their sets of ``n``-word shingles (lower-cased words
+    cut at white space) have a Jaccard similarity of ``least`` or more, or their words are
+    equal; groups are connected components.  Candidates share Golay keys of one of three
+    SimHash fingerprints of their distinct words and are then verified exactly, so a link
+    is never false, and one is lost only if all three fingerprints miss it.  The row of
+    smallest id stays (null ids last, then by text hash); of rows that repeat whole, one.
+    Null and wordless texts are one group.
+    """
+    rows = materialize(_node_rows(docs, id_col, text_col), "nodes")
+    names = [f"p{i}" for i in range(len(CANDIDATE_SEEDS))]
+    nodes = materialize(rows.groupBy("node").agg(*[F.first(p).alias(p) for p in names]), "prints")
+    base = nodes.select(F.col("node").alias("id"), F.col("node").alias("label"), *names)
+    pairs = materialize(link(base, CANDIDATE_REACH, len(names), forest=False), "pairs")
+    edges = materialize(_verified(pairs, docs, rows, id_col, text_col, n, least), "links")
+    if not pairs.where("dense").isEmpty():
+        # rows of dense buckets meet once more, now only across what is not yet linked
+        near = pairs.where("dense").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        roots = components(edges)
+        again = base.drop("label").join(near, "id", "left_semi").join(roots, F.col("id") == F.col("node"), "left")
+        labelled = again.select("id", F.coalesce("root", "id").alias("label"), *names, F.lit(True).alias("label_set"))
+        more = materialize(link(labelled, CANDIDATE_REACH, len(names), forest=False), "pairs")
+        fresh = more.select("a", "b").distinct().join(pairs.select("a", "b").distinct(), ["a", "b"], "left_anti")
+        edges = edges.unionByName(_verified(fresh, docs, rows, id_col, text_col, n, least))
+    roots = components(edges)
+    order = F.struct(F.col("id").isNull().alias("k"), "id", "th")
+    grouped = rows.select("id", "th", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stay = grouped.groupBy("root").agg(F.min(order).alias("of")).select(F.col("of.id").alias("s_id"), F.col("of.th").alias("s_th"))
+    stay = stay.withColumn("s_key", F.xxhash64("s_id", "s_th")).dropDuplicates(["s_key"])
+    key, rank = free_name(docs, "stay_key"), free_name(docs, "stay_rank")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.xxhash64(text_col)))
+    kept = keyed.join(stay.select(F.col("s_key").alias(key)), key, "left_semi")
+    one = Window.partitionBy(key).orderBy(F.lit(0))
+    return kept.withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def report(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id, fingerprint, component_id``."""
     return clusters(docs.select("doc_id", "text"))
