@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package that register queries.
-MODULES: tuple[str, ...] = ("taxi", "retail", "profile", "stats", "textual")
+MODULES: tuple[str, ...] = ("taxi", "retail", "profile", "stats", "textual", "retrieval")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
