@@ -4,31 +4,33 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+
 #: Series are partitioned by this column, so many of them run side by side.
-_W = Window.partitionBy("series").orderBy("t")
+def _w() -> WindowSpec:
+    return Window.partitionBy("series").orderBy("t")
 
 
 def transforms(df: DataFrame, y: str = "y", season: int = 12) -> DataFrame:
     """``df`` with log, first difference of the log, and its seasonal difference."""
     out = df.withColumn("log_y", F.log(y))
-    out = out.withColumn("log_diff", F.col("log_y") - F.lag("log_y").over(_W))
-    return out.withColumn("log_diff_seasonal", F.col("log_diff") - F.lag("log_diff", season).over(_W))
+    out = out.withColumn("log_diff", F.col("log_y") - F.lag("log_y").over(_w()))
+    return out.withColumn("log_diff_seasonal", F.col("log_diff") - F.lag("log_diff", season).over(_w()))
 
 
 def trend(y: str, season: int = 12) -> Column:
     """Centred 2 x season moving average; null at both ends."""
     half = season // 2
-    whole = F.count(y).over(_W.rowsBetween(-half, half)) == season + 1
-    inner = F.sum(y).over(_W.rowsBetween(1 - half, half - 1))
-    return F.when(whole, (inner + 0.5 * F.lag(y, half).over(_W) + 0.5 * F.lead(y, half).over(_W)) / season)
+    whole = F.count(y).over(_w().rowsBetween(-half, half)) == season + 1
+    inner = F.sum(y).over(_w().rowsBetween(1 - half, half - 1))
+    return F.when(whole, (inner + 0.5 * F.lag(y, half).over(_w()) + 0.5 * F.lead(y, half).over(_w())) / season)
 
 
 def decompose(df: DataFrame, y: str = "y", season: int = 12) -> DataFrame:
     """Additive decomposition: ``trend, seasonal, resid``; seasonal means are centred."""
-    with_trend = df.withColumn("trend", trend(y, season)).withColumn("pos", (F.row_number().over(_W) - 1) % season)
+    with_trend = df.withColumn("trend", trend(y, season)).withColumn("pos", (F.row_number().over(_w()) - 1) % season)
     means = with_trend.groupBy("series", "pos").agg(F.avg(F.col(y) - F.col("trend")).alias("s"))
     centred = means.withColumn("seasonal", F.col("s") - F.avg("s").over(Window.partitionBy("series"))).drop("s")
     out = with_trend.join(F.broadcast(centred) if season <= 366 else centred, ["series", "pos"])
@@ -38,7 +40,7 @@ def decompose(df: DataFrame, y: str = "y", season: int = 12) -> DataFrame:
 def acf(df: DataFrame, y: str, lags: int) -> DataFrame:
     """``series, lag, acf`` up to ``lags``, by shifted products over the total sum of squares."""
     centred = df.where(F.col(y).isNotNull()).withColumn("_c", F.col(y) - F.avg(y).over(Window.partitionBy("series")))
-    shifted = centred.select("series", "_c", *[F.lag("_c", k).over(_W).alias(f"_l{k}") for k in range(1, lags + 1)])
+    shifted = centred.select("series", "_c", *[F.lag("_c", k).over(_w()).alias(f"_l{k}") for k in range(1, lags + 1)])
     one = shifted.groupBy("series").agg(F.sum(F.col("_c") * F.col("_c")).alias("ss"), *[F.sum(F.col("_c") * F.col(f"_l{k}")).alias(f"p{k}") for k in range(1, lags + 1)])
     return one.select("series", F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), F.round(F.col(f"p{k}") / F.nullif(F.col("ss"), F.lit(0.0)), 4).alias("acf")) for k in range(1, lags + 1)])))
 
@@ -62,7 +64,7 @@ def pacf(df: DataFrame, y: str, lags: int) -> DataFrame:
 def seasonal_naive(df: DataFrame, y: str = "y", season: int = 12) -> DataFrame:
     """The last ``season`` points of each series with the value a season before as forecast."""
     back = F.row_number().over(Window.partitionBy("series").orderBy(F.desc("t")))
-    return df.withColumn("forecast", F.lag(y, season).over(_W)).withColumn("_b", back).where(F.col("_b") <= season).drop("_b")
+    return df.withColumn("forecast", F.lag(y, season).over(_w())).withColumn("_b", back).where(F.col("_b") <= season).drop("_b")
 
 
 def errors(df: DataFrame, y: str = "y", forecast: str = "forecast") -> DataFrame:
