@@ -111,14 +111,19 @@ def scored(urls: DataFrame, model: DataFrame, grams: str, out: str) -> DataFrame
 
 
 def threshold(held: DataFrame, score: str, accepted: str) -> DataFrame:
-    """One row with ``cut``: the score step that separates best; 0 where a class is absent."""
+    """One row with ``cut``: the score that separates best; 0 where a class is absent.
+
+    It lies midway between the steps that it parts, which leaves the widest margin.
+    """
     step = F.floor(F.least(F.greatest(F.col(score), F.lit(-REACH)), F.lit(REACH)) * STEPS).cast("int")
     bins = held.groupBy(step.alias("s")).agg(F.count_if(accepted).alias("pos"), F.count_if(~F.col(accepted)).alias("neg"))
     below = Window.partitionBy().orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     gain = F.coalesce(F.sum("neg").over(below), F.lit(0)) / F.sum("neg").over(every) - F.coalesce(F.sum("pos").over(below), F.lit(0)) / F.sum("pos").over(every)
-    ranked = bins.select("s", gain.alias("gain"))
-    return ranked.agg(F.coalesce(F.max_by("s", F.when(F.col("gain").isNotNull(), F.struct("gain", -F.col("s")))), F.lit(0)).alias("cut")).select((F.col("cut") / STEPS).alias("cut"))
+    before = F.coalesce(F.lag("s").over(Window.partitionBy().orderBy("s")) + 1, F.col("s"))
+    ranked = bins.select("s", gain.alias("gain"), ((F.col("s") + before) / (2.0 * STEPS)).alias("mid"))
+    best = F.max_by("mid", F.when(F.col("gain").isNotNull(), F.struct("gain", -F.col("s"))))
+    return ranked.agg(F.coalesce(best, F.lit(0.0)).alias("cut"))
 
 
 def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFrame:
