@@ -24,6 +24,8 @@ SAMPLE = 3000
 DIMS = 2048
 #: Documents with a lower score are rejected.
 CUT = 0.5
+#: Most weight of a document of the rarer class in training.
+BALANCE = 4.0
 GOOD, BAD, NONE = 1, 0, 2
 
 # Frequent function words of English, German, French and Spanish.
@@ -93,10 +95,12 @@ class LabelModel:
     on a document of class ``c``; abstaining tells nothing (rate 1).  Expectation-maximisation starts from trust in the labellers, and keeps
     the rate of false bad votes at or below ``FALSE_ALARM``: defects are specific and a
     document seldom has two, so the data alone would read a rare defect as a habit of
-    good documents.
+    good documents.  For the same reason a labeller finds at least ``FINDS`` of the bad
+    documents and at least half of all are good; else a class without defects could pass
+    for bad.
     """
 
-    FALSE_ALARM = 0.002
+    FALSE_ALARM, FINDS = 0.002, 0.1
 
     def __init__(self, counts: dict[int, int], rounds: int = 100) -> None:
         k = len(LABELLERS)
@@ -109,12 +113,13 @@ class LabelModel:
         self.rates = np.repeat(start[:, None, :], k, axis=1)
         for _ in range(rounds if len(codes) else 0):
             p = self._posterior(hot)
-            self.share = float(np.clip((weight * p).sum() / weight.sum(), 0.05, 0.99))
+            self.share = float(np.clip((weight * p).sum() / weight.sum(), 0.5, 0.99))
             for c, mass in ((0, weight * (1 - p)), (1, weight * p)):
                 n = np.einsum("i,ikv->kv", mass, hot)[:, :NONE] + 5 * start[c, :NONE]
                 self.rates[c, :, :NONE] = n / n.sum(axis=1, keepdims=True)
             self.rates[1, :, BAD] = np.minimum(self.rates[1, :, BAD], self.FALSE_ALARM)
-            self.rates[1, :, GOOD] = 1 - self.rates[1, :, BAD]
+            self.rates[0, :, BAD] = np.maximum(self.rates[0, :, BAD], self.FINDS)
+            self.rates[:, :, GOOD] = 1 - self.rates[:, :, BAD]
         post = self._posterior(hot)
         self.posterior = {int(c): float(x) for c, x in zip(codes, post, strict=True)}
 
@@ -139,12 +144,18 @@ def features(raw: bytes, stats: dict[str, float]) -> np.ndarray:
 
 
 def fit_scorer(x: np.ndarray, target: np.ndarray, rounds: int = 400, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic weights and bias for soft targets, classes weighted alike."""
-    w, b = np.zeros(x.shape[1]), 0.0
-    if not len(x):
+    """Logistic weights and bias for posteriors as targets.
+
+    A document counts by how sure its posterior is; the rarer class counts up to
+    ``BALANCE`` times.  With nothing known the scorer keeps everything.
+    """
+    w, b = np.zeros(x.shape[1]), 1.0
+    weight = np.abs(2 * target - 1)
+    if not weight.sum():
         return w, b
-    good = min(max(target.mean(), 0.01), 0.99)
-    weight = target / good + (1 - target) / (1 - good)
+    target = (target > 0.5).astype(float)
+    good, bad = (weight * target).sum(), (weight * (1 - target)).sum()
+    weight = weight * np.where(target > 0.5, min(BALANCE, max(1.0, bad / max(good, 1e-9))), min(BALANCE, max(1.0, good / max(bad, 1e-9))))
     weight /= weight.sum()
     vw, vb = np.zeros_like(w), 0.0
     for _ in range(rounds):
@@ -193,7 +204,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     chosen = docs.select(key.alias("key")).orderBy("key").limit(sample)
     top = chosen.agg(F.max("key")).first()[0]
     if top is None:
-        return model, np.zeros(DIMS), 0.0
+        return model, np.zeros(DIMS), 1.0
     few = docs.where(key <= top).groupBy(key.alias("key")).agg(F.first(text_col).alias("text")).select("text")
     rows = few.mapInArrow(each, schema).collect()
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), dtype=np.float32).reshape(len(rows), DIMS).astype(np.float64)
