@@ -270,7 +270,7 @@ def revenue_at_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_GRID = f"""(SELECT i, i * 0.05 AS rate, CAST(floor(n * i / 20.0) AS BIGINT) AS converted, round(floor(n * i / 20.0) * m, 2) AS recovered, round(floor(n * i / 20.0) * m - n * 15.0, 2) AS profit
+_GRID = f"""(SELECT i, i * CAST(0.05 AS DOUBLE) AS rate, CAST(floor(n * i / 20.0) AS BIGINT) AS converted, round(floor(n * i / 20.0) * m, 2) AS recovered, round(floor(n * i / 20.0) * m - n * 15.0, 2) AS profit
               FROM (SELECT count(*) FILTER (WHERE segment = 'At-Risk') AS n, round(avg(ltv) FILTER (WHERE segment = 'At-Risk'), 4) AS m FROM {_LTV} JOIN (SELECT customer, segment FROM {_SEG}) USING (customer)), (SELECT CAST(unnest(range(1, 11)) AS INTEGER) AS i))"""
 
 
