@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a key bitmap.
+BITS = 1 << 24
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, through Spark's own reader."""
@@ -53,6 +56,23 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def bitmap(df: DataFrame, key: str) -> Column:
+    """A bitmap of ``BITS`` bits of the long keys of ``df``, as an array of longs.
+
+    Its size does not depend on the data; a crowded one only lets more rows through.
+    """
+    bit = F.pmod(F.col(key), F.lit(BITS))
+    words = df.groupBy((bit / 64).cast("long").alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({key}, 64) as int))")).alias("b"))
+    dense = df.sparkSession.range(BITS // 64).join(words, "id", "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
+    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("bits")).scalar()
+
+
+def bitmap_has(bits: Column, key: Column) -> Column:
+    """Whether the key's bit is set."""
+    word = F.get(bits, (F.pmod(key, F.lit(BITS)) / 64).cast("int"))
+    return F.coalesce(F.getbit(word, F.pmod(key, F.lit(64)).cast("int")) == 1, F.lit(False))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph by alternating star contraction.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granum.llm.common import free_name
+from granum.llm.common import bitmap, bitmap_has, free_name, materialize
 
 #: Lines that the rolling hash covers, and the mean number of lines between cuts.
 WINDOW, MEAN = 2, 2
@@ -79,10 +79,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     repeated = found.groupBy("uh").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     occurrences = found.join(repeated, "uh").withColumn("lead", place.eqNullSafe(F.col("first")))
     by_doc = occurrences.groupBy(F.col("dk").alias("m_dk")).agg(F.collect_set(F.struct("s", "e", "uh", "lead")).alias("marks"))
+    by_doc = materialize(by_doc, "marks")
 
-    placed = base.repartition(dk)  # the texts are dealt once and read by both joins
+    # only texts whose key is in the bitmap of marked ones are dealt out to the joins
+    marked = bitmap_has(bitmap(by_doc, "m_dk"), F.col(dk))
+    held, untouched = base.where(marked), base.where(~marked)
     texts = (
-        placed.select(F.col(id_col).alias("id"), F.col(dk).alias("dk"), F.col(text_col).alias("text"))
+        held.select(F.col(id_col).alias("id"), F.col(dk).alias("dk"), F.col(text_col).alias("text"))
         .join(by_doc, F.col("dk") == F.col("m_dk"))
         .select("id", "dk", F.split("text", "\n", -1).alias("lines"), F.explode("marks").alias("m"))
         .select("id", "dk", F.col("m.s").alias("s"), F.col("m.e").alias("e"), F.col("m.uh").alias("uh"), F.col("m.lead").alias("lead"), _joined(F.col("m.s"), F.col("m.e")).alias("unit"))
@@ -92,15 +95,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     gone = same.where("unit = l_unit")
     cuts = gone.groupBy(F.col("dk").alias("c_dk")).agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
 
-    out = placed.join(cuts, F.col(dk) == F.col("c_dk"), "left").withColumn(ls, cut_up)
+    out = held.join(cuts, F.col(dk) == F.col("c_dk"), "left").withColumn(ls, cut_up)
     kept = F.filter(ls, lambda x, i: ~F.exists("cuts", lambda c: (c["s"] <= i) & (i < c["e"])))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(ls))
     out = out.withColumn(us, F.when(F.col("cuts").isNotNull(), kept))
-    return out.select(
+    plain = untouched.select(*[F.col(f"`{c}`") for c in keep], F.when(F.col(text_col).isNull(), 0).otherwise(F.size(cut_up)).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed"))
+    return plain.unionByName(out.select(
         *[F.when(F.col(us).isNotNull(), F.array_join(us, "\n")).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`") for c in keep],
         n_lines.cast("bigint").alias("n_lines"),
         F.when(F.col(us).isNotNull(), F.size(ls) - F.size(us)).otherwise(0).cast("bigint").alias("n_removed"),
-    )
+    ))
 
 
 def report(docs: DataFrame) -> DataFrame:
