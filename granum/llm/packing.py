@@ -20,7 +20,7 @@ EXACT_LENGTH = 2048
 #: Bins for lengths up to 2^62.
 MAX_BINS = EXACT_LENGTH + 51 * 256
 #: Ids of one range are ranked by one window.
-RANGE = 1 << 14
+RANGE = 1 << 12
 
 
 def length_bin(length: Column) -> Column:
