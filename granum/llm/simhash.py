@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granum.llm.common import components, free_name, materialize
+from granum.llm.common import bitmap, bitmap_has, components, free_name, materialize
 
 # The generator polynomial of the Golay code, and the segments (shift, bits).
 GENERATOR = 0b101011100011
@@ -37,6 +37,8 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 SLOTS, CELL = 1 << 16, 4096
 #: Products up to this are expanded at once; larger buckets go row by row.
 SMALL = 4096
+#: Central rows of a dense bucket that a row is first compared with.
+LEADERS = 3
 #: Seed of the shingle hashes of the plain fingerprint.
 SEED = 42
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -170,9 +172,25 @@ class Forest:
         return nodes, [self.find(x) for x in nodes]
 
 
-def _meet(run: dict[str, np.ndarray], reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Linked rows ``(stored, looked up, dense)`` of sorted rows of whole cells."""
+def _central_first(prints: np.ndarray, stored: int) -> np.ndarray:
+    """The ``stored`` first rows of a bucket by distance to the majority of all its rows."""
+    bits = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    middle = np.packbits(bits.mean(axis=0) > 0.5).view(">u8").astype(np.uint64)[0]
+    return np.argsort(np.bitwise_count(prints[:stored] ^ middle), kind="stable")
+
+
+def _meet(run: dict[str, np.ndarray], reach: int, leaders: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Linked rows ``(stored, looked up, dense)`` of sorted rows of whole cells.
+
+    With ``leaders``, a looked-up row of a dense bucket is linked to the first so many
+    stored rows within reach only, the most central first, and a stored row to its first
+    looked-up one.
+    """
     key, cell, look, prints = run["key"], run["cell"], run["look"], run["print"]
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (np.bitwise_count(prints[a] ^ prints[b]) <= reach) & (run["id"][a] != run["id"][b])
+
     first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))
     last = np.concatenate((first[1:], [len(key)]))
     stored = np.add.reduceat((~look).astype(np.int64), first)
@@ -186,22 +204,33 @@ def _meet(run: dict[str, np.ndarray], reach: int) -> Iterator[tuple[np.ndarray,
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         a = ff[group] + at % ss[group]
         b = ff[group] + ss[group] + at // ss[group]
-        ok = (np.bitwise_count(prints[a] ^ prints[b]) <= reach) & (a != b)
+        ok = near(a, b)
         yield a[ok], b[ok], False
     for g in np.flatnonzero((stored > 0) & (asked > 0) & ~(stored * asked <= SMALL)):
         b0, b1 = first[g] + stored[g], last[g]
-        for a in range(first[g], b0):
-            hits = b0 + np.flatnonzero(np.bitwise_count(prints[b0:b1] ^ prints[a]) <= reach)
-            yield np.full(len(hits), a), hits, True
+        asked_rows = np.arange(b0, b1)
+        left = np.full(len(asked_rows), leaders or 0)
+        for a in first[g] + _central_first(prints[first[g] : b1], stored[g]):
+            hits = np.flatnonzero(near(np.array([a]), asked_rows))
+            if leaders is not None and len(hits):
+                some = hits[left[hits] > 0]
+                left[some] -= 1
+                hits = some if len(some) else hits[:1]
+            yield np.full(len(hits), a), b0 + hits, True
 
 
 def _cells(prints: DataFrame, salts: int, sizes: DataFrame | None) -> DataFrame:
-    """Rows ``key, cell, look, id, print, label`` of every storage and look-up key.
+    """Rows ``key, cell, look, id, print`` of every storage and look-up key.
 
-    ``prints`` has ``id, label`` and ``salts`` fingerprint columns.  ``sizes`` is the
+    ``prints`` has ``id, label`` and ``salts`` fingerprint columns.  The print of a row is
+    the one to verify on: of several, the one after that which made the key, as its bits
+    say more about a pair whose keys met.  A column ``label_set`` asks for ``label`` too.  ``sizes`` is the
     broadcast table of slot sizes as one binary; None asks for the counts instead.
     """
     counting = sizes is None
+    labelled = "label_set" in prints.columns
+    names = ["key", "cell", "look", "id", "print", *["label"] * labelled]
+    schema = ", ".join(f"{n} {'boolean' if n == 'look' else 'long'}" for n in names)
     chunks = None if counting else prints.sparkSession.sparkContext.broadcast(sizes)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,15 +253,16 @@ def _cells(prints: DataFrame, salts: int, sizes: DataFrame | None) -> DataFrame:
                     other = np.arange(len(rep)) - np.repeat(np.cumsum(c) - c, c)
                     cell = np.where(look[rep], other * c[rep] + own[rep], own[rep] * c[rep] + other)
                     row = row[rep]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[rep]), pa.array(cell), pa.array(look[rep]), pa.array(ids[row]), pa.array(p[row].view(np.int64)), pa.array(label[row])],
-                        names=["key", "cell", "look", "id", "print", "label"],
-                    )
+                    other_print = batch.column(2 + (salt + 1) % salts).to_numpy()
+                    columns = [key[rep], cell, look[rep], ids[row], other_print[row]]
+                    if labelled:
+                        columns.append(label[row])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
         if counting:
             slot = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], names=["slot", "n"])
 
-    return prints.mapInArrow(each, "slot long, n long" if counting else "key long, cell long, look boolean, id long, print long, label long")
+    return prints.mapInArrow(each, "slot long, n long" if counting else schema)
 
 
 def slot_chunks(prints: DataFrame, salts: int) -> np.ndarray:
@@ -250,26 +280,28 @@ def link(prints: DataFrame, reach: int, salts: int = 1, forest: bool = True) ->
 
     With ``forest`` each task returns a spanning forest of what it linked, which has the
     same components.  Otherwise all pairs of small buckets are returned once per task; of
-    a dense bucket (``dense``), for each row the pair with the smallest id it meets, or, if
-    ``label`` tells them apart, all pairs of different labels.
+    a dense bucket (``dense``) each row's pairs with its most central partners or, if
+    ``label_set`` says that labels tell what is linked already, all pairs of different labels.
     """
     placed = _cells(prints, salts, slot_chunks(prints, salts)).repartition("key", "cell").sortWithinPartitions("key", "cell", "look")
 
+    names, leaders = placed.columns, None if forest or "label_set" in prints.columns else LEADERS
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, held = Forest(), None
-        names = ("key", "cell", "look", "id", "print", "label")
 
         def out(a: np.ndarray, b: np.ndarray, dense: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(dense, pa.bool_())], names=["a", "b", "dense"])
 
         def work(run: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
             pairs = []
-            for a, b, dense in _meet(run, reach):
-                ida, idb, la, lb = run["id"][a], run["id"][b], run["label"][a], run["label"][b]
-                ok = (ida != idb) & (la != lb)
-                if not ok.any():
+            for a, b, dense in _meet(run, reach, leaders):
+                if "label" in run:
+                    apart = run["label"][a] != run["label"][b]
+                    a, b = a[apart], b[apart]
+                if not len(a):
                     continue
-                ida, idb = ida[ok], idb[ok]
+                ida, idb = run["id"][a], run["id"][b]
                 if forest and dense:
                     root = trees.find(int(ida[0]))
                     for x in np.unique(idb):
@@ -283,8 +315,7 @@ def link(prints: DataFrame, reach: int, salts: int = 1, forest: bool = True) ->
                     pairs.append(np.stack((np.minimum(ida, idb), np.maximum(ida, idb), np.full(len(ida), dense))))
             if pairs:
                 u = np.unique(np.concatenate(pairs, axis=1), axis=1)
-                stars = _stars(u) if not labelled else u
-                yield out(stars[0], stars[1], stars[2] > 0)
+                yield out(u[0], u[1], u[2] > 0)
 
         for batch in batches:
             now = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
@@ -303,21 +334,9 @@ def link(prints: DataFrame, reach: int, salts: int = 1, forest: bool = True) ->
             a, b = trees.edges()
             yield out(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.zeros(len(a), dtype=bool))
 
-    labelled = not forest and "label_set" in prints.columns
     return placed.mapInArrow(each, "a long, b long, dense boolean")
 
 
-def _stars(pairs: np.ndarray) -> np.ndarray:
-    """All pairs of small buckets, and of dense ones the smallest partner of each row."""
-    small, dense = pairs[:, pairs[2] == 0], pairs[:, pairs[2] > 0]
-    if not dense.shape[1]:
-        return small
-    first = np.unique(dense[1], return_index=True)[1]  # pairs are sorted, so this is the smallest a
-    lead = np.unique(dense[0], return_index=True)[1]
-    keep = np.unique(np.concatenate((first, lead)))
-    return np.concatenate((small, dense[:, keep]), axis=1)
-
-
 # ---------------------------------------------------------------- the operator
 
 
@@ -358,8 +377,8 @@ def clusters(docs: DataFrame, n: int = 3, reach: int = 3, id_col: str = "doc_id"
 
 #: Words of the normalised text that the candidate fingerprints hash, one by one.
 WORD_RUNS = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
-#: Candidate fingerprints, and the bits of one that may differ.
-CANDIDATE_SEEDS, CANDIDATE_REACH = (11, 12, 13), 8
+#: Candidate fingerprints, and the bits of the verifying one that may differ.
+CANDIDATE_SEEDS, CANDIDATE_REACH = (11, 12, 13), 13
 
 
 def _node_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -392,7 +411,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, t
     """The pairs ``a, b`` of nodes whose ``n``-word shingle sets have Jaccard similarity ``least`` or more."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     one = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "th")).alias("of")).select("node", F.col("of.id").alias("o_id"), F.col("of.th").alias("o_th"))
+    one = materialize(one, "ends")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    texts = texts.where(bitmap_has(bitmap(one, "o_th"), F.col("th")))  # few texts are dealt out
     held = texts.join(one, F.col("th").eqNullSafe(F.col("o_th")) & F.col("id").eqNullSafe(F.col("o_id"))).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,13 +465,18 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, least: float = 0.8, id_
     roots = components(edges)
     order = F.struct(F.col("id").isNull().alias("k"), "id", "th")
     grouped = rows.select("id", "th", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stay = grouped.groupBy("root").agg(F.min(order).alias("of")).select(F.col("of.id").alias("s_id"), F.col("of.th").alias("s_th"))
-    stay = stay.withColumn("s_key", F.xxhash64("s_id", "s_th")).dropDuplicates(["s_key"])
+    stay = grouped.groupBy("root").agg(F.min(order).alias("of")).select(F.xxhash64("of.id", "of.th").alias("key")).distinct()
+    held = rows.groupBy(F.xxhash64("id", "th").alias("key")).agg(F.count("*").alias("n"))
+    # keys of rows that go or repeat; all other rows pass without being dealt out
+    marked = materialize(held.join(stay.withColumn("stays", F.lit(True)), "key", "left").where("n > 1 or stays is null"), "leave")
     key, rank = free_name(docs, "stay_key"), free_name(docs, "stay_rank")
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.xxhash64(text_col)))
-    kept = keyed.join(stay.select(F.col("s_key").alias(key)), key, "left_semi")
+    maybe = bitmap_has(bitmap(marked, "key"), F.col(key))
+    gone = marked.where("stays is null").select(F.col("key").alias(key))
     one = Window.partitionBy(key).orderBy(F.lit(0))
-    return kept.withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    checked = keyed.where(maybe).join(gone, key, "left_anti").withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return keyed.where(~maybe).select(*columns).unionByName(checked.select(*columns))
 
 
 def report(docs: DataFrame) -> DataFrame:
