@@ -39,6 +39,8 @@ SLOTS, CELL = 1 << 16, 4096
 SMALL = 4096
 #: Central rows of a dense bucket that a row is first compared with.
 LEADERS = 3
+#: Bits of a parity sketch.
+SKETCH = 1024
 #: Seed of the shingle hashes of the plain fingerprint.
 SEED = 42
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -224,13 +226,15 @@ def _cells(prints: DataFrame, salts: int, sizes: DataFrame | None) -> DataFrame:
 
     ``prints`` has ``id, label`` and ``salts`` fingerprint columns.  The print of a row is
     the one to verify on: of several, the one after that which made the key, as its bits
-    say more about a pair whose keys met.  A column ``label_set`` asks for ``label`` too.  ``sizes`` is the
+    say more about a pair whose keys met.  Where ``prints`` has columns ``size, sketch``
+    after the fingerprints, the rows carry them and ``label`` too.  ``sizes`` is the
     broadcast table of slot sizes as one binary; None asks for the counts instead.
     """
     counting = sizes is None
-    labelled = "label_set" in prints.columns
-    names = ["key", "cell", "look", "id", "print", *["label"] * labelled]
-    schema = ", ".join(f"{n} {'boolean' if n == 'look' else 'long'}" for n in names)
+    sketched = "sketch" in prints.columns
+    names = ["key", "cell", "look", "id", "print", *["label", "size", "sketch"] * sketched]
+    types = {"look": "boolean", "sketch": "binary"}
+    schema = ", ".join(f"{n} {types.get(n, 'long')}" for n in names)
     chunks = None if counting else prints.sparkSession.sparkContext.broadcast(sizes)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,9 +259,10 @@ def _cells(prints: DataFrame, salts: int, sizes: DataFrame | None) -> DataFrame:
                     row = row[rep]
                     other_print = batch.column(2 + (salt + 1) % salts).to_numpy()
                     columns = [key[rep], cell, look[rep], ids[row], other_print[row]]
-                    if labelled:
-                        columns.append(label[row])
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                    arrays = [pa.array(c) for c in columns]
+                    if sketched:
+                        arrays += [pa.array(label[row]), *[batch.column(2 + salts + i).take(pa.array(row)) for i in range(2)]]
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
         if counting:
             slot = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], names=["slot", "n"])
@@ -275,30 +280,47 @@ def slot_chunks(prints: DataFrame, salts: int) -> np.ndarray:
     return np.maximum(1, -(-n // room))
 
 
-def link(prints: DataFrame, reach: int, salts: int = 1, forest: bool = True) -> DataFrame:
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column as numpy; fingerprints unsigned, sketches a row of words each."""
+    if name == "sketch":
+        return np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+    column = batch.column(name).to_numpy(zero_copy_only=False)
+    return column.view(np.uint64) if name == "print" else column
+
+
+def link(prints: DataFrame, reach: int, salts: int = 1, forest: bool = True, least: float | None = None, only: DataFrame | None = None) -> DataFrame:
     """Edges ``a, b, dense`` between ids whose fingerprints differ in at most ``reach`` bits.
 
     With ``forest`` each task returns a spanning forest of what it linked, which has the
-    same components.  Otherwise all pairs of small buckets are returned once per task; of
-    a dense bucket (``dense``) each row's pairs with its most central partners or, if
-    ``label_set`` says that labels tell what is linked already, all pairs of different labels.
+    same components.  Otherwise all pairs of small buckets are returned once per task, and
+    of a dense bucket (``dense``) each row's pairs with its most central partners; a row
+    with nothing but ``key`` tells the key of each such bucket.  If ``prints`` has sketches
+    (:func:`sketch`), all pairs are returned that have different labels and may have the
+    Jaccard similarity ``least``.  ``only`` has the keys to look at (a few more may be).
     """
-    placed = _cells(prints, salts, slot_chunks(prints, salts)).repartition("key", "cell").sortWithinPartitions("key", "cell", "look")
+    sketched = "sketch" in prints.columns
+    placed = _cells(prints, salts, slot_chunks(prints, salts))
+    if only is not None:
+        placed = placed.where(bitmap_has(bitmap(only, "key"), F.col("key")))
+    placed = placed.repartition("key", "cell").sortWithinPartitions("key", "cell", "look")
 
-    names, leaders = placed.columns, None if forest or "label_set" in prints.columns else LEADERS
+    names, leaders = placed.columns, None if forest or sketched else LEADERS
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, held = Forest(), None
 
         def out(a: np.ndarray, b: np.ndarray, dense: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(dense, pa.bool_())], names=["a", "b", "dense"])
+            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(dense, pa.bool_()), pa.nulls(len(a), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "dense", "key"])
 
         def work(run: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            pairs = []
+            pairs, crowded = [], set()
             for a, b, dense in _meet(run, reach, leaders):
-                if "label" in run:
+                if sketched:
                     apart = run["label"][a] != run["label"][b]
                     a, b = a[apart], b[apart]
+                    may = np.bitwise_count(run["sketch"][a] ^ run["sketch"][b]).sum(axis=1, dtype=np.int64) <= most_apart(run["size"][a] + run["size"][b], least)
+                    a, b = a[may], b[may]
                 if not len(a):
                     continue
                 ida, idb = run["id"][a], run["id"][b]
@@ -313,13 +335,17 @@ def link(prints: DataFrame, reach: int, salts: int = 1, forest: bool = True) ->
                         trees.join(x, y)
                 else:
                     pairs.append(np.stack((np.minimum(ida, idb), np.maximum(ida, idb), np.full(len(ida), dense))))
+                    if dense:
+                        crowded.add(int(run["key"][a[0]]))
             if pairs:
                 u = np.unique(np.concatenate(pairs, axis=1), axis=1)
                 yield out(u[0], u[1], u[2] > 0)
+            if crowded and not sketched:
+                none = pa.nulls(len(crowded), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(crowded), pa.bool_()), pa.array(sorted(crowded), pa.int64())], names=["a", "b", "dense", "key"])
 
         for batch in batches:
-            now = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
-            now["print"] = now["print"].view(np.uint64)
+            now = {n: _column(batch, n) for n in names}
             if held is not None:
                 now = {n: np.concatenate((held[n], now[n])) for n in names}
             if not len(now["key"]):
@@ -334,7 +360,7 @@ def link(prints: DataFrame, reach: int, salts: int = 1, forest: bool = True) ->
             a, b = trees.edges()
             yield out(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.zeros(len(a), dtype=bool))
 
-    return placed.mapInArrow(each, "a long, b long, dense boolean")
+    return placed.mapInArrow(each, "a long, b long, dense boolean, key long")
 
 
 # ---------------------------------------------------------------- the operator
@@ -407,8 +433,23 @@ def _node_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.mapInArrow(each, f"id {kind}, th long, node long, " + ", ".join(f"{n} long" for n in names))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, n: int, least: float) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose ``n``-word shingle sets have Jaccard similarity ``least`` or more."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parity sketch of a set of hashes: a bit tells whether an odd number of them falls on it.
+
+    An element that only one of two sets has flips one bit, so two sketches differ in no
+    more bits than their sets have elements apart.
+    """
+    odd = np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def most_apart(sizes: np.ndarray, least: float) -> np.ndarray:
+    """Elements that two sets of ``sizes`` together may have apart at Jaccard similarity ``least``."""
+    return sizes * ((1 - least) / (1 + least)) + 1e-6
+
+
+def _shingle_sets(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """``node, s`` of each end of ``pairs``: its sorted distinct ``n``-word shingle hashes."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     one = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "th")).alias("of")).select("node", F.col("of.id").alias("o_id"), F.col("of.th").alias("o_th"))
     one = materialize(one, "ends")
@@ -421,7 +462,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, t
             made = [np.unique(np.array(shingle_hashes(words_of(t.as_py()), n), dtype=np.uint64)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "s"])
 
-    made = materialize(held.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "shingles")
+    return materialize(held.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "shingles")
+
+
+def _sketches(made: DataFrame) -> DataFrame:
+    """``id, size, sketch`` of shingle sets ``node, s``."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column(1)]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "sketch"])
+
+    return made.select("node", "s").mapInArrow(each, "id long, size long, sketch binary")
+
+
+def _verified(pairs: DataFrame, made: DataFrame, least: float) -> DataFrame:
+    """The distinct pairs ``a, b`` whose sets in ``made`` have Jaccard similarity ``least`` or more."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -451,17 +508,19 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, least: float = 0.8, id_
     names = [f"p{i}" for i in range(len(CANDIDATE_SEEDS))]
     nodes = materialize(rows.groupBy("node").agg(*[F.first(p).alias(p) for p in names]), "prints")
     base = nodes.select(F.col("node").alias("id"), F.col("node").alias("label"), *names)
-    pairs = materialize(link(base, CANDIDATE_REACH, len(names), forest=False), "pairs")
-    edges = materialize(_verified(pairs, docs, rows, id_col, text_col, n, least), "links")
-    if not pairs.where("dense").isEmpty():
-        # rows of dense buckets meet once more, now only across what is not yet linked
+    met = materialize(link(base, CANDIDATE_REACH, len(names), forest=False), "pairs")
+    pairs, crowded = met.where("key is null"), met.where("key is not null")
+    made = _shingle_sets(pairs, docs, rows, id_col, text_col, n)
+    edges = materialize(_verified(pairs, made, least), "links")
+    if not crowded.isEmpty():
+        # rows of dense buckets meet once more there, now only across what is not yet linked and may be alike
         near = pairs.where("dense").select(F.explode(F.array("a", "b")).alias("id")).distinct()
         roots = components(edges)
-        again = base.drop("label").join(near, "id", "left_semi").join(roots, F.col("id") == F.col("node"), "left")
-        labelled = again.select("id", F.coalesce("root", "id").alias("label"), *names, F.lit(True).alias("label_set"))
-        more = materialize(link(labelled, CANDIDATE_REACH, len(names), forest=False), "pairs")
+        again = base.drop("label").join(near, "id", "left_semi").join(roots, F.col("id") == F.col("node"), "left").join(_sketches(made), "id")
+        sketched = materialize(again.select("id", F.coalesce("root", "id").alias("label"), *names, "size", "sketch"), "dense")
+        more = materialize(link(sketched, CANDIDATE_REACH, len(names), forest=False, least=least, only=crowded.select("key").distinct()), "pairs")
         fresh = more.select("a", "b").distinct().join(pairs.select("a", "b").distinct(), ["a", "b"], "left_anti")
-        edges = edges.unionByName(_verified(fresh, docs, rows, id_col, text_col, n, least))
+        edges = edges.unionByName(_verified(fresh, made, least))
     roots = components(edges)
     order = F.struct(F.col("id").isNull().alias("k"), "id", "th")
     grouped = rows.select("id", "th", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

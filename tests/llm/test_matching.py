@@ -109,6 +109,43 @@ def test_simhash_dense_buckets_and_cells(spark, monkeypatch) -> None:  # noqa: A
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
 
 
+def test_sketch_bounds_the_elements_apart() -> None:
+    rng = np.random.default_rng(8)
+    for size in (0, 1, 30, 400, 5000):
+        for apart in (0, 1, size // 8, size):
+            a = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+            b = np.concatenate((a[: size - apart], rng.integers(0, 1 << 64, apart, dtype=np.uint64)))
+            x, y = (np.frombuffer(simhash.sketch(s), np.uint64) for s in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+    for size, union in ((4, 5), (8, 10), (80, 100)):  # just similar enough
+        assert union - size <= simhash.most_apart(np.array([size + union]), 0.8)[0]
+
+
+def test_near_dedup_of_a_dense_bucket(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Rows that no central row is similar to find one another in the second comparison."""
+    rng = random.Random(4)
+    vocab = [f"v{i}" for i in range(3000)]
+    base = [rng.choice(vocab) for _ in range(150)]
+    texts, truth = [], []
+    for _ in range(8):  # variants of one text, too far apart to be near copies ...
+        w = list(base)
+        for at in range(rng.randrange(5), 150, 6):
+            w[at] = rng.choice(vocab)
+        first = len(texts)
+        for k in range(4):  # ... of which each has near copies
+            x = list(w)
+            if k:
+                x[rng.randrange(150)] = rng.choice(vocab)
+            texts.append(" ".join(x))
+            truth.append(first)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for t in texts]
+    assert brute_components(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) == truth
+    monkeypatch.setattr(simhash, "SMALL", 0)
+    monkeypatch.setattr(simhash, "LEADERS", 1)
+    kept = sorted(r["doc_id"] for r in simhash.without_near_duplicates(documents(spark, texts)).collect())
+    assert kept == sorted(set(truth))
+
+
 def test_simhash_odd_rows(spark) -> None:  # noqa: ANN001
     rows = simhash.report(odd(spark)).collect()
     assert len(rows) == 8
