@@ -37,8 +37,10 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 SLOTS, CELL = 1 << 16, 4096
 #: Products up to this are expanded at once; larger buckets go row by row.
 SMALL = 4096
+#: The same where a row of a larger bucket is first compared with central rows only.
+LED = 64
 #: Central rows of a dense bucket that a row is first compared with.
-LEADERS = 3
+LEADERS = 1
 #: Bits of a parity sketch.
 SKETCH = 1024
 #: Seed of the shingle hashes of the plain fingerprint.
@@ -197,7 +199,8 @@ def _meet(run: dict[str, np.ndarray], reach: int, leaders: int | None = None) ->
     last = np.concatenate((first[1:], [len(key)]))
     stored = np.add.reduceat((~look).astype(np.int64), first)
     asked = last - first - stored
-    small = (stored > 0) & (asked > 0) & (stored * asked <= SMALL)
+    most = SMALL if leaders is None else min(SMALL, LED)
+    small = (stored > 0) & (asked > 0) & (stored * asked <= most)
     f, s, n = first[small], stored[small], asked[small]
     for lo in range(0, len(f), 2048):
         ff, ss, nn = f[lo : lo + 2048], s[lo : lo + 2048], n[lo : lo + 2048]
@@ -208,7 +211,7 @@ def _meet(run: dict[str, np.ndarray], reach: int, leaders: int | None = None) ->
         b = ff[group] + ss[group] + at // ss[group]
         ok = near(a, b)
         yield a[ok], b[ok], False
-    for g in np.flatnonzero((stored > 0) & (asked > 0) & ~(stored * asked <= SMALL)):
+    for g in np.flatnonzero((stored > 0) & (asked > 0) & ~(stored * asked <= most)):
         b0, b1 = first[g] + stored[g], last[g]
         asked_rows = np.arange(b0, b1)
         left = np.full(len(asked_rows), leaders or 0)
