@@ -1,12 +1,12 @@
-"""Line dedup by content-defined chunks.
-
-A text is cut in lines.  Each line has a 32-bit hash; a rolling hash over ``WINDOW`` line
-hashes decides where a chunk ends, so the cuts move with the content, not with its place.
-A unit is a chunk of two or more lines, or a chunk with the next one.  A unit whose text
-occurs before, anywhere in the corpus, is removed; the first occurrence (by ``doc_id``,
-then text hash, then line) stays.  Unit hashes are counted with map-side combine, only
-texts of repeated hashes are gathered, and a removal needs the bytes of the first: a unit
-that only shares its hash stays.  All steps are DataFrame expressions.
+"""Line dedup by overlapping units of two lines.
+
+A text is cut in lines.  Every two adjacent lines are a unit, so a repeated run of two or
+more lines is made of repeated units, wherever it starts and ends, and all its lines go
+without matching them one by one.  A unit whose text occurs before, anywhere in the corpus,
+is removed; the first occurrence (by ``doc_id``, then text hash, then line) stays, as do
+units that overlap it.  Unit hashes are counted with map-side combine, only texts of
+repeated hashes are gathered, and a removal needs the bytes of the first: a unit that only
+shares its hash stays.  All steps are DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -16,41 +16,20 @@ from pyspark.sql import functions as F
 
 from granum.llm.common import bitmap, bitmap_has, free_name, materialize
 
-#: Lines that the rolling hash covers, and the mean number of lines between cuts.
-WINDOW, MEAN = 2, 2
-#: Multiplier and modulus of the rolling hash.
-MULTIPLIER, MODULUS = 1_000_003, 2_147_483_647
+#: Lines of a unit.
+UNIT = 2
 
 
-def line_hashes(lines: Column) -> Column:
-    """The first 32 bits of the MD5 of each line, as longs."""
-    return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint"))
+def _unit(start: Column) -> Column:
+    """The unit of column ``lines`` that begins at line ``start``, as one text."""
+    return F.array_join(F.slice("lines", start + 1, UNIT), "\n")
 
 
-def chunk_starts(hashes: Column) -> Column:
-    """Numbers (from 0) of the lines that start a chunk, ascending."""
-    def cut_before(i: Column) -> Column:
-        rolled = F.get(hashes, i - WINDOW)
-        for back in range(WINDOW - 1, 0, -1):
-            rolled = F.pmod(rolled * MULTIPLIER + F.get(hashes, i - back), F.lit(MODULUS))
-        return F.pmod(rolled, F.lit(MEAN)) == 0
-
-    every = F.sequence(F.lit(0), F.greatest(F.size(hashes) - 1, F.lit(0)))
-    return F.filter(every, lambda i: (i == 0) | ((i >= WINDOW) & cut_before(i)))
-
-
-def _units(starts: Column, n: Column) -> Column:
-    """``(start, end)`` line ranges of the units of a text."""
-    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(n))
-    after = F.concat(F.slice(ends, 2, F.size(ends)), F.array(F.lit(-1)))
-    single = F.arrays_zip(starts.alias("s"), ends.alias("e"))
-    double = F.arrays_zip(starts.alias("s"), after.alias("e"))
-    return F.filter(F.concat(single, double), lambda u: u["e"] - u["s"] >= 2)
-
-
-def _joined(start: Column, end: Column) -> Column:
-    """Lines ``start`` to ``end`` (exclusive) of column ``lines`` as one text."""
-    return F.array_join(F.slice("lines", start + 1, end - start), "\n")
+def _units() -> Column:
+    """``(s, uh)`` of the units of column ``lines`` that are not white space only: first line and hash."""
+    starts = F.sequence(F.lit(0), F.size("lines") - UNIT)
+    every = F.transform(starts, lambda i: F.struct(i.alias("s"), _unit(i).alias("unit")))
+    return F.transform(F.filter(every, lambda u: F.rlike(u["unit"], F.lit("\\S"))), lambda u: F.struct(u["s"].alias("s"), F.xxhash64(u["unit"]).alias("uh")))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,17 +47,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     found = (
         base.select(F.col(id_col).alias("id"), F.col(dk).alias("dk"), cut_up.alias("lines"))
-        .where(F.size("lines") >= 2)
-        .withColumn("h", line_hashes(F.col("lines")))
-        .select("id", "dk", "lines", F.explode(_units(chunk_starts(F.col("h")), F.size("lines"))).alias("u"))
-        .select("id", "dk", F.col("u.s").alias("s"), F.col("u.e").alias("e"), _joined(F.col("u.s"), F.col("u.e")).alias("unit"))
-        .where(F.expr("unit rlike '\\\\S'"))
-        .select("id", "dk", "s", "e", F.xxhash64("unit").alias("uh"))
+        .where(F.size("lines") >= UNIT)
+        .select("id", "dk", F.explode_outer(_units()).alias("u"))  # an inner one would hash twice, to rule out empty arrays
+        .select("id", "dk", "u.s", "u.uh")
+        .where("uh is not null")
     )
-    place = F.struct(F.col("id").isNotNull().alias("k"), "id", "dk", "s", "e")
+    place = F.struct(F.col("id").isNotNull().alias("k"), "id", "dk", "s")
     repeated = found.groupBy("uh").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     occurrences = found.join(repeated, "uh").withColumn("lead", place.eqNullSafe(F.col("first")))
-    by_doc = occurrences.groupBy(F.col("dk").alias("m_dk")).agg(F.collect_set(F.struct("s", "e", "uh", "lead")).alias("marks"))
+    at_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("dk") == F.col("first.dk")) & (F.col("s") < F.col("first.s") + UNIT)
+    occurrences = occurrences.where(F.col("lead") | ~at_first)
+    by_doc = occurrences.groupBy(F.col("dk").alias("m_dk")).agg(F.collect_set(F.struct("s", "uh", "lead")).alias("marks"))
     by_doc = materialize(by_doc, "marks")
 
     # only texts whose key is in the bitmap of marked ones are dealt out to the joins
@@ -88,15 +67,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         held.select(F.col(id_col).alias("id"), F.col(dk).alias("dk"), F.col(text_col).alias("text"))
         .join(by_doc, F.col("dk") == F.col("m_dk"))
         .select("id", "dk", F.split("text", "\n", -1).alias("lines"), F.explode("marks").alias("m"))
-        .select("id", "dk", F.col("m.s").alias("s"), F.col("m.e").alias("e"), F.col("m.uh").alias("uh"), F.col("m.lead").alias("lead"), _joined(F.col("m.s"), F.col("m.e")).alias("unit"))
+        .select("id", "dk", F.col("m.s").alias("s"), F.col("m.uh").alias("uh"), F.col("m.lead").alias("lead"), _unit(F.col("m.s")).alias("unit"))
     )
     leads = texts.where("lead").groupBy(F.col("uh").alias("l_uh")).agg(F.first("unit").alias("l_unit"))
     same = texts.where("not lead").join(leads, F.col("uh") == F.col("l_uh"))
     gone = same.where("unit = l_unit")
-    cuts = gone.groupBy(F.col("dk").alias("c_dk")).agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
+    lost = gone.select("dk", F.explode(F.sequence(F.col("s"), F.col("s") + UNIT - 1)).alias("i"))
+    cuts = lost.groupBy(F.col("dk").alias("c_dk")).agg(F.collect_set("i").alias("cuts"))
 
     out = held.join(cuts, F.col(dk) == F.col("c_dk"), "left").withColumn(ls, cut_up)
-    kept = F.filter(ls, lambda x, i: ~F.exists("cuts", lambda c: (c["s"] <= i) & (i < c["e"])))
+    kept = F.filter(ls, lambda x, i: ~F.array_contains("cuts", i))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(ls))
     out = out.withColumn(us, F.when(F.col("cuts").isNotNull(), kept))
     plain = untouched.select(*[F.col(f"`{c}`") for c in keep], F.when(F.col(text_col).isNull(), 0).otherwise(F.size(cut_up)).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed"))

@@ -216,6 +216,23 @@ def test_line_dedup_finds_shifted_passages(spark) -> None:  # noqa: ANN001
         assert [x for x in texts[i].split("\n") if x not in passage] == [x for x in left if x not in passage]
 
 
+def test_line_dedup_cuts_whole_short_passages(spark) -> None:  # noqa: ANN001
+    rng = random.Random(14)
+    line = lambda: " ".join(f"t{rng.randrange(10_000)}" for _ in range(8))
+    own = lambda: [line() for _ in range(rng.randint(1, 5))]
+    texts, want = [], []
+    for n in (2, 3, 4) * 8:
+        passage = [line() for _ in range(n)]
+        for later in (False, True):
+            before, after = own(), own()
+            texts.append("\n".join(before + passage + after))
+            want.append("\n".join(before + passage * (not later) + after))
+    texts += ["x\nx\nx", "y\ny\ny\ny", "p\nq\np\nq\np", "first\nx\nend"]
+    want += ["x\nx\nx", "y\ny", "p\nq", "first\nx\nend"]
+    rows = {r["doc_id"]: r["text"] for r in lines.report(documents(spark, texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == want
+
+
 def test_line_dedup_odd_rows(spark) -> None:  # noqa: ANN001
     df = odd(spark)
     rows = lines.dedup(df).collect()
