@@ -179,6 +179,28 @@ def test_near_dedup_keeps_one_of_each_group(spark) -> None:  # noqa: ANN001
     assert got == sorted(set(truth))
 
 
+def test_near_dedup_finds_appended_cut_and_block_edited_copies(spark) -> None:  # noqa: ANN001
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(5000)]
+    texts, sets = [], []
+    for k in range(150):
+        base = [rng.choice(vocab) for _ in range(rng.randint(60, 400))]
+        far = rng.uniform(0.81, 0.9)
+        if k % 3 == 2:  # one block replaced
+            size = max(1, int((len(base) - 4) * (1 - far) / (1 + far)) - 4)
+            at = rng.randrange(len(base) - size)
+            copy = base[:at] + [rng.choice(vocab) for _ in range(size)] + base[at + size :]
+        elif k % 3:  # end cut off
+            copy = base[: 4 + -int(-(len(base) - 4) * far // 1)]
+        else:  # words appended
+            copy = base + [rng.choice(vocab) for _ in range(int((len(base) - 4) * (1 / far - 1)))]
+        texts += [" ".join(base), " ".join(copy)]
+        sets += [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, copy)]
+    assert all(0.8 <= len(a & b) / len(a | b) < 1 for a, b in zip(sets[::2], sets[1::2], strict=True))
+    kept = sorted(r["doc_id"] for r in simhash.without_near_duplicates(documents(spark, texts)).collect())
+    assert kept == list(range(0, len(texts), 2))
+
+
 def test_near_dedup_second_pass_over_dense_buckets(spark, monkeypatch) -> None:  # noqa: ANN001
     monkeypatch.setattr(simhash, "SMALL", 0)
     rng = random.Random(2)
