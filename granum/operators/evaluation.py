@@ -49,8 +49,9 @@ def mcnemar(pairs: DataFrame, a: Column, b: Column) -> DataFrame:
     """``b, c, p`` of the exact two-sided test on discordant pairs; none gives 1."""
     one = pairs.agg(F.count_if(a & ~b).alias("b"), F.count_if(~a & b).alias("c"))
     n, m = F.col("b") + F.col("c"), F.least("b", "c")
-    log_choose = lambda i: F.aggregate(F.sequence(F.lit(1), F.greatest(i, F.lit(1)).cast("int")), F.lit(0.0), lambda s, j: F.when(i < 1, 0.0).otherwise(s + F.log(n - j + 1) - F.log(j.cast("double"))))
-    tail = F.aggregate(F.transform(F.sequence(F.lit(0), m.cast("int")), lambda i: F.exp(log_choose(i) - n * F.log(F.lit(2.0)))), F.lit(0.0), lambda s, x: s + x)
+    step = lambda s, i: F.when(i == 0, s["log"]).otherwise(s["log"] + F.log(n - i + 1) - F.log(i.cast("double")))
+    start = F.struct((-n * F.log(F.lit(2.0))).alias("log"), F.lit(0.0).alias("sum"))
+    tail = F.aggregate(F.sequence(F.lit(0), m.cast("int")), start, lambda s, i: F.struct(step(s, i).alias("log"), (s["sum"] + F.exp(step(s, i))).alias("sum")), lambda s: s["sum"])
     return one.withColumn("p", F.when(n == 0, 1.0).otherwise(F.round(F.least(F.lit(1.0), 2 * tail), 6)))
 
 

@@ -334,7 +334,7 @@ def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact test on discordant labels."""
-    a = (F.col("quality") == 1) & (F.col("toxic") != 1) & (F.col("doc_id") % 50 == 0)
+    a = (F.col("quality") == 1) & (F.col("toxic") != 1)
     b = (F.col("quality") != 1) & (F.col("toxic") == 1)
     return E.mcnemar(parquet(spark, sf_dir, "labels"), a, b)
 

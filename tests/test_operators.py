@@ -20,6 +20,7 @@ from granum.operators import search as R
 from granum.operators import sources as I
 from granum.operators import statistics as S
 from granum.operators import timeseries as T
+from granum.plans import retrieval
 from granum.streaming import windows as W
 
 
@@ -135,6 +136,14 @@ def test_mcnemar(spark, b, c, p) -> None:  # noqa: ANN001
     assert abs(one(E.mcnemar(df, F.col("a"), F.col("b")))["p"] - p) < 6e-5
 
 
+def test_mcnemar_counts_all_discordant_labels(spark, tmp_path) -> None:  # noqa: ANN001
+    labels = [(i, 1, 0) for i in range(1, 1300)] + [(i, 0, 1) for i in range(2000, 3200)] + [(4000, 1, 1), (4001, 0, 0), (4002, 1, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    r = one(retrieval.mcnemar(spark, str(tmp_path)))
+    exact = sum(math.comb(2499, i) for i in range(1201)) / (1 << 2498)
+    assert (r["b"], r["c"]) == (1299, 1200) and abs(r["p"] - exact) < 1e-6
+
+
 def test_kappa(spark) -> None:  # noqa: ANN001
     rows = [("f", "f")] * 20 + [("f", "u")] * 5 + [("u", "f")] * 10 + [("u", "u")] * 15 + [("unsure", "f")]
     r = one(E.kappa(spark.createDataFrame(rows, "a string, b string"), "a", "b"))
