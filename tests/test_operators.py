@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from datetime import datetime
 
 import pytest
@@ -257,3 +258,17 @@ def test_stream_equals_batch(spark, tmp_path) -> None:  # noqa: ANN001
     for _ in range(2):
         W.append_new(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), ["event_id"], str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.select("event_id").distinct().count()
+
+
+def test_dense_topk_takes_every_twentieth_vector(spark, tmp_path, monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(R, "BLOCK", 2)
+    rng = random.Random(3)
+    x = {i: [rng.gauss(0, 1) for _ in range(6)] for i in range(130)}
+    spark.createDataFrame(list(x.items()), "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["qid"], r["rank"]): r["id"] for r in retrieval.dense_topk(spark, str(tmp_path)).collect()}
+    dot = lambda a, b: sum(p * q for p, q in zip(a, b, strict=True))
+    want = {}
+    for q in range(0, 130, 20):
+        best = sorted(x, key=lambda i: (-round(dot(x[q], x[i]) / math.sqrt(dot(x[q], x[q]) * dot(x[i], x[i])), 6), i))  # noqa: B023
+        want |= {(q, k + 1): i for k, i in enumerate(best[:8])}
+    assert got == want
