@@ -1,4 +1,4 @@
-"""SimHash near-dedup over Golay-code keys.
+"""SimHash clusters over Golay-code keys.
 
 A 64-bit fingerprint is cut in three segments of 22, 21 and 21 bits.  Two fingerprints
 that differ in at most three bits have two segments with at most one differing bit each
@@ -9,14 +9,12 @@ decode to are its near indices, six of them or one.  A fingerprint is stored und
 indices for each pair of segments and looked up under all pairs of near indices, so each
 pair within reach meets; the meeting is then verified on all bits.
 
-Large buckets are found from counts that every task adds up in a fixed table, and split in
-a grid of cells, so no task gathers a hot bucket.  Within a task links go through a
-union-find, so a dense bucket gives a spanning forest instead of all pairs.
+Crowded buckets are split in a grid of cells (:mod:`granum.llm.buckets`).  Within a task
+links go through a union-find, so a dense bucket gives a spanning forest, not all pairs.
 """
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 from collections.abc import Iterator
 from functools import cache
@@ -24,25 +22,18 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granum.llm.common import bitmap, bitmap_has, components, free_name, materialize
+from granum.llm.buckets import Forest, deal, starts, whole_cells
+from granum.llm.common import components, materialize
 
 # The generator polynomial of the Golay code, and the segments (shift, bits).
 GENERATOR = 0b101011100011
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
-#: Entries of the table of bucket sizes, and the rows a cell may hold beyond four mean buckets.
-SLOTS, CELL = 1 << 16, 4096
 #: Products up to this are expanded at once; larger buckets go row by row.
 SMALL = 4096
-#: The same where a row of a larger bucket is first compared with central rows only.
-LED = 64
-#: Central rows of a dense bucket that a row is first compared with.
-LEADERS = 1
-#: Bits of a parity sketch.
-SKETCH = 1024
 #: Seed of the shingle hashes of the plain fingerprint.
 SEED = 42
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -82,7 +73,7 @@ def fingerprint(text: str | None, n: int = 3) -> int:
     return majority(shingle_hashes(words_of(text), n))
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -126,82 +117,38 @@ def near_indices(words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return own, np.concatenate((own[:, None], flips[:, :width]), axis=1)
 
 
-def keys(prints: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Storage and look-up keys: ``(row, key)`` of each kind, for unsigned fingerprints."""
     near = [near_indices((prints >> np.uint64(s) & np.uint64((1 << b) - 1)).astype(np.uint32), b) for s, b in SEGMENTS]
     rows = np.arange(len(prints))
     store, look_rows, look = [], [], []
     for p, (i, j) in enumerate(PAIRS):
-        head = (salt * len(PAIRS) + p) << 24
-        store.append(head | near[i][0] << 12 | near[j][0])
+        store.append(p << 24 | near[i][0] << 12 | near[j][0])
         a, b = near[i][1][:, :, None], near[j][1][:, None, :]
         real = (a >= 0) & (b >= 0)
-        full = (head | (a << 12) | b)[real]
-        look.append(full)
+        look.append((p << 24 | (a << 12) | b)[real])
         look_rows.append(np.nonzero(real)[0])
     return np.tile(rows, len(PAIRS)), np.concatenate(store), np.concatenate(look_rows), np.concatenate(look)
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+def golay_entries(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, key and side (look-up or not) of every entry of unsigned fingerprints."""
+    sr, sk, lr, lk = keys(prints)
+    return np.concatenate((sr, lr)), np.concatenate((sk, lk)), np.repeat([False, True], [len(sr), len(lr)])
 
 
 # ---------------------------------------------------------------- linking
 
 
-class Forest:
-    """Union-find over the ids met in one task; a root is the smallest id of its tree."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        up = self.up
-        root = x
-        while (parent := up.get(root, root)) != root:
-            root = parent
-        while (parent := up.get(x, x)) != root:
-            up[x] = root
-            x = parent
-        return root
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.up.setdefault(min(a, b), min(a, b))
-
-    def edges(self) -> tuple[list[int], list[int]]:
-        nodes = [x for x in self.up if self.up[x] != x]
-        return nodes, [self.find(x) for x in nodes]
-
-
-def _central_first(prints: np.ndarray, stored: int) -> np.ndarray:
-    """The ``stored`` first rows of a bucket by distance to the majority of all its rows."""
-    bits = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    middle = np.packbits(bits.mean(axis=0) > 0.5).view(">u8").astype(np.uint64)[0]
-    return np.argsort(np.bitwise_count(prints[:stored] ^ middle), kind="stable")
-
-
-def _meet(run: dict[str, np.ndarray], reach: int, leaders: int | None = None, alike: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Linked rows ``(stored, looked up, dense)`` of sorted rows of whole cells.
-
-    With ``leaders``, a looked-up row of a dense bucket is linked to the first so many
-    stored rows within reach only, the most central first, and a stored row to its first
-    looked-up one.  ``alike`` tells that all rows are both stored and looked up, so the
-    latter adds nothing.
-    """
-    key, cell, look, prints = run["key"], run["cell"], run["look"], run["print"]
+def _meet(prints: np.ndarray, ids: np.ndarray, look: np.ndarray, first: np.ndarray, last: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked rows (stored, looked up) of sorted rows of whole cells."""
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (np.bitwise_count(prints[a] ^ prints[b]) <= reach) & (run["id"][a] != run["id"][b])
+        return (np.bitwise_count(prints[a] ^ prints[b]) <= reach) & (ids[a] != ids[b])
 
-    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))
-    last = np.concatenate((first[1:], [len(key)]))
     stored = np.add.reduceat((~look).astype(np.int64), first)
     asked = last - first - stored
-    most = SMALL if leaders is None else min(SMALL, LED)
-    small = (stored > 0) & (asked > 0) & (stored * asked <= most)
+    small = (stored > 0) & (asked > 0) & (stored * asked <= SMALL)
     f, s, n = first[small], stored[small], asked[small]
     for lo in range(0, len(f), 2048):
         ff, ss, nn = f[lo : lo + 2048], s[lo : lo + 2048], n[lo : lo + 2048]
@@ -211,163 +158,38 @@ def _meet(run: dict[str, np.ndarray], reach: int, leaders: int | None = None, al
         a = ff[group] + at % ss[group]
         b = ff[group] + ss[group] + at // ss[group]
         ok = near(a, b)
-        yield a[ok], b[ok], False
-    for g in np.flatnonzero((stored > 0) & (asked > 0) & ~(stored * asked <= most)):
-        b0, b1 = first[g] + stored[g], last[g]
-        asked_rows = np.arange(b0, b1)
-        left = np.full(len(asked_rows), leaders or 0)
-        for a in first[g] + _central_first(prints[first[g] : b1], stored[g]):
-            if leaders is not None and alike and not left.any():
-                break
-            hits = np.flatnonzero(near(np.array([a]), asked_rows))
-            if leaders is not None and len(hits):
-                some = hits[left[hits] > 0]
-                left[some] -= 1
-                hits = some if len(some) or alike else hits[:1]
-            yield np.full(len(hits), a), b0 + hits, True
-
-
-def _cells(prints: DataFrame, salts: int, sizes: DataFrame | None) -> DataFrame:
-    """Rows ``key, cell, look, id, print`` of every storage and look-up key.
-
-    ``prints`` has ``id, label`` and ``salts`` fingerprint columns; with a column ``print``
-    they are keys as they stand, and ``print`` is what to verify on instead of the
-    fingerprint.  Where ``prints`` has columns ``size, sketch``, the rows carry them and
-    ``label`` too.  ``sizes`` is the broadcast table of slot sizes as one binary; None asks
-    for the counts instead.
-    """
-    counting, banded = sizes is None, "print" in prints.columns
-    sketched = "sketch" in prints.columns
-    names = ["key", "cell", "look", "id", "print", *["label", "size", "sketch"] * sketched]
-    types = {"look": "boolean", "sketch": "binary"}
-    schema = ", ".join(f"{n} {types.get(n, 'long')}" for n in names)
-    chunks = None if counting else prints.sparkSession.sparkContext.broadcast(sizes)
+        yield a[ok], b[ok]
+    for g in np.flatnonzero(stored * asked > SMALL):
+        middle = first[g] + stored[g]
+        asked_rows = np.arange(middle, last[g])
+        for a in range(first[g], middle):
+            hits = asked_rows[near(np.array([a]), asked_rows)]
+            yield np.full(len(hits), a), hits
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, dtype=np.int64)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                ids, label = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                for salt in range(salts):
-                    p = batch.column(2 + salt).to_numpy()
-                    rows = np.arange(len(p))
-                    sr, sk, lr, lk = (rows, p, rows, p) if banded else keys(p.view(np.uint64), salt)
-                    row, key, look = np.concatenate((sr, lr)), np.concatenate((sk, lk)), np.repeat([False, True], [len(sr), len(lr)])
-                    slot = _slot(key)
-                    if counting:
-                        counts += np.bincount(slot, minlength=SLOTS)
-                        continue
-                    c = chunks.value[slot]
-                    own = (ids[row].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)).astype(np.int64) % c
-                    rep = np.repeat(np.arange(len(c)), c)
-                    other = np.arange(len(rep)) - np.repeat(np.cumsum(c) - c, c)
-                    cell = np.where(look[rep], other * c[rep] + own[rep], own[rep] * c[rep] + other)
-                    row = row[rep]
-                    verify = batch.column("print").to_numpy() if banded else p
-                    columns = [key[rep], cell, look[rep], ids[row], verify[row]]
-                    arrays = [pa.array(c) for c in columns]
-                    if sketched:
-                        arrays += [pa.array(label[row]), *[batch.column(n).take(pa.array(row)) for n in ("size", "sketch")]]
-                    yield pa.RecordBatch.from_arrays(arrays, names=names)
-        if counting:
-            slot = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], names=["slot", "n"])
-
-    return prints.mapInArrow(each, "slot long, n long" if counting else schema)
-
-
-def slot_chunks(prints: DataFrame, salts: int) -> np.ndarray:
-    """Into how many parts each slot's buckets are cut; a table of ``SLOTS`` numbers."""
-    rows = _cells(prints, salts, None).groupBy("slot").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(SLOTS, dtype=np.int64)
-    for r in rows:
-        n[r["slot"]] = r["n"]
-    room = CELL + 4 * (int(n.sum()) // SLOTS)
-    return np.maximum(1, -(-n // room))
-
-
-def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    """A column as numpy; fingerprints unsigned, sketches a row of words each."""
-    if name == "sketch":
-        return np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-    column = batch.column(name).to_numpy(zero_copy_only=False)
-    return column.view(np.uint64) if name == "print" else column
-
-
-def link(prints: DataFrame, reach: int, salts: int = 1, forest: bool = True, least: float | None = None, only: DataFrame | None = None) -> DataFrame:
-    """Edges ``a, b, dense`` between ids whose fingerprints differ in at most ``reach`` bits.
-
-    With ``forest`` each task returns a spanning forest of what it linked, which has the
-    same components.  Otherwise all pairs of small buckets are returned once per task, and
-    of a dense bucket (``dense``) each row's pairs with its most central partners; a row
-    with nothing but ``key`` tells the key of each such bucket.  If ``prints`` has sketches
-    (:func:`sketch`), all pairs are returned that have different labels and may have the
-    Jaccard similarity ``least``.  ``only`` has the keys to look at (a few more may be).
+
+def link(prints: DataFrame, reach: int) -> DataFrame:
+    """Edges ``a, b`` between ids whose fingerprints differ in at most ``reach`` bits.
+
+    ``prints`` has ``id`` and ``print``.  Each task returns a spanning forest of what it
+    linked, which has the same components.
     """
-    sketched = "sketch" in prints.columns
-    placed = _cells(prints, salts, slot_chunks(prints, salts))
-    if only is not None:
-        placed = placed.where(bitmap_has(bitmap(only, "key"), F.col("key")))
-    placed = placed.repartition("key", "cell").sortWithinPartitions("key", "cell", "look")
 
-    names, leaders, alike = placed.columns, None if forest or sketched else LEADERS, "print" in prints.columns
+    def entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return golay_entries(batch.column("print").to_numpy().view(np.uint64))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, held = Forest(), None
-
-        def out(a: np.ndarray, b: np.ndarray, dense: np.ndarray) -> pa.RecordBatch:
-            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(dense, pa.bool_()), pa.nulls(len(a), pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "dense", "key"])
-
-        def work(run: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            pairs, crowded = [], set()
-            for a, b, dense in _meet(run, reach, leaders, alike):
-                if sketched:
-                    apart = run["label"][a] != run["label"][b]
-                    a, b = a[apart], b[apart]
-                    may = np.bitwise_count(run["sketch"][a] ^ run["sketch"][b]).sum(axis=1, dtype=np.int64) <= most_apart(run["size"][a] + run["size"][b], least)
-                    a, b = a[may], b[may]
-                if not len(a):
-                    continue
-                ida, idb = run["id"][a], run["id"][b]
-                if forest and dense:
-                    root = trees.find(int(ida[0]))
-                    for x in np.unique(idb):
-                        if trees.up.get(int(x)) != root:
-                            trees.join(root, int(x))
-                            root = trees.find(root)
-                elif forest:
-                    for x, y in np.unique(np.stack((ida, idb)), axis=1).T.tolist():
+        trees = Forest()
+        for t in whole_cells(batches):
+            ids = t["id"].to_numpy()
+            for a, b in _meet(t["print"].to_numpy().view(np.uint64), ids, t["look"].to_numpy(), *starts(t), reach):
+                if len(a):
+                    pairs = np.stack((ids[a], ids[b]))
+                    for x, y in np.unique(pairs, axis=1).T.tolist() if len(a) > 1 else pairs.T.tolist():
                         trees.join(x, y)
-                else:
-                    pairs.append(np.stack((np.minimum(ida, idb), np.maximum(ida, idb), np.full(len(ida), dense))))
-                    if dense:
-                        crowded.add(int(run["key"][a[0]]))
-            if pairs:
-                u = np.unique(np.concatenate(pairs, axis=1), axis=1)
-                yield out(u[0], u[1], u[2] > 0)
-            if crowded and not sketched:
-                none = pa.nulls(len(crowded), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(crowded), pa.bool_()), pa.array(sorted(crowded), pa.int64())], names=["a", "b", "dense", "key"])
+        a, b = trees.edges()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            now = {n: _column(batch, n) for n in names}
-            if held is not None:
-                now = {n: np.concatenate((held[n], now[n])) for n in names}
-            if not len(now["key"]):
-                continue
-            tail = int(np.flatnonzero((now["key"] == now["key"][-1]) & (now["cell"] == now["cell"][-1]))[0])
-            held = {n: now[n][tail:] for n in names}
-            if tail:
-                yield from work({n: now[n][:tail] for n in names})
-        if held is not None and len(held["key"]):
-            yield from work(held)
-        if forest:
-            a, b = trees.edges()
-            yield out(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.zeros(len(a), dtype=bool))
-
-    return placed.mapInArrow(each, "a long, b long, dense boolean, key long")
+    return deal(prints, entries, ["id", "print"]).mapInArrow(each, "a long, b long")
 
 
 # ---------------------------------------------------------------- the operator
@@ -389,15 +211,14 @@ def clusters(docs: DataFrame, n: int = 3, reach: int = 3, id_col: str = "doc_id"
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [_signed(fingerprint(t.as_py(), n)) for t in batch.column(1)]
+            fp = [signed(fingerprint(t.as_py(), n)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], names=["id", "print"])
 
     kind = src.schema["id"].dataType.simpleString()
     found = materialize(src.mapInArrow(prints, f"id {kind}, print long"), "prints")
     nodes = found.groupBy("print").agg(F.min("id").alias("low"))
     nodes = materialize(nodes, "nodes")
-    edges = link(nodes.select(F.col("print").alias("id"), F.col("print").alias("label"), F.col("print").alias("p0")), reach)
-    roots = components(edges.select("a", "b"))
+    roots = components(link(nodes.select(F.col("print").alias("id"), "print"), reach))
     rooted = nodes.join(roots, F.col("print") == F.col("node"), "left").select("print", "low", F.coalesce("root", "print").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(least, "root").select("print", "component_id")
@@ -406,170 +227,6 @@ def clusters(docs: DataFrame, n: int = 3, reach: int = 3, id_col: str = "doc_id"
     )
 
 
-# ---------------------------------------------------------------- near-duplicate removal
-
-#: Candidate keys of a text: bands of so many minima of its shingle set each.
-BANDS, ROWS = 12, 3
-#: Bits of further minima, and how many of them may differ in a candidate.
-CANDIDATE_REACH = 18
-#: Odd factors that give each minimum its own order of the shingle hashes.
-FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS + 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def minima(hashes: list[int]) -> np.ndarray:
-    """The least of a set of hashes under each of the orders that ``FACTORS`` give."""
-    x, out = np.array(hashes, dtype=np.uint64), np.full(len(FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for lo in range(0, len(x), 1024):
-        np.minimum(out, (x[lo : lo + 1024, None] * FACTORS).min(axis=0), out=out)
-    return out
-
-
-def candidate_keys(hashes: list[int]) -> tuple[list[int], int]:
-    """Keys of the bands of a shingle set, and one mixed bit of each of 64 further minima.
-
-    Two sets agree in a minimum with the probability of their Jaccard similarity.
-    """
-    least = minima(hashes)
-    band = np.zeros(BANDS, dtype=np.uint64)
-    for column in least[: BANDS * ROWS].reshape(BANDS, ROWS).T:
-        band = (band ^ column) * MIX
-        band ^= band >> np.uint64(29)
-    keys = np.arange(BANDS, dtype=np.int64) << 56 | (band >> np.uint64(8)).astype(np.int64)
-    bits = np.packbits((least[BANDS * ROWS :] * MIX >> np.uint64(63)).astype(np.uint8))
-    return keys.tolist(), int.from_bytes(bits.tobytes(), "big")
-
-
-def _node_rows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Per row: ``id, th, node``, the band keys ``p0, p1, ...`` and ``print``, the further bits.
-
-    ``node`` is 64 bits of the SHA-256 of the lower-cased word sequence, so texts of equal
-    words are one node.
-    """
-    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    kind = src.schema["id"].dataType.simpleString()
-    names = [*[f"p{i}" for i in range(BANDS)], "print"]
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, prints = [], [[] for _ in names]
-            for t in batch.column(2):
-                words = words_of(t.as_py())
-                nodes.append(_signed(int.from_bytes(hashlib.sha256(b" ".join(words)).digest()[:8], "big")))
-                keys, bits = candidate_keys(shingle_hashes(words, n))
-                for value, out in zip((*keys, _signed(bits)), prints, strict=True):
-                    out.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), *[pa.array(p, pa.int64()) for p in prints]], names=["id", "th", "node", *names])
-
-    return src.mapInArrow(each, f"id {kind}, th long, node long, " + ", ".join(f"{n} long" for n in names))
-
-
-def sketch(hashes: np.ndarray) -> bytes:
-    """Parity sketch of a set of hashes: a bit tells whether an odd number of them falls on it.
-
-    An element that only one of two sets has flips one bit, so two sketches differ in no
-    more bits than their sets have elements apart.
-    """
-    odd = np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def most_apart(sizes: np.ndarray, least: float) -> np.ndarray:
-    """Elements that two sets of ``sizes`` together may have apart at Jaccard similarity ``least``."""
-    return sizes * ((1 - least) / (1 + least)) + 1e-6
-
-
-def _shingle_sets(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """``node, s`` of each end of ``pairs``: its sorted distinct ``n``-word shingle hashes."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "th")).alias("of")).select("node", F.col("of.id").alias("o_id"), F.col("of.th").alias("o_th"))
-    one = materialize(one, "ends")
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    texts = texts.where(bitmap_has(bitmap(one, "o_th"), F.col("th")))  # few texts are dealt out
-    held = texts.join(one, F.col("th").eqNullSafe(F.col("o_th")) & F.col("id").eqNullSafe(F.col("o_id"))).select("node", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [np.unique(np.array(shingle_hashes(words_of(t.as_py()), n), dtype=np.uint64)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "s"])
-
-    return materialize(held.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "shingles")
-
-
-def _sketches(made: DataFrame) -> DataFrame:
-    """``id, size, sketch`` of shingle sets ``node, s``."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column(1)]
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "sketch"])
-
-    return made.select("node", "s").mapInArrow(each, "id long, size long, sketch binary")
-
-
-def _verified(pairs: DataFrame, made: DataFrame, least: float) -> DataFrame:
-    """The distinct pairs ``a, b`` whose sets in ``made`` have Jaccard similarity ``least`` or more."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(both >= least * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    sides = pairs.select("a", "b").distinct().join(made.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(made.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return sides.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
-
-
-def without_near_duplicates(docs: DataFrame, n: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates.
-
-    Two texts are near-duplicates if their sets of ``n``-word shingles (lower-cased words
-    cut at white space) have a Jaccard similarity of ``least`` or more, or their words are
-    equal; groups are connected components.  Candidates share the three minima of one of twelve
-    bands over their shingle sets and at least 46 bits of 64 further minima, and are then
-    verified exactly, so a link is never false.  One of similarity J is lost with
-    probability (1 - J^3)^12 (2 in 10,000 at 0.8), plus about 1 in 100,000 for the bits.  The row of
-    smallest id stays (null ids last, then by text hash); of rows that repeat whole, one.
-    Null and wordless texts are one group.
-    """
-    rows = materialize(_node_rows(docs, id_col, text_col, n), "nodes")
-    names = [*[f"p{i}" for i in range(BANDS)], "print"]
-    nodes = materialize(rows.groupBy("node").agg(*[F.first(p).alias(p) for p in names]), "prints")
-    base = nodes.select(F.col("node").alias("id"), F.col("node").alias("label"), *names)
-    met = materialize(link(base, CANDIDATE_REACH, BANDS, forest=False), "pairs")
-    pairs, crowded = met.where("key is null"), met.where("key is not null")
-    made = _shingle_sets(pairs, docs, rows, id_col, text_col, n)
-    edges = materialize(_verified(pairs, made, least), "links")
-    if not crowded.isEmpty():
-        # rows of dense buckets meet once more there, now only across what is not yet linked and may be alike
-        near = pairs.where("dense").select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        roots = components(edges)
-        again = base.drop("label").join(near, "id", "left_semi").join(roots, F.col("id") == F.col("node"), "left").join(_sketches(made), "id")
-        sketched = materialize(again.select("id", F.coalesce("root", "id").alias("label"), *names, "size", "sketch"), "dense")
-        more = materialize(link(sketched, CANDIDATE_REACH, BANDS, forest=False, least=least, only=crowded.select("key").distinct()), "pairs")
-        fresh = more.select("a", "b").distinct().join(pairs.select("a", "b").distinct(), ["a", "b"], "left_anti")
-        edges = edges.unionByName(_verified(fresh, made, least))
-    roots = components(edges)
-    order = F.struct(F.col("id").isNull().alias("k"), "id", "th")
-    grouped = rows.select("id", "th", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stay = grouped.groupBy("root").agg(F.min(order).alias("of")).select(F.xxhash64("of.id", "of.th").alias("key")).distinct()
-    held = rows.groupBy(F.xxhash64("id", "th").alias("key")).agg(F.count("*").alias("n"))
-    # keys of rows that go or repeat; all other rows pass without being dealt out
-    marked = materialize(held.join(stay.withColumn("stays", F.lit(True)), "key", "left").where("n > 1 or stays is null"), "leave")
-    key, rank = free_name(docs, "stay_key"), free_name(docs, "stay_rank")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.xxhash64(text_col)))
-    maybe = bitmap_has(bitmap(marked, "key"), F.col(key))
-    gone = marked.where("stays is null").select(F.col("key").alias(key))
-    one = Window.partitionBy(key).orderBy(F.lit(0))
-    checked = keyed.where(maybe).join(gone, key, "left_anti").withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return keyed.where(~maybe).select(*columns).unionByName(checked.select(*columns))
-
-
 def report(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id, fingerprint, component_id``."""
     return clusters(docs.select("doc_id", "text"))

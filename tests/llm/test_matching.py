@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from tests.llm.helpers import documents, odd
 
-from granum.llm import decontaminate, lines, simhash, topk
+from granum.llm import buckets, decontaminate, lines, neardup, simhash, topk
 from granum.llm.common import components
 
 
@@ -85,7 +86,7 @@ def test_simhash_against_brute_force(spark) -> None:  # noqa: ANN001
 
 
 def test_simhash_dense_buckets_and_cells(spark, monkeypatch) -> None:  # noqa: ANN001
-    """Many fingerprints around one point, with buckets split in cells and no small buckets."""
+    """Many fingerprints around one point, with buckets split in cells."""
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 64, 3, dtype=np.uint64)
     p = []
@@ -96,10 +97,10 @@ def test_simhash_dense_buckets_and_cells(spark, monkeypatch) -> None:  # noqa: A
                 x ^= np.uint64(1) << np.uint64(bit)
             p.append(x)
     p = np.unique(np.array(p)).view(np.int64).tolist()
-    df = spark.createDataFrame([(x, x, x) for x in p], "id long, label long, p0 long")
+    df = spark.createDataFrame([(x, x) for x in p], "id long, print long")
     want = brute_components(len(p), lambda i, j: ((p[i] ^ p[j]) & (1 << 64) - 1).bit_count() <= 3)
-    monkeypatch.setattr(simhash, "slot_chunks", lambda prints, salts: np.full(simhash.SLOTS, 3, dtype=np.int64))
-    roots = {r["node"]: r["root"] for r in components(simhash.link(df, 3).select("a", "b")).collect()}
+    monkeypatch.setattr(buckets, "parts_of_slots", lambda src, keys: np.full(buckets.SLOTS, 3, dtype=np.int64))
+    roots = {r["node"]: r["root"] for r in components(simhash.link(df, 3)).collect()}
     got = {}
     for i, x in enumerate(p):
         got.setdefault(roots.get(x, x), set()).add(i)
@@ -109,41 +110,50 @@ def test_simhash_dense_buckets_and_cells(spark, monkeypatch) -> None:  # noqa: A
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
 
 
-def test_sketch_bounds_the_elements_apart() -> None:
-    rng = np.random.default_rng(8)
-    for size in (0, 1, 30, 400, 5000):
-        for apart in (0, 1, size // 8, size):
-            a = rng.integers(0, 1 << 64, size, dtype=np.uint64)
-            b = np.concatenate((a[: size - apart], rng.integers(0, 1 << 64, apart, dtype=np.uint64)))
-            x, y = (np.frombuffer(simhash.sketch(s), np.uint64) for s in (a, b))
-            assert np.bitwise_count(x ^ y).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
-    for size, union in ((4, 5), (8, 10), (80, 100)):  # just similar enough
-        assert union - size <= simhash.most_apart(np.array([size + union]), 0.8)[0]
-
-
-def test_near_dedup_of_a_dense_bucket(spark, monkeypatch) -> None:  # noqa: ANN001
-    """Rows that no central row is similar to find one another in the second comparison."""
+def _sets(texts: list[str]) -> list[set[tuple[str, ...]]]:
+    return [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+
+
+def _kept(df) -> list[int]:  # noqa: ANN001
+    return sorted(r["doc_id"] for r in neardup.without_near_duplicates(df).collect())
+
+
+@pytest.mark.parametrize("parts", [None, 3])
+def test_near_dedup_of_a_crowded_bucket(spark, monkeypatch, parts) -> None:  # noqa: ANN001
+    """Variants of one text that are too far apart to be near copies, each with near copies of its own."""
     rng = random.Random(4)
     vocab = [f"v{i}" for i in range(3000)]
     base = [rng.choice(vocab) for _ in range(150)]
-    texts, truth = [], []
-    for _ in range(8):  # variants of one text, too far apart to be near copies ...
+    texts = []
+    for _ in range(50):
         w = list(base)
-        for at in range(rng.randrange(5), 150, 6):
+        for at in range(rng.randrange(9), 150, 9):
             w[at] = rng.choice(vocab)
-        first = len(texts)
-        for k in range(4):  # ... of which each has near copies
+        for k in range(6):
             x = list(w)
-            if k:
+            for _ in range(k % 3):
                 x[rng.randrange(150)] = rng.choice(vocab)
             texts.append(" ".join(x))
-            truth.append(first)
-    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for t in texts]
-    assert brute_components(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) == truth
-    monkeypatch.setattr(simhash, "SMALL", 0)
-    monkeypatch.setattr(simhash, "LEADERS", 1)
-    kept = sorted(r["doc_id"] for r in simhash.without_near_duplicates(documents(spark, texts)).collect())
-    assert kept == sorted(set(truth))
+    sets = _sets(texts)
+    want = brute_components(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    if parts:
+        monkeypatch.setattr(buckets, "parts_of_slots", lambda src, keys: np.full(buckets.SLOTS, parts, dtype=np.int64))
+    assert len(set(want)) >= 40
+    assert _kept(documents(spark, texts)) == sorted(set(want))
+
+
+def test_near_dedup_of_a_chain_in_one_bucket(spark) -> None:  # noqa: ANN001
+    """A group held together by single links only: each text is near the next, no other."""
+    rng = random.Random(8)
+    w = [f"v{rng.randrange(9000)}" for _ in range(120)]
+    texts = []
+    for k in range(60):
+        texts.append(" ".join(w))
+        at = (k * 37) % 100
+        w = [*w[:at], *[f"n{k}.{i}" for i in range(6)], *w[at + 6 :]]
+    sets = _sets(texts)
+    want = brute_components(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert _kept(documents(spark, texts)) == sorted(set(want))
 
 
 def test_simhash_odd_rows(spark) -> None:  # noqa: ANN001
@@ -175,7 +185,7 @@ def test_near_dedup_keeps_one_of_each_group(spark) -> None:  # noqa: ANN001
                 w[rng.randrange(len(w))] = rng.choice(vocab)
             texts.append(" ".join(w))
             truth.append(first)
-    got = sorted(r["doc_id"] for r in simhash.without_near_duplicates(documents(spark, texts)).collect())
+    got = sorted(r["doc_id"] for r in neardup.without_near_duplicates(documents(spark, texts)).collect())
     assert got == sorted(set(truth))
 
 
@@ -197,28 +207,16 @@ def test_near_dedup_finds_appended_cut_and_block_edited_copies(spark) -> None:
         texts += [" ".join(base), " ".join(copy)]
         sets += [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, copy)]
     assert all(0.8 <= len(a & b) / len(a | b) < 1 for a, b in zip(sets[::2], sets[1::2], strict=True))
-    kept = sorted(r["doc_id"] for r in simhash.without_near_duplicates(documents(spark, texts)).collect())
+    kept = sorted(r["doc_id"] for r in neardup.without_near_duplicates(documents(spark, texts)).collect())
     assert kept == list(range(0, len(texts), 2))
 
 
-def test_near_dedup_second_pass_over_dense_buckets(spark, monkeypatch) -> None:  # noqa: ANN001
-    monkeypatch.setattr(simhash, "SMALL", 0)
-    rng = random.Random(2)
-    base = [f"v{rng.randrange(5000)}" for _ in range(300)]
-    texts = []
-    for k in range(25):
-        w = list(base)
-        w[k * 11] = f"new{k}"
-        texts.append(" ".join(w))
-    got = [r["doc_id"] for r in simhash.without_near_duplicates(documents(spark, texts)).collect()]
-    assert got == [0]
-
-
 def test_near_dedup_odd_rows(spark) -> None:  # noqa: ANN001
     df = odd(spark)
-    out = simhash.without_near_duplicates(df)
+    out = neardup.without_near_duplicates(df)
     assert out.columns == df.columns
     assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "3", "4", "6"]
+    assert neardup.without_near_duplicates(df.limit(0)).count() == 0
 
 
 def test_line_dedup_finds_shifted_passages(spark) -> None:  # noqa: ANN001
