@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -284,8 +286,33 @@ def test_decontamination_by_brute_force(spark) -> None:  # noqa: ANN001
                     hit |= set(range(k, k + len(g)))
                     owners.add(i)
         assert (got[d]["n_words"], got[d]["n_hit"], got[d]["n_items"]) == (len(w), len(hit), len(owners))
-    small = decontaminate.overlap(documents(spark, texts).select("doc_id", "text"), bench, broadcast_bytes=20)
-    assert {r["doc_id"]: r["n_hit"] for r in small.collect()} == {k: r["n_hit"] for k, r in got.items()}
+    whole, small = ({r["doc_id"]: tuple(r) for r in decontaminate.overlap(documents(spark, texts).select("doc_id", "text"), bench, broadcast_bytes=b).collect()} for b in (1 << 20, 60))
+    assert whole == small
+    left, cut = (sorted((r["doc_id"], r["text"]) for r in decontaminate.decontaminate(documents(spark, texts), bench, broadcast_bytes=b).select("doc_id", "text").where("text is not null").collect()) for b in (1 << 20, 60))
+    assert left == cut
+
+
+def test_decontamination_items_with_odd_ids(spark) -> None:  # noqa: ANN001
+    bench = spark.createDataFrame([("b", "p q r"), ("a", "p q r"), (None, "x y"), ("c", None), ("d", " - ")], "item_id string, text string")
+    rows = {r["doc_id"]: r for r in decontaminate.report(documents(spark, ["o p q r", "x y z", "p q", None]), bench).collect()}
+    assert [(rows[i]["n_words"], rows[i]["n_hit"], rows[i]["n_items"], rows[i]["contaminated"]) for i in range(4)] == [(4, 3, 2, True), (3, 2, 1, True), (2, 0, 0, False), (0, 0, 0, False)]
+    assert rows[0]["items_sha256"] == hashlib.sha256(b"a,b").hexdigest() and rows[1]["items_sha256"] == hashlib.sha256(b"").hexdigest()
+    for df in (odd(spark), odd(spark).limit(0)):
+        for b in (bench, bench.limit(0)):
+            for size in (1 << 20, 4):
+                assert decontaminate.overlap(df, b, broadcast_bytes=size).count() == df.count()
+                out = decontaminate.decontaminate(df, b, broadcast_bytes=size)
+                assert out.columns == df.columns and out.count() == df.count()
+
+
+def test_decontamination_set_of_many_items_and_one_long_item() -> None:
+    rng = random.Random(1)
+    pieces = [(i, [b"w%d" % rng.randrange(50_000) for _ in range(30)], 10) for i in range(20_000)]
+    began = time.monotonic()
+    held = decontaminate.WindowSet(pieces)
+    assert time.monotonic() - began < 30
+    assert held.scan(pieces[7][1])[0].all() and held.scan(pieces[7][1])[1] == [7]
+    assert not held.scan(pieces[7][1][:9] + pieces[8][1][:9])[0].any()
 
 
 def test_decontaminate_cuts_spans_and_drops_copies(spark) -> None:  # noqa: ANN001
