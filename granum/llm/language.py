@@ -5,7 +5,7 @@ recurrent layer reads forward and one backward (a light gated unit: an update ga
 candidate, both piecewise linear, so a step is two small products and two clips).  The two
 states of a position give it language probabilities, and the mean over all positions of
 the text is the document's.  Training is backpropagation through time in numpy on the
-driver, from a bounded sample of labelled rows; prediction is map-only over whole texts.
+driver, from windows of a bounded sample of labelled rows; prediction is map-only over whole texts.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 #: Bytes of a window, and state size of each direction.
 WINDOW, HIDDEN = 64, 8
-#: Training bounds: documents of each language, languages, characters of each document.
-PER_LANG, MAX_LANGS, TRAIN_CHARS = 200, 64, 1536
+#: Training bounds: distinct texts of each language, and windows of each, drawn from the whole text.
+PER_LANG, PER_TEXT = 200, 24
 #: Windows predicted at once.
 CHUNK = 2048
 UNDETERMINED = "und"
@@ -163,29 +163,39 @@ class Tagger:
         return total / np.maximum(size, 1)[:, None]
 
 
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per_lang: int = PER_LANG) -> Tagger:
-    """Train on at most ``per_lang`` rows of each of the ``MAX_LANGS`` most frequent languages.
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per_lang: int = PER_LANG, per_text: int = PER_TEXT) -> Tagger:
+    """Train on at most ``per_lang`` distinct texts of every language, ``per_text`` windows of each.
 
-    Rows are those of smallest text hash; rows with null text or language take no part.
-    With no row there is a tagger without languages.
+    Texts are those of smallest hash, so copies count once; windows are drawn from the whole
+    text by a generator that the hash seeds.  Rows with null or empty text or null language
+    take no part.  With no row there is a tagger without languages.
     """
-    clean = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    top = clean.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()
-    langs = sorted(r[0] for r in top)
-    first = Window.partitionBy("lang").orderBy("h", "snip")
-    chosen = (
-        clean.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, TRAIN_CHARS).alias("snip"))
-        .where(F.col("lang").isin(langs))
-        .withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang)
-        .select("lang", "snip", "h").orderBy("lang", "h", "snip").collect()
-    ) if langs else []
-    if not chosen:
+    clean = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).where("lang is not null and length(text) > 0")
+    first = Window.partitionBy("lang").orderBy("th")
+    chosen = clean.select("lang", "th").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang).drop("r")
+    texts = clean.join(chosen, ["lang", "th"]).dropDuplicates(["lang", "th"]).select("lang", "th", "text")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for th, t in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x, mask, _ = cut([t.as_py().encode("utf-8", "surrogatepass")])
+                if len(x) > per_text:
+                    x, mask = (a[np.sort(np.random.default_rng(th & (1 << 63) - 1).permutation(len(a))[:per_text])] for a in (x, mask))
+                held.append((x.tobytes(), mask.sum(axis=1).astype(np.uint8).tobytes()))
+            cols = list(zip(*held, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.binary()) for c in cols]], names=["lang", "th", "x", "sizes"])
+
+    kind = clean.schema["lang"].dataType.simpleString()
+    rows = sorted(texts.mapInArrow(windows, f"lang {kind}, th long, x binary, sizes binary").collect(), key=lambda r: (r["lang"], r["th"]))
+    if not rows:
         return Tagger(_init(0, np.random.default_rng(0)), [])
+    langs = sorted({r["lang"] for r in rows})
     number = {name: i for i, name in enumerate(langs)}
-    raws = [r["snip"].encode("utf-8", "surrogatepass") for r in chosen]
-    x, mask, owner = cut(raws)
-    y = np.array([number[r["lang"]] for r in chosen])[owner]
-    return Tagger(train(x, mask, y, len(langs)), langs)
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), dtype=np.uint8).reshape(-1, WINDOW)
+    sizes = np.frombuffer(b"".join(bytes(r["sizes"]) for r in rows), dtype=np.uint8)
+    y = np.repeat([number[r["lang"]] for r in rows], [len(r["sizes"]) for r in rows])
+    return Tagger(train(x, np.arange(WINDOW)[None, :] < sizes[:, None], y, len(langs)), langs)
 
 
 def identify(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame:

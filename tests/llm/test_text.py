@@ -171,6 +171,22 @@ def test_language_without_labels(spark) -> None:  # noqa: ANN001
     assert language.identify(odd(spark), language.Tagger({}, [])).count() == 8
 
 
+def test_language_reads_whole_texts_and_all_languages(spark) -> None:  # noqa: ANN001
+    rng = random.Random(6)
+    lead = "0123456789 " * 300  # what tells the languages apart comes late
+    rows = [(f"{lead}{t * 8}", "aa") for t in texts_of("aeioulmnrs", 40, rng)] + [(f"{lead}{t * 8}", "bb") for t in texts_of("aäöüchkszt", 40, rng)]
+    df = spark.createDataFrame([*rows, *[rows[0]] * 500], "text string, lang string")
+    tagger = language.fit(df)
+    test = [*texts_of("aeioulmnrs", 20, rng), *texts_of("aäöüchkszt", 20, rng)]
+    got = [r["lang_pred"] for r in language.identify(spark.createDataFrame([(i, t) for i, t in enumerate(test)], "i int, text string"), tagger).orderBy("i").collect()]
+    assert sum(g == w for g, w in zip(got, ["aa"] * 20 + ["bb"] * 20, strict=True)) >= 38
+    many = spark.createDataFrame([(chr(0x4E00 + 7 * i) * 70, f"l{i:03}") for i in range(80)], "text string, lang string")
+    assert language.fit(many).langs == [f"l{i:03}" for i in range(80)]
+    assert language.report(documents(spark, []).withColumn("lang", F.lit("x"))).count() == 0
+    out = language.identify(odd(spark), tagger)
+    assert out.count() == 8 and out.columns.count("lang_pred") == out.columns.count("score") == 1
+
+
 def test_language_gradients() -> None:
     rng = np.random.default_rng(0)
     p = language._init(3, rng)
