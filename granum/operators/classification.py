@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granum.operators.customers import ranked_sums
+from granum.operators.ranking import ranked_sums
 
 
 def binary_metrics(df: DataFrame, label: Column, pred: Column) -> DataFrame:
@@ -21,7 +21,7 @@ def binary_metrics(df: DataFrame, label: Column, pred: Column) -> DataFrame:
 def roc_auc(df: DataFrame, label: Column, score: Column) -> DataFrame:
     """Exact AUC with ties as half, from counts by distinct score and their running sums."""
     by = df.select(score.alias("s"), label.alias("y")).where("s is not null and y is not null").groupBy("s").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("q"))
-    run = ranked_sums(by, [F.asc("s")], F.col("q"))
+    run = ranked_sums(by, [("s", False)], F.col("q"))
     wins = F.sum(F.col("p") * (F.col("run") - F.col("q") + F.col("q") / 2.0))
     return run.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.round(wins / F.nullif(F.sum("p") * F.sum("q"), F.lit(0)), 6).alias("auc"))
 

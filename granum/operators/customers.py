@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granum.functions.money import dsum
+from granum.operators.ranking import ranked_sums
 
 DAY_US, YEAR = 86_400_000_000, 365.0
 
@@ -15,28 +16,9 @@ def whole_days(later: Column, earlier: Column) -> Column:
     return F.floor((F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / DAY_US)
 
 
-def ranked_sums(df: DataFrame, order: list[Column], amount: Column, parts: int = 64) -> DataFrame:
-    """``df`` with ``pos, run, n, total``: rank, running sum, count and sum in an order.
-
-    Rows are dealt in ranges of the order, summed per range, and offset by the ranges
-    before, so the order's window never meets in one task.
-    """
-    dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    sums = dealt.groupBy("_part").agg(F.count("*").alias("_c"), F.sum(amount).alias("_s"))
-    ahead = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    offsets = sums.select("_part", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_c0"), F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_s0"), F.sum("_c").over(every).alias("n"), F.sum("_s").over(every).alias("total"))
-    w = Window.partitionBy("_part").orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        dealt.withColumn("_r", F.row_number().over(w)).withColumn("_x", F.sum(amount).over(run)).join(F.broadcast(offsets), "_part")
-        .withColumn("pos", F.col("_r") + F.col("_c0")).withColumn("run", F.col("_x") + F.col("_s0")).drop("_part", "_r", "_x", "_c0", "_s0")
-    )
-
-
 def pareto(df: DataFrame, key: str, amount: str) -> DataFrame:
     """``df`` with running revenue and customer percentages by descending amount, ties by key."""
-    out = ranked_sums(df, [F.desc(amount), F.asc(key)], F.col(amount).cast("decimal(18,2)"))
+    out = ranked_sums(df, [(amount, True), (key, False)], F.col(amount).cast("decimal(18,2)"))
     return out.withColumn("cum_revenue_pct", F.round(100.0 * F.col("run").cast("double") / F.col("total").cast("double"), 6)).withColumn("cum_customer_pct", F.round(100.0 * F.col("pos") / F.col("n"), 6))
 
 
@@ -68,7 +50,7 @@ def rfm_scores(df: DataFrame) -> DataFrame:
 
 def segments(scored: DataFrame) -> DataFrame:
     """Four segments by rank of score, then monetary value, then customer."""
-    out = ranked_sums(scored, [F.desc("rfm_score"), F.desc("monetary"), F.asc("customer")], F.lit(1))
+    out = ranked_sums(scored, [("rfm_score", True), ("monetary", True), ("customer", False)], F.lit(1))
     r, n = F.col("pos"), F.col("n")
     return out.withColumn("segment", F.when(r <= 0.25 * n, "Champions").when(r <= 0.5 * n, "Loyal").when(r <= 0.75 * n, "At-Risk").otherwise("Lost")).drop("pos", "run", "n", "total")
 

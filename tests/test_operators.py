@@ -6,6 +6,7 @@ import math
 import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from granum.operators import documents as D
 from granum.operators import evaluation as E
 from granum.operators import features as G
 from granum.operators import profiling as P
+from granum.operators import ranking
 from granum.operators import search as R
 from granum.operators import sources as I
 from granum.operators import statistics as S
@@ -272,3 +274,35 @@ def test_dense_topk_takes_every_twentieth_vector(spark, tmp_path, monkeypatch) -
         best = sorted(x, key=lambda i: (-round(dot(x[q], x[i]) / math.sqrt(dot(x[q], x[q]) * dot(x[i], x[i])), 6), i))  # noqa: B023
         want |= {(q, k + 1): i for k, i in enumerate(best[:8])}
     assert got == want
+
+
+def test_ranks_of_a_large_order_do_not_depend_on_partitions(spark) -> None:  # noqa: ANN001
+    n = 600_000
+    base = spark.range(n).selectExpr("id", "cast(pmod(xxhash64(id), 1000) as double) / 7 as x", "uuid() is null as other", "cast(id % 97 as string) as note")
+    want = {}
+    for i, r in enumerate(base.orderBy(F.desc("x"), "id").select("id").toLocalIterator()):
+        want[r["id"]] = i + 1
+    for df in (base, base.repartition(13)):
+        out = ranking.ranked_sums(df, [("x", True), ("id", False)], F.lit(1))
+        got = {r["id"]: (r["pos"], r["run"]) for r in out.select("id", "note", "pos", "run").collect()}
+        assert len(got) == n and all(got[i] == (p, p) for i, p in want.items())
+    assert ranking.ranked_sums(base.limit(0), [("x", False)], F.lit(1)).count() == 0
+
+
+def test_auc_of_many_distinct_scores(spark) -> None:  # noqa: ANN001
+    df = spark.range(1_000_000).selectExpr("pmod(xxhash64(id), 1000003) / 1000003.0 as s", "pmod(xxhash64(id, 5), 100) < 20 + 30 * pmod(xxhash64(id), 1000003) / 1000003.0 as y")
+    got = K.roc_auc(df, F.col("y"), F.col("s")).first()
+    rows = np.array(df.selectExpr("s", "cast(y as int) as y").collect(), dtype=float)
+    values, at = np.unique(rows[:, 0], return_inverse=True)
+    p, q = np.bincount(at, rows[:, 1]), np.bincount(at, 1 - rows[:, 1])
+    assert abs(got["auc"] - round((p * (np.cumsum(q) - q / 2)).sum() / (p.sum() * q.sum()), 6)) < 2e-6
+
+
+def test_quantiles_are_exact(spark) -> None:  # noqa: ANN001
+    df = spark.range(150_000).selectExpr("cast(pmod(xxhash64(id), 90001) as double) as a", "if(id % 3 = 0, 5, id % 1000) as b", "cast(null as double) as c", "if(id = 7, double('nan'), id) as d")
+    got = ranking.quantiles(df, {c: [0.0, 0.25, 0.5, 0.333, 1.0] for c in "abcd"})
+    rows = np.array([[float("nan") if v is None else v for v in r] for r in df.collect()], dtype=float)
+    for i, c in enumerate("abd"):
+        x = rows[:, "abcd".index(c)]
+        assert np.allclose(got[c], np.quantile(x[~np.isnan(x)], [0.0, 0.25, 0.5, 0.333, 1.0]), rtol=0, atol=1e-9), c
+    assert got["c"] == [None] * 5
