@@ -1,10 +1,16 @@
 """Optimal length buckets and token-budget batches.
 
-The global histogram of lengths is at most ``MAX_BINS`` rows whatever the corpus, and
-dynamic programming over it finds the bucket upper lengths that minimise padding.  Inside
-each bucket a batch holds as many documents as fit the token budget at the bucket's
-padded length.  The place of a document in its bucket is its rank by id, found from
-counts of id ranges and a window inside each range, so no bucket meets in one task.
+The global histogram of lengths is exact, and dynamic programming over it finds the bucket
+upper lengths that minimise padding.  ``L`` different lengths need documents of
+``L * (L - 1) / 2`` tokens in all, so the histogram has at most ``sqrt(2 * tokens) + 1``
+rows: five million for 10^13 tokens.  The cost of a bucket has the quadrangle inequality, so
+the best boundary moves along with the bucket's end, and each round of the programme is
+solved by bisection in ``L log L`` steps.
+
+Inside each bucket a batch holds as many documents as fit the token budget at the
+bucket's padded length.  The place of a document in its bucket is its rank by id, found from
+counts of ranges between literal cut points and a window inside each range, so no bucket
+meets in one task.
 """
 
 from __future__ import annotations
@@ -13,21 +19,43 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granum.llm.common import free_name
+from granum.llm.common import discard, free_name, materialize
+from granum.operators.ranking import cut_points, part_of
 
-#: Lengths up to this are told apart; above it, 256 bins for each doubling.
-EXACT_LENGTH = 2048
-#: Bins for lengths up to 2^62.
-MAX_BINS = EXACT_LENGTH + 51 * 256
-#: Ids of one range are ranked by one window.
-RANGE = 1 << 12
+#: Rows of a range on average, and the most ranges.
+PER_RANGE, RANGES = 1 << 16, 256
 
 
-def length_bin(length: Column) -> Column:
-    """The largest length of the bin that a length falls in."""
-    fold = F.greatest(F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 10, F.lit(0)).cast("int")
-    width = F.when(length <= EXACT_LENGTH, F.lit(1)).otherwise(F.expr("1L").cast("bigint") * F.pow(F.lit(2.0), fold + 2).cast("bigint"))
-    return (F.ceil(length / width) * width).cast("bigint")
+def _step(best: np.ndarray, docs: np.ndarray, tokens: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least padding of the first ``j`` lengths with one more bucket, and where that bucket starts.
+
+    Ends are solved at ever finer strides; each start lies between those of the two ends
+    around it.  Of equal costs the smallest start is taken.
+    """
+    n = len(x)
+    out, start = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+    stride = 1 << max(0, n - 1).bit_length()
+    solved = np.array([0])
+    while stride:
+        ends = np.setdiff1d(np.arange(stride, n + 1, stride), solved, assume_unique=True)
+        if len(ends):
+            left = np.searchsorted(solved, ends) - 1
+            lo = start[solved[left]]
+            right = np.minimum(left + 1, len(solved) - 1)
+            hi = np.where(left + 1 < len(solved), start[solved[right]], ends - 1)
+            hi = np.maximum(lo, np.minimum(hi, ends - 1))
+            width = hi - lo + 1
+            first = np.cumsum(width) - width
+            i = np.arange(width.sum()) - np.repeat(first - lo, width)
+            j = np.repeat(ends, width)
+            cost = best[i] + (docs[j] - docs[i]) * x[j - 1] - (tokens[j] - tokens[i])
+            least = np.minimum.reduceat(cost, first)
+            hits = np.flatnonzero(cost == np.repeat(least, width))
+            start[ends] = i[hits[np.searchsorted(hits, first)]]
+            out[ends] = least
+            solved = np.union1d(solved, ends)
+        stride >>= 1
+    return out, start
 
 
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -39,26 +67,19 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
     n = len(lengths)
     if not n:
         return []
-    x, c = lengths.astype(np.float64), counts.astype(np.float64)
-    docs, tokens = np.concatenate(([0.0], np.cumsum(c))), np.concatenate(([0.0], np.cumsum(c * x)))
-    best = np.full(n + 1, np.inf)
-    best[0] = 0.0
-    back = []
-    for _ in range(min(buckets, n)):
-        nxt, prev = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
-        for j in range(1, n + 1):
-            cost = best[:j] + (docs[j] - docs[:j]) * x[j - 1] - (tokens[j] - tokens[:j])
-            prev[j] = int(np.argmin(cost))
-            nxt[j] = cost[prev[j]]
-        nxt[0] = 0.0
-        back.append(prev)
-        best = nxt
+    x, c = lengths.astype(np.int64), counts.astype(np.int64)
+    docs, tokens = np.concatenate(([0], np.cumsum(c))), np.concatenate(([0], np.cumsum(c * x)))
+    best = np.concatenate(([0], docs[1:] * x - tokens[1:]))
+    back = [np.zeros(n + 1, dtype=np.int64)]
+    for _ in range(min(buckets, n) - 1):
+        best, start = _step(best, docs, tokens, x)
+        back.append(start)
     out, j = [], n
-    for prev in reversed(back):
+    for start in reversed(back):
         if j == 0:
             break
         out.append(int(lengths[j - 1]))
-        j = int(prev[j])
+        j = int(start[j])
     return out[::-1]
 
 
@@ -68,29 +89,38 @@ def pack(docs: DataFrame, length: Column, buckets: int = 8, budget: int = 16384,
     ``length`` counts a row's tokens (null: 0).  ``bucket_len`` is the padded length,
     ``batch`` numbers the batches of a bucket from 0 in order of id, ``slot`` the rows of
     a batch; a batch holds ``max(1, budget div bucket_len)`` rows, so a document longer
-    than the budget is a batch of its own.  Empty texts form zero-padding rows of the
-    smallest bucket.  Rows of equal id are ordered by length and otherwise alike; null
-    ids come first.  An empty table gives an empty result.
+    than the budget is a batch of its own.  Empty texts form rows of the smallest bucket.
+    Ids may be of any orderable type; rows of equal id are ordered by length and otherwise
+    alike; null ids come first.  An empty table gives an empty result.  Columns of ``docs``
+    with the added names are replaced.
     """
     names = ("n_tokens", "bucket_len", "batch", "slot", "n_pad")
     size = free_name(docs, "n_tokens_")
     src = docs.withColumn(size, F.coalesce(length.cast("bigint"), F.lit(0).cast("bigint")))
     keep = [c for c in docs.columns if c.lower() not in names]
-    hist = src.groupBy(length_bin(F.col(size)).alias("len")).agg(F.count("*").alias("n"), F.max(size).alias("top")).collect()
-    hist = sorted((int(r["top"]), int(r["n"])) for r in hist)
-    bounds = best_bounds(np.array([h[0] for h in hist]), np.array([h[1] for h in hist]), buckets)
-    if not bounds:
-        bounds = [0]
+    held = materialize(src.select(F.col(id_col).alias("id"), F.col(size).alias("n")), "lengths")  # lengths are counted once for all that follows
+    hist = sorted((int(r[0]), int(r[1])) for r in held.groupBy("n").agg(F.count("*")).collect())
+    bounds = best_bounds(np.array([h[0] for h in hist]), np.array([h[1] for h in hist]), buckets) or [0]
+
+    def place(n: str) -> Column:
+        out = F.lit(bounds[-1])
+        for b in reversed(bounds[:-1]):
+            out = F.when(F.col(n) <= b, b).otherwise(out)
+        return out.cast("bigint")
+
+    order = [("id", False), ("n", False)]
+    points = cut_points(held, order, min(RANGES, 1 + sum(h[1] for h in hist) // PER_RANGE))
+    counts = held.groupBy(place("n").alias("b"), part_of(order, points).alias("p")).agg(F.count("*").alias("n")).collect()
+    discard(held)
+    offsets, done = [], {}
+    for b, p, n in sorted(map(tuple, counts)):
+        offsets.append((b, p, done.get(b, 0)))
+        done[b] = done.get(b, 0) + n
     bucket, part, rank, before = (free_name(src, x) for x in ("bucket_", "part_", "rank_", "before_"))
-    place = F.lit(bounds[-1])
-    for b in reversed(bounds[:-1]):
-        place = F.when(F.col(size) <= b, b).otherwise(place)
-    src = src.withColumn(bucket, place.cast("bigint")).withColumn(part, F.floor(F.coalesce(F.col(id_col), F.lit(-(1 << 62))) / RANGE))
-    counts = src.groupBy(bucket, part).agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy(bucket).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(bucket), F.col(part), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(before))
+    src = src.withColumn(bucket, place(size)).withColumn(part, part_of([(id_col, False), (size, False)], points))
+    start = src.sparkSession.createDataFrame(offsets, f"`{bucket}` long, `{part}` int, `{before}` long")
     inside = Window.partitionBy(bucket, part).orderBy(F.col(id_col).asc_nulls_first(), size)
-    ranked = src.withColumn(rank, F.row_number().over(inside)).join(offsets, [bucket, part])
+    ranked = src.withColumn(rank, F.row_number().over(inside)).join(F.broadcast(start), [bucket, part])
     rows = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col(bucket), F.lit(1))))
     at = F.col(rank) + F.col(before) - 1
     return ranked.select(

@@ -7,6 +7,7 @@ import itertools
 import json
 import math
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -279,10 +280,36 @@ def test_packing_fills_batches(spark) -> None:  # noqa: ANN001
         assert [r["doc_id"] for r in sorted(own, key=lambda r: r["slot"])] == sorted(r["doc_id"] for r in own)
 
 
-def test_packing_long_lengths_share_bins(spark) -> None:  # noqa: ANN001
-    df = spark.range(1, 400_000, 997).selectExpr("id", "id as n")
-    bins = df.select(packing.length_bin(df["n"]).alias("b"), "n").collect()
-    assert all(r["b"] >= r["n"] and r["b"] - r["n"] <= max(0, r["n"] / 100) for r in bins)
+def test_bounds_of_many_long_lengths_are_optimal() -> None:
+    rng = np.random.default_rng(3)
+    for n, k in ((400, 5), (401, 2), (257, 9), (1, 3)):
+        x = np.sort(rng.choice(200_000, n, replace=False)).astype(np.int64)
+        c = rng.integers(1, 50, n)
+        docs, tokens = np.concatenate(([0], np.cumsum(c))), np.concatenate(([0], np.cumsum(c * x)))
+        cost = (docs[None, 1:] - docs[:-1, None]) * x[None, :] - (tokens[None, 1:] - tokens[:-1, None])  # of a bucket from i to j
+        best = cost[0].copy()
+        for _ in range(k - 1):
+            best = np.array([min(best[j], min((best[i - 1] + cost[i, j] for i in range(1, j + 1)), default=best[j])) for j in range(n)])
+        got = packing.best_bounds(x, c, k)
+        pad = sum(int(ci) * (min(b for b in got if b >= xi) - int(xi)) for xi, ci in zip(x, c, strict=True))
+        assert len(got) <= k and pad == best[-1]
+    began = time.monotonic()
+    packing.best_bounds(np.arange(300_000), np.ones(300_000, dtype=np.int64), 8)
+    assert time.monotonic() - began < 60
+
+
+def test_packing_of_sparse_string_ids(spark, monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(packing, "PER_RANGE", 50)
+    df = spark.range(3000).selectExpr("hex(xxhash64(id)) as doc_id", "cast(1 + id % 7 * 300 as long) as n").repartition(5)
+    rows = packing.pack(df, F.col("n"), buckets=3, budget=4000).collect()
+    seen: dict = {}
+    for r in rows:
+        seen.setdefault(r["bucket_len"], []).append((r["batch"], r["slot"], r["doc_id"]))
+    assert sum(map(len, seen.values())) == 3000
+    for b, own in seen.items():
+        cap = max(1, 4000 // b)
+        assert [(k // cap, k % cap) for k in range(len(own))] == [o[:2] for o in sorted(own)]
+        assert [o[2] for o in sorted(own)] == sorted(o[2] for o in own)
 
 
 def test_packing_odd_rows(spark) -> None:  # noqa: ANN001
