@@ -9,6 +9,7 @@ import time
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tests.llm.helpers import documents, odd
 
 from granum.llm import buckets, decontaminate, lines, neardup, simhash, topk
@@ -340,3 +341,37 @@ def test_topk_against_brute_force(spark) -> None:  # noqa: ANN001
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert len(got[350]) == 5 and 400 not in got and all(i != 350 for _, i, _ in got[350])
     assert topk.report(df.limit(0)).count() == 0
+
+
+def test_topk_blocks_and_query_chunks(spark) -> None:  # noqa: ANN001
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(700, 12))
+    x[100:130] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, []), (1050, []), (1001, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4).withColumn("rank", F.lit(1)).withColumn("score", F.lit("x"))
+    whole = sorted(map(tuple, topk.report(df).collect()))
+    cut = topk.top_k(df, F.col("vec_id") % 50 == 0, block=40, broadcast_bytes=500)
+    assert sorted(map(tuple, cut.collect())) == whole
+    live = np.floor(256 * x).astype(int)
+    for q in range(0, 700, 50):
+        best = sorted((-int(live[i] @ live[q]), i) for i in range(700) if i != q)[:5]
+        assert [(r[2], r[3]) for r in whole if r[0] == q] == [(i, -s) for s, i in best]
+    assert [r for r in whole if r[0] >= 1000] == [(1000, 1, 1001, 0), (1000, 2, 1050, 0), (1050, 1, 1000, 0), (1050, 2, 1001, 0)]
+
+
+def test_topk_skips_postings_and_holds_wide_scores() -> None:
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(200, 64))
+    x = np.repeat(centres, 20, axis=0) + 0.2 * rng.normal(size=(4000, 64))
+    rows = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    index, best = topk.ImpactIndex(np.arange(4000), rows), topk.Best(np.arange(0, 4000, 50), rows[::50], 5)
+    best.meet(index)
+    assert index.taken < 0.7 * index.total
+    for n, q in enumerate(range(0, 4000, 50)):
+        want = sorted((-int(s), i) for i, s in enumerate(rows @ rows[q]) if i != q)[:5]
+        assert [(-int(s), int(i)) for m, s, i in best.found.T if m == n] == want
+    wide = np.array([[1 << 40, -3], [1 << 40, -4], [-(1 << 40), 5], [7, 7]], dtype=np.int64)
+    best = topk.Best(np.array([9]), wide[:1], 3)
+    best.meet(topk.ImpactIndex(np.arange(4), wide))
+    top = (1 << 63) - 1
+    assert best.found[1:].T.tolist() == [[top, 0], [top, 1], [(7 << 40) - 21, 3]]
