@@ -1,9 +1,13 @@
 """Secret scan with structural confirmation.
 
 Three base patterns mark assignments, access keys and hex runs.  Beside them, runs that
-could be base64 or hex of a key are decoded and reported only if their structure holds:
-DER (nested lengths that add up to the end), OpenSSH wire strings, and signed tokens
-whose header is a JSON object with an ``alg``.  Spans are code point offsets.
+could be base64 (either alphabet) or hex of a key are decoded and reported only if their
+structure is that of secret material: the DER layouts of private keys (PKCS#1, DSA, SEC1,
+PKCS#8 and its encrypted form), OpenSSH private key files, and tokens whose header is a JSON
+object with an ``alg``.  Public keys, certificates and signatures have other layouts and are
+not reported.  The length that a structure states tells where it ends, so keys are found
+without padding, before a next line of text, wrapped, indented, or with escaped line ends.
+Spans are code point offsets.
 """
 
 from __future__ import annotations
@@ -30,78 +34,194 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-#: A DER sequence starts with 0x30, so its base64 with M; lines may wrap as in PEM.
-_DER64 = re.compile(r"(?<![A-Za-z0-9+/])M[A-Za-z0-9+/]{15,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
-_DERHEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{22,}")
-_SSH64 = re.compile(r"(?<![A-Za-z0-9+/])(?:AAAA|b3BlbnNzaC1r)[A-Za-z0-9+/]{20,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+#: Dotted runs of base64url parts, any of which may be the header of a token.
+_DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
+#: Where a run may start: not inside another, but behind an escaped line end or PEM dashes.
+_HEAD64 = r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n)|(?<=-----))"
+#: A DER sequence starts with 0x30, so its base64 with M.
+_DER64 = re.compile(_HEAD64 + r"M(?=[A-Za-z0-9+/_-]{15})")
+_SSH64 = re.compile(_HEAD64 + r"b(?=3BlbnNzaC1rZXktdjEA)")
+_DERHEX = re.compile(r"(?:(?<![0-9A-Fa-f])|(?<=\\n))3(?=0[0-9A-Fa-f]{22})")
+_SSHHEX = re.compile(r"(?:(?<![0-9A-Fa-f])|(?<=\\n))6(?=f70656e7373682d6b65792d763100)", re.IGNORECASE)
+_RUN = {True: re.compile(r"[A-Za-z0-9+/_-]+"), False: re.compile(r"[0-9A-Fa-f]+")}
+#: What may stand between two lines of a key: a line end, real or escaped, and indentation.
+_JOIN = re.compile(r"(?:\r?\n|\\r\\n|\\n)[ \t]*")
 _MAGIC = b"openssh-key-v1\x00"
+_CIPHER = re.compile(rb"none|(?:aes|3des|chacha)[A-Za-z0-9@.-]*")
+#: Object identifiers of password-based encryption, as they begin in DER.
+_ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+_INT, _OCTETS, _OID, _SEQ = 0x02, 0x04, 0x06, 0x30
 
 
 def _decoded(run: str) -> bytes:
-    """Base64 (either alphabet, with or without padding and line ends) as bytes."""
-    flat = re.sub(r"[\r\n=]", "", run).replace("-", "+").replace("_", "/")
-    if len(flat) % 4 == 1:
-        return b""
+    """Base64 of either alphabet, without padding, as bytes; a cut-off last byte goes."""
+    flat = run.replace("-", "+").replace("_", "/")
+    flat = flat[:-1] if len(flat) % 4 == 1 else flat
     try:
         return base64.b64decode(flat + "=" * (-len(flat) % 4), validate=True)
     except (binascii.Error, ValueError):
         return b""
 
 
-def der_end(data: bytes, at: int, stop: int, depth: int = 0) -> int:
-    """The end of the DER value at ``at``, or -1 if its lengths do not nest."""
-    if at + 2 > stop or depth > 16:
-        return -1
-    tag, size, body = data[at], data[at + 1], at + 2
+def der_header(data: bytes, at: int) -> tuple[int, int] | None:
+    """Where the DER value at ``at`` has its body, and its end; None if no length is stated right."""
+    if at + 2 > len(data):
+        return None
+    size, body = data[at + 1], at + 2
     if size & 0x80:
         k = size & 0x7F
-        if not 1 <= k <= 4 or body + k > stop or data[body] == 0:
-            return -1
+        if not 1 <= k <= 4 or body + k > len(data) or data[body] == 0:
+            return None
         size, body = int.from_bytes(data[body : body + k], "big"), body + k
         if size < 128:
-            return -1
-    end = body + size
-    if end > stop:
+            return None
+    return body, body + size
+
+
+def der_parts(data: bytes, at: int, stop: int) -> list[tuple[int, int, int]] | None:
+    """``(tag, body, end)`` of the values that fill ``data[at:stop]``, or None if they do not."""
+    out = []
+    while at < stop:
+        header = der_header(data, at)
+        if header is None or header[1] > stop:
+            return None
+        out.append((data[at], *header))
+        at = header[1]
+    return out
+
+
+def is_private_der(data: bytes) -> bool:
+    """One DER sequence that fills ``data`` with the layout of a private key."""
+    top = der_header(data, 0)
+    if not data or data[0] != _SEQ or top is None or top[1] != len(data):
+        return False
+    parts = der_parts(data, *top)
+    if not parts:
+        return False
+    tags = [t for t, _, _ in parts]
+    inner = [der_parts(data, b, e) if t == _SEQ else None for t, b, e in parts]
+
+    def named(i: int) -> bool:  # an algorithm: a sequence that an object identifier leads
+        return bool(inner[i]) and inner[i][0][0] == _OID and inner[i][0][2] > inner[i][0][1]
+
+    if tags == [_SEQ, _OCTETS]:
+        return named(0) and data[inner[0][0][1] :].startswith(_ENCRYPTION)
+    number = data[parts[0][1] : parts[0][2]] if tags[0] == _INT else None
+    if number not in (b"\x00", b"\x01"):
+        return False
+    filled = all(e > b for _, b, e in parts)
+    if tags[1:3] == [_SEQ, _OCTETS]:
+        return named(1) and filled and all(t in (0xA0, 0x81, 0xA1) for t in tags[3:])
+    if tags[1:2] == [_OCTETS]:
+        return number == b"\x01" and parts[1][2] - parts[1][1] >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
+    whole = [t for t in tags if t == _INT]
+    return filled and (len(whole) == 9 and tags[9:] in ([], [_SEQ]) or tags == [_INT] * 6)
+
+
+def openssh_end(data: bytes) -> int:
+    """Where an OpenSSH private key file ends in ``data``, or -1 if its lengths do not nest."""
+    if not data.startswith(_MAGIC):
         return -1
-    if tag & 0x20:
-        while body < end:
-            body = der_end(data, body, end, depth + 1)
-            if body < 0:
-                return -1
-    return end
-
-
-def is_key_der(data: bytes) -> bool:
-    """A DER sequence that fills ``data`` and holds an integer or a sequence first, as keys do."""
-    return len(data) >= 12 and data[0] == 0x30 and der_end(data, 0, len(data)) == len(data) and data[4 if data[1] == 0x82 else 3 if data[1] == 0x81 else 2] in (0x02, 0x30)
-
-
-def is_openssh(data: bytes) -> bool:
-    """OpenSSH key material: length-prefixed strings, the first one an algorithm name."""
-    if data.startswith(_MAGIC):
-        data = data[len(_MAGIC) :]
-        least = 3
-    else:
-        least = 2
-    at, found = 0, []
-    while at + 4 <= len(data) and len(found) < least:
+    at = len(_MAGIC)
+
+    def string() -> bytes | None:
+        nonlocal at
         size = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + size > len(data):
-            return False
-        found.append(data[at + 4 : at + 4 + size])
+            return None
         at += 4 + size
-    return len(found) == least and bool(re.fullmatch(rb"(ssh|ecdsa|sk|none|aes|chacha)[A-Za-z0-9@.-]*", found[0]))
+        return data[at - size : at]
 
-
-def is_signed_token(run: str) -> bool:
-    """Three base64url parts, the first two JSON objects and the header naming an ``alg``."""
-    head, body, _ = run.split(".")
+    cipher, kdf, options = string(), string(), string()
+    if cipher is None or kdf is None or options is None or not _CIPHER.fullmatch(cipher):
+        return -1
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    if not 1 <= keys <= len(data):
+        return -1
+    for _ in range(keys):
+        if not string():
+            return -1
+    return at if string() else -1
+
+
+def _gathered(text: str, at: int, base64_: bool, need: int | None) -> tuple[str, list[tuple[int, int]]]:
+    """The characters of a run from ``at`` over joined lines, ``need`` at least if there are, and its pieces."""
+    pieces, size = [], 0
+    while m := _RUN[base64_].match(text, at):
+        pieces.append(m.span())
+        size += m.end() - m.start()
+        if need is not None and size >= need:
+            break
+        join = _JOIN.match(text, m.end())
+        if not join:
+            break
+        at = join.end()
+    return "".join(text[a:b] for a, b in pieces), pieces
+
+
+def _span(text: str, at: int, base64_: bool, size: int, pieces: list[tuple[int, int]]) -> tuple[int, int] | None:
+    """The span of ``size`` decoded bytes, with padding, if nothing of the run follows directly."""
+    left = -(-size * 4 // 3) if base64_ else 2 * size
+    for a, b in pieces:
+        if left <= b - a:
+            end = a + left
+            if end < b and not text.startswith("-----", end):
+                return None
+            for _ in range(-size % 3 if base64_ else 0):
+                end += text[end : end + 1] == "="
+            return at, end
+        left -= b - a
+    return None
+
+
+def _key_at(text: str, at: int, base64_: bool, ssh: bool) -> tuple[int, int] | None:
+    """The span of the private key whose encoding starts at ``at``."""
+    unpack = _decoded if base64_ else (lambda run: bytes.fromhex(run[: len(run) // 2 * 2]))
+    need = None
+    if not ssh:
+        head = unpack(text[at : at + (16 if base64_ else 24)])
+        top = der_header(head, 0)
+        if top is None or head[top[0] : top[0] + 1] not in (b"\x02", b"\x30"):
+            return None
+        if head[top[0]] == _INT and head[top[0] : top[0] + 3] not in (b"\x02\x01\x00", b"\x02\x01\x01"):
+            return None
+        need = -(-top[1] * 4 // 3) if base64_ else 2 * top[1]
+    run, pieces = _gathered(text, at, base64_, need)
+    if need is not None and len(run) < need:
+        return None
+    data = unpack(run if need is None else run[:need])
+    size = openssh_end(data) if ssh else len(data) if is_private_der(data) else -1
+    return _span(text, at, base64_, size, pieces) if size > 0 else None
+
+
+def _header(part: str) -> dict | None:
+    """The JSON object that a base64url part encodes, if it has an ``alg``."""
+    if len(part) < 14:
+        return None
+    raw = _decoded(part) if len(part) % 4 != 1 else b""
+    if raw.lstrip()[:1] != b"{":
+        return None
     try:
-        header, claims = json.loads(_decoded(head)), json.loads(_decoded(body))
+        header = json.loads(raw)
     except (ValueError, RecursionError):
-        return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
+        return None
+    return header if isinstance(header, dict) and isinstance(header.get("alg"), str) else None
+
+
+def _tokens(text: str) -> list[tuple[int, int, str]]:
+    """Spans of signed (three parts) and encrypted (five) tokens."""
+    out = []
+    for m in _DOTTED.finditer(text):
+        parts, at, done = m[0].split("."), m.start(), 0
+        for i, part in enumerate(parts):
+            if i >= done and len(parts) - i >= 3 and (header := _header(part)) is not None:
+                n = 5 if "enc" in header and len(parts) - i >= 5 else 3
+                size = sum(map(len, parts[i : i + n])) + n - 1
+                out.append((at, at + size, "token"))
+                done = i + n
+            at += len(part) + 1
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -116,17 +236,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    """Spans whose decoded structure is that of a key or a signed token, unsorted."""
-    out = []
-    if "eyJ" in text:
-        out += [(m.start(), m.end(), "token") for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
-    if "AAAA" in text or "b3BlbnNzaC1r" in text:
-        out += [(m.start(), m.end(), "openssh") for m in _SSH64.finditer(text) if is_openssh(_decoded(m[0]))]
-    if "M" in text:
-        out += [(m.start(), m.end(), "der") for m in _DER64.finditer(text) if is_key_der(_decoded(m[0]))]
-    if "30" in text:
-        out += [(m.start(), m.end(), "der") for m in _DERHEX.finditer(text) if len(m[0]) % 2 == 0 and is_key_der(bytes.fromhex(m[0]))]
-    return out
+    """Spans whose decoded structure is that of a private key or a token, unsorted."""
+    out = _tokens(text) if text.count(".") > 1 else []
+    for kind, sign, pattern, base64_ in (
+        ("openssh", "b3BlbnNzaC1rZXktdjE", _SSH64, True), ("openssh", "6f", _SSHHEX, False), ("openssh", "6F", _SSHHEX, False), ("der", "M", _DER64, True), ("der", "30", _DERHEX, False),
+    ):
+        done = 0
+        for m in pattern.finditer(text) if sign in text else ():
+            if m.start() >= done and (span := _key_at(text, m.start(), base64_, kind == "openssh")):
+                out.append((*span, kind))
+                done = span[1]
+    return sorted(set(out))
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:

@@ -60,26 +60,132 @@ def test_secrets_base_patterns_are_literal() -> None:
     ]
 
 
-def test_secrets_structures_are_confirmed() -> None:
-    key = der(0x30, der(2, b"\x00") + der(0x30, der(6, b"\x2a\x86\x48")) + der(4, bytes(range(200))))
-    b64 = base64.b64encode(key).decode()
-    url = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
-    token = f"{url({'alg': 'HS256', 'typ': 'JWT'})}.{url({'sub': '1'})}.c2lnbmF0dXJl"
-    text = lambda s: len(s).to_bytes(4, "big") + s
-    ssh = base64.b64encode(text(b"ssh-ed25519") + text(bytes(32))).decode()
-    wrapped = "\n".join(b64[i : i + 64] for i in range(0, len(b64), 64))
-    for s, kind in ((b64, "der"), (key.hex(), "der"), (wrapped, "der"), (token, "token"), (ssh, "openssh")):
-        found = [(k, f"x {s} y"[a:b]) for a, b, k in secrets.confirmed_spans(f"x {s} y")]
-        assert found == [(kind, s)], kind
-    broken = base64.b64encode(key[:-3]).decode()
-    bad_header = f"{url({'typ': 'JWT'})}.{url({})}.x"
-    assert not secrets.confirmed_spans(f"{broken} {bad_header} Most ordinary words MessagesAreNotKeys30")
+def wire(s: bytes) -> bytes:
+    return len(s).to_bytes(4, "big") + s
+
+
+def private_keys(rng: random.Random) -> dict[str, tuple[str, bytes]]:
+    """A key of each private layout, with the kind that it is reported as."""
+    number = lambda n: der(2, bytes([rng.randrange(1, 128), *rng.randbytes(n - 1)]))
+    zero, one, oid = der(2, b"\0"), der(2, b"\1"), der(6, bytes.fromhex("2a8648ce3d0201"))
+    pbes = der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, der(4, rng.randbytes(8))))
+    body = wire(b"none") + wire(b"none") + wire(b"") + (1).to_bytes(4, "big") + wire(wire(b"ssh-ed25519") + wire(rng.randbytes(32))) + wire(rng.randbytes(136))
+    return {
+        "pkcs1": ("der", der(0x30, zero + number(128) + number(3) + b"".join(number(n) for n in (128, 64, 64, 64, 64, 64)))),
+        "dsa": ("der", der(0x30, zero + number(128) + number(20) + number(128) + number(128) + number(20))),
+        "sec1": ("der", der(0x30, one + der(4, rng.randbytes(32)) + der(0xA0, oid) + der(0xA1, der(3, rng.randbytes(66))))),
+        "pkcs8": ("der", der(0x30, zero + der(0x30, oid) + der(4, rng.randbytes(rng.randrange(60, 200))))),
+        "encrypted": ("der", der(0x30, pbes + der(4, rng.randbytes(200)))),
+        "openssh": ("openssh", b"openssh-key-v1\0" + body),
+    }
+
+
+def test_private_keys_are_found_in_every_layout() -> None:
+    rng = random.Random(9)
+    for _ in range(6):
+        for name, (kind, key) in private_keys(rng).items():
+            b64 = base64.b64encode(key).decode()
+            bare = b64.rstrip("=")
+            lines = [b64[i : i + 64] for i in range(0, len(b64), 64)]
+            cases = {
+                "plain": b64, "bare": bare, "urlsafe": base64.urlsafe_b64encode(key).decode(), "wrapped": "\n".join(lines), "crlf": "\r\n".join(lines),
+                "indented": "\n    ".join(lines), "escaped": "\\n".join(lines), "hex": key.hex(),
+            }
+            for layout, s in cases.items():
+                for before, after in (("x ", " y"), ("key:\n", "\nThe next line"), ('"', '"'), ("-----BEGIN KEY-----\n", "\n-----END KEY-----"), ("-----BEGIN KEY-----", "-----END KEY-----"), ("--\\n", "\\n--")):
+                    if layout == "hex" and "-----BEGIN KEY-----" == before:
+                        continue
+                    text = before + s + after
+                    found = [(k, text[a:b]) for a, b, k in secrets.confirmed_spans(text)]
+                    assert found == [(kind, s)], (name, layout, before)
+
+
+def test_public_and_broken_material_is_not_reported() -> None:
+    rng = random.Random(10)
+    number = lambda n: der(2, bytes([rng.randrange(1, 128), *rng.randbytes(n - 1)]))
+    oid = der(0x30, der(6, bytes.fromhex("2a8648ce3d0201")))
+    public = [
+        der(0x30, number(32) + number(32)),  # a signature
+        der(0x30, oid + der(3, rng.randbytes(66))),  # a public key
+        der(0x30, der(0x30, der(0xA0, der(2, b"\2")) + number(8) + oid + der(0x30, b"") + oid) + oid + der(3, rng.randbytes(70))),  # a certificate
+        der(0x30, number(128) + number(3)), wire(b"ssh-ed25519") + wire(rng.randbytes(32)),
+    ]
+    broken = [key[:-3] for _, key in private_keys(rng).values()] + [key + b"\0" for kind, key in private_keys(rng).values() if kind == "der"]
+    for data in public + broken:
+        for s in (base64.b64encode(data).decode(), base64.urlsafe_b64encode(data).decode(), data.hex()):
+            assert not secrets.confirmed_spans(f"x {s} y"), data[:20]
+    assert not secrets.confirmed_spans("Most ordinary words MessagesAreNotKeys30 www.example.com 1.2.3.4 M" + "A" * 4000)
+
+
+def test_tokens_are_judged_by_their_header() -> None:
+    url = lambda o: base64.urlsafe_b64encode(o if isinstance(o, bytes) else json.dumps(o).encode()).decode().rstrip("=")
+    head = {"alg": "HS256", "typ": "JWT"}
+    good = [f"{url(h)}.{url(b)}.c2lnbmF0dXJl" for h in (head, b'{ "alg":"HS256"}', b'{\n "alg": "RS256"}', b' {"alg":"ES256"}') for b in ({"sub": "1"}, b"any bytes", b"")]
+    good.append(f"{url({'alg': 'RSA-OAEP', 'enc': 'A256GCM'})}.a2V5.aXY.Y2lwaGVy.dGFn")
+    for s in good:
+        for text in (f"x {s} y", f"Bearer {s}", f"some.long-prefix-of-words.{s}"):
+            assert [(k, text[a:b]) for a, b, k in secrets.confirmed_spans(text)] == [("token", s)], text
+    for bad in (f"{url({'typ': 'JWT'})}.{url({})}.x", f"{url(['alg'])}.e30.x", "www.some-long-host-name.example.org", f"{url(head)}.only-two"):
+        assert not secrets.confirmed_spans(f"x {bad} y")
+
+
+def test_base_spans_by_brute_force() -> None:
+    rng = random.Random(11)
+    parts = ["password", "PassWd", "secret", "TOKEN", "api_key", "apikey", "api-key", '"', "'", " ", "  ", "\t", ":", "=", ":=", "AKIA", "ABCDEFGHIJKL0123", "abcdef0123456789", "0af", "x/y+z_w.-=", "\n", "é", "K", "ſ", "AKIAAKIA"]
+    letters = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def lower(s: str) -> str:
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
+
+    def run(t: str, at: int, of: frozenset) -> int:
+        while at < len(t) and t[at] in of:
+            at += 1
+        return at
+
+    def assign(t: str, at: int) -> int | None:
+        """The end of a match that starts at ``at``; keywords in the order written, each part greedy with ways back."""
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if lower(t[at : at + len(word)]) != word:
+                continue
+            for q in ([1, 0] if t[at + len(word) : at + len(word) + 1] in ("'", '"') and at + len(word) < len(t) else [0]):
+                p = run(t, at + len(word) + q, frozenset(" "))
+                if p < len(t) and t[p] in ":=":
+                    p = run(t, p + 1, frozenset(" "))
+                    p += p < len(t) and t[p] in "'\""
+                    end = run(t, p, letters)
+                    if end > p:
+                        return (end, end - p)
+        return None
+
+    def spans(t: str) -> set:
+        out, at = set(), 0
+        while at < len(t):
+            got = assign(t, at)
+            if got and got[1] >= 12:
+                out.add((at, got[0], "assign"))
+            at = got[0] if got else at + 1
+        for kind, head, of, least in (("access", "AKIA", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 18), ("hex", "", frozenset("0123456789abcdef"), 16)):
+            at = 0
+            while at < len(t):
+                end = run(t, at + len(head), of) if t.startswith(head, at) else at
+                if end > at + len(head):
+                    if end - at >= least:
+                        out.add((at, end, kind))
+                    at = end
+                else:
+                    at += 1
+        return out
+
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert set(secrets.base_spans(t)) == spans(t), t
 
 
 def test_secret_report_odd_rows(spark) -> None:  # noqa: ANN001
     rows = secrets.report(odd(spark)).collect()
     assert len(rows) == 8 and all(r["n_hex"] == 0 and r["spans"] == "" for r in rows)
     assert secrets.scan(odd(spark)).columns[-1] == "spans"
+    assert secrets.report(odd(spark).limit(0)).count() == secrets.scan(odd(spark).limit(0)).count() == 0
     assert secrets.redact("token=abcdefghijklmn ok") == "[SECRET] ok" and secrets.redact(None) is None
 
 
