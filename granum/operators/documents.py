@@ -1,22 +1,40 @@
-"""Document operators: chunking, section splitting, boundary quality."""
+"""Document operators: chunking, section splitting, boundary quality.
+
+Sentences are cut by the JVM's regular expressions; only what depends on sums along a
+document (packing, the best chain of headings) runs in Arrow batches, on arrays of numbers.
+"""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Chunk sizes, section limits and the canonical order of sections.
+# Chunk sizes, section limits and the canonical order and titles of sections.
 TARGET, MAXIMUM, OVERLAP, MINIMUM, STRIDE = 1500, 2000, 200, 300, 1300
 TOC_GAP, TOC_ITEMS, SECTION_MIN, LOOK_BACK = 400, 10, 400, 90
-ITEMS = "1 1A 1B 1C 2 3 4 5 6 7 7A 8 9 9A 9B 9C 10 11 12 13 14 15 16".split()
+ITEM_TITLES = {
+    "1": "Business", "1A": "Risk Factors", "1B": "Unresolved Staff Comments", "1C": "Cybersecurity", "2": "Properties", "3": "Legal Proceedings", "4": "Mine Safety Disclosures",
+    "5": "Market for Registrant's Common Equity", "6": "Selected Financial Data", "7": "Management's Discussion and Analysis", "7A": "Quantitative and Qualitative Disclosures About Market Risk",
+    "8": "Financial Statements and Supplementary Data", "9": "Changes in and Disagreements with Accountants", "9A": "Controls and Procedures", "9B": "Other Information",
+    "9C": "Disclosure Regarding Foreign Jurisdictions", "10": "Directors, Executive Officers and Corporate Governance", "11": "Executive Compensation", "12": "Security Ownership",
+    "13": "Certain Relationships and Related Transactions", "14": "Principal Accountant Fees and Services", "15": "Exhibits and Financial Statement Schedules", "16": "Form 10-K Summary",
+}
+ITEMS = list(ITEM_TITLES)
 CORE_ITEMS = ("1", "1A", "1C", "3", "7", "7A")
-ABBREVIATIONS = ("Inc.", "Corp.", "Co.", "Ltd.", "U.S.", "No.", "Mr.", "Ms.", "Dr.", "vs.", "e.g.", "i.e.", "etc.", "approx.")
-_HEADING = re.compile(r"\bitem\s+(\d{1,2}[A-C]?)\s*[.:\-–—]", re.IGNORECASE)
-_CUE = re.compile(r"\b(see|in|under|to|with|of|and|refer(?:red)? to|pursuant to|part [iv]+,?)\s[^.;]{0,40}$", re.IGNORECASE)
-_BREAK = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-Þ\"“‘(•])|\s+(?=•)")
+ABBREVIATIONS = "inc corp co ltd llc plc no nos u.s u.k approx est fig vs etc al jr sr mr ms dr st ave dept div ref sec fasb e.g i.e".split()
+CUES = "refer to;refers to;reference to;references to;see;described in;discussed in;conjunction with;set forth in;included in;contained in;listed in;as defined in".split(";")
+OPENERS, QUOTES, BULLET = "A-Z“‘\"(•", "\"“‘'", "•"
+
+#: Behind an abbreviation that is all of the letters and dots before a break.
+_ABBREVIATED = r"(?<=(?<![A-Za-z.])\.{0,3}(?i:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.{1,3})"
+#: The same denied, also from behind the one space that such a break becomes.
+_NOT_ABBREVIATED = _ABBREVIATED.replace("(?<=", "(?<!", 1)[:-1] + " ?)"
 
 
 def fixed_chunks(df: DataFrame, id_col: str, text_col: str, width: int = TARGET, stride: int = STRIDE, least: int = MINIMUM) -> DataFrame:
@@ -26,108 +44,171 @@ def fixed_chunks(df: DataFrame, id_col: str, text_col: str, width: int = TARGET,
     return cut.select(id_col, "chunk_index", F.substr("t", F.col("s") + 1, F.lit(width)).alias("text")).where((F.col("chunk_index") == 0) | (F.length("text") >= least))
 
 
-def sentences(text: str) -> list[str]:
-    """Sentences, glued again behind abbreviations; over-long ones cut hard."""
-    out: list[str] = []
-    for piece in filter(None, (p.strip() for p in _BREAK.split(text or ""))):
-        if out and out[-1].endswith(ABBREVIATIONS):
-            out[-1] = f"{out[-1]} {piece}"
-        else:
-            out.append(piece)
-    return [s[i : i + MAXIMUM] for s in out for i in range(0, len(s), MAXIMUM)]
+def sentences(text: Column) -> Column:
+    """Sentences of a text as an array: cut behind ``.!?`` before an opening character, and at bullets.
+
+    A break behind an abbreviation is none; its white space becomes one space.  Null and
+    blank texts have no sentence.
+    """
+    gap = rf"(?:\s+(?=[{OPENERS}])|\s*(?={BULLET}))"
+    whole = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?U){_ABBREVIATED}{gap}", " ")
+    pieces = F.split(whole, rf"(?U){_NOT_ABBREVIATED}(?:(?<=[.!?])\s+(?=[{OPENERS}])|\s*(?={BULLET}))")
+    return F.filter(F.transform(pieces, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+
+
+def bounded_parts(parts: Column, most: int = MAXIMUM) -> Column:
+    """The strings of an array, those longer than ``most`` cut in stretches of it."""
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.length(p) - 1, F.lit(most)), lambda s: F.substr(p, s + 1, F.lit(most)))
+    return F.flatten(F.transform(parts, cut))
+
+
+def chunk_bounds(lengths: list[int]) -> list[tuple[int, int]]:
+    """``(first, end)`` part numbers of each chunk of parts with these lengths.
+
+    With ``ends[i]`` the length of the first ``i`` parts and their spaces, a chunk from
+    part ``a`` ends at the last ``b`` with ``ends[b] - ends[a] <= TARGET`` (one new part at
+    least), and the next starts at the first ``a`` with ``ends[b] - ends[a] <= OVERLAP + 1``,
+    or at ``b`` where the next part would not fit with that overlap.
+    """
+    ends = np.concatenate(([0], np.cumsum(np.asarray(lengths, dtype=np.int64) + 1)))
+    n, a, b, out = len(lengths), 0, 0, []
+    while b < n:
+        b = max(b + 1, int(np.searchsorted(ends, ends[a] + TARGET, "right")) - 1)
+        out.append((a, b))
+        if b < n:
+            a = max(a, int(np.searchsorted(ends, ends[b] - OVERLAP - 1, "left")))
+            a = b if ends[b] - ends[a] + lengths[b] > MAXIMUM else a
+    return out
 
 
 def pack_sentences(parts: list[str]) -> list[str]:
-    """Chunks of whole sentences near ``TARGET`` with an overlap of whole sentences."""
-    chunks: list[str] = []
-    held: list[str] = []
-    for part in parts:
-        if held and sum(map(len, held)) + len(held) + len(part) > TARGET:
-            chunks.append(" ".join(held))
-            carry: list[str] = []
-            room = OVERLAP
-            for s in reversed(held):
-                if len(s) > room:
-                    break
-                carry.insert(0, s)
-                room -= len(s) + 1
-            held = carry if sum(len(s) + 1 for s in carry) + len(part) <= MAXIMUM else []
-        held.append(part)
-    if held:
-        tail = " ".join(held)
-        if chunks and len(tail) < MINIMUM and len(chunks[-1]) + 1 + len(tail) <= MAXIMUM:
-            chunks[-1] = f"{chunks[-1]} {tail}"
-        else:
-            chunks.append(tail)
-    return chunks
+    """Chunks of whole sentences near ``TARGET`` with an overlap of whole sentences.
+
+    A last chunk under ``MINIMUM`` joins the one before if both fit in ``MAXIMUM``.
+    """
+    texts = [" ".join(parts[a:b]) for a, b in chunk_bounds([len(p) for p in parts])]
+    if len(texts) > 1 and len(texts[-1]) < MINIMUM and len(texts[-2]) + 1 + len(texts[-1]) <= MAXIMUM:
+        texts[-2:] = [" ".join(texts[-2:])]
+    return texts
 
 
 def structural_chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, chunk_index, text`` by sentences; an Arrow batch function, as packing is sequential."""
+    """``id, chunk_index, text`` by sentences; only packing leaves the JVM."""
+    parts = df.select(F.col(id_col), bounded_parts(sentences(F.col(text_col))).alias("_parts"))
+    schema = T.StructType([parts.schema[id_col], T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType())])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks = [pack_sentences(p) for p in batch.column(1).to_pylist()]
+            row = np.repeat(np.arange(len(chunks)), [len(c) for c in chunks])
+            index = [i for c in chunks for i in range(len(c))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(index, pa.int32()), pa.array([t for c in chunks for t in c], pa.string())], names=schema.names)
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pack_sentences(sentences(t)))
+    return parts.mapInArrow(packed, schema)
 
-    return df.select(id_col, F.posexplode(cut(text_col)).alias("chunk_index", "text"))
 
+def context_header(ticker: Column, year: Column, item: Column) -> Column:
+    """One line that tells where a chunk is from; a null item is the whole filing."""
+    title = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ITEM_TITLES.items() for x in kv]), item), F.lit(""))
+    where = F.when(item.isNull(), "full filing").otherwise(F.regexp_replace(F.concat(F.lit("Item "), item, F.lit(". "), title), r"^[. ]+|[. ]+$", ""))
+    return F.concat(ticker, F.lit(" fiscal year "), year.cast("string"), F.lit(" 10-K, "), where)
 
-def split_sections(text: str) -> list[tuple[str, int, int]]:
-    """``(item, start, end)`` of the sections of a filing.
 
-    Headings that read as cross-references, unknown items and the first table of contents
-    are dropped; of the rest the ascending chain with most substantial sections is kept.
+def headings(text: Column) -> Column:
+    """Candidate section headings of a text as ``array<struct<pos, rank>>``, in order.
+
+    A heading is ``Item``, a number with an optional letter, and a stop, colon or dash.  One
+    that a citing phrase introduces in the ``LOOK_BACK`` characters before, or an opening
+    quote, is none, nor is one outside the canonical order.
+    """
+    mark = r"(?iU)\bItem\s+\d{1,2}\s*[A-C]?\s*[.:\-–—]"
+    between, found = F.split(text, mark, -1), F.regexp_extract_all(text, F.lit(mark), F.lit(0))
+    sizes = F.zip_with(between, found, lambda x, m: F.struct(F.length(x).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size"), m.alias("mark")))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<pos:int,mark:string>>").alias("out"))
+    step = lambda s, x: F.struct((s["end"] + x["gap"] + x["size"]).alias("end"), F.when(x["mark"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct((s["end"] + x["gap"]).alias("pos"), x["mark"].alias("mark"))))).alias("out"))
+    placed = F.aggregate(sizes, start, step, lambda s: s["out"])
+    cue = r"(?i)\b(?:" + "|".join(CUES) + r")\b[^.;]{0,40}$"
+    order = F.array(*map(F.lit, ITEMS))
+
+    def judged(x: Column) -> Column:
+        before = F.substr(text, F.greatest(x["pos"] - LOOK_BACK, F.lit(0)) + 1, F.least(x["pos"], F.lit(LOOK_BACK)))
+        item = F.upper(F.regexp_replace(F.regexp_extract(x["mark"], r"(?iU)Item\s+(\d{1,2}\s*[A-C]?)", 1), r"(?U)\s", ""))
+        cited = F.rlike(before, F.lit(cue)) | F.rlike(before, F.lit(rf"(?U)[{QUOTES}]\s*$"))
+        return F.struct(x["pos"].alias("pos"), F.when(cited, -1).otherwise(F.array_position(order, item).cast("int") - 1).alias("rank"))
+
+    return F.filter(F.transform(placed, judged), lambda x: x["rank"] >= 0)
+
+
+def without_contents_page(pos: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which headings are left without the first island of close, ascending ones that has enough items."""
+    new = np.concatenate(([True], (np.diff(pos) > TOC_GAP) | (np.diff(rank) <= 0)))[: len(pos)]
+    island = np.cumsum(new)
+    large = np.flatnonzero(np.bincount(island) >= TOC_ITEMS)
+    return island != large[0] if len(large) else np.ones(len(pos), dtype=bool)
+
+
+def best_chain(pos: np.ndarray, rank: np.ndarray, end: int) -> list[int]:
+    """Headings of ascending rank with the most substantial sections, then the most headings.
+
+    Ranks are taken from low to high; a heading of one rank extends the best of all
+    earlier ones of lower rank.  A value counts a section as more than all headings
+    together, and among equals the earliest heading is extended, and chosen last.
     """
-    rank = {k: i for i, k in enumerate(ITEMS)}
-    heads = []
-    for m in _HEADING.finditer(text or ""):
-        before = text[max(0, m.start() - LOOK_BACK) : m.start()]
-        if m[1].upper() in rank and not _CUE.search(before) and before.rstrip(" ")[-1:] not in ("“", '"', "‘"):
-            heads.append((m.start(), rank[m[1].upper()]))
-    runs: list[list[int]] = []
-    for i, (pos, r) in enumerate(heads):
-        if runs and pos - heads[i - 1][0] <= TOC_GAP and r > heads[i - 1][1]:
-            runs[-1].append(i)
-        else:
-            runs.append([i])
-    toc = next((set(r) for r in runs if len(r) >= TOC_ITEMS), set())
-    heads = [h for i, h in enumerate(heads) if i not in toc]
-    if not heads:
-        return []
-    best: list[tuple[tuple[int, int], int]] = []
-    for i, (pos, r) in enumerate(heads):
-        pick = ((0, 1), -1)
-        for j in range(i):
-            if heads[j][1] < r:
-                score = (best[j][0][0] + (pos - heads[j][0] >= SECTION_MIN), best[j][0][1] + 1)
-                if score > pick[0]:
-                    pick = (score, j)
-        best.append(pick)
-    last = max(range(len(heads)), key=lambda i: (best[i][0][0] + (len(text) - heads[i][0] >= SECTION_MIN), best[i][0][1], -i))
-    chain = []
-    while last >= 0:
-        chain.append(last)
-        last = best[last][1]
-    chain.reverse()
-    stops = [heads[i][0] for i in chain[1:]] + [len(text)]
-    return [(ITEMS[heads[i][1]], heads[i][0], stop) for i, stop in zip(chain, stops, strict=True) if len(text[heads[i][0] : stop].strip()) >= SECTION_MIN]
+    section = len(pos) + 1
+    value, before = np.zeros(len(pos), dtype=np.int64), np.full(len(pos), -1)
+    low: np.ndarray = np.zeros(0, dtype=np.int64)
+    for r in np.unique(rank):
+        own = np.flatnonzero(rank == r)
+        if len(low):
+            gain = value[low][None, :] + section * (pos[own][:, None] - pos[low][None, :] >= SECTION_MIN)
+            gain[low[None, :] > own[:, None]] = -1
+            pick = gain.argmax(axis=1)
+            reached = gain[np.arange(len(own)), pick]
+            before[own] = np.where(reached >= 0, low[pick], -1)
+            value[own] = np.maximum(reached, 0)
+        value[own] += 1
+        low = np.sort(np.concatenate((low, own)))
+    chain, at = [], int(np.argmax(value + section * (end - pos >= SECTION_MIN))) if len(pos) else -1
+    while at >= 0:
+        chain.append(at)
+        at = int(before[at])
+    return chain[::-1]
+
+
+def sections(pos: np.ndarray, rank: np.ndarray, end: int) -> list[tuple[str, int, int]]:
+    """``(item, start, stop)`` between the headings of the best chain, the contents page left out."""
+    left = without_contents_page(pos, rank)
+    pos, rank = pos[left], rank[left]
+    chain = best_chain(pos, rank, end)
+    stops = [*pos[chain[1:]].tolist(), end]
+    return [(ITEMS[rank[i]], int(pos[i]), stop) for i, stop in zip(chain, stops, strict=False)]
 
 
 def section_split(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, item, start, stop, body, parsed_by``; under two core items the whole text is one section."""
+    """``id, item, start, stop, parsed_by, body`` of the sections of a filing.
 
-    @F.pandas_udf("array<struct<item:string,start:int,stop:int,parsed_by:string>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        def one(t: str) -> list[dict]:
-            found = split_sections(t)
-            if sum(item in CORE_ITEMS for item, _, _ in found) < 2:
-                return [{"item": "FULL", "start": 0, "stop": len(t or ""), "parsed_by": "size_fallback"}]
-            return [{"item": i, "start": a, "stop": b, "parsed_by": "items"} for i, a, b in found]
-
-        return texts.map(one)
+    Sections under ``SECTION_MIN`` characters go; with fewer than two core items left the
+    whole text is one section.
+    """
 
-    out = df.select(id_col, text_col, F.inline(cut(text_col)))
-    return out.withColumn("body", F.trim(F.substr(F.col(text_col), F.col("start") + 1, F.col("stop") - F.col("start")))).drop(text_col)
+    @F.pandas_udf("array<struct<item:string,start:int,stop:int>>")
+    def cut(heads: pd.Series, sizes: pd.Series) -> pd.Series:
+        def one(hs: list, n: int) -> list[dict]:
+            pos, rank = (np.array([h[k] for h in hs], dtype=np.int64) for k in ("pos", "rank"))
+            return [{"item": i, "start": a, "stop": b} for i, a, b in sections(pos, rank, n)]
+
+        return pd.Series([one(h, n) for h, n in zip(heads, sizes, strict=True)])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    held = df.select(id_col, text.alias("_t")).withColumn("_h", headings(F.col("_t")))
+    held = held.withColumn("_s", cut("_h", F.length("_t")))
+    body = lambda a, b: F.regexp_replace(F.substr(F.col("_t"), a + 1, b - a), r"(?U)^\s+|\s+$", "")
+    long = F.filter("_s", lambda s: F.length(body(s["start"], s["stop"])) >= SECTION_MIN)
+    held = held.withColumn("_l", long)
+    enough = F.size(F.filter("_l", lambda s: s["item"].isin(*CORE_ITEMS))) >= 2
+    full = F.array(F.struct(F.lit("FULL").alias("item"), F.lit(0).alias("start"), F.length("_t").alias("stop")))
+    out = held.select(id_col, "_t", F.when(enough, "items").otherwise("size_fallback").alias("parsed_by"), F.explode(F.when(enough, F.col("_l")).otherwise(full)).alias("_x"))
+    return out.select(id_col, "_x.item", "_x.start", "_x.stop", "parsed_by", body(F.col("_x.start"), F.col("_x.stop")).alias("body"))
 
 
 def heading_runs(df: DataFrame, doc: str, pos: str, rank: str, gap: int, least: int) -> DataFrame:

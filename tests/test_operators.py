@@ -186,23 +186,84 @@ def test_fixed_chunks(spark, n, want) -> None:  # noqa: ANN001
     assert [len(r["text"]) for r in D.fixed_chunks(df, "doc_id", "text").orderBy("chunk_index").collect()] == want
 
 
-def test_structural_chunks_are_bounded() -> None:
+def _sentences(spark, texts: list) -> list:  # noqa: ANN001
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return [r["s"] for r in df.select("i", D.sentences(F.col("t")).alias("s")).orderBy("i").collect()]
+
+
+def test_sentences(spark) -> None:  # noqa: ANN001
+    cases = {
+        "We paid Mr. Smith. Then Acme Inc. left. ok": ["We paid Mr. Smith.", "Then Acme Inc. left. ok"], "": [], " \n ": [], None: [],
+        "It ended.  Then! “Why?” (Yes) done? a b": ["It ended.", "Then!", "“Why?” (Yes) done? a b"], "In the U.S.\n\nCongress met. No": ["In the U.S. Congress met.", "No"],
+        "risks: • one •two\u2003• three": ["risks:", "• one", "•two", "• three"], "Acme Corp.•One": ["Acme Corp. •One"], "It is zinc. Next": ["It is zinc.", "Next"], "10inc. Next": ["10inc. Next"],
+        "a.inc. Next": ["a.inc.", "Next"], "etc.. Next": ["etc.. Next"],
+    }
+    assert _sentences(spark, list(cases)) == list(cases.values())
+
+
+def test_chunk_bounds_are_greedy_with_the_longest_overlap() -> None:
+    rng = random.Random(5)
+    for _ in range(300):
+        n = [rng.choice([5, 60, 150, 400, 900, 1490, 1999, 2000]) if rng.random() < 0.5 else rng.randint(1, 300) for _ in range(rng.randint(0, 40))]
+        bounds = D.chunk_bounds(n)
+        size = lambda a, b: sum(n[a:b]) + max(0, b - a - 1)  # noqa: B023, E731
+        assert [b for _, b in bounds][-1:] == ([len(n)] if n else []) and [a for a, _ in bounds][:1] == ([0] if n else [])
+        for k, (a, b) in enumerate(bounds):
+            new = bounds[k - 1][1] if k else 0
+            assert a <= new < b and (size(a, b) < D.TARGET or b == new + 1)
+            assert b == len(n) or size(a, b + 1) >= D.TARGET  # the next part did not fit
+            if k:
+                fits = [c for c in range(bounds[k - 1][0], new + 1) if size(c, new) <= D.OVERLAP or c == new]
+                assert a == (min(fits) if size(min(fits), new) + (min(fits) < new) + n[new] <= D.MAXIMUM else new)
+
+
+def test_structural_chunks_are_bounded(spark) -> None:  # noqa: ANN001
     parts = [f"Sentence number {i} is about so long and no longer than this." for i in range(120)]
     chunks = D.pack_sentences(parts)
     assert all(len(c) <= D.MAXIMUM for c in chunks) and len(chunks) > 4
     assert set(parts) == {p for c in chunks for p in parts if p in c}
-    assert D.sentences("We paid Mr. Smith. Then Acme Inc. left. ok") == ["We paid Mr. Smith.", "Then Acme Inc. left. ok"]
-    assert D.sentences("") == [] and D.pack_sentences([]) == []
+    assert D.pack_sentences([]) == [] and D.pack_sentences(["a" * 1490, "b" * 20]) == ["a" * 1490 + " " + "b" * 20]
+    df = spark.createDataFrame([(1, " ".join(parts)), (2, None), (3, ""), (4, "x" * 4500)], "id long, text string")
+    rows = [(r["id"], r["chunk_index"], r["text"]) for r in D.structural_chunks(df, "id", "text").orderBy("id", "chunk_index").collect()]
+    assert [t for i, _, t in rows if i == 1] == chunks and [len(t) for i, _, t in rows if i == 4] == [2000, 2000, 500] and {i for i, _, _ in rows} == {1, 4}
 
 
 def test_sections(spark) -> None:  # noqa: ANN001
     toc = " ".join(f"Item {i}. Title" for i in D.ITEMS[:12])
     body = "".join(f"\nItem {i}. " + "word " * 120 for i in ("1", "1A", "7"))
     text = f"{toc} {'x' * 500} {body} see Item 3. for more"
-    got = D.split_sections(text)
-    assert [g[0] for g in got] == ["1", "1A", "7"] and all(a[2] == b[1] for a, b in zip(got, got[1:]))  # noqa: B905
-    df = spark.createDataFrame([(1, "no headings"), (2, None)], "id long, text string")
-    assert {r["item"] for r in D.section_split(df, "id", "text").collect()} == {"FULL"}
+    df = spark.createDataFrame([(0, text), (1, "no headings"), (2, None), (3, f"{'ITEM 1 a: ' + 'w' * 500} refer to “Item 7. more {'w' * 500} item 1C - {'w' * 500}")], "id long, text string")
+    rows = D.section_split(df, "id", "text").orderBy("id", "start").collect()
+    got = [r for r in rows if r["id"] == 0]
+    assert [g["item"] for g in got] == ["1", "1A", "7"] and all(a["stop"] == b["start"] for a, b in zip(got, got[1:]))  # noqa: B905
+    assert all(r["body"] == text[r["start"] : r["stop"]].strip() for r in got)
+    assert [(r["id"], r["item"], r["parsed_by"]) for r in rows if r["id"] in (1, 2)] == [(1, "FULL", "size_fallback"), (2, "FULL", "size_fallback")]
+    assert [(r["item"], r["parsed_by"]) for r in rows if r["id"] == 3] == [("1A", "items"), ("1C", "items")]
+
+
+def test_best_chain_by_brute_force() -> None:
+    rng = random.Random(6)
+    for _ in range(400):
+        n = rng.randint(1, 9)
+        pos = np.array(sorted(rng.sample(range(3000), n)))
+        rank = np.array([rng.randint(0, 6) for _ in range(n)])
+        end = int(pos[-1]) + rng.choice([10, 900])
+        worth = {}
+        for mask in range(1, 1 << n):
+            chain = [i for i in range(n) if mask >> i & 1]
+            if all(rank[a] < rank[b] for a, b in zip(chain, chain[1:])):  # noqa: B905
+                stops = [*pos[chain[1:]], end]
+                worth[tuple(chain)] = (sum(b - pos[a] >= D.SECTION_MIN for a, b in zip(chain, stops, strict=True)), len(chain))
+        assert worth[tuple(D.best_chain(pos, rank, end))] == max(worth.values())
+    pos, rank = np.array([*range(0, 1200, 100), 5000]), np.array([*range(12), 0])
+    assert D.without_contents_page(pos, rank).tolist() == [False] * 12 + [True]
+    assert D.without_contents_page(pos[:9], rank[:9]).all() and len(D.without_contents_page(pos[:0], rank[:0])) == 0
+
+
+def test_context_header(spark) -> None:  # noqa: ANN001
+    df = spark.createDataFrame([("AB", 2024, "1A"), ("AB", 2023, None), ("AB", 2023, "X")], "t string, y int, i string")
+    got = [r[0] for r in df.select(D.context_header(F.col("t"), F.col("y"), F.col("i"))).collect()]
+    assert got == ["AB fiscal year 2024 10-K, Item 1A. Risk Factors", "AB fiscal year 2023 10-K, full filing", "AB fiscal year 2023 10-K, Item X"]
 
 
 def test_windows_are_clamped(spark) -> None:  # noqa: ANN001
