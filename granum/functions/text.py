@@ -40,17 +40,21 @@ def normalize(x: Column) -> Column:
     return F.lower(collapse(fold(unescape(F.regexp_replace(F.coalesce(x, F.lit("")), "<[^>]+>", " ")))))
 
 
+def _words_but(x: Column, letters: str, stop: list[str], least: int = 1) -> Column:
+    """Maximal runs of some characters, ``least`` long at least, that are no stop words; one regular expression."""
+    pattern = f"(?<![{letters}])(?!(?:{'|'.join(stop)})(?![{letters}]))[{letters}]{{{least},}}"
+    return F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+
+
 def clean_words(x: Column) -> Column:
     """Words of the review cleaner: letters only, lower case, no stop words, over two letters."""
     letters = F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), "<[^>]*>", " "), r"[^a-zA-Z \t\n\r]", "")
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(F.split(F.lower(collapse(letters)), " "), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    return _words_but(F.lower(letters), "a-z", STOP_WORDS, 3)
 
 
 def tokens(x: Column) -> Column:
     """Retrieval tokens ``[a-z0-9]+`` of the lower-cased text without stop words, repeats kept."""
-    stop = F.array(*map(F.lit, SEARCH_STOP_WORDS))
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~F.array_contains(stop, w))
+    return _words_but(F.lower(F.coalesce(x, F.lit(""))), "a-z0-9", SEARCH_STOP_WORDS)
 
 
 def html_text(x: Column) -> Column:

@@ -324,7 +324,8 @@ def test_stream_equals_batch(spark, tmp_path) -> None:  # noqa: ANN001
 
 
 def test_dense_topk_takes_every_twentieth_vector(spark, tmp_path, monkeypatch) -> None:  # noqa: ANN001
-    monkeypatch.setattr(R, "BLOCK", 2)
+    monkeypatch.setattr(R, "QUERY_BYTES", 100)
+    monkeypatch.setattr(R, "ROWS", 9)
     rng = random.Random(3)
     x = {i: [rng.gauss(0, 1) for _ in range(6)] for i in range(130)}
     spark.createDataFrame(list(x.items()), "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
@@ -337,6 +338,45 @@ def test_dense_topk_takes_every_twentieth_vector(spark, tmp_path, monkeypatch) -
     assert got == want
 
 
+def test_dense_ties_and_odd_vectors(spark) -> None:  # noqa: ANN001
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [1.0, 0.0, 0.0]), (7, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [0.0, 0.0]), ("c", None)], "qid string, v array<double>")
+    assert sorted(map(tuple, R.dense(df, q, 2).collect())) == [("a", 1, 1, 1.0), ("a", 2, 2, 1.0)]
+    assert R.dense(df.limit(0), q).count() == R.dense(df, q.limit(0)).count() == 0
+
+
+def test_best_stretch_by_brute_force(spark) -> None:  # noqa: ANN001
+    rng = random.Random(9)
+    for _ in range(200):
+        places = sorted(rng.sample(range(2000), rng.randint(0, 30)))
+        width = rng.choice([40, 120, 321])
+        starts = [max(0, p - width // 4) for p in places] or [0]
+        shown = [sum(a <= p < a + width for p in places) for a in starts]
+        assert R.best_stretch(np.array(places, dtype=np.int64), width) == starts[shown.index(max(shown))]
+    text = "the filler words " * 40 + "net  revenue grew\n in cloud revenue " + "other words " * 60
+    df = spark.createDataFrame([(text, "what is the cloud revenue"), ("short  text", "x"), (None, "x"), (text, "nothing")], "t string, q string")
+    got = [r[0] for r in df.select(R.best_window(df, "t", "q", 80)).collect()]
+    flat = " ".join(text.split())
+    assert got[0] in flat and got[0].count("revenue") == 2 and "cloud" in got[0] and got[1:] == ["short text", None, flat[:80]]
+
+
+def test_retrievers_by_name(spark) -> None:  # noqa: ANN001
+    rows = [(1, "en", "solar power plants", [1.0, 0.0]), (2, "en", "wind power and solar", [0.6, 0.8]), (3, "fr", "solar solar", [0.0, 1.0])] + [(10 + i, "de", f"filler {i}", [0.0, -1.0]) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, e array<double>")
+    corpus = R.Corpus(docs, docs.select(F.col("doc_id").alias("vec_id"), F.col("e").alias("embedding")))
+    q = spark.createDataFrame([(9, "solar", [0.0, 1.0])], "qid long, query string, v array<double>")
+    ids = lambda name, scope=None: [r["id"] for r in R.search(name, corpus, q, 3, scope).orderBy("rank").collect()]
+    assert ids("dense") == [3, 2, 1] and ids("dense", {"lang": "en", "x": None}) == [2, 1] and set(ids("bm25", {"lang": "en"})) == {1, 2} and ids("bm25")[0] == ids("hybrid")[0] == 3
+    with pytest.raises(ValueError, match="no retriever"):
+        R.search("other", corpus, q)
+
+
+def test_stop_words_leave_by_one_expression(spark) -> None:  # noqa: ANN001
+    df = spark.createDataFrame([("The theory of <br/>it isn't 3-D; ANY\tanyone\n a2z as2",), (None,)], "t string")
+    a, b = df.select(X.clean_words(F.col("t")), X.tokens(F.col("t"))).collect()
+    assert list(a) == [["theory", "isnt", "anyone"], ["theory", "br", "isn", "t", "3", "d", "any", "anyone", "a2z", "as2"]] and list(b) == [[], []]
+
+
 def test_ranks_of_a_large_order_do_not_depend_on_partitions(spark) -> None:  # noqa: ANN001
     n = 600_000
     base = spark.range(n).selectExpr("id", "cast(pmod(xxhash64(id), 1000) as double) / 7 as x", "uuid() is null as other", "cast(id % 97 as string) as note")
