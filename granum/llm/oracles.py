@@ -41,25 +41,21 @@ WITH e AS MATERIALIZED (
 SELECT * FROM r WHERE rank <= 5
 """
 
-#: Ids are unique here, so (doc_id, line) orders the occurrences of equal units.
+#: By text alone, without hashes or chunks: of two adjacent lines that occur before, anywhere,
+#: both go, unless they overlap that first occurrence.  A chunk is made of such pairs.  Ids are
+#: unique here, so (doc_id, line) orders occurrences.
 OP3 = """
 WITH l AS MATERIALIZED (
-  SELECT doc_id, text, i, x, CAST(('0x' || substr(md5(x), 1, 8)) AS BIGINT) AS h
-  FROM (SELECT doc_id, text, unnest(range(len(ls))) AS i, unnest(ls) AS x FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))
-), c AS MATERIALIZED (
-  SELECT doc_id, i, x, sum(CASE WHEN i = 0 OR (i >= 2 AND ((h2 * 1000003 + h1) % 2147483647) % 2 = 0) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k
-  FROM (SELECT *, lag(h, 1) OVER w AS h1, lag(h, 2) OVER w AS h2 FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i))
-), g AS MATERIALIZED (
-  SELECT doc_id, k, min(i) AS s, max(i) + 1 AS e, string_agg(x, chr(10) ORDER BY i) AS t FROM c GROUP BY doc_id, k
-), u AS (
-  SELECT doc_id, s, e, t FROM g WHERE e - s >= 2
-  UNION ALL
-  SELECT a.doc_id, a.s, b.e, a.t || chr(10) || b.t FROM g a JOIN g b ON a.doc_id = b.doc_id AND b.k = a.k + 1
-), dup AS MATERIALIZED (
-  SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, s, e) AS r FROM u WHERE regexp_matches(t, '[^ \\t\\n\\f\\r\\x0B]')) WHERE r > 1
+  SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)
+), p AS (
+  SELECT doc_id, i, x || chr(10) || lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS t FROM l
+), f AS (
+  SELECT doc_id, i, first_value(doc_id) OVER w AS fd, first_value(i) OVER w AS fi FROM p WHERE t IS NOT NULL AND regexp_matches(t, '[^ \\t\\n\\f\\r\\x0B]')
+  WINDOW w AS (PARTITION BY t ORDER BY doc_id, i)
+), gone AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM f WHERE fd <> doc_id OR i >= fi + 2
 ), kept AS (
-  SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t, count(*) AS n FROM l
-  WHERE NOT EXISTS (SELECT 1 FROM dup WHERE dup.doc_id = l.doc_id AND dup.s <= l.i AND l.i < dup.e) GROUP BY doc_id
+  SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t, count(*) AS n FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
 ), n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(n.n, 0) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
        CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.t, '') END AS text
