@@ -65,3 +65,20 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int, out: str) -> D
     """``df`` with a fold number that deals each class out evenly, in hash order of the key."""
     w = Window.partitionBy(label, F.pmod(F.hash(key), F.lit(64))).orderBy(F.hash(key), key)
     return df.withColumn(out, ((F.row_number().over(w) + F.pmod(F.hash(key), F.lit(64))) % k).cast("int"))
+
+
+def nearest_centroid(df: DataFrame, key: str, label: str, vector: str, digits: int = 6) -> DataFrame:
+    """``key, label, pred, conf``: the class of nearest mean vector, ties to the smaller label.
+
+    Means are taken by class and component with map-side combine and gathered in one row,
+    so classes and components must be few.
+    """
+    parts = df.where(F.col(label).isNotNull()).select(label, F.posexplode(vector).alias("i", "v"))
+    mean = parts.groupBy(label, "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    one = mean.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("m"))
+    centres = one.agg(F.array_sort(F.collect_list(F.struct(label, "m"))).alias("_centres"))
+    x = F.transform(vector, lambda v: v.cast("double"))
+    gap = lambda c: F.round(F.sqrt(F.aggregate(F.zip_with("_x", c["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)), digits)
+    best = F.array_min(F.transform("_centres", lambda c: F.struct(gap(c).alias("d"), c[label].alias("c"))))
+    held = df.select(key, label, x.alias("_x")).join(F.broadcast(centres)).withColumn("_b", best)
+    return held.select(key, label, F.col("_b.c").alias("pred"), F.round(1 / (1 + F.col("_b.d")), digits).alias("conf"))

@@ -166,21 +166,16 @@ def f1_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.f1_sweep(labelled(spark, sf_dir), F.col("toxic") == 1, _score(), _T)
 
 
-#: Nearest-centroid prediction on the first eight components, in rounded arithmetic.
+#: Nearest-centroid prediction on all components, in rounded arithmetic.
 _E = """(SELECT vec_id, label, CAST(arg_min(c, struct_pack(d, c)) AS INTEGER) AS pred, round(1 / (1 + min(d)), 6) AS conf FROM (
           SELECT e.vec_id, e.label, m.label AS c, round(sqrt(sum(power(CAST(e.embedding[m.i] AS DOUBLE) - m.v, 2))), 6) AS d
-          FROM embeddings e, (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, (SELECT unnest(range(1, 9)) AS i) GROUP BY 1, 2) m GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+          FROM embeddings e, (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2) m GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec_id, label, pred, conf`` by nearest class centroid (few classes, one broadcast row)."""
     e = parquet(spark, sf_dir, "embeddings")
-    x = F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double"))
-    mean = e.groupBy("label").agg(*[F.avg(F.col("embedding")[i].cast("double")).alias(f"m{i}") for i in range(8)])
-    cents = mean.agg(F.array_sort(F.collect_list(F.struct("label", F.array(*[f"m{i}" for i in range(8)]).alias("m")))).alias("cents"))
-    gap = lambda c: F.round(F.sqrt(F.aggregate(F.zip_with("x", c["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)), 6)
-    best = F.array_min(F.transform("cents", lambda c: F.struct(gap(c).alias("d"), c["label"].alias("c"))))
-    return e.select("vec_id", "label", x.alias("x")).join(F.broadcast(cents)).withColumn("b", best).select("vec_id", "label", F.col("b.c").alias("pred"), F.round(1 / (1 + F.col("b.d")), 6).alias("conf"))
+    return K.nearest_centroid(e, "vec_id", "label", "embedding")
 
 
 @query("confusion_pairs", f"SELECT label AS true, pred, count(*) AS n FROM {_E} WHERE label <> pred GROUP BY 1, 2")

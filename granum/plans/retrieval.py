@@ -142,7 +142,7 @@ def bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dense_sql(k: int) -> str:
     v = "list_transform({0}.embedding, lambda x: CAST(x AS DOUBLE))"
     return f"""(SELECT qid, CAST(r AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM (
-      SELECT q.vec_id AS qid, e.vec_id AS id, round(list_cosine_similarity({v.format('q')}, {v.format('e')}), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 40)) WHERE r <= {k})"""
+      SELECT q.vec_id AS qid, e.vec_id AS id, round(list_cosine_similarity({v.format('q')}, {v.format('e')}), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)) WHERE r <= {k})"""
 
 
 def semantic(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
@@ -184,7 +184,8 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rrf_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean reciprocal rank of the query's own id under each constant and depth."""
-    gold = questions(spark, sf_dir).select("qid", F.col("qid").alias("id"))
+    asked = questions(spark, sf_dir).select("qid").unionByName(parquet(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid")))
+    gold = asked.distinct().select("qid", F.col("qid").alias("id"))
     return R.rrf_sweep(runs(spark, sf_dir), gold, [0, 1, 3, 10, 60], [20, 50])
 
 
@@ -329,7 +330,7 @@ def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "mcnemar",
-    """WITH d AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic <> 1 AND doc_id % 50 = 0) AS b, count(*) FILTER (WHERE quality <> 1 AND toxic = 1) AS c FROM labels)
+    """WITH d AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic <> 1) AS b, count(*) FILTER (WHERE quality <> 1 AND toxic = 1) AS c FROM labels)
        SELECT b, c, CASE WHEN b + c = 0 THEN 1.0 ELSE round(least(1.0, 2 * (SELECT sum(exp(lgamma(CAST(b + c + 1 AS DOUBLE)) - lgamma(CAST(i + 1 AS DOUBLE)) - lgamma(CAST(b + c - i + 1 AS DOUBLE)) - (b + c) * ln(2.0))) FROM (SELECT unnest(range(least(b, c) + 1)) AS i))), 6) END AS p FROM d""",
 )
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
