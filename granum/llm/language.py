@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granum.operators.sizes import broadcast_if_small
+
 #: Bytes of a window, and state size of each direction.
 WINDOW, HIDDEN = 64, 8
 #: Training bounds: distinct texts of each language, and windows of each, drawn from the whole text.
@@ -173,7 +175,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per
     clean = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).where("lang is not null and length(text) > 0")
     first = Window.partitionBy("lang").orderBy("th")
     chosen = clean.select("lang", "th").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang).drop("r")
-    texts = clean.join(chosen, ["lang", "th"]).dropDuplicates(["lang", "th"]).select("lang", "th", "text")
+    texts = clean.join(broadcast_if_small(chosen), ["lang", "th"]).dropDuplicates(["lang", "th"]).select("lang", "th", "text")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
