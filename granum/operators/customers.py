@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granum.functions.money import dsum
-from granum.operators.ranking import ranked_sums
+from granum.operators.ranking import quantile_columns, ranked_sums
 
 DAY_US, YEAR = 86_400_000_000, 365.0
 
@@ -34,7 +34,8 @@ def quintile(df: DataFrame, column: str, out: str, descending: bool = False) ->
 
     Equal edges collapse, so the top label may be below 5; ``descending`` reverses labels.
     """
-    q = df.agg(F.array_sort(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / 5) for i in range(6)])))).alias("e")).scalar()
+    edges = quantile_columns(df, {column: [i / 5 for i in range(6)]})[column]
+    q = df.agg(F.array_sort(F.array_distinct(F.array(*edges))).alias("e")).scalar()
     name = f"_edges_{column}"
     held = df.withColumn(name, q)
     bin_ = F.greatest(F.lit(1), F.size(F.filter(name, lambda e: e < F.col(column))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granum.operators.ranking import quantile_columns
+
 
 def rule_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """One row with the number of rows that meet each rule (null does not)."""
@@ -46,21 +48,33 @@ def constant_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact linear quartiles of each column."""
-    stats = {}
+    stats, ps = {}, (0.25, 0.5, 0.75)
+    quartiles = quantile_columns(df, {c: list(ps) for c in columns})
     for c in columns:
         x = F.col(c).cast("double")
-        q = {f"q{int(100 * p)}": F.round(F.percentile(x, F.lit(p)), digits) for p in (0.25, 0.5, 0.75)}
+        q = {f"q{int(100 * p)}": F.round(v, digits) for p, v in zip(ps, quartiles[c], strict=True)}
         stats[c] = {"n": F.count(x), "mean": F.round(F.avg(x), digits), "std": F.round(F.stddev_samp(x), digits), "min": F.min(x), **q, "max": F.max(x)}
     return _per_column(df, stats)
 
 
 def impute_median(df: DataFrame, column: str, out: str) -> DataFrame:
-    """``df`` with the column's nulls replaced by its exact median, a scalar subquery."""
-    median = df.agg(F.median(column).alias("m")).scalar()
-    return df.withColumn(out, F.coalesce(F.col(column), median))
+    """``df`` with the column's nulls replaced by its exact median."""
+    return df.withColumn(out, F.coalesce(F.col(column), _quantile(df, column, 0.5)))
 
 
 def capped(df: DataFrame, column: str, quantile: float, out: str) -> DataFrame:
     """``df`` with the column capped at its linear quantile."""
-    top = df.agg(F.percentile(column, F.lit(quantile)).alias("q")).scalar()
-    return df.withColumn(out, F.least(F.col(column), top))
+    return df.withColumn(out, F.least(F.col(column), _quantile(df, column, quantile)))
+
+
+def _quantile(df: DataFrame, column: str, p: float) -> Column:
+    """A quantile of the whole column, as a scalar subquery or a literal."""
+    value = quantile_columns(df, {column: [p]})[column][0]
+    return df.agg(value.alias("q")).scalar()
+
+
+def select_by(df: DataFrame, dtypes: tuple[str, ...] = (), prefix: str = "", suffix: str = "") -> list[str]:
+    """Names of the columns of some types (``number`` for any numeric one; none: all) with a prefix and suffix."""
+    number = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    wanted = tuple(t for d in dtypes for t in (number if d == "number" else (d,)))
+    return [c for c, t in df.dtypes if c.startswith(prefix) and c.endswith(suffix) and (not wanted or t.split("(")[0] in wanted)]

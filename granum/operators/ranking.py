@@ -129,3 +129,50 @@ def _pick(rows: list[tuple[float, int]], ranks: list[int]) -> dict[int, float]:
         out |= {t: value for t in ranks if done <= t < done + k}
         done += k
     return out
+
+
+#: Rows up to which one aggregate may keep the values of a column.
+BUFFERED = 1_000_000
+
+
+def few(df: DataFrame, rows: int = BUFFERED) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; counts no further."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def quantile_columns(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[Column]]:
+    """Exact quantiles as aggregate expressions of ``df`` where it is small, else as literals."""
+    if few(df):
+        x = {c: F.col(c).cast("double") for c in wanted}
+        return {c: [F.percentile(x[c], F.array(*map(F.lit, ps)))[i] for i in range(len(ps))] for c, ps in wanted.items()}
+    return {c: [F.lit(v).cast("double") for v in vs] for c, vs in quantiles(df, wanted).items()}
+
+
+def quantiles_by(df: DataFrame, keys: list[str], column: str, ps: list[float]) -> DataFrame:
+    """``keys, n, q``: exact linear quantiles of a column in each group, as an array.
+
+    Small tables keep a group's values in one aggregate.  Else values are dealt to ranges
+    by literal cut points, ranges are counted, and only those that hold a wanted rank are
+    ordered, so neither a group nor its values meet in one task.  Nulls take no part; a group
+    without a value has none.
+    """
+    held = df.select(*keys, F.col(column).cast("double").alias("_x")).where("_x is not null")
+    if few(held):
+        return held.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("_x", F.array(*map(F.lit, ps))).alias("q"))
+    order: Order = [("_x", False)]
+    held = held.withColumn("_part", part_of(order, cut_points(held, order, MOST)))
+    counts = held.groupBy(*keys, "_part").agg(F.count("*").alias("_c"))
+    own = Window.partitionBy(*keys)
+    counts = counts.withColumn("_done", F.sum("_c").over(own.orderBy("_part")) - F.col("_c")).withColumn("n", F.sum("_c").over(own))
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("n") - 1)).alias("at")) for i, p in enumerate(ps)])
+    ends = counts.withColumn("_r", F.explode(ranks)).withColumn("_rank", F.explode(F.array(F.floor("_r.at"), F.ceil("_r.at"))))
+    ends = ends.where((F.col("_rank") >= F.col("_done")) & (F.col("_rank") < F.col("_done") + F.col("_c")))
+    wanted = ends.select(*keys, "_part", "_done", "n", F.col("_r.i").alias("_i"), F.col("_r.at").alias("_at"), "_rank")
+    parts = wanted.select(*keys, "_part", "_done").distinct()
+    same = lambda a, b, names: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names]
+    inside = held.alias("h").join(parts.alias("p"), same("h", "p", [*keys, "_part"])).select("h.*", "p._done")
+    placed = inside.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_x")) - 1 + F.col("_done"))
+    values = wanted.alias("w").join(placed.alias("v"), same("w", "v", [*keys, "_rank"])).select("w.*", "v._x")
+    low, high = F.min_by("_x", "_rank"), F.max_by("_x", "_rank")
+    each = values.groupBy(*keys, "n", "_i").agg((low + (F.first("_at") - F.floor(F.first("_at"))) * (high - low)).alias("_q"))
+    return each.groupBy(*keys, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda x: x["_q"]).alias("q"))

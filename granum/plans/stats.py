@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granum.functions.money import dsum
 from granum.operators import statistics as S
 from granum.operators import timeseries as T
+from granum.operators.ranking import quantiles_by
 from granum.plans.profile import _L, labelled
 from granum.plans.registry import query
 from granum.sources.tables import parquet
@@ -38,7 +39,7 @@ _Q = (0.0, 0.25, 0.5, 0.75, 1.0)
 @query("monthly_box", "SELECT CAST(month(o_orderdate) AS INTEGER) AS month, " + ", ".join(f"round(quantile_cont(o_totalprice, {p}), 4) AS q{int(100 * p)}" for p in _Q) + " FROM orders GROUP BY 1")
 def monthly_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-number summary by calendar month."""
-    by = parquet(spark, sf_dir, "orders").groupBy(F.month("o_orderdate").alias("month")).agg(F.percentile("o_totalprice", F.array(*map(F.lit, _Q))).alias("q"))
+    by = quantiles_by(parquet(spark, sf_dir, "orders").withColumn("month", F.month("o_orderdate")), ["month"], "o_totalprice", list(_Q))
     return by.select("month", *[F.round(F.col("q")[i], 4).alias(f"q{int(100 * p)}") for i, p in enumerate(_Q)])
 
 

@@ -407,3 +407,20 @@ def test_quantiles_are_exact(spark) -> None:  # noqa: ANN001
         x = rows[:, "abcd".index(c)]
         assert np.allclose(got[c], np.quantile(x[~np.isnan(x)], [0.0, 0.25, 0.5, 0.333, 1.0]), rtol=0, atol=1e-9), c
     assert got["c"] == [None] * 5
+
+
+def test_grouped_quantiles_are_exact(spark, monkeypatch) -> None:  # noqa: ANN001
+    df = spark.range(40_000).selectExpr("if(id % 5 = 4, null, id % 5) as k", "if(id % 11 = 0, null, if(id % 3 = 0, 2.5, cast(pmod(xxhash64(id), 777) as double))) as x")
+    ps = [0.0, 0.25, 0.5, 0.9, 1.0]
+    rows: dict = {}
+    for r in df.collect():
+        if r["x"] is not None:
+            rows.setdefault(r["k"], []).append(r["x"])
+    for limit in (1_000_000, 100):
+        monkeypatch.setattr(ranking.few, "__defaults__", (limit,))
+        got = {r["k"]: (r["n"], r["q"]) for r in ranking.quantiles_by(df, ["k"], "x", ps).collect()}
+        assert set(got) == set(rows) and all(got[k][0] == len(v) and np.allclose(got[k][1], np.quantile(v, ps), atol=1e-9) for k, v in rows.items())
+        assert ranking.quantiles_by(df.limit(0), ["k"], "x", ps).count() == 0
+        one = P.describe(df, ["x"]).first()
+        assert (one["q25"], one["q50"], one["q75"]) == tuple(np.round(np.quantile(np.concatenate(list(map(np.array, rows.values()))), [0.25, 0.5, 0.75]), 4))
+    assert P.select_by(spark.createDataFrame([(1, 2.0, "x", "y")], "a_i int, a_d double, a_s string, b string"), ("number",), "a_") == ["a_i", "a_d"]
