@@ -35,7 +35,7 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Dotted runs of base64url parts, any of which may be the header of a token.
-_DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
 #: Where a run may start: not inside another, but behind an escaped line end or PEM dashes.
 _HEAD64 = r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n)|(?<=-----))"
 #: A DER sequence starts with 0x30, so its base64 with M.
