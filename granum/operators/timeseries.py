@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from granum.functions import special
+
 
 #: Series are partitioned by this column, so many of them run side by side.
 def _w() -> WindowSpec:
@@ -74,14 +76,14 @@ def errors(df: DataFrame, y: str = "y", forecast: str = "forecast") -> DataFrame
 
 
 def adf(df: DataFrame, y: str) -> DataFrame:
-    """``series, stat, lags, n`` of the augmented Dickey-Fuller regression, lag chosen by AIC."""
+    """``series, stat, lags, n, p`` of the augmented Dickey-Fuller regression, lag chosen by AIC."""
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         x = frame.sort_values("t")[y].dropna().to_numpy(dtype=float)
         name = frame["series"].iloc[0]
         top = min(int(np.ceil(12 * (len(x) / 100) ** 0.25)), len(x) // 2 - 3)
         if top < 0:
-            return pd.DataFrame([(name, None, 0, len(x))], columns=["series", "stat", "lags", "n"])
+            return pd.DataFrame([(name, None, 0, len(x), None)], columns=["series", "stat", "lags", "n", "p"])
         d = np.diff(x)
 
         def ols(k: int, skip: int) -> tuple[float, float, int]:
@@ -96,62 +98,100 @@ def adf(df: DataFrame, y: str) -> DataFrame:
 
         best = min(range(top + 1), key=lambda k: ols(k, top)[1])
         stat, _, n = ols(best, best)
-        return pd.DataFrame([(name, round(stat, 6), best, n)], columns=["series", "stat", "lags", "n"])
-
-    return df.groupBy("series").applyInPandas(fit, "series string, stat double, lags int, n long")
-
-
-def sarima_forecast(df: DataFrame, y: str = "y", season: int = 12, ahead: int = 12) -> DataFrame:
-    """``series, step, forecast, low, high`` of a seasonal model on logs.
-
-    A (1,1,1)(1,1,1) model fitted by conditional least squares (Gauss-Newton on the
-    innovations); bounds come from the model's moving-average weights.
+        return pd.DataFrame([(name, round(stat, 6), best, n, round(special.adf_p(stat), 6))], columns=["series", "stat", "lags", "n", "p"])
+
+    return df.groupBy("series").applyInPandas(fit, "series string, stat double, lags int, n long, p double")
+
+
+def _innovations(p: np.ndarray, w: np.ndarray, season: int) -> np.ndarray:
+    """Residuals of the differenced series under parameters held inside (-0.9, 0.9)."""
+    ar, ma, sar, sma = 0.9 * np.tanh(np.concatenate((p, np.zeros(4 - len(p)))))
+    e = np.zeros(len(w))
+    back = lambda s, t, k: s[t - k] if t >= k else 0.0
+    for t in range(len(w)):
+        e[t] = w[t] - ar * back(w, t, 1) - ma * back(e, t, 1)
+        if season:
+            e[t] += -sar * back(w, t, season) + ar * sar * back(w, t, season + 1) - sma * back(e, t, season) - ma * sma * back(e, t, season + 1)
+    return e
+
+
+def _fitted(w: np.ndarray, season: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters and residuals of least conditional squares, by damped Gauss-Newton steps."""
+    p = np.array([0.1, -0.3, 0.05, -0.3] if season else [0.1, -0.3])
+    base, damp, unit = _innovations(p, w, season), 1e-2, np.eye(len(p))
+    for _ in range(60):
+        jac = np.column_stack([(_innovations(p + 1e-5 * u, w, season) - base) / 1e-5 for u in unit])
+        step = np.linalg.solve(jac.T @ jac + damp * unit, -jac.T @ base)
+        nxt = _innovations(p + step, w, season)
+        better = nxt @ nxt < base @ base
+        if better:
+            p, base = p + step, nxt
+        damp = damp / 3 if better else damp * 4
+        if np.abs(step).max() < 1e-8:
+            break
+    return p, base
+
+
+def arima_path(z: np.ndarray, season: int, ahead: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forecast and deviation, on the scale of ``z``, of (1,1,1) or, with a season, (1,1,1)(1,1,1)."""
+    d = np.diff(z)
+    w = d[season:] - d[:-season] if season else d
+    p, base = _fitted(w, season)
+    ar, ma, sar, sma = 0.9 * np.tanh(np.concatenate((p, np.zeros(4 - len(p)))))
+    gap = max(season, 1)
+    ar_poly = np.convolve([1, -ar], np.concatenate(([1.0], np.zeros(gap - 1), [-sar])))
+    ma_poly = np.convolve([1, ma], np.concatenate(([1.0], np.zeros(gap - 1), [sma])))
+    past, noise = list(w), list(base)
+    for _ in range(ahead):
+        t = len(past)
+        past.append(sum(-c * past[t - k] for k, c in enumerate(ar_poly) if 0 < k <= t) + sum(c * noise[t - k] for k, c in enumerate(ma_poly) if 0 < k <= t))
+        noise.append(0.0)
+    steps = list(d)
+    for k in range(ahead):
+        steps.append(past[len(w) + k] + (steps[len(steps) - season] if season else 0.0))
+    whole = np.convolve(ar_poly, [1, -1])
+    if season:
+        whole = np.convolve(whole, np.concatenate(([1.0], np.zeros(season - 1), [-1.0])))
+    psi = np.zeros(ahead)
+    for k in range(ahead):
+        psi[k] = (ma_poly[k] if k < len(ma_poly) else 0.0) - sum(whole[j] * psi[k - j] for j in range(1, min(k, len(whole) - 1) + 1))
+    return z[-1] + np.cumsum(steps[len(d) :]), np.sqrt(base @ base / max(1, len(base) - len(p)) * np.cumsum(psi**2))
+
+
+def arima_forecast(df: DataFrame, y: str = "y", season: int = 12, ahead: int = 12) -> DataFrame:
+    """``series, step, forecast, low, high`` of a model on logs; ``season`` 0 leaves the seasonal part out.
+
+    Fitted by conditional least squares; bounds come from the model's moving-average
+    weights.  Series too short for two seasons and four points give no rows.
     """
 
-    def innovations(p: np.ndarray, w: np.ndarray) -> np.ndarray:
-        ar, ma, sar, sma = 0.9 * np.tanh(p)
-        e = np.zeros(len(w))
-        for t in range(len(w)):
-            g = lambda s, k: s[t - k] if t >= k else 0.0  # noqa: E731, B023
-            e[t] = w[t] - ar * g(w, 1) - sar * g(w, season) + ar * sar * g(w, season + 1) - ma * g(e, 1) - sma * g(e, season) - ma * sma * g(e, season + 1)
-        return e
-
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         s = frame.sort_values("t")[y].to_numpy(dtype=float)
-        name, z = frame["series"].iloc[0], np.log(np.maximum(s, 1e-12))
-        if len(z) < 2 * season + 4:
+        if len(s) < 2 * season + 6:
             return pd.DataFrame(columns=["series", "step", "forecast", "low", "high"])
-        d = np.diff(z)
-        w = d[season:] - d[:-season]
-        p = np.array([0.1, -0.3, 0.05, -0.3])
-        base, damp = innovations(p, w), 1e-2
-        for _ in range(40):
-            jac = np.column_stack([(innovations(p + 1e-5 * np.eye(4)[i], w) - base) / 1e-5 for i in range(4)])
-            step = np.linalg.solve(jac.T @ jac + damp * np.eye(4), -jac.T @ base)
-            nxt = innovations(p + step, w)
-            if nxt @ nxt < base @ base:
-                p, base, damp = p + step, nxt, damp / 3
-            else:
-                damp *= 4
-            if np.abs(step).max() < 1e-8:
-                break
-        ar, ma, sar, sma = 0.9 * np.tanh(p)
-        w_, e_ = list(w), list(base)
-        for _ in range(ahead):
-            t = len(w_)
-            w_.append(ar * w_[t - 1] + sar * w_[t - season] - ar * sar * w_[t - season - 1] + ma * e_[t - 1] + sma * e_[t - season] + ma * sma * e_[t - season - 1])
-            e_.append(0.0)
-        d_ = list(d)
-        for k in range(ahead):
-            d_.append(w_[len(w) + k] + d_[len(d_) - season])
-        path = z[-1] + np.cumsum(d_[len(d) :])
-        lag = lambda *c: np.array(c)
-        poly_ar = np.convolve(np.convolve(lag(1, -ar), np.concatenate(([1], np.zeros(season - 1), [-sar]))), np.convolve(lag(1, -1), np.concatenate(([1], np.zeros(season - 1), [-1]))))
-        poly_ma = np.convolve(lag(1, ma), np.concatenate(([1], np.zeros(season - 1), [sma])))
-        psi = np.zeros(ahead)
-        for k in range(ahead):
-            psi[k] = (poly_ma[k] if k < len(poly_ma) else 0) - sum(poly_ar[j] * psi[k - j] for j in range(1, min(k, len(poly_ar) - 1) + 1))
-        sd = np.sqrt(base @ base / max(1, len(base) - 4) * np.cumsum(psi**2))
-        return pd.DataFrame({"series": name, "step": np.arange(1, ahead + 1), "forecast": np.exp(path), "low": np.exp(path - 1.96 * sd), "high": np.exp(path + 1.96 * sd)})
+        path, sd = arima_path(np.log(np.maximum(s, 1e-12)), season, ahead)
+        return pd.DataFrame({"series": frame["series"].iloc[0], "step": np.arange(1, ahead + 1), "forecast": np.exp(path), "low": np.exp(path - 1.96 * sd), "high": np.exp(path + 1.96 * sd)})
 
     return df.groupBy("series").applyInPandas(fit, "series string, step int, forecast double, low double, high double")
+
+
+def sarima_forecast(df: DataFrame, y: str = "y", season: int = 12, ahead: int = 12) -> DataFrame:
+    """The seasonal model's forecast."""
+    return arima_forecast(df, y, season, ahead)
+
+
+def holdout_scores(df: DataFrame, y: str = "y", season: int = 12, hold: int = 12) -> DataFrame:
+    """``model, mae, rmse, mape`` of the seasonal-naive, (1,1,1) and seasonal forecasts of the last ``hold`` points.
+
+    Models see only what comes before; both scores and forecasts are of the plain scale.
+    """
+    numbered = df.withColumn("_b", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("t"))))
+    known, asked = numbered.where(F.col("_b") > hold).drop("_b"), numbered.where(F.col("_b") <= hold).select("series", F.col(y).alias("y"), (F.lit(hold + 1) - F.col("_b")).cast("int").alias("step"))
+    runs = {"naive": seasonal_naive(df, y, season).where("forecast is not null")}
+    for name, s in (("arima", 0), ("sarima", season)):
+        runs[name] = asked.join(arima_forecast(known, y, s, hold), ["series", "step"])
+    out = None
+    for name, run in runs.items():
+        one = errors(run).select(F.lit(name).alias("model"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

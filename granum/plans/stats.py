@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,25 +44,40 @@ def monthly_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("month", *[F.round(F.col("q")[i], 4).alias(f"q{int(100 * p)}") for i, p in enumerate(_Q)])
 
 
-@query(
-    "ttest_ind",
-    f"""SELECT n1, n0, round(m1, 4) AS mean_1, round(m0, 4) AS mean_0, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / CAST(n1 + n0 - 2 AS DOUBLE) * (1.0 / CAST(n1 AS DOUBLE) + 1.0 / CAST(n0 AS DOUBLE))), 6) AS t, n1 + n0 - 2 AS df
+_TTEST = f"""SELECT n1, n0, round(m1, 4) AS mean_1, round(m0, 4) AS mean_0, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / CAST(n1 + n0 - 2 AS DOUBLE) * (1.0 / CAST(n1 AS DOUBLE) + 1.0 / CAST(n0 AS DOUBLE))), 6) AS t, n1 + n0 - 2 AS df
         FROM (SELECT count(*) FILTER (WHERE quality = 1) AS n1, count(*) FILTER (WHERE quality = 0) AS n0, avg(n_chars) FILTER (WHERE quality = 1) AS m1, avg(n_chars) FILTER (WHERE quality = 0) AS m0,
-              var_samp(n_chars) FILTER (WHERE quality = 1) AS v1, var_samp(n_chars) FILTER (WHERE quality = 0) AS v0 FROM {_L})""",
-)
+              var_samp(n_chars) FILTER (WHERE quality = 1) AS v1, var_samp(n_chars) FILTER (WHERE quality = 0) AS v0 FROM {_L})"""
+
+
+@query("ttest_ind", _TTEST)
 def ttest_ind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled t of length by quality."""
     return S.ttest(labelled(spark, sf_dir), F.col("n_chars"), F.col("quality") == 1)
 
 
-@query("ttest_p_value")
+def _t_tail(t: str, dof: str) -> str:
+    """SQL for the two-sided tail of Student's t: Simpson's rule for the incomplete beta integral."""
+    x = f"({dof} / ({dof} + ({t}) * ({t})))"
+    f = f"2 * exp(lgamma({dof} / 2 + 0.5) - lgamma({dof} / 2) - lgamma(CAST(0.5 AS DOUBLE)) + ({dof} - 1) * ln(sin(asin(sqrt({x})) * i / 4000)))"
+    inner = f"list_sum(list_transform(range(1, 4001), lambda i: (CASE WHEN i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {f}))"
+    return f"least(1.0, greatest(0.0, asin(sqrt({x})) / 4000 / 3 * {inner}))"
+
+
+@query("ttest_p_value", f"SELECT *, round({_t_tail('t', 'CAST(df AS DOUBLE)')}, 6) AS p FROM ({_TTEST})")
 def ttest_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The t statistic with its two-sided p-value."""
     t = ttest_ind(spark, sf_dir)
     return t.withColumn("p", F.round(S.p_values("t", F.col("t"), F.col("df")), 6))
 
 
-@query("mean_ci")
+@query(
+    "mean_ci",
+    f"""WITH RECURSIVE o AS (SELECT count(n_chars) AS n, avg(n_chars) AS m, stddev_samp(n_chars) / sqrt(count(n_chars)) AS se FROM {_L}),
+          b AS (SELECT 0 AS step, CAST(0 AS DOUBLE) AS lo, CAST(1000 AS DOUBLE) AS hi, CAST(n - 1 AS DOUBLE) AS dof FROM o
+                UNION ALL SELECT step + 1, CASE WHEN 1 - p < 0.95 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN 1 - p < 0.95 THEN hi ELSE (lo + hi) / 2 END, dof
+                FROM (SELECT *, {_t_tail('(lo + hi) / 2', 'dof')} AS p FROM b WHERE step < 60))
+        SELECT n, round(m, 4) AS mean, round(se, 6) AS se, round(m - (lo + hi) / 2 * se, 4) AS low, round(m + (lo + hi) / 2 * se, 4) AS high FROM o, b WHERE step = 60""",
+)
 def mean_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """95 % interval of the mean length."""
     return S.mean_ci(labelled(spark, sf_dir), F.col("n_chars"))
@@ -98,12 +114,33 @@ def ols_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.ols(labelled(spark, sf_dir), "n_chars", ["quality"]).select("term", "coef", "r2")
 
 
-@query("ols_inference")
+_S = "(SELECT count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, regr_sxx(y, x) AS xx, regr_sxx(y, z) AS zz, regr_sxy(z, x) AS xz, regr_sxy(y, x) AS xy, regr_sxy(y, z) AS zy, regr_syy(y, x) AS yy FROM (SELECT CAST(n_chars AS DOUBLE) AS y, CAST(quality AS DOUBLE) AS x, CAST(toxic AS DOUBLE) AS z FROM {0}) WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL)"
+
+
+@query(
+    "ols_inference",
+    f"""WITH s AS (SELECT *, xx * zz - xz * xz AS d FROM {_S.format(_L)}), b AS (SELECT *, (zz * xy - xz * zy) / d AS b1, (xx * zy - xz * xy) / d AS b2 FROM s),
+          c AS (SELECT *, my - b1 * mx - b2 * mz AS b0, (yy - b1 * xy - b2 * zy) / CAST(n - 3 AS DOUBLE) AS v, 1 - (yy - b1 * xy - b2 * zy) / yy AS r FROM b),
+          t AS (SELECT 'const' AS term, b0 AS coef, sqrt(v * (1.0 / CAST(n AS DOUBLE) + (mx * mx * zz - 2 * mx * mz * xz + mz * mz * xx) / d)) AS se, n, r FROM c UNION ALL SELECT 'quality', b1, sqrt(v * zz / d), n, r FROM c UNION ALL SELECT 'toxic', b2, sqrt(v * xx / d), n, r FROM c)
+        SELECT term, round(coef, 4) AS coef, round(se, 4) AS std_err, round(coef / se, 3) AS t, round(r, 6) AS r2, round({_t_tail('(round(coef / se, 3))', 'CAST(n - 3 AS DOUBLE)')}, 6) AS p FROM t""",
+)
 def ols_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-regressor fit with standard errors and p-values."""
     df = labelled(spark, sf_dir)
-    dof = df.count() - 3
-    return S.ols(df, "n_chars", ["quality", "toxic"]).withColumn("p", F.round(S.p_values("t", F.col("t"), F.lit(dof)), 6))
+    dof = df.agg((F.count("*") - 3).alias("d")).scalar()
+    return S.ols(df, "n_chars", ["quality", "toxic"]).withColumn("p", F.round(S.p_values("t", F.col("t"), dof), 6))
+
+
+@query("ols_summary")
+def ols_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fit with intervals and the F test."""
+    return S.ols_summary(labelled(spark, sf_dir), "n_chars", ["quality", "toxic"])
+
+
+@query("tukey_hsd")
+def tukey_hsd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tukey's test of length between languages, with intervals."""
+    return S.tukey_hsd(labelled(spark, sf_dir), F.col("n_chars"), "lang")
 
 
 @query(
@@ -136,16 +173,42 @@ def _logit_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).select("doc_id", "quality", "toxic", (F.col("n_chars") / 1000.0).alias("kilo"))
 
 
-@query("logit_odds")
+def _logit_sql(steps: int = 9) -> str:
+    """Newton steps written out, each one aggregate and the inverse of a symmetric 3 x 3 matrix."""
+    out = [f"d AS MATERIALIZED (SELECT CAST(quality AS DOUBLE) AS y, CAST(toxic AS DOUBLE) AS x, n_chars / 1000.0 AS z FROM {_L} WHERE quality IS NOT NULL AND toxic IS NOT NULL AND n_chars IS NOT NULL)", "w0 AS (SELECT CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c)"]
+    for k in range(steps):
+        out.append(
+            f"""h{k} AS MATERIALIZED (SELECT a, b, c, sum(q) AS m00, sum(q * x) AS m01, sum(q * z) AS m02, sum(q * x * x) AS m11, sum(q * x * z) AS m12, sum(q * z * z) AS m22, sum(y - p) AS g0, sum((y - p) * x) AS g1, sum((y - p) * z) AS g2
+               FROM (SELECT *, p * (1 - p) AS q FROM (SELECT *, 1 / (1 + exp(-(a + b * x + c * z))) AS p FROM d, w{k})) GROUP BY a, b, c)"""
+        )
+        out.append(
+            f"""w{k + 1} AS (SELECT a + ((m11 * m22 - m12 * m12) * g0 + (m02 * m12 - m01 * m22) * g1 + (m01 * m12 - m02 * m11) * g2) / e AS a, b + ((m02 * m12 - m01 * m22) * g0 + (m00 * m22 - m02 * m02) * g1 + (m01 * m02 - m00 * m12) * g2) / e AS b,
+               c + ((m01 * m12 - m02 * m11) * g0 + (m01 * m02 - m00 * m12) * g1 + (m00 * m11 - m01 * m01) * g2) / e AS c
+               FROM (SELECT *, m00 * (m11 * m22 - m12 * m12) - m01 * (m01 * m22 - m12 * m02) + m02 * (m01 * m12 - m11 * m02) AS e FROM h{k}))"""
+        )
+    return "WITH " + ", ".join(out) + f", w AS (SELECT * FROM w{steps}) "
+
+
+@query(
+    "logit_odds",
+    _logit_sql() + "SELECT 'const' AS term, round(a, 6) AS coef, round(exp(a), 6) AS odds_ratio FROM w UNION ALL SELECT 'toxic', round(b, 6), round(exp(b), 6) FROM w UNION ALL SELECT 'kilo', round(c, 6), round(exp(c), 6) FROM w",
+)
 def logit_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odds ratios of quality by toxicity and length."""
-    return S.logit(_logit_frame(spark, sf_dir), "quality", ["toxic", "kilo"])
+    fit = S.logit(_logit_frame(spark, sf_dir), "quality", ["toxic", "kilo"])
+    return fit.select("term", F.round("coef", 6).alias("coef"), F.round("odds_ratio", 6).alias("odds_ratio"))
+
 
+@query("logit_summary")
+def logit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fit with errors, intervals of the odds ratios and pseudo R-squared."""
+    return S.logit_summary(_logit_frame(spark, sf_dir), "quality", ["toxic", "kilo"])
 
-@query("logit_grid")
+
+@query("logit_grid", _logit_sql() + "SELECT CAST(i % 2 AS INTEGER) AS toxic, CAST(i // 2 AS DOUBLE) AS kilo, round(1 / (1 + exp(-(a + b * (i % 2) + c * (i // 2)))), 6) AS p FROM w, (SELECT unnest(range(42)) AS i)")
 def logit_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted probability over a grid of length and toxicity."""
-    w = {r["term"]: r["coef"] for r in logit_odds(spark, sf_dir).collect()}
+    w = {r["term"]: r["coef"] for r in S.logit(_logit_frame(spark, sf_dir), "quality", ["toxic", "kilo"]).collect()}
     grid = spark.range(42).select((F.col("id") % 2).cast("int").alias("toxic"), F.floor(F.col("id") / 2).cast("double").alias("kilo"))
     z = w["const"] + w["toxic"] * F.col("toxic") + w["kilo"] * F.col("kilo")
     return grid.withColumn("p", F.round(1 / (1 + F.exp(-z)), 6))
@@ -153,8 +216,15 @@ def logit_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bootstrap intervals of mean and median length."""
-    return S.bootstrap_ci(parquet(spark, sf_dir, "documents"), "n_chars", 320)
+    """Bootstrap intervals of mean and median length, 10,000 replicates."""
+    return S.bootstrap_ci(parquet(spark, sf_dir, "documents"), "n_chars")
+
+
+@query("bootstrap_stat")
+def bootstrap_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap interval of a statistic of the caller's: the trimmed mean of supplier balances."""
+    trimmed = lambda x: float(np.sort(x)[len(x) // 10 : len(x) - len(x) // 10].mean())
+    return S.bootstrap(parquet(spark, sf_dir, "supplier"), "s_acctbal", trimmed)
 
 
 _M = "(SELECT strftime(o_orderdate, '%Y-%m') AS t, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS y FROM orders GROUP BY 1)"
@@ -198,16 +268,22 @@ def seasonal_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.decompose(logs).select("t", *[F.round(c, 6).alias(c) for c in ("trend", "seasonal", "resid")])
 
 
-@query(
-    "acf",
-    f"WITH c AS (SELECT row_number() OVER (ORDER BY t) AS i, ld - avg(ld) OVER () AS c FROM {_TR} WHERE ld IS NOT NULL) SELECT CAST(b.i - a.i AS INTEGER) AS lag, round(sum(a.c * b.c) / (SELECT sum(c * c) FROM c), 4) AS acf FROM c a JOIN c b ON b.i - a.i BETWEEN 1 AND 24 GROUP BY 1",
-)
+_ACF = f"WITH c AS (SELECT row_number() OVER (ORDER BY t) AS i, ld - avg(ld) OVER () AS c FROM {_TR} WHERE ld IS NOT NULL) SELECT CAST(b.i - a.i AS INTEGER) AS lag, round(sum(a.c * b.c) / (SELECT sum(c * c) FROM c), 4) AS acf FROM c a JOIN c b ON b.i - a.i BETWEEN 1 AND 24 GROUP BY 1"
+
+
+@query("acf", _ACF)
 def acf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Autocorrelations of the differenced log to lag 24."""
     return T.acf(T.transforms(monthly(spark, sf_dir)), "log_diff", 24).select("lag", "acf")
 
 
-@query("pacf")
+@query(
+    "pacf",
+    f"""WITH RECURSIVE r AS (SELECT list(acf ORDER BY lag) AS r FROM ({_ACF})), p AS (SELECT 0 AS k, CAST([] AS DOUBLE[]) AS phi, CAST(0 AS DOUBLE) AS l
+          UNION ALL SELECT k + 1, list_concat(list_transform(range(1, k + 1), lambda j: phi[j] - l * phi[k + 1 - j]), [l]), l
+          FROM (SELECT k, phi, (r[k + 1] - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 1 - j])), 0)) / (1 - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j])), 0)) AS l FROM p, r WHERE k < 24))
+        SELECT CAST(k AS INTEGER) AS lag, round(l, 4) AS pacf FROM p WHERE k > 0""",
+)
 def pacf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial autocorrelations to lag 24."""
     return T.pacf(T.transforms(monthly(spark, sf_dir)), "log_diff", 24).select("lag", "pacf")
@@ -234,6 +310,13 @@ def adf_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.adf(T.transforms(monthly(spark, sf_dir)), "log_diff")
 
 
+@query("forecast_models")
+def forecast_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of the naive, (1,1,1) and seasonal models on the last twelve whole months."""
+    m = monthly(spark, sf_dir)
+    return T.holdout_scores(m.where(F.col("t") < m.agg(F.max("t")).scalar()))
+
+
 @query("forecast_seasonal")
 def forecast_seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve months ahead with bounds; the last month is incomplete and left out."""

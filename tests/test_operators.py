@@ -424,3 +424,65 @@ def test_grouped_quantiles_are_exact(spark, monkeypatch) -> None:  # noqa: ANN00
         one = P.describe(df, ["x"]).first()
         assert (one["q25"], one["q50"], one["q75"]) == tuple(np.round(np.quantile(np.concatenate(list(map(np.array, rows.values()))), [0.25, 0.5, 0.75]), 4))
     assert P.select_by(spark.createDataFrame([(1, 2.0, "x", "y")], "a_i int, a_d double, a_s string, b string"), ("number",), "a_") == ["a_i", "a_d"]
+
+
+def test_studentised_range_and_other_tails() -> None:
+    for q, k, df, p in ((3.877, 3, 10, 0.05), (3.958, 4, 20, 0.05), (3.314, 3, 1e6, 0.05), (5.270, 3, 10, 0.01)):  # of published tables
+        assert abs(special.range_upper(q, k, df) - p) < 3e-4 * p / 0.05 + 1e-4
+    assert abs(special.range_upper(2.5 * math.sqrt(2), 2, 17) - special.t_two_sided(2.5, 17)) < 1e-5
+    assert abs(special.range_quantile(0.95, 3, 10) - 3.877) < 2e-3
+    assert abs(special.chi2_upper(3.841459, 1) - 0.05) < 1e-6 and abs(special.chi2_upper(18.307, 10) - 0.05) < 1e-5 and special.chi2_upper(0, 3) == 1
+    assert abs(special.normal_two_sided(1.959964) - 0.05) < 1e-6
+    assert abs(special.adf_p(-2.86) - 0.05) < 2e-3 and abs(special.adf_p(-3.43) - 0.01) < 1e-3 and special.adf_p(5) == 1 and special.adf_p(-40) == 0  # its critical values
+
+
+def test_tukey_ols_and_logit_tables(spark) -> None:  # noqa: ANN001
+    rng = np.random.default_rng(3)
+    n = 400
+    x, z = rng.normal(size=n), rng.integers(0, 2, n)
+    y = 2 + 0.5 * x - z + rng.normal(size=n)
+    won = (rng.random(n) < 1 / (1 + np.exp(-(0.3 + x - 0.5 * z)))).astype(int)
+    df = spark.createDataFrame(list(zip(x.tolist(), z.tolist(), y.tolist(), won.tolist(), ["abc"[i % 3] for i in range(n)], strict=True)), "x double, z int, y double, won int, g string")
+    a = np.column_stack((np.ones(n), x, z))
+    coef = np.linalg.solve(a.T @ a, a.T @ y)
+    rss = ((y - a @ coef) ** 2).sum()
+    se = np.sqrt(rss / (n - 3) * np.diag(np.linalg.inv(a.T @ a)))
+    rows = S.ols_summary(df, "y", ["x", "z"]).collect()
+    assert [r["term"] for r in rows] == ["const", "x", "z"] and np.allclose([r["coef"] for r in rows], coef, atol=1e-4) and np.allclose([r["std_err"] for r in rows], se, atol=1e-4)
+    r2 = 1 - rss / ((y - y.mean()) ** 2).sum()
+    assert abs(rows[0]["f"] - (r2 / 2) / ((1 - r2) / (n - 3))) < 1e-3 and abs(rows[0]["high"] - rows[0]["low"] - 2 * 1.96595 * se[0]) < 3e-4
+    got = S.logit_summary(df, "won", ["x", "z"]).collect()
+    b = np.array([r["coef"] for r in got])
+    p = 1 / (1 + np.exp(-a @ b))
+    cov = np.linalg.inv((a * (p * (1 - p))[:, None]).T @ a)
+    ll, null = (won * np.log(p) + (1 - won) * np.log(1 - p)).sum(), n * (won.mean() * np.log(won.mean()) + (1 - won.mean()) * np.log(1 - won.mean()))
+    assert np.abs(a.T @ (won - p)).max() < 1e-6 and np.allclose([r["std_err"] for r in got], np.sqrt(np.diag(cov))) and abs(got[0]["pseudo_r2"] - (1 - ll / null)) < 1e-9
+    pairs = S.tukey_hsd(df, F.col("y"), "g").collect()
+    assert [(r["group_1"], r["group_2"]) for r in pairs] == [("a", "b"), ("a", "c"), ("b", "c")] and all(r["low"] < r["diff"] < r["high"] and r["reject"] == (r["low"] > 0 or r["high"] < 0) for r in pairs)
+
+
+def test_bootstraps(spark) -> None:  # noqa: ANN001
+    rng = np.random.default_rng(5)
+    x = np.round(rng.gamma(2, 10, 800), 1)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    a, b = ({r["statistic"]: (r["low"], r["high"]) for r in S.bootstrap_ci(d, "x", 2000).collect()} for d in (df, df.repartition(7)))
+    assert all(np.allclose(a[k], b[k]) for k in ("mean", "median"))
+    se = x.std() / np.sqrt(len(x))
+    assert np.allclose(a["mean"], (x.mean() - 1.96 * se, x.mean() + 1.96 * se), atol=0.25 * se) and a["median"][0] <= np.median(x) <= a["median"][1]
+    mean, mid = S.bootstrap(df, "x", lambda v: float(v.mean()), 2000).first(), S.bootstrap(df, "x", lambda v: float(np.median(v)), 2000).first()
+    assert abs(mean["estimate"] - x.mean()) < 1e-9 and np.allclose((mean["low"], mean["high"]), a["mean"], atol=0.25 * se) and np.allclose((mid["low"], mid["high"]), a["median"], atol=0.6)
+    with pytest.raises(ValueError, match="bootstrap_ci"):
+        S.bootstrap(df, "x", np.mean, most=10)
+    assert S.bootstrap(df.limit(0), "x", np.mean).first()["estimate"] is None
+
+
+def test_forecasts_follow_a_seasonal_series(spark) -> None:  # noqa: ANN001
+    rng = np.random.default_rng(1)
+    t = np.arange(96)
+    y = np.exp(4 + 0.01 * t + 0.2 * np.sin(2 * np.pi * t / 12) + 0.01 * rng.normal(size=96))
+    df = spark.createDataFrame([("s", f"{2000 + i // 12}-{i % 12 + 1:02}", float(v)) for i, v in enumerate(y)], "series string, t string, y double")
+    got = {r["model"]: r for r in T.holdout_scores(df).collect()}
+    assert got["sarima"]["mape"] < 4 < got["arima"]["mape"] and got["sarima"]["mae"] < got["naive"]["mae"]
+    path, sd = T.arima_path(np.log(y[:84]), 12, 12)
+    assert np.abs(path - np.log(y[84:])).max() < 0.08 and (np.diff(sd) > 0).all()
+    assert T.arima_forecast(df.limit(5)).count() == 0
