@@ -1,8 +1,9 @@
 """A paged JSON connector on the Python Data Source API.
 
 The fetch function is injected, so the connector works with any client and is tested
-without a network.  Every range of pages is one partition; a page that fails is read as
-empty after its retries, and reading of a range ends at the first empty page.
+without a network.  With ``pages`` given, every range of ``pagesPerTask`` pages is one
+partition; without it each endpoint is one partition, read to its first empty page.  A page
+that fails after its retries gives a row with the error, and reading goes on.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -20,45 +22,56 @@ Fetch = Callable[[str, int], list[dict] | None]
 
 @dataclass
 class PageRange(InputPartition):
-    """Pages ``first`` to ``last`` (exclusive) of one endpoint."""
+    """Pages ``first`` to ``last`` (exclusive; None: to the end) of one endpoint."""
 
     endpoint: str
     first: int
-    last: int
+    last: int | None
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, fetch: Fetch) -> None:
         self.endpoints = options.get("path", "").split(",")
-        self.pages, self.width = int(options.get("pages", "10")), int(options.get("pagesPerTask", "5"))
-        self.pause, self.retries = float(options.get("pause", "1")), int(options.get("retries", "2"))
+        self.pages, self.width = int(options["pages"]) if "pages" in options else None, int(options.get("pagesPerTask", "5"))
+        self.pause, self.retries, self.failures = float(options.get("pause", "1")), int(options.get("retries", "2")), int(options.get("failures", "3"))
         self.fetch = fetch
 
     def partitions(self) -> list[PageRange]:
+        if self.pages is None:
+            return [PageRange(e, 0, None) for e in self.endpoints]
         return [PageRange(e, a, min(a + self.width, self.pages)) for e in self.endpoints for a in range(0, self.pages, self.width)]
 
-    def _page(self, endpoint: str, page: int) -> list[dict]:
+    def _page(self, endpoint: str, page: int) -> tuple[list[dict], str | None]:
+        error = None
         for attempt in range(self.retries + 1):
             try:
-                return self.fetch(endpoint, page) or []
-            except Exception:  # noqa: BLE001  a page that keeps failing is empty
-                if attempt == self.retries:
-                    return []
-                time.sleep(self.pause)
-        return []
+                return self.fetch(endpoint, page) or [], None
+            except Exception as e:  # noqa: BLE001  reported as a row
+                error = f"{type(e).__name__}: {e}"
+                if attempt < self.retries:
+                    time.sleep(self.pause)
+        return [], error
 
     def read(self, partition: PageRange) -> Iterator[tuple]:
-        for page in range(partition.first, partition.last):
-            rows = self._page(partition.endpoint, page)
+        failed = 0
+        for page in count(partition.first) if partition.last is None else range(partition.first, partition.last):
+            rows, error = self._page(partition.endpoint, page)
+            if error is not None:
+                yield partition.endpoint, page, None, error
+                failed += 1
+                if partition.last is None and failed >= self.failures:  # nothing tells where such an endpoint ends
+                    return
+                continue
             if not rows:
                 return
+            failed = 0
             for r in rows:
-                yield partition.endpoint, page, json.dumps(r)
+                yield partition.endpoint, page, json.dumps(r), None
             time.sleep(self.pause)
 
 
 def register(spark: SparkSession, name: str, fetch: Fetch) -> None:
-    """Register the connector as format ``name``: rows are ``endpoint, page, body`` (JSON)."""
+    """Register the connector as format ``name``: rows are ``endpoint, page, body`` (JSON) and ``error``."""
 
     class Paged(DataSource):
         @classmethod
@@ -66,7 +79,7 @@ def register(spark: SparkSession, name: str, fetch: Fetch) -> None:
             return name
 
         def schema(self) -> str:
-            return "endpoint string, page int, body string"
+            return "endpoint string, page int, body string, error string"
 
         def reader(self, schema) -> _Reader:  # noqa: ANN001, ARG002
             return _Reader(self.options, fetch)

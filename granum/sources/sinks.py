@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granum import storage
+
 #: Longest text of a report cell.
 CELL = 32_000
 
 
-def csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV part files with a header line."""
+def csv(df: DataFrame, path: str, mode: str = "overwrite", bom: bool = False) -> None:
+    """CSV part files with a header line; ``bom`` puts a byte order mark before each file's first name."""
+    if bom and df.columns:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.mode(mode).option("header", True).csv(path)
 
 
@@ -25,14 +31,33 @@ def snapshot(df: DataFrame, path: str, captured_at: str, source: str) -> None:
     stamped.write.mode("overwrite").json(f"{path}/captured_at={captured_at}")
 
 
-def upsert_vectors(df: DataFrame, path: str, id_col: str) -> None:
-    """Append vectors whose id the Parquet table at ``path`` lacks; safe to repeat."""
+def upsert_vectors(df: DataFrame, path: str, id_col: str, order_col: str | None = None) -> None:
+    """Rows of ``df`` replace those of equal id in the Parquet table at ``path``, or are added; safe to repeat.
+
+    Of repeated ids the row of greatest ``order_col`` counts (then of greatest other columns).
+    The merged table is written beside the old one and takes its place when it is whole.
+    """
     spark = df.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fresh = df.dropDuplicates([id_col])
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        fresh = fresh.join(spark.read.parquet(path).select(id_col), id_col, "left_anti")
-    fresh.write.mode("append").parquet(path)
+    rest = [c for c in df.columns if c not in (id_col, order_col)]
+    ranked = F.max(F.struct(*([order_col] if order_col else []), *rest)).alias("_b")
+    fresh = df.groupBy(id_col).agg(ranked).select(id_col, *[F.col(f"_b.{c}").alias(c) for c in df.columns if c != id_col]).select(*df.columns)
+    if storage.exists(spark, path):
+        kept = spark.read.parquet(path).join(fresh.select(id_col), id_col, "left_anti")
+        fresh = kept.unionByName(fresh, allowMissingColumns=True)
+    stamp = uuid.uuid4().hex
+    fresh.write.parquet(f"{path}.next-{stamp}")
+    fs, target = storage.hadoop_path(spark, path)
+    _, new = storage.hadoop_path(spark, f"{path}.next-{stamp}")
+    _, old = storage.hadoop_path(spark, f"{path}.old-{stamp}")
+    if fs.exists(target):
+        fs.rename(target, old)
+    fs.rename(new, target)
+    fs.delete(old, True)
+
+
+def arrays(df: DataFrame, path: str) -> None:
+    """Predictions and other arrays as Parquet, in order of their first column."""
+    df.sortWithinPartitions(df.columns[0]).write.mode("overwrite").parquet(path)
 
 
 def report(sheets: dict[str, DataFrame], path: str) -> None:
@@ -48,3 +73,10 @@ def report(sheets: dict[str, DataFrame], path: str) -> None:
 def save_model(model, path: str) -> None:  # noqa: ANN001
     """A fitted pipeline or model, overwriting what is there; load it with its class's ``load``."""
     model.write().overwrite().save(path)
+
+
+def load_model(path: str):  # noqa: ANN201
+    """The pipeline that :func:`save_model` wrote."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
-from granum.sources import paged, sinks, tables
+from granum import storage
+from granum.sources import paged, sheets, sinks, tables
 
 
 def test_round_trips(spark, tmp_path) -> None:  # noqa: ANN001
@@ -39,5 +44,69 @@ def test_paged_connector(spark) -> None:  # noqa: ANN001
 
     paged.register(spark, "fake_board", fetch)
     df = spark.read.format("fake_board").option("pages", 6).option("pagesPerTask", 3).option("pause", 0).load("jobs,down")
-    rows = df.select("endpoint", F.get_json_object("body", "$.id").cast("int").alias("id")).collect()
+    rows = df.where("error is null").select("endpoint", F.get_json_object("body", "$.id").cast("int").alias("id")).collect()
     assert sorted(r["id"] for r in rows) == sorted(10 * p + i for p in range(4) for i in range(3)) and {r["endpoint"] for r in rows} == {"jobs"}
+    assert sorted((r["endpoint"], r["page"], r["error"]) for r in df.where("error is not null").collect()) == [("down", p, "OSError: no route") for p in range(6)]
+
+
+def test_paged_connector_goes_on_behind_a_failed_page(spark) -> None:  # noqa: ANN001
+    def fetch(endpoint: str, page: int) -> list[dict] | None:
+        if endpoint == "down" or page == 2:
+            raise ValueError("bad gateway")
+        return [{"id": page}] if page < 14 else None
+
+    paged.register(spark, "shaky_board", fetch)
+    rows = spark.read.format("shaky_board").option("pause", 0).option("retries", 0).load("jobs,down").collect()
+    assert [r["page"] for r in rows if r["endpoint"] == "jobs" and r["error"] is None] == [p for p in range(14) if p != 2]
+    assert [r["page"] for r in rows if r["error"]] == [2, 0, 1, 2] and all(r["body"] is None for r in rows if r["error"])
+
+
+def test_upsert_updates(spark, tmp_path) -> None:  # noqa: ANN001
+    path = f"{tmp_path}/v"
+    sinks.upsert_vectors(spark.createDataFrame([(1, [0.5], 1), (2, [0.1], 1)], "id int, v array<double>, at int"), path, "id", "at")
+    new = spark.createDataFrame([(2, [0.2], 3), (2, [0.9], 2), (3, [0.3], 1)], "id int, v array<double>, at int")
+    for _ in range(2):
+        sinks.upsert_vectors(new, path, "id", "at")
+        assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, [0.5], 1), (2, [0.2], 3), (3, [0.3], 1)]
+
+
+def test_workbooks(spark, tmp_path) -> None:  # noqa: ANN001
+    a = spark.createDataFrame([(1, "a & <b>\n é", 0.5, True, None), (2, "x" * 40_000, None, False, None)], "id int, `long text` string, v double, ok boolean, e string")
+    path = f"{tmp_path}/book.xlsx"
+    sinks_path = f"file://{path}"
+    sheets.write_workbook({"first/sheet": a, "empty": a.limit(0)}, sinks_path)
+    got = sheets.read_sheet(spark, sinks_path, "first_sheet")
+    assert got.columns == a.columns and [tuple(r)[:1] + tuple(r)[2:] for r in got.collect()] == [("1", "0.5", "true", None), ("2", None, "false", None)]
+    assert [r[1] for r in got.collect()] == ["a & <b>\n é", "x" * 32_000]
+    assert sheets.read_sheet(spark, sinks_path, "empty").columns == a.columns and sheets.read_sheet(spark, sinks_path, "dictionary").count() == 10
+
+
+def test_reviews_newest_files_and_keys(spark, tmp_path) -> None:  # noqa: ANN001
+    df = spark.createDataFrame([("7", "si")], "id string, verdict string")
+    book, text = tmp_path / "r.xlsx", tmp_path / "r.csv"
+    with pytest.raises(FileNotFoundError):
+        tables.newest_review(spark, str(text), str(book), "s")
+    sheets.write_workbook({"s": df}, str(book), dictionary=False)
+    assert [tuple(r) for r in tables.newest_review(spark, str(text), str(book), "s").collect()] == [("7", "si")]
+    text.write_text("\ufeffid,verdict\n8,no\n", encoding="utf-8")
+    os.utime(book, (1, 1))
+    assert [tuple(r) for r in tables.newest_review(spark, str(text), str(book), "s").select("id", "verdict").collect()] == [("8", "no")]
+    assert storage.newest(spark, f"{tmp_path}/r.*").endswith("r.csv") and storage.newest(spark, f"{tmp_path}/r.*", by_name=True).endswith("r.xlsx")
+    (tmp_path / "AB_FY2024.html").write_text("<p>x</p>")
+    (tmp_path / "other.html").write_text("y")
+    assert sorted((r["ticker"] or "", r["fiscal_year"]) for r in tables.html_files(spark, f"{tmp_path}/*.html").collect()) == [("", None), ("AB", 2024)]
+    for i, day in enumerate(("2026-01-02", "2026-01-05")):
+        (tmp_path / f"cap{i}.json").write_text(json.dumps({"captured_at": day, "jobs": [{"id": i}, {"id": i + 10}]}, indent=1))
+    rows = tables.capture_rows(spark, f"{tmp_path}/cap*.json", "captured_at string, jobs array<struct<id:int>>", "jobs").collect()
+    assert sorted(r["id"] for r in rows) == [0, 1, 10, 11] and {r["last_captured_at"] for r in rows} == {"2026-01-05"}
+    sinks.csv(df, f"{tmp_path}/bom", bom=True)
+    assert next((tmp_path / "bom").glob("part-*.csv")).read_bytes().startswith(b"\xef\xbb\xbfid")
+    sinks.arrays(df, f"{tmp_path}/arrays")
+    assert spark.read.parquet(f"{tmp_path}/arrays").count() == 1
+
+
+def test_yaml_question_set(spark, tmp_path) -> None:  # noqa: ANN001
+    pytest.importorskip("yaml")
+    (tmp_path / "q.yaml").write_text("- id: q1\n  scope: {year: 2024}\n- id: q2\n")
+    rows = tables.yaml_rows(spark, f"{tmp_path}/q.yaml", "id string, scope map<string,int>").collect()
+    assert [(r["id"], r["scope"]) for r in rows] == [("q1", {"year": 2024}), ("q2", None)]
