@@ -1,28 +1,50 @@
-"""Text expressions that stay in the JVM."""
+"""Text expressions that stay in the JVM, but for texts with rare characters or entities.
+
+Such texts alone are handed to Python in Arrow batches (others travel as nulls), where the
+standard library decodes every entity and folds every character.
+"""
 
 from __future__ import annotations
 
+import html
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Accented letters and what they fold to, and the entities that are decoded.
+# Accented letters and what they fold to, characters that folding leaves, and the entities decoded in the JVM.
 ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ", "aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC"
+UNFOLDED = "ß“”‘’–—•€«»¡¿"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
-# English stop words of the cleaning step.
+_RARE_ENTITY = r"&(?!(?:lt|gt|quot|#39|nbsp|amp);)(?:#|[A-Za-z])"
+_RARE_CHARACTER = rf"[^\x09-\x0D\x20-\x7F{ACCENTED}{UNFOLDED}]"
+# English stop words of the cleaning step, as published with a common toolkit.
 STOP_WORDS = (
-    "i me my we our you your he him his she her it its they them their what which who this that these those am is are was were be been being have has had "
-    "do does did a an the and but if or because as until while of at by for with about into through to from up down in out on off over under again then once "
-    "here there when where why how all any both each few more most other some such no nor not only own same so than too very can will just should now"
+    "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's her hers herself it it's its itself "
+    "they them their theirs themselves what which who whom this that that'll these those am is are was were be been being have has had having do does did doing a an the "
+    "and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under "
+    "again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just "
+    "don don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn "
+    "mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't"
 ).split()
 # Stop words of the retrieval tokeniser.
 SEARCH_STOP_WORDS = "a an and are as at be by for from has in is it its of on or that the to was were will with this these those we our their they which what how did does do".split()
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(x: pd.Series) -> pd.Series:
+    return x.map(lambda t: None if t is None else html.unescape(t).replace("\xa0", " "))
+
+
 def unescape(x: Column) -> Column:
-    """Common HTML entities as characters."""
+    """HTML entities as characters, a no-break space as a space; decoded once."""
+    plain = x
     for k, v in ENTITIES.items():
-        x = F.replace(x, F.lit(k), F.lit(v))
-    return x
+        plain = F.replace(plain, F.lit(k), F.lit(v))
+    return F.coalesce(_decoded(F.when(x.rlike(_RARE_ENTITY), x)), plain)
 
 
 def collapse(x: Column) -> Column:
@@ -31,13 +53,65 @@ def collapse(x: Column) -> Column:
 
 
 def fold(x: Column) -> Column:
-    """Accents removed from Latin letters."""
+    """Accents removed from Latin letters, without leaving the JVM."""
     return F.translate(x, ACCENTED, PLAIN)
 
 
+def normalized(text: str) -> str:
+    """One text as :func:`normalize` gives it."""
+    flat = unicodedata.normalize("NFKD", html.unescape(re.sub(r"<[^>]+>", " ", text)))
+    return re.sub(r"\s+", " ", "".join(c for c in flat if not unicodedata.combining(c))).lower()
+
+
+@F.pandas_udf(T.StringType())
+def _normalized(x: pd.Series) -> pd.Series:
+    return x.map(lambda t: None if t is None else normalized(t))
+
+
 def normalize(x: Column) -> Column:
-    """Tags dropped, entities decoded, accents folded, spaces collapsed, lower case; null is empty."""
-    return F.lower(collapse(fold(unescape(F.regexp_replace(F.coalesce(x, F.lit("")), "<[^>]+>", " ")))))
+    """Tags to spaces, entities decoded, compatibility-decomposed without combining marks, white space to single spaces, lower case; null is empty."""
+    held = F.coalesce(x, F.lit(""))
+    plain = F.regexp_replace(held, "<[^>]+>", " ")
+    for k, v in ENTITIES.items():
+        plain = F.replace(plain, F.lit(k), F.lit(v))
+    plain = F.lower(F.regexp_replace(fold(plain), r"[ \t\n\r\f\x0B]+", " "))
+    return F.coalesce(_normalized(F.when(held.rlike(_RARE_CHARACTER) | held.rlike(_RARE_ENTITY), held)), plain)
+
+
+def slug(x: Column) -> Column:
+    """Lower-case ASCII letters and digits, other runs as one dash, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
+# Endings of plural nouns and what they become.
+NOUN_ENDINGS = (("ches", "ch"), ("shes", "sh"), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("men", "man"), ("ies", "y"), ("s", ""))
+
+
+def lemma(word: str, lexicon: frozenset[str], exceptions: dict[str, str]) -> str:
+    """The shortest form of a noun that the lexicon knows: an irregular one, itself, or without an ending."""
+    if word in exceptions:
+        return exceptions[word]
+    forms = [word] if word in lexicon else []
+    forms += [f for end, new in NOUN_ENDINGS if word.endswith(end) and not (end == "s" and word.endswith("ss")) and (f := word[: len(word) - len(end)] + new) in lexicon]
+    return min(forms, key=len, default=word)
+
+
+def lemmatise(words: Column, lexicon: frozenset[str], exceptions: dict[str, str] | None = None) -> Column:
+    """Each word of an array as its lemma; the caller brings the lexicon, which is sent to the workers."""
+    known, odd = lexicon, exceptions or {}
+
+    @F.pandas_udf("array<string>")
+    def each(x: pd.Series) -> pd.Series:
+        seen: dict[str, str] = {}
+
+        def one(w: str) -> str:
+            if w not in seen:
+                seen[w] = lemma(w, known, odd)
+            return seen[w]
+
+        return x.map(lambda ws: None if ws is None else [one(w) for w in ws])
+
+    return each(words)
 
 
 def _words_but(x: Column, letters: str, stop: list[str], least: int = 1) -> Column:
@@ -49,7 +123,7 @@ def _words_but(x: Column, letters: str, stop: list[str], least: int = 1) -> Colu
 def clean_words(x: Column) -> Column:
     """Words of the review cleaner: letters only, lower case, no stop words, over two letters."""
     letters = F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), "<[^>]*>", " "), r"[^a-zA-Z \t\n\r]", "")
-    return _words_but(F.lower(letters), "a-z", STOP_WORDS, 3)
+    return _words_but(F.lower(letters), "a-z", [w for w in STOP_WORDS if w.isalpha()], 3)
 
 
 def tokens(x: Column) -> Column:

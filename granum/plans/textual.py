@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,15 +17,17 @@ _COLLAPSE = lambda x: f"trim(regexp_replace({x}, '[ \\t\\n\\r\\f\\x0B]+', ' ', '
 
 
 def _unescape_sql(x: str) -> str:
-    for k, v in X.ENTITIES.items():
-        x = f"replace({x}, {_q(k)}, {_q(v)})"
+    """Entities of the Latin-1 range with or without a semicolon, longer names first, ampersands last."""
+    names = sorted((n for n, c in name2codepoint.items() if c < 256 and n not in ("amp", "nbsp")), key=lambda n: (-len(n), n))
+    for k, v in [*((f"&{n};?", chr(name2codepoint[n])) for n in names), ("&#39;", "'"), ("&nbsp;?", " "), ("&amp;?", "&")]:
+        x = f"regexp_replace({x}, {_q(k)}, {_q(v)}, 'g')"
     return x
 
 
-_NORM = lambda x: "lower(" + _COLLAPSE("translate(" + _unescape_sql(f"regexp_replace(coalesce({x}, ''), '<[^>]+>', ' ', 'g')") + f", '{X.ACCENTED}', '{X.PLAIN}')") + ")"
+_NORM = lambda x: "lower(regexp_replace(translate(" + _unescape_sql(f"regexp_replace(coalesce({x}, ''), '<[^>]+>', ' ', 'g')") + f", '{X.ACCENTED}', '{X.PLAIN}'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
 _CLEAN = (
     "list_filter(string_split(lower(" + _COLLAPSE("regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '[^a-zA-Z \\t\\n\\r]', '', 'g')")
-    + f"), ' '), lambda w: len(w) > 2 AND NOT list_contains({X.STOP_WORDS}, w))"
+    + f"), ' '), lambda w: len(w) > 2 AND NOT list_contains([{', '.join(map(_q, X.STOP_WORDS))}], w))"
 )
 
 
@@ -70,7 +74,7 @@ _FLAGS_SQL = ", ".join(f"regexp_matches(x, {_q(p)}) AS has_{k}" for k, p in _TOO
 
 def normed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the normalised text computed once, before any pattern reads it."""
-    return docs(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", F.explode(F.array(X.normalize(F.col("text")))).alias("x"))
+    return docs(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", X.normalize(F.col("text")).alias("x"))
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,7 +283,7 @@ def test_text_rules(spark) -> None:  # noqa: ANN001
     x = F.col("x")
     assert get(X.html_text(x), '<script>var t="</p>";</script><p>a&amp;b</p>') == "a&b"
     assert [get(X.least_years(x, r"(\d+)\s*(?:to|yrs?|years?|anos)"), v) for v in ("3 to 5 years", "25 years", "7 yrs or 2 anos", "")] == [3, None, 2, None]
-    assert get(X.normalize(x), None) == "" and get(X.normalize(x), "<b>Ñandú</b>  &amp; co") == "nandu & co"
+    assert get(X.normalize(x), None) == "" and get(X.normalize(x), "<b>Ñandú</b>  &amp; co") == " nandu & co"  # a tag is a space, and ends are not trimmed
     rules = [("latin america|mexico", "LATAM"), ("new york|america", "US/Canada"), ("berlin", "Europe")]
     assert [get(X.first_match(F.lower(x), rules, "Other"), v) for v in ("Remote, Mexico", "Berlin; New York, NY", "Latin America", "")] == ["LATAM", "US/Canada", "LATAM", "Other"]
     assert get(X.lookup(x, {"sr": "senior"}, [("jun", "junior")]), " SR ") == "senior" and get(X.lookup(x, {}, [("jun", "junior")]), "x") is None
@@ -486,3 +486,20 @@ def test_forecasts_follow_a_seasonal_series(spark) -> None:  # noqa: ANN001
     path, sd = T.arima_path(np.log(y[:84]), 12, 12)
     assert np.abs(path - np.log(y[84:])).max() < 0.08 and (np.diff(sd) > 0).all()
     assert T.arima_forecast(df.limit(5)).count() == 0
+
+
+def test_texts_with_rare_characters_and_entities(spark) -> None:  # noqa: ANN001
+    texts = ["plain Text", "caf\u00e9 &amp; &copy; &notin; &#8364;", "ﬁne \u00bd ① Ａ", "a\x1fb\u2003c &nbsp;", "Ｘ&amp;lt;y <b>Z</b>", None, "  é  ", "&amp;copy;", "İstanbul ß"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [tuple(r) for r in df.select("i", X.normalize(F.col("t")), X.unescape(F.col("t"))).orderBy("i").collect()]
+    assert [g[1] for g in got] == ["" if t is None else X.normalized(t) for t in texts]
+    assert got[1][1] == "cafe & © ∈ €" and got[2][1] == "fine 1⁄2 1 a" and got[7][1:] == ("&copy;", "&copy;") and got[1][2] == "café & © ∉ €"
+    assert [r[0] for r in df.select(X.slug(F.col("t"))).orderBy("i").limit(2).collect()] == ["plain-text", "caf-amp-copy-notin-8364"]
+
+
+def test_lemmas(spark) -> None:  # noqa: ANN001
+    known = frozenset("church bus wolf box quiz man city dog glass leave wolve".split())
+    words = ["churches", "buses", "wolves", "boxes", "quizzes", "men", "cities", "dogs", "glass", "mice", "unknowns", "leaves"]
+    df = spark.createDataFrame([(words,), (None,)], "w array<string>")
+    got = [r[0] for r in df.select(X.lemmatise(F.col("w"), known, {"mice": "mouse"})).collect()]
+    assert got == [["church", "bus", "wolf", "box", "quizzes", "man", "city", "dog", "glass", "mouse", "unknowns", "leave"], None]
