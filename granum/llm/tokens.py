@@ -35,12 +35,31 @@ SPACES = regex.compile(r"\s*")
 MEMORY = 300_000
 
 
+def refuse_other_kinds(spec: dict) -> None:
+    """Raise ``ValueError`` for a vocabulary file whose text handling differs from what is built here.
+
+    That is: byte-level BPE under :data:`PATTERN`, no normaliser, no prefix space, added
+    tokens found literally, and no option of the model that changes how words are merged.
+    """
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [
+        spec.get("normalizer") is not None and "a normaliser",
+        (before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True)) and "another pre-tokeniser",
+        model.get("type", "BPE") != "BPE" and "another model",
+        any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")) and "an option of the model",
+        any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")) and "added tokens that take neighbours",
+    ]
+    if any(wrong):
+        raise ValueError("not a plain byte-level vocabulary: it has " + ", ".join(w for w in wrong if w))
+
+
 class PrefixCounter:
     """Prefix token counts under the vocabulary of a byte-level BPE ``tokenizer.json``."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse_other_kinds(spec)
         chars = self._byte_chars()
         back = {c: b for b, c in chars.items()}
         raw = lambda s: bytes(back[c] for c in s)
@@ -153,7 +172,10 @@ class PrefixCounter:
                 base = space[lead - 1] + self._at_points(text[lead - 1 : lead])[-1]
                 tail, head = self._tail(body), 0
             counts = space + [base + c for c in tail[1 + head :]]
-        return bytes([(b - a) & 255 for a, b in zip(counts, counts[1:])])  # noqa: B905
+        changes = [b - a for a, b in zip(counts, counts[1:])]  # noqa: B905
+        if changes and not -128 <= min(changes) <= max(changes) < 128:
+            raise OverflowError("a count changes by more than a signed byte holds")
+        return bytes([c & 255 for c in changes])
 
     def _tail(self, word: str) -> list[int]:
         return self._short_form(word) if word[0] == "'" and len(word) >= 3 and word[1:].isalpha() else self._at_points(word)

@@ -8,8 +8,10 @@ import json
 import math
 import random
 import time
+from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tests.llm.helpers import documents, odd
 from tokenizers import Tokenizer
@@ -39,6 +41,17 @@ def test_prefix_counts_answer_budgets() -> None:
     assert tokens.longest_within(b"", 3) == 0
 
 
+def test_other_vocabularies_are_refused() -> None:
+    with pytest.raises(ValueError, match="normaliser"):
+        tokens.PrefixCounter(str(Path(tokens.default_path()).with_name("word_bpe_49k.json")))
+    with open(tokens.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    tokens.refuse_other_kinds(spec)
+    for change in ({"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": spec["model"] | {"ignore_merges": True}}, {"added_tokens": [{"lstrip": True}]}):
+        with pytest.raises(ValueError, match="not a plain"):
+            tokens.refuse_other_kinds(spec | change)
+
+
 def test_token_report_odd_rows(spark) -> None:  # noqa: ANN001
     rows = tokens.report(odd(spark)).collect()
     assert len(rows) == 8
