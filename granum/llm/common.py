@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granum.storage import hadoop_path, shared_dir
+
 #: Bits of a key bitmap.
 BITS = 1 << 24
 
@@ -17,13 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="granum-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+#: Folders of intermediate tables that are still there, by application.
+_HELD: dict[str, set[str]] = {}
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -35,16 +31,34 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granum-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _HELD.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files behind a frame that :func:`materialize` returned."""
     spark = df.sparkSession
+    held = _HELD.get(spark.sparkContext.applicationId, set())
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/granum-" in path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
+            held -= {h for h in held if h.rsplit("/", 1)[1] == path.rsplit("/", 1)[1]}
+
+
+def release(spark: SparkSession) -> int:
+    """Remove every intermediate table of this application and tell how many.
+
+    Results are lazy and read them, so an application calls this once its results are written.
+    """
+    held = _HELD.pop(spark.sparkContext.applicationId, set())
+    for path in held:
+        _remove(spark, path)
+    return len(held)
 
 
 def free_name(df: DataFrame, stem: str) -> str:

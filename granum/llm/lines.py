@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granum.llm.common import bitmap, bitmap_has, free_name, materialize
+from granum.llm.common import bitmap, bitmap_has, discard, free_name, materialize
 
 #: Lines under a rolling hash.
 WINDOW = 2
@@ -75,7 +75,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
     keep = base.columns
-    dk, ek, ls, left = (free_name(base, x) for x in ("doc_key", "doc_key2", "lines_", "left_"))
+    dk, ek, ls, left, c_dk, c_ek, cut = (free_name(base, x) for x in ("doc_key", "doc_key2", "lines_", "left_", "cut_key", "cut_key2", "cut_"))
     base = base.withColumn(dk, F.xxhash64(id_col, text_col)).withColumn(ek, F.xxhash64(F.lit(7), id_col, text_col))
     cut_up = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
 
@@ -84,6 +84,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     gives = chunks.groupBy(F.col("fdk").alias("g_dk"), F.col("fek").alias("g_ek")).agg(F.collect_set(F.struct("fs", "n")).alias("gives"))
     roles = takes.join(gives, (F.col("dk") == F.col("g_dk")) & (F.col("ek") == F.col("g_ek")), "full")
     roles = materialize(roles.select(F.coalesce("dk", "g_dk").alias("r_dk"), F.coalesce("ek", "g_ek").alias("r_ek"), "takes", "gives"), "roles")
+    discard(chunks)
 
     # only texts whose key is in the bitmap of those with a role are dealt out to the joins
     marked = bitmap_has(bitmap(roles, "r_dk"), F.col(dk))
@@ -95,11 +96,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     given = given.dropDuplicates(["fdk", "fek", "fs", "n"])
     met = taken.join(given, ["fdk", "fek", "fs", "n"])
     lost = met.select("dk", "ek", F.transform(_agreeing("part", "source"), lambda j: j + F.col("s")).alias("gone"))
-    cuts = lost.groupBy(F.col("dk").alias("c_dk"), F.col("ek").alias("c_ek")).agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("cuts"))
+    cuts = lost.groupBy(F.col("dk").alias(c_dk), F.col("ek").alias(c_ek)).agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias(cut))
 
-    out = held.join(cuts, (F.col(dk) == F.col("c_dk")) & (F.col(ek) == F.col("c_ek")), "left").withColumn(ls, cut_up)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("cuts"))
-    out = out.withColumn(left, F.when(F.size("cuts") > 0, F.transform(stay, lambda i: F.get(ls, i))))
+    out = held.join(cuts, (F.col(dk) == F.col(c_dk)) & (F.col(ek) == F.col(c_ek)), "left").withColumn(ls, cut_up)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(cut))
+    out = out.withColumn(left, F.when(F.size(cut) > 0, F.transform(stay, lambda i: F.get(ls, i))))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(ls))
     plain = untouched.select(*[F.col(f"`{c}`") for c in keep], F.when(F.col(text_col).isNull(), 0).otherwise(F.size(cut_up)).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed"))
     return plain.unionByName(out.select(

@@ -20,3 +20,10 @@ def odd(spark: SparkSession) -> DataFrame:
     for name in ("score", "keep", "h", "id", "key", "n_words", "spans", "lines_", "verdict", "batch", "lang_pred", "n_lines"):
         df = df.withColumn(name, df["rank"])
     return df
+
+
+def long_texts(spark: SparkSession) -> DataFrame:
+    """Texts of many lines and of many words, twice each under their own ids, and a short one."""
+    lines = "\n".join(f"line {i} of a very long text {i * i}" for i in range(20_000))
+    words = " ".join(f"w{i}" for i in range(120_000))
+    return documents(spark, [lines, lines, words, words, "a short text of its own"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import hashlib
 import random
 import time
@@ -10,9 +11,9 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tests.llm.helpers import documents, odd
+from tests.llm.helpers import documents, long_texts, odd
 
-from granum.llm import buckets, decontaminate, lines, neardup, simhash, topk
+from granum.llm import buckets, common, decontaminate, lines, neardup, simhash, topk
 from granum.llm.common import components
 
 
@@ -375,3 +376,24 @@ def test_topk_skips_postings_and_holds_wide_scores() -> None:
     best.meet(topk.ImpactIndex(np.arange(4), wide))
     top = (1 << 63) - 1
     assert best.found[1:].T.tolist() == [[top, 0], [top, 1], [(7 << 40) - 21, 3]]
+
+
+def test_very_long_texts(spark) -> None:  # noqa: ANN001
+    df = long_texts(spark)
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(70_000, 70_050)))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in lines.report(df).collect()}
+    assert [(got[i]["n_lines"], got[i]["n_removed"]) for i in range(5)] == [(20_000, 0), (20_000, 20_000), (1, 0), (1, 0), (1, 0)]
+    assert _kept(df) == [0, 2, 4]
+    assert {r["doc_id"]: r["component_id"] for r in simhash.report(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
+    assert {r["doc_id"]: r["n_hit"] for r in decontaminate.report(df, bench).collect()} == {0: 0, 1: 0, 2: 50, 3: 50, 4: 0}
+    cut = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(df, bench).collect()}
+    assert len(cut) == 5 and "w69999  w70050" in cut[2] and "w70010 " not in cut[2]
+
+
+def test_intermediate_tables_are_removed(spark) -> None:  # noqa: ANN001
+    common.release(spark)
+    df = documents(spark, ["a b\nc d", "a b\nc d"])
+    lines.report(df).collect()
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert len(glob.glob(f"{base}/granum-roles-*")) >= 1
+    assert common.release(spark) >= 1 and not glob.glob(f"{base}/granum-*") and common.release(spark) == 0

@@ -9,7 +9,7 @@ import corpus_pipeline
 import duckdb
 import pytest
 from pyspark.sql import functions as F
-from tests.llm.helpers import documents
+from tests.llm.helpers import documents, odd
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,6 +42,20 @@ def test_stage_columns(spark) -> None:  # noqa: ANN001
         assert (out.columns == docs.columns) == (name != "packing")
 
 
+def test_stages_take_odd_tables(spark, tmp_path) -> None:  # noqa: ANN001
+    spark.createDataFrame([(1, "some passage of a test")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = odd(spark).withColumn("n_chars", F.length("text")).withColumn("cuts", F.lit("x")).withColumn("root", F.lit(1)).withColumn("n_tokens", F.lit("y"))
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (df, df.limit(0)):
+            out = stage(spark, docs, str(tmp_path))
+            if name == "packing":
+                assert set(out.columns) >= set(docs.columns) and out.count() == docs.count()
+            else:
+                assert out.columns == docs.columns and out.count() <= docs.count()
+    kept = corpus_pipeline.near_dedup(spark, df, str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "3", "4", "6"] and all(r["cuts"] == "x" for r in kept)
+
+
 @pytest.mark.parametrize("name", [k for k in __spark_entry__.llm.QUERIES])
 def test_registered_queries_cover_their_tables(spark, name) -> None:  # noqa: ANN001
     df = __spark_entry__.queries()[name](spark, SF).cache()

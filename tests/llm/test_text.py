@@ -13,7 +13,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tests.llm.helpers import documents, odd
+from tests.llm.helpers import documents, long_texts, odd
 from tokenizers import Tokenizer
 
 from granum.llm import language, packing, quality, secrets, tokens, urls
@@ -435,3 +435,63 @@ def test_packing_odd_rows(spark) -> None:  # noqa: ANN001
     df = odd(spark)
     assert packing.pack(df, packing.word_count(df["text"])).count() == 8
     assert packing.pack(df.limit(0), packing.word_count(df["text"])).count() == 0
+
+
+def test_very_long_texts(spark) -> None:  # noqa: ANN001
+    df = long_texts(spark)
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    lib = Tokenizer.from_file(tokens.default_path())
+    counted = {r["doc_id"]: r for r in tokens.report(df).collect()}
+    assert all(counted[i]["n_tokens"] == len(lib.encode(t, add_special_tokens=False).ids) and counted[i]["n_bytes"] == len(t) for i, t in texts.items())
+    assert {r["doc_id"]: r["spans"] for r in secrets.report(df).collect()} == dict.fromkeys(range(5), "")
+    packed = {r["doc_id"]: r for r in packing.report(df).collect()}
+    assert packed[2]["n_tokens"] == packed[3]["n_tokens"] == 120_000 and {packed[2]["batch"], packed[3]["batch"]} == {0, 1}
+    assert quality.report(df).count() == language.report(df.withColumn("lang", F.lit("en"))).count() == 5
+
+
+def test_url_filter_odd_rows(spark) -> None:  # noqa: ANN001
+    long = "http://host.com/en/" + "a" * 60_000
+    rows = [(None, long), (1, long), (1, long), (2, None), (None, None), (3, "http://x.org/" + "é" * 3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("score", F.lit("x")).withColumn("g", F.lit(1)).withColumn("y", F.lit(2)).withColumn("h", F.lit(3))
+    got = urls.judge(df, urls.RULES).collect()
+    assert len(got) == 6 and all(r["verdict"] in ("allow", "block") for r in got)
+    assert [r["rule"] for r in got if r["host"] == "host.com"] == ["com/"] * 3
+    assert urls.report(df.limit(0)).count() == 0
+
+
+def test_quality_by_plain_expectation_maximisation() -> None:
+    """The label model against the same equations written out by document."""
+    rng = random.Random(3)
+    n, k = 400, len(quality.LABELLERS)
+    rows = []
+    for _ in range(n):
+        good = rng.random() < 0.8
+        rows.append([2 if rng.random() < 0.2 else (1 if good else 0) if rng.random() < 0.9 else 1 for _ in range(k)])
+    counts: dict = {}
+    for r in rows:
+        c = int("".join(map(str, r)), 3)
+        counts[c] = counts.get(c, 0) + 1
+    model = quality.LabelModel(counts, rounds=30)
+    share, alarm, finds = 0.8, quality.LabelModel.FALSE_ALARM, quality.LabelModel.FINDS
+    bad_votes = [[alarm] * k, [0.2] * k]  # how often a good and a bad document is voted bad
+
+    def chance(r: list[int]) -> float:
+        odds = [share, 1 - share]
+        for c in (0, 1):
+            for v, p in zip(r, bad_votes[c], strict=True):
+                odds[c] *= 1.0 if v == 2 else p if v == 0 else 1 - p
+        return odds[0] / (odds[0] + odds[1])
+
+    for _ in range(30):
+        post = [chance(r) for r in rows]
+        share = min(0.99, max(0.5, sum(post) / n))
+        for c, start in ((0, alarm), (1, 0.2)):
+            w = [p if c == 0 else 1 - p for p in post]
+            for j in range(k):
+                bad = sum(x for x, r in zip(w, rows, strict=True) if r[j] == 0) + 5 * start
+                all_ = sum(x for x, r in zip(w, rows, strict=True) if r[j] != 2) + 5
+                p = bad / all_
+                bad_votes[c][j] = min(p, alarm) if c == 0 else max(p, finds)
+    assert abs(model.share - share) < 1e-9
+    for r in rows:
+        assert abs(model.posterior[int("".join(map(str, r)), 3)] - chance(r)) < 1e-9
