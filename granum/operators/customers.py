@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +77,52 @@ def roi_grid(one: DataFrame, n: str, worth: str, cost: float, steps: int = 10) -
     )
 
 
-def kmeans(df: DataFrame, key: str, columns: list[str], k: int, seed: int = 42) -> DataFrame:
-    """``key, cluster`` by K-means on columns scaled by mean and population deviation."""
-    from pyspark.ml.clustering import KMeans
+def _points(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``key, features``: columns scaled by mean and population deviation."""
     from pyspark.ml.feature import VectorAssembler
 
     stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
     scaled = df.join(F.broadcast(stats)).select(key, *[F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in columns])
-    points = VectorAssembler(inputCols=columns, outputCol="features").transform(scaled)
-    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(points).transform(points).select(key, "cluster")
+    return VectorAssembler(inputCols=columns, outputCol="features").transform(scaled).select(key, "features")
+
+
+def _best_fit(points: DataFrame, k: int, seed: int, starts: int):  # noqa: ANN202
+    """The K-means model of least cost over some starts."""
+    from pyspark.ml.clustering import KMeans
+
+    fits = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(points) for i in range(starts)]
+    return min(fits, key=lambda m: m.summary.trainingCost)
+
+
+def kmeans(df: DataFrame, key: str, columns: list[str], k: int, seed: int = 42, starts: int = 10) -> DataFrame:
+    """``key, cluster`` by K-means, the best of ``starts`` starts, on standardised columns."""
+    points = _points(df, key, columns).cache()
+    out = _best_fit(points, k, seed, starts).transform(points).select(key, "cluster")
+    return out
+
+
+def silhouette(x: np.ndarray, label: np.ndarray) -> float:
+    """Mean silhouette by Euclidean distance; rows of one-row clusters count 0."""
+    gap = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * x @ x.T, 0))
+    own = label[:, None] == np.unique(label)[None, :]
+    size = own.sum(axis=0)
+    total = gap @ own
+    inside = total[own] / np.maximum(size[own.argmax(axis=1)] - 1, 1)
+    outside = np.where(own, np.inf, total / size).min(axis=1)
+    score = np.where(size[own.argmax(axis=1)] > 1, (outside - inside) / np.maximum(np.maximum(inside, outside), 1e-300), 0.0)
+    return float(score.mean()) if len(size) > 1 else 0.0
+
+
+def cluster_sweep(df: DataFrame, key: str, columns: list[str], ks: Sequence[int] = range(2, 9), seed: int = 42, starts: int = 3, sample: int = 2000) -> DataFrame:
+    """``k, inertia, silhouette`` for numbers of clusters; the silhouette is of ``sample`` rows of smallest key hash."""
+    points = _points(df, key, columns).cache()
+    few = points.orderBy(F.xxhash64(key)).limit(sample).cache()
+    rows = []
+    for k in ks:
+        model = _best_fit(points, k, seed, starts)
+        held = model.transform(few).select("features", "cluster").collect()
+        x, label = np.array([r[0].toArray() for r in held]), np.array([r[1] for r in held])
+        rows.append((int(k), float(model.summary.trainingCost), silhouette(x, label) if len(x) else None))
+    points.unpersist()
+    few.unpersist()
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")

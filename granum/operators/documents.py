@@ -240,3 +240,20 @@ def windows(x: Column, width: int = 160) -> Column:
     n = F.length(x)
     three = F.transform(F.array(F.lit(0.3), F.lit(0.5), F.lit(0.7)), lambda f: F.substr(x, F.least((n * f).cast("int"), n - width) + 1, F.lit(width)))
     return F.when(n <= width, F.array(x)).otherwise(F.array_distinct(three))
+
+
+def browse(df: DataFrame, id_col: str, text_col: str, where: Column | None = None, grep: str | None = None, shuffle: int | None = None, skip: int = 0, limit: int = 20, around: int = 60) -> DataFrame:
+    """A page of texts: ``id, head, tail``, and ``hit`` with ``around`` characters each side of the first match of ``grep``.
+
+    Rows are in order of id, or of a hash that ``shuffle`` seeds, which is a repeatable random order.
+    """
+    rows = df if where is None else df.where(where)
+    t = F.col(text_col)
+    hit = F.lit(None).cast("string")
+    if grep is not None:
+        rows = rows.where(F.rlike(t, F.lit(grep)))
+        at = F.locate("\x01", F.regexp_replace(t, f"(?s)^(.*?)({grep}).*$", "$1\x01"))
+        hit = F.substr(t, F.greatest(at - around, F.lit(1)), F.lit(2 * around))
+    order = F.col(id_col) if shuffle is None else F.xxhash64(F.lit(shuffle), F.col(id_col))
+    picked = rows.orderBy(order, id_col).offset(skip).limit(limit)
+    return picked.select(id_col, F.left(text_col, F.lit(80)).alias("head"), F.right(text_col, F.lit(40)).alias("tail"), hit.alias("hit"))

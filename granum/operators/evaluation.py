@@ -73,3 +73,23 @@ def citations(answer: Column, n_given: Column) -> Column:
     """``struct(cited, invalid)`` numbers of an answer's ``[n]`` marks, distinct and sorted."""
     cited = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,6})\]"), F.lit(1)), lambda v: v.cast("int"))))
     return F.struct(cited.alias("cited"), F.filter(cited, lambda v: (v < 1) | (v > n_given)).alias("invalid"))
+
+
+def cited_texts(cited: Column, given: Column) -> Column:
+    """The excerpt behind each valid citation number, in order."""
+    return F.transform(F.filter(cited, lambda n: (n >= 1) & (n <= F.size(given))), lambda n: F.get(given, n - 1))
+
+
+def citation_precision(cited: Column, given: Column, windows: Column) -> Column:
+    """Share of the validly cited excerpts that hold any gold window; null without gold or a valid citation."""
+    flat = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    texts = cited_texts(cited, given)
+    good = F.filter(texts, lambda t: F.exists(windows, lambda w: F.contains(flat(t), flat(w))))
+    return F.when((F.size(windows) > 0) & (F.size(texts) > 0), F.size(good) / F.size(texts))
+
+
+def named(text: Column, names: dict[str, list[str]]) -> Column:
+    """Keys whose names occur in a text, letter case aside; all keys if none does."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    found = F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(n.lower()) for n in ns]), lambda n: F.contains(low, n)), F.lit(k)) for k, ns in names.items()]))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, names)))

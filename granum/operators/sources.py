@@ -51,3 +51,8 @@ def review_override(rows: DataFrame, sheet: DataFrame, key: str, allowed: set[st
 def incremental(new: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not in ``done``."""
     return new.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def without_nulls(entries: Column) -> Column:
+    """A map without its entries of null value."""
+    return F.map_filter(entries, lambda k, v: v.isNotNull())

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granum.operators import classification as K
+from granum.functions.money import dsum
 from granum.operators import features as X
+from granum.operators import models as M
 from granum.operators import profiling as P
 from granum.plans.registry import query
 from granum.sources.tables import parquet
@@ -202,65 +204,73 @@ def confident_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.top_errors(predicted(spark, sf_dir), 20, "label", "pred", "conf", "vec_id")
 
 
-def _text_features(spark: SparkSession, sf_dir: str, n: int = 1024) -> DataFrame:
-    from pyspark.ml.feature import HashingTF
-
+def _text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = parquet(spark, sf_dir, "documents").select("doc_id", "text").join(parquet(spark, sf_dir, "labels"), "doc_id")
-    words = df.select("doc_id", F.col("quality").cast("double").alias("label"), F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("words"))
-    return HashingTF(numFeatures=n, inputCol="words", outputCol="features").transform(words).select("doc_id", "label", "features")
+    return df.select("doc_id", "text", F.col("quality").cast("double").alias("label"))
+
+
+def _text_features(spark: SparkSession, sf_dir: str, n: int = 1024) -> DataFrame:
+    return M.hashed_words(_text_labels(spark, sf_dir), n).select("doc_id", "label", "features")
 
 
 def _scored(estimator, data: DataFrame) -> DataFrame:  # noqa: ANN001
-    from pyspark.ml.functions import vector_to_array
+    return M.scored(estimator.fit(data), data).select("doc_id", "label", "prediction", F.round("p_1", 6).alias("p_1"))
+
+
+def _tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with a few numbers; the label is whether the balance is negative."""
+    orders = parquet(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), dsum("o_totalprice").alias("spent"), F.max("o_totalprice").alias("largest"))
+    c = parquet(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") < 0).cast("double").alias("label"), F.col("c_nationkey").cast("double").alias("nation"))
+    return c.join(orders, "c_custkey", "left").fillna(0).withColumnRenamed("c_custkey", "doc_id")
 
-    out = estimator.fit(data).transform(data)
-    return out.select("doc_id", "label", "prediction", F.round(vector_to_array("probability")[1], 6).alias("p_1"))
+
+_TABULAR = ["nation", "n_orders", "spent", "largest"]
 
 
 @query("ml_logreg")
 def ml_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2 logistic regression with C = 1 on the sum of losses."""
-    from pyspark.ml.classification import LogisticRegression
-
     data = _text_features(spark, sf_dir)
-    return _scored(LogisticRegression(regParam=1.0 / max(1, data.count()), elasticNetParam=0.0, standardization=False, maxIter=50), data)
+    return _scored(M.logistic(data), data)
 
 
 @query("ml_forest")
 def ml_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random forest."""
-    from pyspark.ml.classification import RandomForestClassifier
-
-    return _scored(RandomForestClassifier(numTrees=20, maxDepth=6, minInstancesPerNode=5, seed=42), _text_features(spark, sf_dir, 256))
+    """Random forest of 300 trees of depth 8 with leaves of 5."""
+    return _scored(M.forest(), M.assembled(_tabular(spark, sf_dir), _TABULAR))
 
 
 @query("ml_gbt")
 def ml_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gradient-boosted trees."""
-    from pyspark.ml.classification import GBTClassifier
+    """Two hundred rounds of gradient-boosted trees of depth 4."""
+    return _scored(M.boosted(), M.assembled(_tabular(spark, sf_dir), _TABULAR))
+
 
-    return _scored(GBTClassifier(maxIter=8, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, seed=42), _text_features(spark, sf_dir, 128))
+@query("ml_importances")
+def ml_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest's most important features."""
+    return M.importances(M.forest(trees=50).fit(M.assembled(_tabular(spark, sf_dir), _TABULAR)), _TABULAR, spark)
 
 
 @query("ml_naive_bayes")
 def ml_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multinomial naive Bayes with smoothing 0.1."""
-    from pyspark.ml.classification import NaiveBayes
+    return _scored(M.naive_bayes(), _text_features(spark, sf_dir))
 
-    return _scored(NaiveBayes(smoothing=0.1), _text_features(spark, sf_dir))
+
+def text_pipeline(spark: SparkSession, sf_dir: str):  # noqa: ANN201
+    """The fitted pipeline from text to label, for batches and streams alike."""
+    return M.text_pipeline(M.naive_bayes()).fit(_text_labels(spark, sf_dir).where("text is not null"))
 
 
 @query("cv_auc")
 def cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact AUC of naive Bayes in each of five stratified folds."""
-    from pyspark.ml.classification import NaiveBayes
-    from pyspark.ml.functions import vector_to_array
-
-    data = K.stratified_folds(_text_features(spark, sf_dir, 256), "label", "doc_id", 5, "fold")
-    out = None
-    for k in range(5):
-        model = NaiveBayes(smoothing=0.1).fit(data.where(F.col("fold") != k))
-        held = model.transform(data.where(F.col("fold") == k)).select("label", vector_to_array("probability")[1].alias("p"))
-        one = K.roc_auc(held, F.col("label") == 1, F.col("p")).select(F.lit(k).alias("fold"), "auc")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Exact AUC of three models in each of five stratified folds."""
+    data = _text_features(spark, sf_dir, 256)
+    return M.fold_auc(data, {"naive_bayes": M.naive_bayes(), "logistic": M.logistic(data, rounds=50), "forest": M.forest(trees=20, depth=6)})
+
+
+@query("cv_summary")
+def cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of the folds' AUC."""
+    return M.fold_summary(M.fold_auc(_text_features(spark, sf_dir, 256), {"naive_bayes": M.naive_bayes()}))

@@ -307,3 +307,9 @@ def retention_vs_acquisition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-means on standardised RFM values."""
     return C.kmeans(rfm(spark, sf_dir), "customer", ["recency", "frequency", "monetary"], 4)
+
+
+@query("cluster_sweep")
+def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inertia and silhouette of two to eight clusters."""
+    return C.cluster_sweep(rfm(spark, sf_dir), "customer", ["recency", "frequency", "monetary"], starts=1)

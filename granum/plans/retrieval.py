@@ -12,6 +12,7 @@ from granum.operators import search as R
 from granum.plans.registry import query
 from granum.plans.textual import _CLEAN, _COLLAPSE, _unescape_sql, docs
 from granum.sources.tables import parquet
+from granum.streaming import windows as W
 
 _STRIP = "regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')"
 _HTML = _COLLAPSE(_unescape_sql(f"regexp_replace({_STRIP}, '<[^>]+>', ' ', 'g')"))
@@ -398,17 +399,51 @@ def score_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given.join(scored, "doc_id", "left")
 
 
+_EVENTS = "(SELECT user_id, ts FROM events WHERE ts IS NOT NULL)"
+
+
 @query("stream_hourly", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS n FROM events GROUP BY 1")
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling hourly counts; the streaming form runs the same function."""
-    from granum.streaming.windows import hourly_counts
+    """Tumbling hourly counts of the events read as a stream, as they stand at its end."""
+    return W.run_to_table(W.hourly_counts(W.read_stream(spark, f"{sf_dir}/events.parquet"), late="3650 days"))
+
+
+@query(
+    "stream_sliding",
+    f"""SELECT strftime(s, '%Y-%m-%d %H') AS start, count(*) AS n FROM (SELECT unnest([to_timestamp(floor(epoch(ts) / 21600) * 21600) AT TIME ZONE 'UTC', to_timestamp(floor(epoch(ts) / 21600) * 21600 - 21600) AT TIME ZONE 'UTC']) AS s FROM {_EVENTS}) GROUP BY 1""",
+)
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts in windows of twelve hours every six, of the events read as a stream."""
+    counts = W.run_to_table(W.sliding_counts(W.read_stream(spark, f"{sf_dir}/events.parquet"), "12 hours", "6 hours", late="3650 days"))
+    return counts.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "n")
 
-    return hourly_counts(parquet(spark, sf_dir, "events"))
+
+@query(
+    "session_windows",
+    f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS nw FROM {_EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+             s AS (SELECT user_id, ts, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+        SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS stop, count(*) AS n FROM s GROUP BY user_id, k""",
+)
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user with gaps under thirty minutes."""
+    out = W.sessions(parquet(spark, sf_dir, "events"), "user_id", "30 minutes")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("stop", "yyyy-MM-dd HH:mm:ss").alias("stop"), "n")
 
 
 @query("stream_incremental", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an incremental load would still take in."""
+    """Documents read as a stream that are not in the labels yet."""
     from granum.operators.sources import incremental
 
-    return incremental(docs(spark, sf_dir).select("doc_id"), parquet(spark, sf_dir, "labels"), ["doc_id"])
+    new = W.read_stream(spark, f"{sf_dir}/documents.parquet").select("doc_id")
+    return W.run_to_table(incremental(new, parquet(spark, sf_dir, "labels"), ["doc_id"]), "append")
+
+
+@query("stream_scores")
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read as a stream and scored by the fitted naive Bayes pipeline."""
+    from granum.plans.profile import text_pipeline
+
+    model = text_pipeline(spark, sf_dir)
+    rows = W.read_stream(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return W.run_to_table(W.score(rows.where("text is not null"), model).select("doc_id", "prediction", "confidence"), "append")

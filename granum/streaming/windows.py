@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from granum import storage
+
 
 def hourly_counts(events: DataFrame, ts: str = "ts", late: str = "2 hours") -> DataFrame:
     """``hour, n`` of events; a stream gets a watermark and drops what is later.
@@ -52,3 +56,63 @@ def append_new(stream: DataFrame, target: str, keys: list[str], checkpoint: str)
         fresh.write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_stream(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
+    """The Parquet file or folder ``path`` as a stream, ``files`` at a time, with the schema it has now."""
+    schema = spark.read.parquet(path).schema
+    fs, p = storage.hadoop_path(spark, path)
+    at, own = (path, "*") if fs.getFileStatus(p).isDirectory() else path.rsplit("/", 1)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", own).parquet(at)
+
+
+def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """Run a stream until its source is read and return what it gave, from the shared folder.
+
+    ``complete`` keeps the whole result of the last batch, ``append`` all finished rows.  Each
+    batch is written under its number, so one that is repeated after a failure replaces itself.
+    """
+    spark = stream.sparkSession
+    base = f"{storage.shared_dir(spark)}/granum-stream-{uuid.uuid4().hex}"
+    seen: list[int] = []
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/batch={number}")
+        seen.append(number)
+
+    query = stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{base}-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not seen:
+        return spark.createDataFrame([], stream.schema)
+    held = spark.read.parquet(*[f"{base}/batch={n}" for n in (seen[-1:] if mode == "complete" else sorted(set(seen)))])
+    return held.select(*stream.columns)
+
+
+def latest_per_key(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
+    """Keep the row of greatest ``order`` of each key in the Parquet table ``target``; the last one wins.
+
+    A batch is merged with the table into a new version beside it, which then takes its place,
+    so a repeated batch changes nothing.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rest = [c for c in batch.columns if c not in keys and c not in order]
+        every = batch.unionByName(spark.read.parquet(target)) if storage.exists(spark, target) else batch
+        best = every.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_b")).select(*keys, "_b.*").select(*batch.columns)
+        best.write.mode("overwrite").parquet(f"{target}.next")
+        fs, new = storage.hadoop_path(spark, f"{target}.next")
+        _, old = storage.hadoop_path(spark, target)
+        fs.delete(old, True)
+        fs.rename(new, old)
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def score(rows: DataFrame, model, probability: str = "probability") -> DataFrame:  # noqa: ANN001
+    """Rows of a batch or a stream with the ``prediction`` and ``confidence`` of a fitted pipeline."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = model.transform(rows)
+    most: Column = F.array_max(vector_to_array(F.col(probability)))
+    return out.select(*rows.columns, "prediction", F.round(most, 4).alias("confidence"))

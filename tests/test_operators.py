@@ -17,6 +17,7 @@ from granum.operators import customers as C
 from granum.operators import documents as D
 from granum.operators import evaluation as E
 from granum.operators import features as G
+from granum.operators import models
 from granum.operators import profiling as P
 from granum.operators import ranking
 from granum.operators import search as R
@@ -24,6 +25,7 @@ from granum.operators import sources as I
 from granum.operators import statistics as S
 from granum.operators import timeseries as T
 from granum.plans import retrieval
+from granum.sources import sinks
 from granum.streaming import windows as W
 
 
@@ -503,3 +505,69 @@ def test_lemmas(spark) -> None:  # noqa: ANN001
     df = spark.createDataFrame([(words,), (None,)], "w array<string>")
     got = [r[0] for r in df.select(X.lemmatise(F.col("w"), known, {"mice": "mouse"})).collect()]
     assert got == [["church", "bus", "wolf", "box", "quizzes", "man", "city", "dog", "glass", "mouse", "unknowns", "leave"], None]
+
+
+def test_citations_names_and_maps(spark) -> None:  # noqa: ANN001
+    rows = [([1, 3, 9], ["gold  text here", "b", "other"], ["gold text"]), ([2], ["a", "b"], []), ([7], ["a"], ["a"])]
+    df = spark.createDataFrame(rows, "c array<int>, g array<string>, w array<string>")
+    got = [tuple(r) for r in df.select(E.cited_texts(F.col("c"), F.col("g")), E.citation_precision(F.col("c"), F.col("g"), F.col("w"))).collect()]
+    assert got == [(["gold  text here", "other"], 0.5), (["b"], None), ([], None)]
+    names = {"AB": ["Alpha Beta", "AlphaB"], "CD": ["Cedar"]}
+    texts = spark.createDataFrame([("what did alpha beta and CEDAR say",), ("cedar?",), ("nobody",), (None,)], "t string")
+    assert [r[0] for r in texts.select(E.named(F.col("t"), names)).collect()] == [["AB", "CD"], ["CD"], ["AB", "CD"], ["AB", "CD"]]
+    assert spark.sql("select map('a', 1, 'b', null) as m").select(I.without_nulls(F.col("m"))).first()[0] == {"a": 1}
+
+
+def test_browse(spark) -> None:  # noqa: ANN001
+    df = spark.createDataFrame([(i, f"text {i} " + ("needle in hay" if i % 5 == 0 else "hay") + " end") for i in range(50)], "id int, t string")
+    assert [r["id"] for r in D.browse(df, "id", "t", skip=3, limit=4).collect()] == [3, 4, 5, 6]
+    hits = D.browse(df, "id", "t", where=F.col("id") > 4, grep="need?le", around=8).collect()
+    assert [r["id"] for r in hits] == list(range(5, 50, 5)) and all("needle" in r["hit"] and len(r["hit"]) <= 16 for r in hits)
+    a, b = ([r["id"] for r in D.browse(x, "id", "t", shuffle=3, limit=10).collect()] for x in (df, df.repartition(7)))
+    assert a == b != sorted(a)
+
+
+def test_silhouette_and_sweep(spark) -> None:  # noqa: ANN001
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.3, (60, 2)) for c in ((0, 0), (5, 0), (0, 5))])
+    label = np.repeat([0, 1, 2], 60)
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = []
+    for i in range(len(x)):
+        inside = gap[i][(label == label[i]) & (np.arange(len(x)) != i)].mean()
+        outside = min(gap[i][label == c].mean() for c in range(3) if c != label[i])
+        want.append((outside - inside) / max(inside, outside))
+    assert abs(C.silhouette(x, label) - np.mean(want)) < 1e-9 and C.silhouette(x[:5], np.zeros(5)) == 0.0
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id int, a double, b double")
+    rows = {r["k"]: r for r in C.cluster_sweep(df, "id", ["a", "b"], ks=(2, 3, 5), starts=2).collect()}
+    assert max(rows, key=lambda k: rows[k]["silhouette"]) == 3 and rows[2]["inertia"] > rows[3]["inertia"] > rows[5]["inertia"]
+
+
+def test_models_and_streamed_scores(spark, tmp_path) -> None:  # noqa: ANN001
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("good fine nice".split() if i % 2 else "bad poor sad".split()) for _ in range(6)), float(i % 2)) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, label double")
+    model = models.text_pipeline(models.naive_bayes(), 64).fit(df)
+    sinks.save_model(model, f"{tmp_path}/m")
+    df.select("doc_id", "text").repartition(4).write.parquet(f"{tmp_path}/in")
+    scored = W.run_to_table(W.score(W.read_stream(spark, f"{tmp_path}/in", files=2), sinks.load_model(f"{tmp_path}/m")), "append")
+    got = {r["doc_id"]: r for r in scored.collect()}
+    assert len(got) == 80 and all(got[i]["prediction"] == y and 0.5 <= got[i]["confidence"] <= 1 for i, _, y in rows)
+    one = models.fold_summary(models.fold_auc(models.hashed_words(df, 64).select("doc_id", "label", "features"), {"nb": models.naive_bayes()}, folds=3)).first()
+    assert (one["mean_auc"], one["std_auc"]) == (1.0, 0.0)
+    table = models.assembled(df.withColumn("n", F.pmod(F.xxhash64("doc_id"), F.lit(7)).cast("double")).withColumn("y", F.col("label")), ["n", "y"])
+    assert models.importances(models.forest(trees=5).fit(table), ["n", "y"], spark).first()["feature"] == "y"
+
+
+def test_streamed_latest_rows_and_sliding_windows(spark, tmp_path) -> None:  # noqa: ANN001
+    rows = [(k, at, f"v{k}.{at}") for k in range(5) for at in range(8)]
+    random.Random(1).shuffle(rows)
+    spark.createDataFrame(rows, "k int, at int, v string").repartition(4).write.parquet(f"{tmp_path}/in")
+    for _ in range(2):
+        W.latest_per_key(W.read_stream(spark, f"{tmp_path}/in", files=1), f"{tmp_path}/out", ["k"], ["at"], f"{tmp_path}/ck").awaitTermination(120)
+        assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(k, 7, f"v{k}.7") for k in range(5)]
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events")
+    got = W.run_to_table(W.sliding_counts(W.read_stream(spark, f"{tmp_path}/events", files=1), "2 hours", "1 hour", late="3650 days"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, W.sliding_counts(events, "2 hours", "1 hour").collect()))
+    assert W.run_to_table(W.read_stream(spark, f"{tmp_path}/events").where("false"), "append").count() == 0
