@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -103,65 +105,110 @@ def adf(df: DataFrame, y: str) -> DataFrame:
     return df.groupBy("series").applyInPandas(fit, "series string, stat double, lags int, n long, p double")
 
 
-def _innovations(p: np.ndarray, w: np.ndarray, season: int) -> np.ndarray:
-    """Residuals of the differenced series under parameters held inside (-0.9, 0.9)."""
-    ar, ma, sar, sma = 0.9 * np.tanh(np.concatenate((p, np.zeros(4 - len(p)))))
+#: Points of a differenced series up to which its likelihood is exact; the covariance matrix of longer ones is left out.
+EXACT = 600
+
+
+def _polynomials(p: np.ndarray, season: int) -> tuple[np.ndarray, np.ndarray]:
+    """Autoregressive and moving-average polynomials of parameters held inside (-1, 1)."""
+    ar, ma, sar, sma = np.tanh(np.concatenate((p, np.zeros(4 - len(p)))))
+    if not season:
+        return np.array([1.0, -ar]), np.array([1.0, ma])
+    gap = np.zeros(season - 1)
+    return np.convolve([1.0, -ar], np.concatenate(([1.0], gap, [-sar]))), np.convolve([1.0, ma], np.concatenate(([1.0], gap, [sma])))
+
+
+def _weights(ar: np.ndarray, ma: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` moving-average weights of a model."""
+    psi = np.zeros(n)
+    at = [k for k in range(1, len(ar)) if ar[k]]
+    for t in range(n):
+        psi[t] = (ma[t] if t < len(ma) else 0.0) - sum(ar[k] * psi[t - k] for k in at if k <= t)
+    return psi
+
+
+def _covariance(ar: np.ndarray, ma: np.ndarray, n: int) -> np.ndarray:
+    """Covariances of ``n`` points of a stationary series with unit innovations."""
+    lags = max(600, 2 * n)
+    psi = _weights(ar, ma, lags)
+    gamma = np.array([psi[: lags - k] @ psi[k:] for k in range(n)])
+    return gamma[np.abs(np.subtract.outer(np.arange(n), np.arange(n)))]
+
+
+def _loss(p: np.ndarray, w: np.ndarray, season: int) -> float:
+    """The negative log likelihood with the variance worked out; without covariances for long series."""
+    ar, ma = _polynomials(p, season)
+    if len(w) > EXACT:
+        e = _residuals(ar, ma, w)
+        return len(w) / 2 * np.log(max(e @ e, 1e-300) / len(w))
+    try:
+        root = np.linalg.cholesky(_covariance(ar, ma, len(w)))
+    except np.linalg.LinAlgError:
+        return np.inf
+    e = np.linalg.solve(root, w)
+    return len(w) / 2 * np.log(max(e @ e, 1e-300) / len(w)) + np.log(np.diag(root)).sum()
+
+
+def _residuals(ar: np.ndarray, ma: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Innovations of a series whose earlier points and innovations are 0."""
     e = np.zeros(len(w))
-    back = lambda s, t, k: s[t - k] if t >= k else 0.0
+    back = [k for k in range(1, max(len(ar), len(ma)))]
     for t in range(len(w)):
-        e[t] = w[t] - ar * back(w, t, 1) - ma * back(e, t, 1)
-        if season:
-            e[t] += -sar * back(w, t, season) + ar * sar * back(w, t, season + 1) - sma * back(e, t, season) - ma * sma * back(e, t, season + 1)
+        e[t] = w[t] + sum((ar[k] * w[t - k] if k < len(ar) else 0.0) - (ma[k] * e[t - k] if k < len(ma) else 0.0) for k in back if k <= t)
     return e
 
 
-def _fitted(w: np.ndarray, season: int) -> tuple[np.ndarray, np.ndarray]:
-    """Parameters and residuals of least conditional squares, by damped Gauss-Newton steps."""
-    p = np.array([0.1, -0.3, 0.05, -0.3] if season else [0.1, -0.3])
-    base, damp, unit = _innovations(p, w, season), 1e-2, np.eye(len(p))
-    for _ in range(60):
-        jac = np.column_stack([(_innovations(p + 1e-5 * u, w, season) - base) / 1e-5 for u in unit])
-        step = np.linalg.solve(jac.T @ jac + damp * unit, -jac.T @ base)
-        nxt = _innovations(p + step, w, season)
-        better = nxt @ nxt < base @ base
-        if better:
-            p, base = p + step, nxt
-        damp = damp / 3 if better else damp * 4
-        if np.abs(step).max() < 1e-8:
+def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, size: float = 0.4, rounds: int = 300, close: float = 1e-9) -> np.ndarray:
+    """A point of least ``f`` by the downhill simplex method."""
+    points = [start, *(start + size * np.eye(len(start)))]
+    held = sorted(((f(x), i, x) for i, x in enumerate(points)), key=lambda h: h[:2])
+    n = len(points)
+    for _ in range(rounds):
+        if held[-1][0] - held[0][0] < close:
             break
-    return p, base
+        centre = np.mean([h[2] for h in held[:-1]], axis=0)
+        away = centre - held[-1][2]
+        tried = {a: f(centre + a * away) for a in (1.0,)}
+        if tried[1.0] < held[0][0]:
+            tried[2.0] = f(centre + 2 * away)
+        elif tried[1.0] >= held[-2][0]:
+            tried[-0.5] = f(centre - 0.5 * away)
+        a = min(tried, key=tried.get)
+        if tried[a] < held[-1][0] and (a != 1.0 or tried[a] < held[-2][0] or -0.5 in tried):
+            held[-1] = (tried[a], n, centre + a * away)
+            n += 1
+        else:
+            low = held[0][2]
+            held[1:] = [(f(low + (x - low) / 2), i, low + (x - low) / 2) for _, i, x in held[1:]]
+        held.sort(key=lambda h: h[:2])
+    return held[0][2]
 
 
 def arima_path(z: np.ndarray, season: int, ahead: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forecast and deviation, on the scale of ``z``, of (1,1,1) or, with a season, (1,1,1)(1,1,1)."""
+    """Forecast and deviation, on the scale of ``z``, of (1,1,1) or, with a season, (1,1,1)(1,1,1).
+
+    Parameters have the greatest Gaussian likelihood of the differenced series, and its
+    forecasts are the best linear ones given all of its points.
+    """
     d = np.diff(z)
     w = d[season:] - d[:-season] if season else d
-    p, base = _fitted(w, season)
-    ar, ma, sar, sma = 0.9 * np.tanh(np.concatenate((p, np.zeros(4 - len(p)))))
-    gap = max(season, 1)
-    ar_poly = np.convolve([1, -ar], np.concatenate(([1.0], np.zeros(gap - 1), [-sar])))
-    ma_poly = np.convolve([1, ma], np.concatenate(([1.0], np.zeros(gap - 1), [sma])))
-    past, noise = list(w), list(base)
-    for _ in range(ahead):
-        t = len(past)
-        past.append(sum(-c * past[t - k] for k, c in enumerate(ar_poly) if 0 < k <= t) + sum(c * noise[t - k] for k, c in enumerate(ma_poly) if 0 < k <= t))
-        noise.append(0.0)
-    steps = list(d)
-    for k in range(ahead):
-        steps.append(past[len(w) + k] + (steps[len(steps) - season] if season else 0.0))
-    whole = np.convolve(ar_poly, [1, -1])
+    ar, ma = _polynomials(simplex(lambda p: _loss(p, w, season), np.array([0.1, -0.3, 0.05, -0.3] if season else [0.1, -0.3])), season)
+    n = min(len(w), EXACT)
+    cov, tail = _covariance(ar, ma, n + ahead), w[len(w) - n :]
+    steps = [*d, *(cov[n:, :n] @ np.linalg.solve(cov[:n, :n], tail))]
+    for k in range(len(d), len(steps)):
+        steps[k] += steps[k - season] if season else 0.0
+    whole = np.convolve(ar, [1.0, -1.0])
     if season:
         whole = np.convolve(whole, np.concatenate(([1.0], np.zeros(season - 1), [-1.0])))
-    psi = np.zeros(ahead)
-    for k in range(ahead):
-        psi[k] = (ma_poly[k] if k < len(ma_poly) else 0.0) - sum(whole[j] * psi[k - j] for j in range(1, min(k, len(whole) - 1) + 1))
-    return z[-1] + np.cumsum(steps[len(d) :]), np.sqrt(base @ base / max(1, len(base) - len(p)) * np.cumsum(psi**2))
+    e = np.linalg.solve(np.linalg.cholesky(cov[:n, :n]), tail)
+    return z[-1] + np.cumsum(steps[len(d) :]), np.sqrt(e @ e / n * np.cumsum(_weights(whole, ma, ahead) ** 2))
 
 
 def arima_forecast(df: DataFrame, y: str = "y", season: int = 12, ahead: int = 12) -> DataFrame:
     """``series, step, forecast, low, high`` of a model on logs; ``season`` 0 leaves the seasonal part out.
 
-    Fitted by conditional least squares; bounds come from the model's moving-average
+    Fitted by likelihood (see :func:`arima_path`); bounds come from the model's moving-average
     weights.  Series too short for two seasons and four points give no rows.
     """
 
