@@ -20,7 +20,7 @@ ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃ
 UNFOLDED = "ß“”‘’–—•€«»¡¿"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 _RARE_ENTITY = r"&(?!(?:lt|gt|quot|#39|nbsp|amp);)(?:#|[A-Za-z])"
-_RARE_CHARACTER = rf"[^\x09-\x0D\x20-\x7F{ACCENTED}{UNFOLDED}]"
+_RARE_CHARACTER, _CONTROL = rf"[^\x00-\x7F{ACCENTED}{UNFOLDED}]", r"[\x00-\x08\x0E-\x1F]"
 # English stop words of the cleaning step, as published with a common toolkit.
 STOP_WORDS = (
     "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's her hers herself it it's its itself "
@@ -41,10 +41,14 @@ def _decoded(x: pd.Series) -> pd.Series:
 
 def unescape(x: Column) -> Column:
     """HTML entities as characters, a no-break space as a space; decoded once."""
-    plain = x
+    some = F.contains(x, F.lit("&"))
+    return F.coalesce(_decoded(F.when(some & x.rlike(_RARE_ENTITY), x)), F.when(some, _common_entities(x)).otherwise(x))
+
+
+def _common_entities(x: Column) -> Column:
     for k, v in ENTITIES.items():
-        plain = F.replace(plain, F.lit(k), F.lit(v))
-    return F.coalesce(_decoded(F.when(x.rlike(_RARE_ENTITY), x)), plain)
+        x = F.replace(x, F.lit(k), F.lit(v))
+    return x
 
 
 def collapse(x: Column) -> Column:
@@ -71,11 +75,13 @@ def _normalized(x: pd.Series) -> pd.Series:
 def normalize(x: Column) -> Column:
     """Tags to spaces, entities decoded, compatibility-decomposed without combining marks, white space to single spaces, lower case; null is empty."""
     held = F.coalesce(x, F.lit(""))
-    plain = F.regexp_replace(held, "<[^>]+>", " ")
-    for k, v in ENTITIES.items():
-        plain = F.replace(plain, F.lit(k), F.lit(v))
-    plain = F.lower(F.regexp_replace(fold(plain), r"[ \t\n\r\f\x0B]+", " "))
-    return F.coalesce(_normalized(F.when(held.rlike(_RARE_CHARACTER) | held.rlike(_RARE_ENTITY), held)), plain)
+    # each step only where the text has something for it; the conditions read the text as it is
+    tags, entities, accents = F.contains(held, F.lit("<")), F.contains(held, F.lit("&")), F.octet_length(held) != F.length(held)
+    plain = F.when(tags, F.regexp_replace(held, "<[^>]+>", " ")).otherwise(held)
+    plain = F.when(entities, _common_entities(plain)).otherwise(plain)
+    plain = F.when(accents, fold(plain)).otherwise(plain)
+    plain = F.lower(F.regexp_replace(plain, r"[ \t\n\r\f\x0B]+", " "))
+    return F.coalesce(_normalized(F.when((accents & held.rlike(_RARE_CHARACTER)) | held.rlike(_CONTROL) | (entities & held.rlike(_RARE_ENTITY)), held)), plain)
 
 
 def slug(x: Column) -> Column:
@@ -114,21 +120,15 @@ def lemmatise(words: Column, lexicon: frozenset[str], exceptions: dict[str, str]
     return each(words)
 
 
-def _words_but(x: Column, letters: str, stop: list[str], least: int = 1) -> Column:
-    """Maximal runs of some characters, ``least`` long at least, that are no stop words; one regular expression."""
-    pattern = f"(?<![{letters}])(?!(?:{'|'.join(stop)})(?![{letters}]))[{letters}]{{{least},}}"
-    return F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
-
-
 def clean_words(x: Column) -> Column:
     """Words of the review cleaner: letters only, lower case, no stop words, over two letters."""
-    letters = F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), "<[^>]*>", " "), r"[^a-zA-Z \t\n\r]", "")
-    return _words_but(F.lower(letters), "a-z", [w for w in STOP_WORDS if w.isalpha()], 3)
+    letters = F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), "<[^>]*>", " "), r"[^a-zA-Z \t\n\r]+", "")
+    return F.filter(F.split(F.lower(letters), r"[ \t\n\r]+"), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
 
 
 def tokens(x: Column) -> Column:
     """Retrieval tokens ``[a-z0-9]+`` of the lower-cased text without stop words, repeats kept."""
-    return _words_but(F.lower(F.coalesce(x, F.lit(""))), "a-z0-9", SEARCH_STOP_WORDS)
+    return F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(SEARCH_STOP_WORDS))
 
 
 def html_text(x: Column) -> Column:

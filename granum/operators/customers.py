@@ -37,18 +37,24 @@ def quintile(df: DataFrame, column: str, out: str, descending: bool = False) ->
 
     Equal edges collapse, so the top label may be below 5; ``descending`` reverses labels.
     """
-    edges = quantile_columns(df, {column: [i / 5 for i in range(6)]})[column]
-    q = df.agg(F.array_sort(F.array_distinct(F.array(*edges))).alias("e")).scalar()
-    name = f"_edges_{column}"
-    held = df.withColumn(name, q)
-    bin_ = F.greatest(F.lit(1), F.size(F.filter(name, lambda e: e < F.col(column))))
-    label = F.size(name) - bin_ if descending else bin_
-    return held.withColumn(out, label.cast("int")).drop(name)
+    return quintiles(df, [(column, out, descending)])
+
+
+def quintiles(df: DataFrame, scores: list[tuple[str, str, bool]]) -> DataFrame:
+    """:func:`quintile` for several ``(column, out, descending)``, their edges from one aggregate."""
+    edges = quantile_columns(df, {c: [i / 5 for i in range(6)] for c, _, _ in scores})
+    every = df.agg(F.struct(*[F.array_sort(F.array_distinct(F.array(*edges[c]))).alias(c) for c, _, _ in scores]).alias("e")).scalar()
+    held = df.withColumn("_edges", every)
+    for column, out, descending in scores:
+        own = F.col("_edges")[column]
+        bin_ = F.greatest(F.lit(1), F.size(F.filter(own, lambda e: e < F.col(column))))  # noqa: B023
+        held = held.withColumn(out, (F.size(own) - bin_ if descending else bin_).cast("int"))
+    return held.drop("_edges")
 
 
 def rfm_scores(df: DataFrame) -> DataFrame:
     """RFM rows with ``r_score`` (recent is high), ``f_score``, ``m_score`` and their sum."""
-    out = quintile(quintile(quintile(df, "recency", "r_score", True), "frequency", "f_score"), "monetary", "m_score")
+    out = quintiles(df, [("recency", "r_score", True), ("frequency", "f_score", False), ("monetary", "m_score", False)])
     return out.withColumn("rfm_score", F.col("r_score") + F.col("f_score") + F.col("m_score"))
 
 

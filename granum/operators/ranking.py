@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 PER_CUT, LEAST_ROWS = 32, 20_000
 #: Most ranges of an order.
 MOST = 256
+#: Estimated bytes up to which a table is ordered, or its values kept, in one task.
+SMALL_BYTES = 16 << 20
 
 #: Columns of an order with whether each descends; nulls are first ascending, last descending.
 Order = list[tuple[str, bool]]
@@ -24,6 +26,11 @@ def sort_keys(order: Order) -> list[Column]:
     return [F.desc(c) if down else F.asc(c) for c, down in order]
 
 
+def small(df: DataFrame) -> bool:
+    """Whether the optimiser's estimate of a table's size is at most ``SMALL_BYTES``; runs nothing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+
+
 def cut_points(df: DataFrame, order: Order, parts: int) -> list[tuple]:
     """At most ``parts - 1`` ascending rows of the order that cut it in even ranges."""
     if parts <= 1:
@@ -62,10 +69,10 @@ def ranked_sums(df: DataFrame, order: Order, amount: Column, parts: int = 64) ->
     """``df`` with ``pos, run, n, total``: rank, running sum, count and sum in an order.
 
     Rows are dealt in ranges of the order, summed per range, and offset by the ranges
-    before, so the order's window never meets in one task.  ``order`` must tell all rows
+    before, so the window of an order that is not small never meets in one task.  ``order`` must tell all rows
     apart for ranks to be repeatable, and ``df`` must give the same rows each time.
     """
-    part = part_of(order, cut_points(df, order, min(parts, MOST)))
+    part = part_of(order, cut_points(df, order, 1 if small(df) else min(parts, MOST)))
     dealt = df.withColumn("_part", part)
     sums = dealt.groupBy("_part").agg(F.count("*").alias("_c"), F.sum(amount).alias("_s"))
     ahead = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -136,8 +143,8 @@ BUFFERED = 1_000_000
 
 
 def few(df: DataFrame, rows: int = BUFFERED) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; counts no further."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df`` is small, or has at most ``rows`` rows; counts no further."""
+    return small(df) or df.limit(rows + 1).count() <= rows
 
 
 def quantile_columns(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[Column]]:

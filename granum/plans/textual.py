@@ -133,9 +133,12 @@ def spearman_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation of flag shares between languages, ties by average rank."""
     s = shares(spark, sf_dir)
     k = F.rank().over(Window.partitionBy("lang").orderBy("share")) + (F.count("*").over(Window.partitionBy("lang", "share")) - 1) / 2.0
-    r = s.select("lang", "tool", k.alias("k"))
-    a, b = r.select(F.col("lang").alias("lang_1"), "tool", F.col("k").alias("a")), r.select(F.col("lang").alias("lang_2"), "tool", F.col("k").alias("b"))
-    return a.join(b, "tool").where("lang_1 < lang_2").groupBy("lang_1", "lang_2").agg(F.round(F.corr("a", "b"), 4).alias("rho"))
+    # one row of every language's ranks (few languages, few flags), paired with itself
+    ranks = s.select("lang", "tool", k.alias("k")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("tool", "k"))).alias("ks"))
+    every = ranks.agg(F.array_sort(F.collect_list(F.struct("lang", "ks"))).alias("all"))
+    first = every.select("all", F.posexplode("all").alias("i", "a")).select("a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b"))
+    cells = first.select(F.col("a.lang").alias("lang_1"), F.col("b.lang").alias("lang_2"), F.explode(F.arrays_zip(F.col("a.ks").alias("x"), F.col("b.ks").alias("y"))).alias("z"))
+    return cells.groupBy("lang_1", "lang_2").agg(F.round(F.corr("z.x.k", "z.y.k"), 4).alias("rho"))
 
 
 @query(
