@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Verbal bands of kappa, from the top.
 BANDS = [(0.81, "almost perfect"), (0.61, "substantial"), (0.41, "moderate"), (0.21, "fair"), (0.0, "slight")]
@@ -23,15 +29,44 @@ def content_match(docs: DataFrame, windows: DataFrame, n: int = 4) -> DataFrame:
 
     ``docs`` has ``id, body`` and ``windows`` has ``gold, window``, both with single
     spaces.  A window with ``n`` whole words inside meets documents by the hash of its
-    first such run and is then verified; shorter ones are compared with every document.
+    first such run and is then verified.  Shorter ones are sought all at once in one
+    map-only pass, by automata over at most ``SHORT`` windows each.  Empty windows match nothing.
     """
-    inner = windows.withColumn("_w", F.split("window", " ")).withColumn("_in", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(1))))
+    inner = windows.where("window <> ''").withColumn("_w", F.split("window", " ")).withColumn("_in", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(1))))
     long = inner.where(F.size("_w") >= n + 2).select("gold", "window", F.xxhash64(F.array_join(F.slice("_in", 1, n), " ")).alias("h"))
     seen = docs.select("id", "body", F.explode(F.array_distinct(_grams(F.col("body"), n))).alias("h"))
-    by_hash = seen.join(long, "h").where(F.contains("body", F.col("window"))).select("gold", "id")
-    short = inner.where(F.size("_w") < n + 2).select("gold", "window")
-    direct = docs.join(short, F.contains("body", F.col("window"))).select("gold", "id")
-    return by_hash.unionByName(direct).distinct()
+    every = seen.join(long, "h").where(F.contains("body", F.col("window"))).select("gold", "id")
+    held: dict[str, list] = {}
+    for gold, window in inner.where(F.size("_w") < n + 2).select("gold", "window").toLocalIterator():
+        held.setdefault(window, []).append(gold)
+        if len(held) >= SHORT:
+            every = every.unionByName(_short_matches(docs, held, windows))
+            held = {}
+    if held:
+        every = every.unionByName(_short_matches(docs, held, windows))
+    return every.distinct()
+
+
+#: Short windows of one automaton.
+SHORT = 100_000
+
+
+def _short_matches(docs: DataFrame, held: dict[str, list], windows: DataFrame) -> DataFrame:
+    """``gold, id`` of the windows that occur in each document, found in one pass over its body."""
+    shared = docs.sparkSession.sparkContext.broadcast(held)
+    schema = T.StructType([windows.schema["gold"], docs.schema["id"]])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ahocorasick.Automaton()
+        for window, golds in shared.value.items():
+            found.add_word(window, golds)
+        found.make_automaton()
+        for batch in batches:
+            pairs = [(g, i) for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if body for g in {g for _, golds in found.iter(body) for g in golds}]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kinds[k]) for k in (0, 1)], names=["gold", "id"])
+
+    return docs.select("id", "body").mapInArrow(scan, schema)
 
 
 def ir_metrics(run: DataFrame, gold: DataFrame, match: DataFrame, k: int) -> DataFrame:

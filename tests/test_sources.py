@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import json
 import os
+import threading
+import time
+import urllib.error
+import urllib.request
+from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
-from granum import storage
-from granum.sources import paged, sheets, sinks, tables
+from granum import serving, storage
+from granum.operators import models
+from granum.sources import paged, sheets, sinks, tables, web
 
 
 def test_round_trips(spark, tmp_path) -> None:  # noqa: ANN001
@@ -110,3 +116,70 @@ def test_yaml_question_set(spark, tmp_path) -> None:  # noqa: ANN001
     (tmp_path / "q.yaml").write_text("- id: q1\n  scope: {year: 2024}\n- id: q2\n")
     rows = tables.yaml_rows(spark, f"{tmp_path}/q.yaml", "id string, scope map<string,int>").collect()
     assert [(r["id"], r["scope"]) for r in rows] == [("q1", {"year": 2024}), ("q2", None)]
+
+
+@pytest.fixture
+def site(tmp_path):  # noqa: ANN001, ANN201
+    """A local server of two pages of JSON, which want a key, and of the files of a folder."""
+
+    class Handler(SimpleHTTPRequestHandler):
+        def __init__(self, *args: object) -> None:
+            super().__init__(*args, directory=str(tmp_path))
+
+        def do_GET(self) -> None:  # noqa: N802
+            if not self.path.startswith("/api/"):
+                super().do_GET()
+                return
+            page = int(self.path.rsplit("=", 1)[1])
+            good = self.headers.get("X-Key") == "k"
+            self.send_response(200 if good else 403)
+            self.end_headers()
+            self.wfile.write(json.dumps({"data": [{"id": page}] if page < 2 else []}).encode())
+
+        def log_message(self, *args: object) -> None:
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_web_sources(spark, tmp_path, site) -> None:  # noqa: ANN001
+    (tmp_path / "t.csv").write_text("id,day,x\n1,2024-02-03,0.5\n2,2024-02-04,\n")
+    rows = web.csv_url(spark, f"{site}/t.csv", "id long, day timestamp, x double", dates=["day"]).collect()
+    assert [(r["id"], str(r["day"])[:10], r["x"]) for r in rows] == [(1, "2024-02-03", 0.5), (2, "2024-02-04", None)]
+    paged.register(spark, "web_board", web.json_pages(f"{site}/api", {"X-Key": "k"}, per_second=200))
+    assert [json.loads(r["body"])["id"] for r in spark.read.format("web_board").option("pause", 0).load("jobs").orderBy("page").collect()] == [0, 1]
+    with pytest.raises(OSError, match="403"):
+        web.json_pages(f"{site}/api")("jobs", 0)
+    files = {"a.csv": f"{site}/t.csv", "b.csv": f"{site}/t.csv"}
+    assert web.download(files, f"{tmp_path}/got") == ["a.csv", "b.csv"] and web.download(files, f"{tmp_path}/got") == []
+    began = time.monotonic()
+    throttle = web.Throttle(50)
+    for _ in range(6):
+        throttle.wait()
+    assert time.monotonic() - began >= 0.095
+
+
+def test_service(spark) -> None:  # noqa: ANN001
+    df = spark.createDataFrame([(w * 3, float(i)) for i, w in enumerate(("bad poor ", "good fine ")) for _ in range(5)], "text string, label double")
+    server = serving.serve(serving.Service(spark, models.text_pipeline(models.naive_bayes(), 64).fit(df)))
+    base = f"http://127.0.0.1:{server.server_port}"
+
+    def post(body: bytes) -> tuple[int, dict]:
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"{base}/predict", data=body), timeout=60) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    try:
+        status, answer = post(b'{"text": "good good fine"}')
+        assert (status, answer["sentiment"]) == (200, "positive") and 0.5 < answer["confidence"] <= 1
+        assert [post(b)[0] for b in (b"{}", b"no json", b'{"text": "  "}', b"[1]")] == [400] * 4
+        assert json.loads(web.get(f"{base}/health")) == {"status": "ok", "model_loaded": True} and "usage" in json.loads(web.get(f"{base}/info"))
+        with pytest.raises(OSError, match="404"):
+            web.get(f"{base}/other")
+    finally:
+        server.shutdown()
