@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granum.storage import hadoop_path, shared_dir
 
-#: Bits of a key bitmap.
+#: Bits of a key bitmap of few keys.
 BITS = 1 << 24
 
 
@@ -70,20 +70,29 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def bitmap(df: DataFrame, key: str) -> Column:
-    """A bitmap of ``BITS`` bits of the long keys of ``df``, as an array of longs.
+def bitmap(df: DataFrame, key: str) -> tuple[Column, int] | None:
+    """A bitmap of the long keys of ``df``, as an array of longs, and its number of bits.
 
-    Its size does not depend on the data; a crowded one only lets more rows through.
+    It has ``BITS`` bits, or eight times as many (16 MB) beyond ``BITS / 8`` keys; a crowded one only
+    lets more rows through, and one that would let most through is left out (None).  ``df``
+    should be a written table, as its rows are counted first.
     """
-    bit = F.pmod(F.col(key), F.lit(BITS))
+    n = df.count()
+    bits = BITS if n <= BITS // 8 else 8 * BITS
+    if n > bits:
+        return None
+    bit = F.pmod(F.col(key), F.lit(bits))
     words = df.groupBy((bit / 64).cast("long").alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({key}, 64) as int))")).alias("b"))
-    dense = df.sparkSession.range(BITS // 64).join(words, "id", "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
-    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("bits")).scalar()
+    dense = df.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
+    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("bits")).scalar(), bits
 
 
-def bitmap_has(bits: Column, key: Column) -> Column:
-    """Whether the key's bit is set."""
-    word = F.get(bits, (F.pmod(key, F.lit(BITS)) / 64).cast("int"))
+def bitmap_has(held: tuple[Column, int] | None, key: Column) -> Column:
+    """Whether the key's bit is set; true where there is no bitmap."""
+    if held is None:
+        return F.lit(True)
+    words, bits = held
+    word = F.get(words, (F.pmod(key, F.lit(bits)) / 64).cast("int"))
     return F.coalesce(F.getbit(word, F.pmod(key, F.lit(64)).cast("int")) == 1, F.lit(False))
 
 

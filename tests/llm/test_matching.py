@@ -397,3 +397,14 @@ def test_intermediate_tables_are_removed(spark) -> None:  # noqa: ANN001
     base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     assert len(glob.glob(f"{base}/granum-roles-*")) >= 1
     assert common.release(spark) >= 1 and not glob.glob(f"{base}/granum-*") and common.release(spark) == 0
+
+
+def test_bitmaps_hold_their_keys(spark, monkeypatch) -> None:  # noqa: ANN001
+    keys = spark.range(500).selectExpr("xxhash64(id) as k").union(spark.createDataFrame([(-1,), (0,), (63,), (64,)], "k long"))
+    for bits, left in ((1 << 24, 0), (1 << 12, 1200), (1 << 5, 2000)):  # the last is too crowded to be of use
+        monkeypatch.setattr(common, "BITS", bits)
+        held = common.bitmap(keys, "k")
+        assert (held is None) == (bits == 32)
+        assert keys.where(~common.bitmap_has(held, F.col("k"))).count() == 0
+        others = spark.range(1000, 3000).selectExpr("xxhash64(id) as k").where(common.bitmap_has(held, F.col("k"))).count()
+        assert others <= left
