@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import random
+import struct
+import zlib
 from datetime import datetime
 
 import numpy as np
@@ -17,6 +19,7 @@ from granum.operators import customers as C
 from granum.operators import documents as D
 from granum.operators import evaluation as E
 from granum.operators import features as G
+from granum.operators import images
 from granum.operators import models
 from granum.operators import profiling as P
 from granum.operators import ranking
@@ -584,3 +587,40 @@ def test_arima_matches_published_errors(spark) -> None:  # noqa: ANN001
     long = np.cumsum(rng.normal(size=900)) + 100
     path, sd = T.arima_path(long, 0, 6)
     assert np.abs(path - long[-1]).max() < 3 and abs(sd[0] - 1) < 0.15
+
+
+def _png(x: np.ndarray, filters: list[int]) -> bytes:
+    """A PNG whose lines take the given filters in turn."""
+    kind = {1: 0, 3: 2, 4: 6}[x.shape[2]]
+    lines, h, w, c = b"", *x.shape
+    p = np.zeros((h + 1, w + 1, c), dtype=int)
+    p[1:, 1:] = x
+    for y in range(1, h + 1):
+        f = filters[y % len(filters)]
+        left, up, corner = p[y, :-1], p[y - 1, 1:], p[y - 1, :-1]
+        guess = left + up - corner
+        near = np.stack([left, up, corner])
+        paeth = np.take_along_axis(near, np.abs(near - guess).argmin(axis=0)[None], axis=0)[0]
+        lines += bytes([f]) + bytes(((p[y, 1:] - [0 * left, left, up, (left + up) // 2, paeth][f]) & 255).astype(np.uint8).ravel())
+    part = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+
+def test_images(spark, tmp_path) -> None:  # noqa: ANN001
+    rng = np.random.default_rng(4)
+    for c in (1, 3, 4):
+        x = rng.integers(0, 256, (13, 17, c), dtype=np.uint8)
+        for filters in ([0], [1], [2], [3], [4], [4, 1, 3, 0, 2]):
+            assert (images.decode_png(_png(x, filters)) == x[:, :, : min(c, 3)]).all()
+    plain = np.zeros((56, 56, 1), dtype=np.uint8)
+    plain[20:40, 18:38] = 255
+    dark, light = images.preprocessed(_png(plain, [0])), images.preprocessed(_png(255 - plain, [2]))
+    assert np.allclose(dark, light) and dark.shape == (28, 28) and abs(dark.max() - (1 - 0.1307) / 0.3081) < 1e-6
+    assert np.allclose(images.resized(np.full((50, 9), 7.0)), 7.0) and np.allclose(images.resized(np.eye(28)), np.eye(28))
+    (tmp_path / "a.png").write_bytes(_png(plain, [1]))
+    (tmp_path / "b.pgm").write_bytes(b"P5 56 56 255\n" + plain.tobytes())
+    (tmp_path / "c.png").write_bytes(b"no picture")
+    (tmp_path / "d.png").write_bytes(b"")
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in images.digits(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
+    assert np.allclose(rows["a.png"]["pixels"], dark.ravel(), atol=1e-5) and np.allclose(rows["b.pgm"]["pixels"], dark.ravel(), atol=1e-5)
+    assert rows["c.png"]["pixels"] is None and (rows["c.png"]["error"], rows["d.png"]["error"]) == ("no PNG", "empty file")
