@@ -8,7 +8,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granum.functions.money import dsum
 from granum.operators.ranking import quantile_columns, ranked_sums
 
 DAY_US, YEAR = 86_400_000_000, 365.0

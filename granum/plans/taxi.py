@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granum.functions.money import dsum
 from granum.operators import profiling as P
 from granum.plans.registry import query
 from granum.sources.tables import parquet
