@@ -7,8 +7,14 @@ are; ranks and sums are exact whatever the sample was.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Sampled rows for each cut point, and rows that a range holds on average at least.
 PER_CUT, LEAST_ROWS = 32, 20_000
@@ -86,6 +92,31 @@ def ranked_sums(df: DataFrame, order: Order, amount: Column, parts: int = 64) ->
     )
 
 
+def numbered(df: DataFrame, order: list[str], amount: str | None, parts: int) -> DataFrame:
+    """``df`` in ranges of an ascending order (nulls first), with ``part_, at_, run_``.
+
+    ``part_`` is the range, ``at_`` the row's place in it from 0 and ``run_`` the sum of ``amount``
+    (a long, never null) over the rows before it in the range.  One shuffle; the number of
+    ranges is the caller's, so it can follow the size of the table.  The ranges come from a
+    sample: write the result and read it back before anything is built on it.  ``order`` must
+    tell rows apart, down to a row number, or a hot key stays in one range.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("part_", T.IntegerType()), T.StructField("at_", T.LongType()), T.StructField("run_", T.LongType())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows, done = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            n = batch.num_rows
+            size = np.zeros(n, dtype=np.int64) if amount is None else batch.column(amount).to_numpy()
+            run = np.cumsum(size)
+            added = [pa.array(np.full(n, part, dtype=np.int32)), pa.array(np.arange(rows, rows + n)), pa.array(run - size + done)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names)
+            rows, done = rows + n, done + (int(run[-1]) if n else 0)
+
+    keys = [F.asc_nulls_first(c) for c in order]
+    return df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
+
+
 def quantiles(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of numeric columns; null where a column has no value.
 
