@@ -61,3 +61,54 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(n.n,
        CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.t, '') END AS text
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+#: CRC-32 byte by byte: the table of the reflected polynomial is made by its rule.
+OP11 = """
+WITH t AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, CAST(i AS BIGINT))) AS crc
+), h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), d AS (
+  SELECT doc_id, len(x) // 2 + 1 AS size,
+         xor(list_reduce(list_transform(regexp_extract_all(x, '..'), lambda h: CAST(('0x' || h) AS BIGINT)),
+                         lambda c, b: xor(c // 256, t.crc[xor(c % 256, b) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32
+  FROM h, t
+), r AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS run, sum(size) OVER () AS total FROM d
+), s AS (
+  SELECT *, CAST(((2 * run - size) * 8) // (2 * total) AS INTEGER) AS shard FROM r
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s
+"""
+
+
+def _codes_sql(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """Every round spelled out: nearest entries, then floored means."""
+    gap = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.c[i]) * (p.x[i] - b.c[i])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT n, part, min({gap} * {entries} + entry) AS m FROM p JOIN b{r} b USING (part) GROUP BY n, part)")
+        if r < rounds:
+            steps.append(
+                f"""b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(u.c, b.c) AS c FROM b{r} b LEFT JOIN (
+                      SELECT part, entry, list(v ORDER BY i) AS c FROM (
+                        SELECT part, CAST(m % {entries} AS BIGINT) AS entry, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS v
+                        FROM a{r} JOIN p USING (n, part), (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS i) GROUP BY 1, 2, 3) GROUP BY 1, 2) u USING (part, entry))"""
+            )
+    return f"""
+    WITH e AS MATERIALIZED (
+      SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS n, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), p AS MATERIALIZED (
+      SELECT n, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS x FROM e, (SELECT unnest(range({parts})) AS part)
+    ), b0 AS MATERIALIZED (SELECT part, n - 1 AS entry, x AS c FROM p WHERE n <= {entries}),
+    {', '.join(steps)},
+    o AS (SELECT n, string_agg(printf('%02x', CAST(m % {entries} AS BIGINT)), '' ORDER BY part) AS code, CAST(sum(m // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY n),
+    h AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, i)) AS s FROM (SELECT part, entry, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM b{rounds}))
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h.s AS codebooks_sha256 FROM e JOIN o USING (n), h
+    """
+
+
+OP12 = _codes_sql(8, 16, 6, 4096)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granum.llm import decontaminate, language, lines, oracles, packing, quality, secrets, simhash, tokens, topk, urls
+from granum.llm import codes, decontaminate, language, lines, oracles, packing, quality, secrets, sharding, simhash, tokens, topk, urls, whitening
 from granum.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.report(table(spark, sf_dir, "pages"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight contiguous shards of all documents, near equal in bytes."""
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors."""
+    return codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of all vectors."""
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -73,5 +88,8 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
+    "op11_sharding": op11_sharding,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_whitening": op13_whitening,
 }
-ORACLES: dict[str, str] = {"op3_line_dedup": oracles.OP3, "op5_topk": oracles.OP5, "op9_decontamination": oracles.OP9}
+ORACLES: dict[str, str] = {"op3_line_dedup": oracles.OP3, "op5_topk": oracles.OP5, "op9_decontamination": oracles.OP9, "op11_sharding": oracles.OP11, "op12_vector_codes": oracles.OP12}
