@@ -169,9 +169,9 @@ def test_codes_of_odd_tables(spark, monkeypatch) -> None:  # noqa: ANN001
     padded = codes.compress(frame(spark, [(1, [0.5] * 9, None), (2, [0.25] * 9, None)])).collect()
     assert sorted(r["error"] for r in padded) == [0, 0]
     rows = frame(spark, some_vectors(40))
-    plain = sorted(codes.report(rows).collect())
+    plain = sorted(map(str, codes.report(rows).collect()))
     monkeypatch.setattr(codes, "LABELS", 1)
-    assert sorted(codes.report(rows).collect()) == plain
+    assert sorted(map(str, codes.report(rows).collect())) == plain
 
 
 def test_decoding_is_the_nearest_entry(spark) -> None:  # noqa: ANN001
