@@ -7,7 +7,9 @@ PKCS#8 and its encrypted form), OpenSSH private key files, and tokens whose head
 object with an ``alg``.  Public keys, certificates and signatures have other layouts and are
 not reported.  The length that a structure states tells where it ends, so keys are found
 without padding, before a next line of text, wrapped, indented, or with escaped line ends.
-Spans are code point offsets.
+Only the lengths are read, a few bytes each, wherever in the run they stand, so the work at
+a possible start does not depend on the length of what follows, and a text costs time in
+proportion to its length.  Spans are code point offsets.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,16 +39,29 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Dotted runs of base64url parts, any of which may be the header of a token.
 _DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
-#: Where a run may start: not inside another, but behind an escaped line end or PEM dashes.
-_HEAD64 = r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n)|(?<=-----))"
+#: What a text with a token has: a dot behind enough characters for a header.
+_TOKEN_SIGN = re.compile(r"\.(?<=[A-Za-z0-9_-]{14}\.)")
+
+
+def _starts(sign: str, then: str, alphabet: str, flags: int = 0) -> re.Pattern:
+    """Where a run may start with ``sign`` and ``then``: not inside another, but behind an escaped line end or PEM dashes."""
+    return re.compile(rf"{sign}(?={then})(?:(?<![{alphabet}]{sign})|(?<=\\n{sign})|(?<=-----{sign}))", flags)
+
+
+_ALPHABET = {True: "A-Za-z0-9+/_-", False: "0-9A-Fa-f"}
 #: A DER sequence starts with 0x30, so its base64 with M.
-_DER64 = re.compile(_HEAD64 + r"M(?=[A-Za-z0-9+/_-]{15})")
-_SSH64 = re.compile(_HEAD64 + r"b(?=3BlbnNzaC1rZXktdjEA)")
-_DERHEX = re.compile(r"(?:(?<![0-9A-Fa-f])|(?<=\\n))3(?=0[0-9A-Fa-f]{22})")
-_SSHHEX = re.compile(r"(?:(?<![0-9A-Fa-f])|(?<=\\n))6(?=f70656e7373682d6b65792d763100)", re.IGNORECASE)
-_RUN = {True: re.compile(r"[A-Za-z0-9+/_-]+"), False: re.compile(r"[0-9A-Fa-f]+")}
+_DER64 = _starts("M", "[A-Za-z0-9+/_-]{15}", _ALPHABET[True])
+_SSH64 = _starts("b", "3BlbnNzaC1rZXktdjEA", _ALPHABET[True])
+_DERHEX = _starts("3", "0[0-9A-Fa-f]{22}", _ALPHABET[False])
+_SSHHEX = _starts("6", "f70656e7373682d6b65792d763100", _ALPHABET[False], re.IGNORECASE)
 #: What may stand between two lines of a key: a line end, real or escaped, and indentation.
-_JOIN = re.compile(r"(?:\r?\n|\\r\\n|\\n)[ \t]*")
+_JOIN = r"(?:\r?\n|\\r\\n|\\n)[ \t]*"
+#: A line of a run, and what joins it to the next one.
+_LINE = {b: re.compile(rf"([{c}]+)({_JOIN}(?=[{c}]))?") for b, c in _ALPHABET.items()}
+#: Most values of a sequence; the private layouts have ten at most.
+_VALUES = 16
+#: Longest name of a cipher, and most keys of an OpenSSH file (which holds one).
+_NAME, _KEYS = 64, 16
 _MAGIC = b"openssh-key-v1\x00"
 _CIPHER = re.compile(rb"none|(?:aes|3des|chacha)[A-Za-z0-9@.-]*")
 #: Object identifiers of password-based encryption, as they begin in DER.
@@ -63,7 +79,7 @@ def _decoded(run: str) -> bytes:
         return b""
 
 
-def der_header(data: bytes, at: int) -> tuple[int, int] | None:
+def der_header(data: bytes | Encoded, at: int) -> tuple[int, int] | None:
     """Where the DER value at ``at`` has its body, and its end; None if no length is stated right."""
     if at + 2 > len(data):
         return None
@@ -78,35 +94,35 @@ def der_header(data: bytes, at: int) -> tuple[int, int] | None:
     return body, body + size
 
 
-def der_parts(data: bytes, at: int, stop: int) -> list[tuple[int, int, int]] | None:
-    """``(tag, body, end)`` of the values that fill ``data[at:stop]``, or None if they do not."""
+def der_parts(data: bytes | Encoded, at: int, stop: int) -> list[tuple[int, int, int]] | None:
+    """``(tag, body, end)`` of the values that fill ``data[at:stop]``; None if they do not, or are more than any layout has."""
     out = []
     while at < stop:
         header = der_header(data, at)
-        if header is None or header[1] > stop:
+        if header is None or header[1] > stop or len(out) == _VALUES:
             return None
         out.append((data[at], *header))
         at = header[1]
     return out
 
 
-def is_private_der(data: bytes) -> bool:
+def is_private_der(data: bytes | Encoded) -> bool:
     """One DER sequence that fills ``data`` with the layout of a private key."""
     top = der_header(data, 0)
-    if not data or data[0] != _SEQ or top is None or top[1] != len(data):
+    if not len(data) or data[0] != _SEQ or top is None or top[1] != len(data):
         return False
     parts = der_parts(data, *top)
     if not parts:
         return False
     tags = [t for t, _, _ in parts]
-    inner = [der_parts(data, b, e) if t == _SEQ else None for t, b, e in parts]
 
-    def named(i: int) -> bool:  # an algorithm: a sequence that an object identifier leads
-        return bool(inner[i]) and inner[i][0][0] == _OID and inner[i][0][2] > inner[i][0][1]
+    def named(i: int, starts: tuple[bytes, ...] = (b"",)) -> bool:  # an algorithm: a sequence that an object identifier leads
+        inner = der_parts(data, *parts[i][1:])
+        return bool(inner) and inner[0][0] == _OID and inner[0][2] > inner[0][1] and data[inner[0][1] : inner[0][1] + 16].startswith(starts)
 
     if tags == [_SEQ, _OCTETS]:
-        return named(0) and data[inner[0][0][1] :].startswith(_ENCRYPTION)
-    number = data[parts[0][1] : parts[0][2]] if tags[0] == _INT else None
+        return named(0, _ENCRYPTION)
+    number = data[parts[0][1] : parts[0][2]] if tags[0] == _INT and parts[0][2] - parts[0][1] == 1 else None
     if number not in (b"\x00", b"\x01"):
         return False
     filled = all(e > b for _, b, e in parts)
@@ -118,81 +134,127 @@ def is_private_der(data: bytes) -> bool:
     return filled and (len(whole) == 9 and tags[9:] in ([], [_SEQ]) or tags == [_INT] * 6)
 
 
-def openssh_end(data: bytes) -> int:
+def openssh_end(data: bytes | Encoded) -> int:
     """Where an OpenSSH private key file ends in ``data``, or -1 if its lengths do not nest."""
-    if not data.startswith(_MAGIC):
+    if data[: len(_MAGIC)] != _MAGIC:
         return -1
     at = len(_MAGIC)
 
-    def string() -> bytes | None:
+    def string() -> tuple[int, int] | None:
         nonlocal at
         size = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + size > len(data):
             return None
         at += 4 + size
-        return data[at - size : at]
+        return at - size, at
 
     cipher, kdf, options = string(), string(), string()
-    if cipher is None or kdf is None or options is None or not _CIPHER.fullmatch(cipher):
+    if cipher is None or kdf is None or options is None or cipher[1] - cipher[0] > _NAME or not _CIPHER.fullmatch(data[slice(*cipher)]):
         return -1
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    if not 1 <= keys <= len(data):
+    if not 1 <= keys <= _KEYS:
         return -1
     for _ in range(keys):
-        if not string():
+        held = string()
+        if held is None or held[0] == held[1]:
             return -1
-    return at if string() else -1
-
-
-def _gathered(text: str, at: int, base64_: bool, need: int | None) -> tuple[str, list[tuple[int, int]]]:
-    """The characters of a run from ``at`` over joined lines, ``need`` at least if there are, and its pieces."""
-    pieces, size = [], 0
-    while m := _RUN[base64_].match(text, at):
-        pieces.append(m.span())
-        size += m.end() - m.start()
-        if need is not None and size >= need:
-            break
-        join = _JOIN.match(text, m.end())
-        if not join:
-            break
-        at = join.end()
-    return "".join(text[a:b] for a, b in pieces), pieces
-
-
-def _span(text: str, at: int, base64_: bool, size: int, pieces: list[tuple[int, int]]) -> tuple[int, int] | None:
-    """The span of ``size`` decoded bytes, with padding, if nothing of the run follows directly."""
-    left = -(-size * 4 // 3) if base64_ else 2 * size
-    for a, b in pieces:
-        if left <= b - a:
-            end = a + left
-            if end < b and not text.startswith("-----", end):
-                return None
-            for _ in range(-size % 3 if base64_ else 0):
-                end += text[end : end + 1] == "="
-            return at, end
-        left -= b - a
-    return None
-
-
-def _key_at(text: str, at: int, base64_: bool, ssh: bool) -> tuple[int, int] | None:
-    """The span of the private key whose encoding starts at ``at``."""
-    unpack = _decoded if base64_ else (lambda run: bytes.fromhex(run[: len(run) // 2 * 2]))
-    need = None
-    if not ssh:
-        head = unpack(text[at : at + (16 if base64_ else 24)])
-        top = der_header(head, 0)
-        if top is None or head[top[0] : top[0] + 1] not in (b"\x02", b"\x30"):
-            return None
-        if head[top[0]] == _INT and head[top[0] : top[0] + 3] not in (b"\x02\x01\x00", b"\x02\x01\x01"):
+    held = string()
+    return at if held is not None and held[0] < held[1] else -1
+
+
+class Runs:
+    """The runs of a text: lines of one alphabet, joined over line ends, without what joins them."""
+
+    def __init__(self, text: str, base64_: bool) -> None:
+        self.text, self.base64_ = text, base64_
+        self.start, self.place, self.last = [], [], []  # of each line: where it is in the text and in ``flat``, and its run's last line
+        pieces, size, first = [], 0, 0
+        for m in _LINE[base64_].finditer(text):
+            self.start.append(m.start())
+            self.place.append(size)
+            pieces.append(m[1])
+            size += len(m[1])
+            if m[2] is None:
+                self.last += [len(pieces) - 1] * (len(pieces) - first)
+                first = len(pieces)
+        self.place.append(size)
+        self.flat = "".join(pieces)
+
+    def at(self, start: int) -> Encoded:
+        """What the run encodes from a place in the text on."""
+        line = bisect_right(self.start, start) - 1
+        return Encoded(self, self.place[line] + start - self.start[line], self.place[self.last[line] + 1])
+
+    def end(self, stop: int) -> int | None:
+        """The place in the text behind ``flat[:stop]``, None if the run goes on directly."""
+        line = bisect_right(self.place, stop - 1) - 1
+        end = self.start[line] + stop - self.place[line]
+        return end if stop == self.place[line + 1] or self.text.startswith("-----", end) else None
+
+
+class Encoded:
+    """Decoded bytes of a stretch of a run: the first ``HEAD`` at once, each slice beyond as it is asked for."""
+
+    HEAD = 48
+
+    def __init__(self, runs: Runs, start: int, stop: int, size: int | None = None) -> None:
+        self.runs, self.start, self.stop = runs, start, stop
+        most = (stop - start) * 3 // 4 if runs.base64_ else (stop - start) // 2
+        self.size = most if size is None else min(size, most)
+        self.head = self._decode(0, min(self.HEAD, most))
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at: int | slice) -> int | bytes:
+        if isinstance(at, int):
+            return self[at : at + 1][0]
+        lo, hi, _ = at.indices(self.size)
+        return self.head[lo:hi] if hi <= len(self.head) else self._decode(lo, hi)
+
+    def _decode(self, lo: int, hi: int) -> bytes:
+        if hi <= lo:
+            return b""
+        if not self.runs.base64_:
+            return bytes.fromhex(self.runs.flat[self.start + 2 * lo : self.start + 2 * hi])
+        first, past = self.start + lo // 3 * 4, min(self.start + -(-hi // 3) * 4, self.stop)
+        return _decoded(self.runs.flat[first:past])[lo % 3 : lo % 3 + hi - lo]
+
+    def first(self, size: int) -> Encoded:
+        """The first ``size`` bytes."""
+        return Encoded(self.runs, self.start, self.stop, size)
+
+    def span(self, size: int) -> tuple[int, int] | None:
+        """Where the first ``size`` bytes stand in the text, with padding; None if the run goes on directly behind them."""
+        runs = self.runs
+        end = runs.end(self.start + (-(-size * 4 // 3) if runs.base64_ else 2 * size))
+        if end is None:
             return None
-        need = -(-top[1] * 4 // 3) if base64_ else 2 * top[1]
-    run, pieces = _gathered(text, at, base64_, need)
-    if need is not None and len(run) < need:
-        return None
-    data = unpack(run if need is None else run[:need])
-    size = openssh_end(data) if ssh else len(data) if is_private_der(data) else -1
-    return _span(text, at, base64_, size, pieces) if size > 0 else None
+        for _ in range(-size % 3 if runs.base64_ else 0):
+            end += runs.text[end : end + 1] == "="
+        line = bisect_right(runs.place, self.start) - 1
+        return runs.start[line] + self.start - runs.place[line], end
+
+
+def _promising(text: str, at: int, base64_: bool) -> bool:
+    """Whether the first bytes of a DER value may lead a private key."""
+    run = text[at : at + (16 if base64_ else 24)]
+    head = _decoded(run) if base64_ else bytes.fromhex(run)
+    top = der_header(head, 0)
+    if top is None or head[top[0] : top[0] + 1] not in (b"\x02", b"\x30"):
+        return False
+    return head[top[0]] != _INT or head[top[0] : top[0] + 3] in (b"\x02\x01\x00", b"\x02\x01\x01")
+
+
+def _key(data: Encoded, ssh: bool) -> tuple[int, int] | None:
+    """The span of the private key that ``data`` starts with."""
+    if ssh:
+        size = openssh_end(data)
+    else:
+        top = der_header(data, 0)
+        size = top[1] if top and top[1] <= len(data) and is_private_der(data.first(top[1])) else -1
+    return data.span(size) if size > 0 else None
 
 
 def _header(part: str) -> dict | None:
@@ -237,13 +299,19 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans whose decoded structure is that of a private key or a token, unsorted."""
-    out = _tokens(text) if text.count(".") > 1 else []
+    out = _tokens(text) if _TOKEN_SIGN.search(text) else []
+    runs: dict[bool, Runs] = {}
     for kind, sign, pattern, base64_ in (
         ("openssh", "b3BlbnNzaC1rZXktdjE", _SSH64, True), ("openssh", "6f", _SSHHEX, False), ("openssh", "6F", _SSHHEX, False), ("der", "M", _DER64, True), ("der", "30", _DERHEX, False),
     ):
         done = 0
         for m in pattern.finditer(text) if sign in text else ():
-            if m.start() >= done and (span := _key_at(text, m.start(), base64_, kind == "openssh")):
+            at = m.start()
+            if at < done or (kind == "der" and not _promising(text, at, base64_)):
+                continue
+            if base64_ not in runs:
+                runs[base64_] = Runs(text, base64_)
+            if span := _key(runs[base64_].at(at), kind == "openssh"):
                 out.append((*span, kind))
                 done = span[1]
     return sorted(set(out))

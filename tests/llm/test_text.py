@@ -495,3 +495,18 @@ def test_quality_by_plain_expectation_maximisation() -> None:
     assert abs(model.share - share) < 1e-9
     for r in rows:
         assert abs(model.posterior[int("".join(map(str, r)), 3)] - chance(r)) < 1e-9
+
+
+def test_long_runs_of_possible_keys_cost_time_in_proportion() -> None:
+    """Starts of keys that state lengths far beyond a few bytes, with as many behind them."""
+    ssh = base64.b64encode(b"openssh-key-v1\0" + b"\0\0\0\x04none\0\0\0\x04none\0\0\0\0\0\0\0\x01" + b"\0\x0f\0\0").decode()
+    der = base64.b64encode(bytes.fromhex("3083100000020100028310000000")).decode()
+    wide = base64.b64encode(bytes.fromhex("30840010000002010130840000ff00")).decode()
+    for line in (ssh + "\n", der + "\n", der + "\\n", wide + "\n", b"openssh-key-v1\0".hex() + "00000004\n", "3083100000020100028310000000\n", "eyJhbGciOiJIUzI1NiJ9."):
+        took = []
+        for n in (500_000, 5_000_000):
+            text = line * (n // len(line))
+            began = time.perf_counter()
+            secrets.confirmed_spans(text)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 30 * max(took[0], 0.02), (line, took)
