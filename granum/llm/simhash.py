@@ -9,8 +9,9 @@ decode to are its near indices, six of them or one.  A fingerprint is stored und
 indices for each pair of segments and looked up under all pairs of near indices, so each
 pair within reach meets; the meeting is then verified on all bits.
 
-Crowded buckets are split in a grid of cells (:mod:`granum.llm.buckets`).  Within a task
-links go through a union-find, so a dense bucket gives a spanning forest, not all pairs.
+Crowded buckets are split by exact agreement in further blocks of bits, which loses no pair
+(:mod:`granum.llm.buckets`).  Within a task links go through a union-find, so a dense bucket
+gives a spanning forest, not all pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granum.llm.buckets import Forest, deal, starts, whole_cells
+from granum.llm.buckets import Forest, deal, prints_split, starts, whole_cells
 from granum.llm.common import components, materialize
 
 # The generator polynomial of the Golay code, and the segments (shift, bits).
@@ -189,7 +190,7 @@ def link(prints: DataFrame, reach: int) -> DataFrame:
         a, b = trees.edges()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return deal(prints, entries, ["id", "print"]).mapInArrow(each, "a long, b long")
+    return deal(prints, entries, ["id", "print"], prints_split("print")).mapInArrow(each, "a long, b long")
 
 
 # ---------------------------------------------------------------- the operator

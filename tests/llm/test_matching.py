@@ -103,7 +103,7 @@ def test_simhash_dense_buckets_and_cells(spark, monkeypatch) -> None:  # noqa: A
     p = np.unique(np.array(p)).view(np.int64).tolist()
     df = spark.createDataFrame([(x, x) for x in p], "id long, print long")
     want = brute_components(len(p), lambda i, j: ((p[i] ^ p[j]) & (1 << 64) - 1).bit_count() <= 3)
-    monkeypatch.setattr(buckets, "parts_of_slots", lambda src, keys: np.full(buckets.SLOTS, 3, dtype=np.int64))
+    monkeypatch.setattr(buckets, "CELL", 12)
     roots = {r["node"]: r["root"] for r in components(simhash.link(df, 3)).collect()}
     got = {}
     for i, x in enumerate(p):
@@ -114,6 +114,51 @@ def test_simhash_dense_buckets_and_cells(spark, monkeypatch) -> None:  # noqa: A
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
 
 
+def ball(n: int, seed: int) -> list[int]:
+    """``n`` different signed fingerprints, all within five bits of one point."""
+    rng = np.random.default_rng(seed)
+    base = int(rng.integers(0, 1 << 63))
+    out: set[int] = set()
+    while len(out) < n:
+        out.add(base ^ sum(1 << int(b) for b in rng.choice(64, size=5, replace=False)))
+    return [simhash.signed(x) for x in out]
+
+
+def test_written_rows_of_a_hot_key_are_linear(spark) -> None:  # noqa: ANN001
+    """One key for all rows, at the real size of a cell: different fingerprints, and rows that only chance tells apart."""
+    one = lambda batch: (np.arange(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64), None)
+    p = ball(40_000, 1)
+    written = {}
+    for n in (10_000, 20_000, 40_000):
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(p[:n])], "id long, print long").repartition(4)
+        placed = buckets.deal(df, one, ["id"], buckets.prints_split("print")).groupBy("key", "cell").count()
+        assert placed.agg(F.max("count")).first()[0] <= buckets.CELL
+        written["split", n] = placed.agg(F.sum("count")).first()[0]
+        for name, labels in (("labels", F.col("id")), ("giant", F.when(F.col("id") < 100, F.col("id")).otherwise(-1))):
+            placed = buckets.deal(df.withColumn("label", labels), one, ["id", "label"])
+            assert placed.groupBy("key", "cell").count().agg(F.max("count")).first()[0] <= 1.2 * buckets.CELL
+            written[name, n] = placed.count()
+        assert written["labels", n] <= 1.1 * n
+        assert written["giant", n] <= 1.1 * n
+        rare = placed.where("label >= 0").groupBy("id").agg(F.count_distinct("cell").alias("n")).agg(F.min("n"), F.count("*")).first()
+        assert tuple(rare) == (-(-n // buckets.CELL), 100)
+        assert buckets.deal(df.withColumn("label", F.lit(5).cast("bigint")), one, ["id"]).count() == 0
+    assert written["split", 40_000] <= 5 * written["split", 20_000] <= 25 * written["split", 10_000]
+
+
+def test_simhash_of_a_hot_bucket_at_real_size(spark) -> None:  # noqa: ANN001
+    """20,000 fingerprints around one point: every link that brute force over 64-bit neighbours finds."""
+    p = ball(20_000, 2)
+    df = spark.createDataFrame([(x, x) for x in p], "id long, print long").repartition(4)
+    roots = {r["node"]: r["root"] for r in components(simhash.link(df, 3)).collect()}
+    u = np.array(p).view(np.uint64)
+    forest = buckets.Forest()
+    for i in range(len(p)):
+        for j in np.flatnonzero(np.bitwise_count(u[i + 1 :] ^ u[i]) <= 3) + i + 1:
+            forest.join(p[i], p[int(j)])
+    assert {x: roots.get(x, x) for x in p} == {x: forest.find(x) for x in p}
+
+
 def _sets(texts: list[str]) -> list[set[tuple[str, ...]]]:
     return [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
 
@@ -122,8 +167,8 @@ def _kept(df) -> list[int]:  # noqa: ANN001
     return sorted(r["doc_id"] for r in neardup.without_near_duplicates(df).collect())
 
 
-@pytest.mark.parametrize("parts", [None, 3])
-def test_near_dedup_of_a_crowded_bucket(spark, monkeypatch, parts) -> None:  # noqa: ANN001
+@pytest.mark.parametrize("cell", [None, 40])
+def test_near_dedup_of_a_crowded_bucket(spark, monkeypatch, cell) -> None:  # noqa: ANN001
     """Variants of one text that are too far apart to be near copies, each with near copies of its own."""
     rng = random.Random(4)
     vocab = [f"v{i}" for i in range(3000)]
@@ -140,8 +185,8 @@ def test_near_dedup_of_a_crowded_bucket(spark, monkeypatch, parts) -> None:  # n
             texts.append(" ".join(x))
     sets = _sets(texts)
     want = brute_components(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
-    if parts:
-        monkeypatch.setattr(buckets, "parts_of_slots", lambda src, keys: np.full(buckets.SLOTS, parts, dtype=np.int64))
+    if cell:
+        monkeypatch.setattr(buckets, "CELL", cell)
     assert len(set(want)) >= 40
     assert _kept(documents(spark, texts)) == sorted(set(want))
 
