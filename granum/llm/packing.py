@@ -8,22 +8,25 @@ the best boundary moves along with the bucket's end, and each round of the progr
 solved by bisection in ``L log L`` steps.
 
 Inside each bucket a batch holds as many documents as fit the token budget at the
-bucket's padded length.  The place of a document in its bucket is its rank by id, found from
-counts of ranges between literal cut points and a window inside each range, so no bucket
-meets in one task.
+bucket's padded length.  The place of a document in its bucket is its rank by id: rows are
+dealt to ranges of the order (bucket, id, length, row number), as many as the table's size
+asks for, numbered inside each and offset by the totals of the ranges before, so neither a
+bucket nor a hot id meets in one task.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granum.llm.common import discard, free_name, materialize
-from granum.operators.ranking import cut_points, part_of
+from granum.operators.ranking import numbered
 
-#: Rows of a range on average, and the most ranges.
-PER_RANGE, RANGES = 1 << 16, 256
+#: Rows and tokens of a range on average.
+PER_RANGE, RANGE_TOKENS = 1 << 18, 1 << 25
 
 
 def _step(best: np.ndarray, docs: np.ndarray, tokens: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +93,8 @@ def pack(docs: DataFrame, length: Column, buckets: int = 8, budget: int = 16384,
     ``batch`` numbers the batches of a bucket from 0 in order of id, ``slot`` the rows of
     a batch; a batch holds ``max(1, budget div bucket_len)`` rows, so a document longer
     than the budget is a batch of its own.  Empty texts form rows of the smallest bucket.
-    Ids may be of any orderable type; rows of equal id are ordered by length and otherwise
-    alike; null ids come first.  An empty table gives an empty result.  Columns of ``docs``
+    Ids may be of any orderable type; rows of equal id are ordered by length, those of equal
+    length too by chance; null ids come first.  An empty table gives an empty result.  Columns of ``docs``
     with the added names are replaced.
     """
     names = ("n_tokens", "bucket_len", "batch", "slot", "n_pad")
@@ -108,25 +111,27 @@ def pack(docs: DataFrame, length: Column, buckets: int = 8, budget: int = 16384,
             out = F.when(F.col(n) <= b, b).otherwise(out)
         return out.cast("bigint")
 
-    order = [("id", False), ("n", False)]
-    points = cut_points(held, order, min(RANGES, 1 + sum(h[1] for h in hist) // PER_RANGE))
-    counts = held.groupBy(place("n").alias("b"), part_of(order, points).alias("p")).agg(F.count("*").alias("n")).collect()
     discard(held)
-    offsets, done = [], {}
-    for b, p, n in sorted(map(tuple, counts)):
-        offsets.append((b, p, done.get(b, 0)))
-        done[b] = done.get(b, 0) + n
-    bucket, part, rank, before = (free_name(src, x) for x in ("bucket_", "part_", "rank_", "before_"))
-    src = src.withColumn(bucket, place(size)).withColumn(part, part_of([(id_col, False), (size, False)], points))
-    start = src.sparkSession.createDataFrame(offsets, f"`{bucket}` long, `{part}` int, `{before}` long")
-    inside = Window.partitionBy(bucket, part).orderBy(F.col(id_col).asc_nulls_first(), size)
-    ranked = src.withColumn(rank, F.row_number().over(inside)).join(F.broadcast(start), [bucket, part])
-    rows = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col(bucket), F.lit(1))))
-    at = F.col(rank) + F.col(before) - 1
-    return ranked.select(
-        *[F.col(f"`{c}`") for c in keep],
-        F.col(size).alias("n_tokens"), F.col(bucket).alias("bucket_len"), F.floor(at / rows).alias("batch"),
-        (at % rows).cast("bigint").alias("slot"), (F.col(bucket) - F.col(size)).alias("n_pad"),
+    sizes: dict[int, int] = {}
+    for n, c in hist:
+        bucket = next((b for b in bounds if n <= b), bounds[-1])
+        sizes[bucket] = sizes.get(bucket, 0) + c
+    first = dict(zip(sizes, accumulate(sizes.values(), initial=0)))  # noqa: B905
+    parts = 1 + max(sum(h[1] for h in hist) // PER_RANGE, sum(h[0] * h[1] for h in hist) // RANGE_TOKENS)
+    keyed = src.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("row"), place(size).alias("bucket"), F.col(f"`{id_col}`").alias("id"), F.col(size).alias("n"), F.monotonically_increasing_id().alias("number"))
+    dealt = materialize(numbered(keyed, ["bucket", "id", "n", "number"], None, parts), "ranges")
+    totals = sorted(map(tuple, dealt.groupBy("part_").agg(F.count("*")).collect()))
+    offsets = [(p, o) for (p, _), o in zip(totals, accumulate((t[1] for t in totals), initial=0))]  # noqa: B905
+    dealt = dealt.join(F.broadcast(src.sparkSession.createDataFrame(offsets, "part_ int, rows_ long")), "part_")
+    start = F.lit(0).cast("bigint")
+    for b, o in first.items():
+        start = F.when(F.col("bucket") == b, o).otherwise(start)
+    rows = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket"), F.lit(1))))
+    at = F.col("rows_") + F.col("at_") - start
+    return dealt.select(
+        *[F.col("row").getField(c).alias(c) for c in keep],
+        F.col("n").alias("n_tokens"), F.col("bucket").alias("bucket_len"), F.floor(at / rows).alias("batch"),
+        (at % rows).cast("bigint").alias("slot"), (F.col("bucket") - F.col("n")).alias("n_pad"),
     )
 
 

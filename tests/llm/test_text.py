@@ -431,6 +431,21 @@ def test_packing_of_sparse_string_ids(spark, monkeypatch) -> None:  # noqa: ANN0
         assert [o[2] for o in sorted(own)] == sorted(o[2] for o in own)
 
 
+def test_packing_cuts_a_hot_id(spark, monkeypatch) -> None:  # noqa: ANN001
+    """A third of the rows with a null id, a third with one id, all of one length: still ranges of few rows, and places without gaps."""
+    monkeypatch.setattr(packing, "PER_RANGE", 100)
+    seen = []
+    numbered = packing.numbered
+    monkeypatch.setattr(packing, "numbered", lambda df, order, amount, parts: seen.append(parts) or numbered(df, order, amount, parts))
+    df = spark.range(3000).selectExpr("case id % 3 when 0 then null when 1 then 7L else id end as doc_id", "10L as n", "id as bucket", "'x' as row").repartition(5)
+    rows = packing.pack(df, F.col("n"), budget=1000).collect()
+    assert seen == [31]
+    assert sorted((r["batch"], r["slot"]) for r in rows) == [(k // 100, k % 100) for k in range(3000)]
+    placed = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["batch"], r["slot"]))]
+    assert placed == sorted(placed, key=lambda i: (i is not None, i or 0))
+    assert sorted(r["bucket"] for r in rows) == list(range(3000))
+
+
 def test_packing_odd_rows(spark) -> None:  # noqa: ANN001
     df = odd(spark)
     assert packing.pack(df, packing.word_count(df["text"])).count() == 8
