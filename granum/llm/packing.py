@@ -101,7 +101,9 @@ def pack(docs: DataFrame, length: Column, buckets: int = 8, budget: int = 16384,
     size = free_name(docs, "n_tokens_")
     src = docs.withColumn(size, F.coalesce(length.cast("bigint"), F.lit(0).cast("bigint")))
     keep = [c for c in docs.columns if c.lower() not in names]
-    held = materialize(src.select(F.col(id_col).alias("id"), F.col(size).alias("n")), "lengths")  # lengths are counted once for all that follows
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("row")
+    held = src.select(row, F.col(f"`{id_col}`").alias("id"), F.col(size).alias("n"), F.monotonically_increasing_id().alias("number"))
+    held = materialize(held, "lengths")  # lengths are counted once for all that follows
     hist = sorted((int(r[0]), int(r[1])) for r in held.groupBy("n").agg(F.count("*")).collect())
     bounds = best_bounds(np.array([h[0] for h in hist]), np.array([h[1] for h in hist]), buckets) or [0]
 
@@ -111,15 +113,14 @@ def pack(docs: DataFrame, length: Column, buckets: int = 8, budget: int = 16384,
             out = F.when(F.col(n) <= b, b).otherwise(out)
         return out.cast("bigint")
 
-    discard(held)
     sizes: dict[int, int] = {}
     for n, c in hist:
         bucket = next((b for b in bounds if n <= b), bounds[-1])
         sizes[bucket] = sizes.get(bucket, 0) + c
     first = dict(zip(sizes, accumulate(sizes.values(), initial=0)))  # noqa: B905
     parts = 1 + max(sum(h[1] for h in hist) // PER_RANGE, sum(h[0] * h[1] for h in hist) // RANGE_TOKENS)
-    keyed = src.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("row"), place(size).alias("bucket"), F.col(f"`{id_col}`").alias("id"), F.col(size).alias("n"), F.monotonically_increasing_id().alias("number"))
-    dealt = materialize(numbered(keyed, ["bucket", "id", "n", "number"], None, parts), "ranges")
+    dealt = materialize(numbered(held.withColumn("bucket", place("n")), ["bucket", "id", "n", "number"], None, parts), "ranges")
+    discard(held)
     totals = sorted(map(tuple, dealt.groupBy("part_").agg(F.count("*")).collect()))
     offsets = [(p, o) for (p, _), o in zip(totals, accumulate((t[1] for t in totals), initial=0))]  # noqa: B905
     dealt = dealt.join(F.broadcast(src.sparkSession.createDataFrame(offsets, "part_ int, rows_ long")), "part_")
