@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granum import storage
 from granum.functions import text as X
 from granum.operators import documents as D
 from granum.operators import evaluation as E
 from granum.operators import search as R
+from granum.operators import text_index as L
+from granum.operators import vector_index as V
 from granum.plans.registry import query
 from granum.plans.textual import _CLEAN, _COLLAPSE, _unescape_sql, docs
 from granum.sources.tables import parquet
@@ -140,6 +143,25 @@ def bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25(docs(spark, sf_dir), questions(spark, sf_dir), 8, F.col("lang") == "fr")
 
 
+@query("bm25_indexed", f"SELECT * FROM {_bm25_sql(8)}")
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight best documents of each question, from an index of postings that is built once."""
+    return L.index(docs(spark, sf_dir)).search(questions(spark, sf_dir))
+
+
+@query("bm25_indexed_scoped", f"SELECT * FROM {_bm25_sql(8, chr(39).join(['lang = ', 'fr', '']))}")
+def bm25_indexed_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight best French documents of each question, from the index."""
+    return L.index(docs(spark, sf_dir), scope=["lang"]).search(questions(spark, sf_dir), scope=F.col("lang") == "fr")
+
+
+@query("bm25_skipping")
+def bm25_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks and postings of each question's terms, and how many of them must be read."""
+    plan = L.index(docs(spark, sf_dir)).plan(questions(spark, sf_dir))
+    return plan.groupBy("qid").agg(F.count("*").alias("blocks"), F.count_if("read").alias("blocks_read"), F.sum("n").alias("postings"), F.sum(F.when(F.col("read"), F.col("n")).otherwise(0)).alias("postings_read"))
+
+
 def _dense_sql(k: int) -> str:
     v = "list_transform({0}.embedding, lambda x: CAST(x AS DOUBLE))"
     return f"""(SELECT qid, CAST(r AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM (
@@ -158,6 +180,24 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic(spark, sf_dir)
 
 
+@query("dense_approx")
+def dense_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight near vectors of each query vector, from an index of cells and codes that is built once."""
+    e = parquet(spark, sf_dir, "embeddings")
+    path = storage.new_folder(spark, "cells")
+    V.build(e, path, scope=["label"])
+    return V.search(spark, path, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")))
+
+
+@query("dense_approx_scoped")
+def dense_approx_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same among vectors of one label; the scope is applied before cells are probed."""
+    e = parquet(spark, sf_dir, "embeddings")
+    path = storage.new_folder(spark, "cells")
+    V.build(e, path, scope=["label"])
+    return V.search(spark, path, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), scope=F.col("label") == 3)
+
+
 _RUNS = f"(SELECT 'bm25' AS engine, * FROM {_bm25_sql(50)} UNION ALL SELECT 'dense', * FROM {_dense_sql(50)})"
 
 
