@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from granum.operators.sizes import broadcast_if_small
+
 # Verbal bands of kappa, from the top.
 BANDS = [(0.81, "almost perfect"), (0.61, "substantial"), (0.41, "moderate"), (0.21, "fair"), (0.0, "slight")]
 
@@ -34,8 +36,10 @@ def content_match(docs: DataFrame, windows: DataFrame, n: int = 4) -> DataFrame:
     """
     inner = windows.where("window <> ''").withColumn("_w", F.split("window", " ")).withColumn("_in", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(1))))
     long = inner.where(F.size("_w") >= n + 2).select("gold", "window", F.xxhash64(F.array_join(F.slice("_in", 1, n), " ")).alias("h"))
-    seen = docs.select("id", "body", F.explode(F.array_distinct(_grams(F.col("body"), n))).alias("h"))
-    every = seen.join(long, "h").where(F.contains("body", F.col("window"))).select("gold", "id")
+    # runs travel without bodies, which then meet only the windows that share a run with them
+    seen = docs.select("id", F.explode(F.array_distinct(_grams(F.col("body"), n))).alias("h"))
+    maybe = seen.join(broadcast_if_small(long), "h").select("id", "gold", "window").distinct()
+    every = docs.join(maybe, "id").where(F.contains("body", F.col("window"))).select("gold", "id")
     held: dict[str, list] = {}
     for gold, window in inner.where(F.size("_w") < n + 2).select("gold", "window").toLocalIterator():
         held.setdefault(window, []).append(gold)

@@ -1,6 +1,6 @@
 """A lexical index that is built once: postings in blocks with their largest impact.
 
-A block holds one term's postings in one range of 64 stored documents.  The impact of a
+A block holds one term's postings in one range of 16 stored documents.  The impact of a
 posting is what BM25 makes of its frequency and document length, without the term's weight.
 A search first reads terms, ranges and impacts only.  Summed over a question's terms they
 bound the score of every document of a range; ranges whose bound stays below what ``k``
@@ -21,7 +21,7 @@ from granum.operators.sizes import broadcast_if_small
 from granum.storage import new_folder, read_text, write_text
 
 #: Binary digits of the documents in a range, folders of postings, and steps that impacts are counted in.
-RANGE_BITS, SHARDS, STEPS = 6, 64, 256
+RANGE_BITS, SHARDS, STEPS = 4, 16, 256
 #: What rounded scores and sums of floating numbers may be off by.
 SLACK = 1e-5
 
@@ -36,7 +36,7 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     It has ``blocks`` (``term, range, n, most, postings``, a folder for each shard of terms),
     ``levels`` (how many blocks of a term reach each step of impact), ``documents`` (``id``
     and the columns ``scope``) and ``statistics.json``.  A common term is many blocks, so
-    none is gathered; repeated ids are documents of their own until a search adds them up.
+    none is gathered.  Ids must be unique, as what bounds a document is its range.
     """
     spark = docs.sparkSession
     # row numbers are fixed by writing them

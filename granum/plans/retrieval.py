@@ -470,6 +470,19 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("stop", "yyyy-MM-dd HH:mm:ss").alias("stop"), "n")
 
 
+@query(
+    "stream_sessions",
+    f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS nw FROM {_EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+             s AS (SELECT user_id, ts, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+             t AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS b, count(*) AS n FROM s GROUP BY user_id, k)
+        SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, strftime(b, '%Y-%m-%d %H:%M:%S') AS stop, n FROM t WHERE b <= (SELECT max(ts) FROM {_EVENTS}) - INTERVAL 2 HOUR""",
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the events read as a stream that are closed two hours before its last event."""
+    out = W.run_to_table(W.sessions(W.read_stream(spark, f"{sf_dir}/events.parquet"), "user_id", "30 minutes", late="2 hours"), "append")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("stop", "yyyy-MM-dd HH:mm:ss").alias("stop"), "n")
+
+
 @query("stream_incremental", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read as a stream that are not in the labels yet."""

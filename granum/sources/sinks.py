@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granum import storage
+from granum.sources.versioned import VersionedTable
 
 #: Longest text of a report cell.
 CELL = 32_000
@@ -32,27 +30,15 @@ def snapshot(df: DataFrame, path: str, captured_at: str, source: str) -> None:
 
 
 def upsert_vectors(df: DataFrame, path: str, id_col: str, order_col: str | None = None) -> None:
-    """Rows of ``df`` replace those of equal id in the Parquet table at ``path``, or are added; safe to repeat.
+    """Rows of ``df`` replace those of equal id in the versioned table at ``path``, or are added; safe to repeat.
 
-    Of repeated ids the row of greatest ``order_col`` counts (then of greatest other columns).
-    The merged table is written beside the old one and takes its place when it is whole.
+    Of repeated ids in ``df`` the row of greatest ``order_col`` counts (then of greatest other columns);
+    against the table the later call wins.  Read it with ``VersionedTable(...).read()``.
     """
-    spark = df.sparkSession
     rest = [c for c in df.columns if c not in (id_col, order_col)]
-    ranked = F.max(F.struct(*([order_col] if order_col else []), *rest)).alias("_b")
-    fresh = df.groupBy(id_col).agg(ranked).select(id_col, *[F.col(f"_b.{c}").alias(c) for c in df.columns if c != id_col]).select(*df.columns)
-    if storage.exists(spark, path):
-        kept = spark.read.parquet(path).join(fresh.select(id_col), id_col, "left_anti")
-        fresh = kept.unionByName(fresh, allowMissingColumns=True)
-    stamp = uuid.uuid4().hex
-    fresh.write.parquet(f"{path}.next-{stamp}")
-    fs, target = storage.hadoop_path(spark, path)
-    _, new = storage.hadoop_path(spark, f"{path}.next-{stamp}")
-    _, old = storage.hadoop_path(spark, f"{path}.old-{stamp}")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(new, target)
-    fs.delete(old, True)
+    best = F.max(F.struct(*([order_col] if order_col else []), *rest)).alias("_b")
+    fresh = df.groupBy(id_col).agg(best).select(*[F.col(c) if c == id_col else F.col(f"_b.{c}").alias(c) for c in df.columns])
+    VersionedTable(df.sparkSession, path, [id_col]).merge(fresh)
 
 
 def arrays(df: DataFrame, path: str) -> None:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from granum import storage
+from granum.sources.versioned import VersionedTable
 
 
 def hourly_counts(events: DataFrame, ts: str = "ts", late: str = "2 hours") -> DataFrame:
@@ -41,19 +44,14 @@ def sessions(events: DataFrame, key: str, gap: str, ts: str = "ts", late: str =
 
 
 def append_new(stream: DataFrame, target: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Append rows whose key the Parquet table ``target`` lacks; run until the source is read.
+    """Append rows whose key the versioned table ``target`` lacks; run until the source is read.
 
-    Each batch is deduplicated and anti-joined with what is there, so a batch that is
-    repeated after a failure adds nothing twice.
+    Of repeated keys in a batch the least row counts, whatever order they come in.  A batch is
+    one commit that bears its number, so one that is repeated after a failure adds nothing.
     """
 
-    def load(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            fresh = fresh.join(spark.read.parquet(target).select(*keys), keys, "left_anti")
-        fresh.write.mode("append").parquet(target)
+    def load(batch: DataFrame, number: int) -> None:
+        VersionedTable(batch.sparkSession, target, keys).append_new(batch, (checkpoint, number))
 
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -73,14 +71,14 @@ def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     batch is written under its number, so one that is repeated after a failure replaces itself.
     """
     spark = stream.sparkSession
-    base = f"{storage.shared_dir(spark)}/granum-stream-{uuid.uuid4().hex}"
+    base, state = storage.new_folder(spark, "stream"), storage.new_folder(spark, "state")
     seen: list[int] = []
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/batch={number}")
         seen.append(number)
 
-    query = stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{base}-state").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     if not seen:
         return spark.createDataFrame([], stream.schema)
@@ -89,26 +87,55 @@ def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
 
 def latest_per_key(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
-    """Keep the row of greatest ``order`` of each key in the Parquet table ``target``; the last one wins.
+    """Keep the row of greatest ``order`` of each key in the versioned table ``target``; of equal ones the last one wins.
 
-    A batch is merged with the table into a new version beside it, which then takes its place,
-    so a repeated batch changes nothing.
+    A batch is one commit (see :mod:`granum.sources.versioned`): it writes its own rows, is seen
+    whole or not at all, and changes nothing when it is repeated.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c not in keys and c not in order]
-        every = batch.unionByName(spark.read.parquet(target)) if storage.exists(spark, target) else batch
-        best = every.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_b")).select(*keys, "_b.*").select(*batch.columns)
-        best.write.mode("overwrite").parquet(f"{target}.next")
-        fs, new = storage.hadoop_path(spark, f"{target}.next")
-        _, old = storage.hadoop_path(spark, target)
-        fs.delete(old, True)
-        fs.rename(new, old)
+        VersionedTable(batch.sparkSession, target, keys, order).merge(batch, (checkpoint, number))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class _Latest(StatefulProcessor):
+    """Keeps the greatest row of a key in state and gives it whenever it changes."""
+
+    def __init__(self, keys: list[str], order: list[str], schema: T.StructType, idle_ms: int | None) -> None:
+        self.keys, self.order, self.schema, self.idle_ms = keys, order, schema, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getValueState("best", self.schema, self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        rank = lambda r: tuple((r[c] is not None, r[c]) for c in self.order)
+        held = self.best.get() if self.best.exists() else None
+        best = None if held is None else dict(zip(self.schema.names, held, strict=True))
+        changed = False
+        for frame in rows:
+            for r in frame[self.schema.names].astype(object).where(frame.notna(), None).to_dict("records"):
+                if best is None or rank(r) >= rank(best):
+                    best, changed = r, True
+        if changed:
+            self.best.update(tuple(best[c] for c in self.schema.names))
+            yield pd.DataFrame([best], columns=self.schema.names)
+
+    def close(self) -> None:
+        pass
+
+
+def latest_in_state(stream: DataFrame, keys: list[str], order: list[str], idle_ms: int | None = None) -> DataFrame:
+    """The stream of each key's greatest row by ``order``, given anew when it changes; an older row changes nothing.
+
+    The row of a key is kept in the state store, also over restarts from a checkpoint; one
+    that has not changed for ``idle_ms`` is evicted.  Needs the RocksDB state store and the
+    output mode ``update``.
+    """
+    processor = _Latest(keys, order, stream.schema, idle_ms)
+    return stream.groupBy(*keys).transformWithStateInPandas(processor, stream.schema, "update", "processingTime" if idle_ms else "none")
+
+
 def score(rows: DataFrame, model, probability: str = "probability") -> DataFrame:  # noqa: ANN001
     """Rows of a batch or a stream with the ``prediction`` and ``confidence`` of a fitted pipeline."""
     from pyspark.ml.functions import vector_to_array

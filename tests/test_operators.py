@@ -30,6 +30,7 @@ from granum.operators import timeseries as T
 from granum.plans import retrieval
 from granum.sources import corpora, sinks
 from granum.streaming import windows as W
+from granum.sources.versioned import VersionedTable
 
 
 def one(df):  # noqa: ANN001, ANN201
@@ -325,7 +326,7 @@ def test_stream_equals_batch(spark, tmp_path) -> None:  # noqa: ANN001
     assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, W.hourly_counts(events).collect()))
     for _ in range(2):
         W.append_new(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), ["event_id"], str(tmp_path / "ck")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == events.select("event_id").distinct().count()
+    assert VersionedTable(spark, str(tmp_path / "out"), ["event_id"]).read().count() == events.select("event_id").distinct().count()
 
 
 def test_dense_topk_takes_every_twentieth_vector(spark, tmp_path, monkeypatch) -> None:  # noqa: ANN001
@@ -568,7 +569,7 @@ def test_streamed_latest_rows_and_sliding_windows(spark, tmp_path) -> None:  # n
     spark.createDataFrame(rows, "k int, at int, v string").repartition(4).write.parquet(f"{tmp_path}/in")
     for _ in range(2):
         W.latest_per_key(W.read_stream(spark, f"{tmp_path}/in", files=1), f"{tmp_path}/out", ["k"], ["at"], f"{tmp_path}/ck").awaitTermination(120)
-        assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(k, 7, f"v{k}.7") for k in range(5)]
+        assert sorted(map(tuple, VersionedTable(spark, f"{tmp_path}/out", ["k"]).read().collect())) == [(k, 7, f"v{k}.7") for k in range(5)]
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.repartition(3).write.parquet(f"{tmp_path}/events")
     got = W.run_to_table(W.sliding_counts(W.read_stream(spark, f"{tmp_path}/events", files=1), "2 hours", "1 hour", late="3650 days"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from granum import serving, storage
 from granum.operators import models
 from granum.sources import paged, sheets, sinks, tables, web
+from granum.sources.versioned import VersionedTable
 
 
 def test_round_trips(spark, tmp_path) -> None:  # noqa: ANN001
@@ -32,7 +33,7 @@ def test_upsert_is_repeatable(spark, tmp_path) -> None:  # noqa: ANN001
     df = spark.createDataFrame([(1, [0.5]), (1, [0.5]), (2, [0.1])], "id int, v array<double>")
     for _ in range(2):
         sinks.upsert_vectors(df, f"{tmp_path}/v", "id")
-    assert spark.read.parquet(f"{tmp_path}/v").count() == 2
+    assert VersionedTable(spark, f"{tmp_path}/v", ["id"]).read().count() == 2
 
 
 def test_report_cuts_long_cells(spark, tmp_path) -> None:  # noqa: ANN001
@@ -73,7 +74,7 @@ def test_upsert_updates(spark, tmp_path) -> None:  # noqa: ANN001
     new = spark.createDataFrame([(2, [0.2], 3), (2, [0.9], 2), (3, [0.3], 1)], "id int, v array<double>, at int")
     for _ in range(2):
         sinks.upsert_vectors(new, path, "id", "at")
-        assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, [0.5], 1), (2, [0.2], 3), (3, [0.3], 1)]
+        assert sorted(map(tuple, VersionedTable(spark, path, ["id"]).read().collect())) == [(1, [0.5], 1), (2, [0.2], 3), (3, [0.3], 1)]
 
 
 def test_workbooks(spark, tmp_path) -> None:  # noqa: ANN001
