@@ -114,7 +114,9 @@ def silhouette(x: np.ndarray, label: np.ndarray) -> float:
     total = gap @ own
     inside = total[own] / np.maximum(size[own.argmax(axis=1)] - 1, 1)
     outside = np.where(own, np.inf, total / size).min(axis=1)
-    score = np.where(size[own.argmax(axis=1)] > 1, (outside - inside) / np.maximum(np.maximum(inside, outside), 1e-300), 0.0)
+    real = (size[own.argmax(axis=1)] > 1) & np.isfinite(outside)
+    score = np.zeros(len(real))
+    score[real] = (outside - inside)[real] / np.maximum(np.maximum(inside, outside)[real], 1e-300)
     return float(score.mean()) if len(size) > 1 else 0.0
 
 

@@ -14,6 +14,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granum.functions.text import tokens
 from granum.operators.search import B, EPSILON, K1, TOP_K, top
@@ -54,12 +55,13 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     blocks = blocks.withColumn("shard", _shard()).repartition(SHARDS, "shard", F.pmod("range", F.lit(8))).sortWithinPartitions("shard", "term", "range")
     blocks.write.partitionBy("shard").parquet(f"{path}/blocks")
 
-    kept = spark.read.parquet(f"{path}/blocks").select("term", "n", "most", "shard")
+    kept = spark.read.schema(blocks.schema).parquet(f"{path}/blocks").select("term", "n", "most", "shard")
     step = F.least(F.floor(F.col("most") * STEPS), F.lit(STEPS - 1)).alias("step")
-    kept.groupBy("shard", "term", step).agg(F.count("*").alias("blocks"), F.sum("n").alias("df")).write.partitionBy("shard").parquet(f"{path}/levels")
+    levels = kept.groupBy("shard", "term", step).agg(F.count("*").alias("blocks"), F.sum("n").alias("df"))
+    levels.write.partitionBy("shard").parquet(f"{path}/levels")
     raw = F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    mean = spark.read.parquet(f"{path}/levels").groupBy("term").agg(F.sum("df").alias("df")).agg(F.avg(raw)).first()[0]
-    write_text(spark, f"{path}/statistics.json", json.dumps({"n_docs": n_docs, "avgdl": avgdl or 1.0, "mean": mean or 0.0}))
+    mean = spark.read.schema(levels.schema).parquet(f"{path}/levels").groupBy("term").agg(F.sum("df").alias("df")).agg(F.avg(raw)).first()[0]
+    write_text(spark, f"{path}/statistics.json", json.dumps({"n_docs": n_docs, "avgdl": avgdl or 1.0, "mean": mean or 0.0, "schemas": {"blocks": blocks.schema.json(), "levels": levels.schema.json()}}))
 
 
 class TextIndex:
@@ -68,7 +70,12 @@ class TextIndex:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
         held = json.loads(read_text(spark, f"{path}/statistics.json"))
-        self.n_docs, self.avgdl, self.mean = held["n_docs"], held["avgdl"], held["mean"]
+        self.n_docs, self.avgdl, self.mean, self.schemas = held["n_docs"], held["avgdl"], held["mean"], held["schemas"]
+
+    def _read(self, part: str, shards: list[int]) -> DataFrame:
+        """The rows of some folders of a part; one without a row has no file to tell its schema."""
+        schema = T.StructType.fromJson(json.loads(self.schemas[part]))
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{part}").where(F.col("shard").isin(shards))
 
     def _asked(self, queries: DataFrame) -> tuple[DataFrame, list[int]]:
         """``qid, term, qn`` of the asked terms, and the folders they are in."""
@@ -78,7 +85,7 @@ class TextIndex:
 
     def _terms(self, asked: DataFrame, shards: list[int], k: int) -> DataFrame:
         """``term, idf, sure``: the weight of each asked term, and an impact that ``k`` of its documents reach."""
-        own = self.spark.read.parquet(f"{self.path}/levels").where(F.col("shard").isin(shards))
+        own = self._read("levels", shards)
         own = own.join(broadcast_if_small(asked.select("term").distinct()), "term", "left_semi")
         down = Window.partitionBy("term").orderBy(F.desc("step"))  # STEPS rows of a term at most
         reach = own.withColumn("so_far", F.sum("blocks").over(down))
@@ -93,7 +100,7 @@ class TextIndex:
         known = asked.join(broadcast_if_small(self._terms(asked, shards, k)), "term").select("qid", "term", weight, "sure")
         # one term alone puts k documents at this score, unless terms of negative weight take from it
         bar = known.groupBy("qid").agg((F.max(F.greatest("weight", F.lit(0.0)) * F.col("sure")) + F.sum(F.least("weight", F.lit(0.0)))).alias("bar"))
-        heads = self.spark.read.parquet(f"{self.path}/blocks").where(F.col("shard").isin(shards)).select("term", "range", "n", "most")
+        heads = self._read("blocks", shards).select("term", "range", "n", "most")
         met = heads.join(broadcast_if_small(known.select("qid", "term", "weight")), "term")
         if not skip:
             return met.select("qid", "term", "weight", "range", "n", F.lit(True).alias("read"))
@@ -110,7 +117,7 @@ class TextIndex:
         """
         _, shards = self._asked(queries)
         todo = self.plan(queries, k, skip=scope is None).where("read").select("qid", "term", "weight", "range")
-        blocks = self.spark.read.parquet(f"{self.path}/blocks").where(F.col("shard").isin(shards)).select("term", "range", "postings")
+        blocks = self._read("blocks", shards).select("term", "range", "postings")
         each = blocks.join(todo, ["term", "range"]).select("qid", "weight", F.inline("postings"))
         score = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl)))
         scores = each.groupBy("qid", "id").agg(F.round(F.sum(score), 6).alias("score"))

@@ -49,6 +49,33 @@ def acf(df: DataFrame, y: str, lags: int) -> DataFrame:
     return one.select("series", F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), F.round(F.col(f"p{k}") / F.nullif(F.col("ss"), F.lit(0.0)), 4).alias("acf")) for k in range(1, lags + 1)])))
 
 
+def diagnostics(df: DataFrame, y: str, lags: int = 12) -> DataFrame:
+    """``series, n, portmanteau, jarque_bera, skewness, kurtosis, heteroskedasticity`` of residuals, centred.
+
+    The portmanteau statistic (Ljung-Box, chi-squared with ``lags`` degrees of freedom under
+    no autocorrelation) sums squared autocorrelations, Jarque-Bera's asks for normal third and
+    fourth moments, and the last one divides the squares of the last third of a series by
+    those of the first.  All are sums over each series; null residuals take no part, and a
+    statistic of a series without variance is null.
+    """
+    own = Window.partitionBy("series")
+    held = df.where(F.col(y).isNotNull()).withColumn("_e", F.col(y) - F.avg(y).over(own)).withColumn("_n", F.count("*").over(own)).withColumn("_i", F.row_number().over(_w()))
+    shifted = held.select("series", "_e", "_n", "_i", *[F.lag("_e", k).over(_w()).alias(f"_l{k}") for k in range(1, lags + 1)])
+    third = F.round(F.col("_n") / 3).cast("int")
+    power = lambda k: F.sum(F.pow("_e", F.lit(float(k)))).alias(f"m{k}")
+    one = shifted.groupBy("series").agg(
+        F.count("*").alias("n"), power(2), power(3), power(4), *[F.sum(F.col("_e") * F.col(f"_l{k}")).alias(f"p{k}") for k in range(1, lags + 1)],
+        F.sum(F.when(F.col("_i") <= third, F.col("_e") * F.col("_e"))).alias("early"), F.sum(F.when(F.col("_i") > F.col("_n") - third, F.col("_e") * F.col("_e"))).alias("final"),
+    )
+    n, var = F.col("n"), F.nullif(F.col("m2"), F.lit(0.0))
+    squares = sum((F.pow(F.coalesce(F.col(f"p{k}"), F.lit(0.0)) / var, F.lit(2.0)) / F.nullif(n - k, F.lit(0)) for k in range(2, lags + 1)), F.pow(F.col("p1") / var, F.lit(2.0)) / F.nullif(n - 1, F.lit(0)))
+    skew, kurt = (F.col("m3") / n) / F.pow(var / n, F.lit(1.5)), (F.col("m4") / n) / F.pow(var / n, F.lit(2.0))
+    return one.select(
+        "series", "n", F.round(n * (n + 2) * squares, 4).alias("portmanteau"), F.round(n / 6 * (skew * skew + F.pow(kurt - 3, F.lit(2.0)) / 4), 4).alias("jarque_bera"),
+        F.round(skew, 4).alias("skewness"), F.round(kurt, 4).alias("kurtosis"), F.round(F.col("final") / F.nullif(F.col("early"), F.lit(0.0)), 4).alias("heteroskedasticity"),
+    )
+
+
 def pacf(df: DataFrame, y: str, lags: int) -> DataFrame:
     """``series, lag, pacf`` by the Durbin-Levinson recursion on the autocorrelations."""
 

@@ -277,6 +277,20 @@ def acf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.acf(T.transforms(monthly(spark, sf_dir)), "log_diff", 24).select("lag", "acf")
 
 
+@query(
+    "residual_diagnostics",
+    f"""WITH d AS (SELECT t, ln(y) - lag(ln(y)) OVER (ORDER BY t) AS x FROM {_M}), e AS (SELECT x - avg(x) OVER () AS e, count(*) OVER () AS n, row_number() OVER (ORDER BY t) AS i FROM d WHERE x IS NOT NULL),
+             r AS (SELECT k, a.n, sum(a.e * b.e) AS p FROM e a, e b, (SELECT unnest(range(1, 13)) AS k) WHERE a.i = b.i + k GROUP BY k, a.n),
+             m AS (SELECT max(n) AS n, sum(e * e) AS v, sum(e * e * e) AS m3, sum(e * e * e * e) AS m4, sum(e * e) FILTER (WHERE i > n - round(n / CAST(3 AS DOUBLE))) AS b, sum(e * e) FILTER (WHERE i <= round(n / CAST(3 AS DOUBLE))) AS a FROM e),
+             s AS (SELECT *, (m3 / n) / pow(v / n, 1.5) AS s, (m4 / n) / pow(v / n, 2) AS k FROM m)
+        SELECT n, round(n * (n + 2) * (SELECT sum(pow(p / (SELECT v FROM m), 2) / (n - k)) FROM r), 4) AS portmanteau, round(n / CAST(6 AS DOUBLE) * (s * s + pow(k - 3, 2) / 4), 4) AS jarque_bera,
+               round(s, 4) AS skewness, round(k, 4) AS kurtosis, round(b / a, 4) AS heteroskedasticity FROM s""",
+)
+def residual_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether what a random walk with drift leaves of the log series is uncorrelated, normal and even."""
+    return T.diagnostics(T.transforms(monthly(spark, sf_dir)), "log_diff", 12).drop("series")
+
+
 @query(
     "pacf",
     f"""WITH RECURSIVE r AS (SELECT list(acf ORDER BY lag) AS r FROM ({_ACF})), p AS (SELECT 0 AS k, CAST([] AS DOUBLE[]) AS phi, CAST(0 AS DOUBLE) AS l
