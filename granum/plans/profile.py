@@ -281,3 +281,12 @@ def cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation of the folds' AUC."""
     return M.fold_summary(M.fold_auc(_text_features(spark, sf_dir, 256), {"naive_bayes": M.naive_bayes()}))
+
+
+@query("columns_by_type", "SELECT CAST(sum(l_orderkey) AS BIGINT) AS l_orderkey, CAST(sum(l_partkey) AS BIGINT) AS l_partkey, CAST(sum(l_suppkey) AS BIGINT) AS l_suppkey FROM lineitem")
+def columns_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the numeric columns whose name ends in ``key``, picked by type and suffix."""
+    from granum.operators.profiling import select_by
+
+    lines = parquet(spark, sf_dir, "lineitem")
+    return lines.agg(*[F.sum(c).alias(c) for c in select_by(lines, ("number",), suffix="key")])

@@ -110,14 +110,14 @@ _TOK = lambda x: f"list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[a-
 _QTEXT = "array_to_string(string_split(text, ' ')[1:8], ' ')"
 
 
-def _bm25_sql(k: int, scope: str = "TRUE") -> str:
+def _bm25_sql(k: int, scope: str = "TRUE", asked: str = "benchmark") -> str:
     return f"""(WITH d AS (SELECT doc_id AS id, {_TOK('text')} AS w, {scope} AS ok FROM documents), st AS (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl FROM d),
       tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY 1, 2, 3),
       df AS (SELECT term, ln(n_docs - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY term, n_docs),
       idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM df) ELSE raw END AS idf FROM df),
-      q AS (SELECT qid, term, count(*) AS qn FROM (SELECT item_id AS qid, unnest({_TOK(_QTEXT)}) AS term FROM benchmark) GROUP BY 1, 2),
+      q AS (SELECT qid, term, count(*) AS qn FROM (SELECT item_id AS qid, unnest({_TOK(_QTEXT)}) AS term FROM {asked}) GROUP BY 1, 2),
       s AS (SELECT qid, id, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN idf USING (term) JOIN q USING (term), st GROUP BY 1, 2),
-      a AS (SELECT b.item_id AS qid, d.id, coalesce(s.score, 0) AS score FROM benchmark b CROSS JOIN d LEFT JOIN s ON s.qid = b.item_id AND s.id = d.id WHERE d.ok)
+      a AS (SELECT b.item_id AS qid, d.id, coalesce(s.score, 0) AS score FROM {asked} b CROSS JOIN d LEFT JOIN s ON s.qid = b.item_id AND s.id = d.id WHERE d.ok)
       SELECT qid, CAST(r AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM a) WHERE r <= {k})"""
 
 
@@ -198,6 +198,23 @@ def dense_approx_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.search(spark, path, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), scope=F.col("label") == 3)
 
 
+_OWN = "(SELECT doc_id AS item_id, text FROM documents WHERE doc_id % 20 = 0 AND doc_id IN (SELECT vec_id FROM embeddings))"
+_OWN_RUNS = f"(SELECT 'bm25' AS engine, * FROM {_bm25_sql(50, 'TRUE', _OWN)} UNION ALL SELECT 'dense', * FROM {_dense_sql(50)})"
+
+
+@query(
+    "hybrid_search",
+    f"""SELECT qid, CAST(r AS INTEGER) AS rank, id, score, engines FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM (
+          SELECT qid, id, round(sum(1.0 / CAST(3 + rank AS DOUBLE)), 6) AS score, string_agg(engine, '+' ORDER BY engine) AS engines FROM {_OWN_RUNS} GROUP BY 1, 2)) WHERE r <= 8""",
+)
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both engines on one question over the same rows: a document's first eight words and its vector, by name from the registry."""
+    d, e = docs(spark, sf_dir), parquet(spark, sf_dir, "embeddings")
+    words = d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("query"))
+    asked = words.join(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), "qid")
+    return R.search("hybrid", R.Corpus(d, e), asked)
+
+
 _RUNS = f"(SELECT 'bm25' AS engine, * FROM {_bm25_sql(50)} UNION ALL SELECT 'dense', * FROM {_dense_sql(50)})"
 
 
@@ -328,6 +345,49 @@ def citation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.size("c.cited").alias("n_cited"), F.size("c.invalid").alias("n_invalid"))
 
 
+_GIVEN = f"""(SELECT c.conv_id, c.turn, list_transform(list_filter(c.cited, lambda v: v BETWEEN 1 AND 3), lambda v: [left(t.text, 40), right(t.text, 40), 'none'][v]) AS texts, {_COLLAPSE('substring(t.text, 5, 10)')} AS w
+                  FROM {_CITE} c JOIN conversations t ON t.conv_id = c.conv_id AND t.turn = c.turn AND t.role = 'assistant')"""
+
+
+@query(
+    "citation_precision",
+    f"""SELECT conv_id, turn, array_to_string(texts, '|') AS cited, CASE WHEN len(texts) > 0 THEN round(len(list_filter(texts, lambda t: contains({_COLLAPSE('t')}, w))) / CAST(len(texts) AS DOUBLE), 6) END AS precision FROM {_GIVEN}""",
+)
+def citation_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The excerpts that each answer cites, by position, and the share of them that holds the gold window."""
+    text = parquet(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text")
+    both = answers(spark, sf_dir).join(text, ["conv_id", "turn"])
+    given = F.array(F.left("text", F.lit(40)), F.right("text", F.lit(40)), F.lit("none"))
+    held = both.select("conv_id", "turn", E.citations(F.col("answer"), F.col("n_given"))["cited"].alias("c"), given.alias("given"), F.array(F.substring("text", 5, 10)).alias("w"))
+    precision = F.round(E.citation_precision(F.col("c"), F.col("given"), F.col("w")), 6)
+    return held.select("conv_id", "turn", F.array_join(E.cited_texts(F.col("c"), F.col("given")), "|").alias("cited"), precision.alias("precision"))
+
+
+_NAMES = {"de": [" der ", " und "], "en": [" the ", " and "], "es": [" los ", " que "], "fr": [" les ", " dans "]}
+_NAMED = ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(coalesce(text, '')), '{n}')" for n in ns) + f" THEN '{k}' END" for k, ns in _NAMES.items())
+
+
+@query("named_scope", f"SELECT doc_id, CASE WHEN n = '' THEN '{'+'.join(_NAMES)}' ELSE n END AS scope FROM (SELECT doc_id, concat_ws('+', {_NAMED}) AS n FROM documents)")
+def named_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of some named scopes a text speaks of; all of them where it names none."""
+    return docs(spark, sf_dir).select("doc_id", F.array_join(E.named(F.col("text"), _NAMES), "+").alias("scope"))
+
+
+_ITEM = "CASE doc_id % 6 WHEN 0 THEN '1' WHEN 1 THEN '1A' WHEN 2 THEN '3' WHEN 3 THEN '7' WHEN 4 THEN '99' END"
+_TITLE = "CASE {0} " + " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in D.ITEM_TITLES.items()) + " ELSE '' END"
+
+
+@query(
+    "context_headers",
+    f"""SELECT doc_id, upper(source) || ' fiscal year ' || (2020 + doc_id % 5) || ' 10-K, ' || CASE WHEN item IS NULL THEN 'full filing' ELSE regexp_replace('Item ' || item || '. ' || {_TITLE.format('item')}, '^[. ]+|[. ]+$', '', 'g') END AS header
+        FROM (SELECT *, {_ITEM} AS item FROM documents)""",
+)
+def context_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line that tells where each chunk is from."""
+    item = F.expr(_ITEM)
+    return docs(spark, sf_dir).select("doc_id", D.context_header(F.upper("source"), (2020 + F.col("doc_id") % 5), item).alias("header"))
+
+
 @query(
     "abstention_report",
     f"""SELECT count(*) AS n, count(*) FILTER (WHERE must_abstain AND a) AS right_abstain, count(*) FILTER (WHERE NOT must_abstain AND a) AS wrong_abstain,

@@ -7,10 +7,13 @@ from html.entities import name2codepoint
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granum import storage
 from granum.functions import text as X
 from granum.operators import sources as I
 from granum.plans.registry import query
 from granum.sources.tables import parquet
+from granum.sources.versioned import VersionedTable
+from granum.streaming import windows as W
 
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 _COLLAPSE = lambda x: f"trim(regexp_replace({x}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
@@ -321,3 +324,45 @@ def review_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     sheet = parquet(spark, sf_dir, "labels").select("doc_id", F.when(k % 3 == 0, "si").when(k % 7 == 0, " No ").otherwise("").alias("verdict"), F.when(k % 5 == 0, "fixed").otherwise("").alias("correction"))
     return I.review_override(docs(spark, sf_dir).select("doc_id", F.col("lang").alias("label")), sheet, "doc_id", {"fixed"})
+
+
+@query("slug_names", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_brand || ' ' || p_name || '!'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
+def slug_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts as parts of an address."""
+    return parquet(spark, sf_dir, "part").select("p_partkey", X.slug(F.concat("p_brand", F.lit(" "), "p_name", F.lit("!"))).alias("slug"))
+
+
+@query(
+    "filled_entries",
+    "SELECT event_id, concat_ws(',', CASE WHEN value IS NOT NULL THEN 'value' END, CASE WHEN nullif(event_type, 'click') IS NOT NULL THEN 'kind' END, CASE WHEN user_id IS NOT NULL THEN 'user' END) AS names FROM events",
+)
+def filled_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which entries of each event's metadata are filled, null ones dropped from the map."""
+    entries = F.create_map(F.lit("value"), F.col("value").cast("string"), F.lit("kind"), F.nullif("event_type", F.lit("click")), F.lit("user"), F.col("user_id").cast("string"))
+    return parquet(spark, sf_dir, "events").select("event_id", F.array_join(F.map_keys(I.without_nulls(entries)), ",").alias("names"))
+
+
+_LATEST = "SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1"
+
+
+def _latest_order(table: VersionedTable) -> DataFrame:
+    return table.read().select("o_custkey", "o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"))
+
+
+@query("versioned_latest", _LATEST)
+def versioned_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest order of each customer, from a versioned table that the orders were merged into in two commits."""
+    o = parquet(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    table = VersionedTable(spark, storage.new_folder(spark, "versions"), ["o_custkey"], ["o_orderdate", "o_orderkey"], buckets=16)
+    for part in (0, 1):
+        table.merge(o.where(F.col("o_orderkey") % 2 == part))
+    return _latest_order(table)
+
+
+@query("stream_latest", _LATEST)
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the orders read as a stream, each batch one commit."""
+    target, order = storage.new_folder(spark, "versions"), ["o_orderdate", "o_orderkey"]
+    o = W.read_stream(spark, f"{sf_dir}/orders.parquet").select("o_custkey", *order, "o_totalprice")
+    W.latest_per_key(o, target, ["o_custkey"], order, storage.new_folder(spark, "state")).awaitTermination()
+    return _latest_order(VersionedTable(spark, target, ["o_custkey"]))
