@@ -199,7 +199,7 @@ def dense_approx_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OWN = "(SELECT doc_id AS item_id, text FROM documents WHERE doc_id % 20 = 0 AND doc_id IN (SELECT vec_id FROM embeddings))"
-_OWN_RUNS = f"(SELECT 'bm25' AS engine, * FROM {_bm25_sql(50, 'TRUE', _OWN)} UNION ALL SELECT 'dense', * FROM {_dense_sql(50)})"
+_OWN_RUNS = f"(SELECT 'bm25' AS engine, * FROM {_bm25_sql(50, 'TRUE', _OWN)} UNION ALL SELECT 'dense', * FROM {_dense_sql(50)} WHERE qid IN (SELECT item_id FROM {_OWN}))"
 
 
 @query(
