@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granum.storage import hadoop_path, shared_dir
+from granum.storage import HELD, new_folder, release, remove
+
+__all__ = ["bitmap", "bitmap_has", "components", "discard", "free_name", "materialize", "release", "table"]
 
 #: Bits of a key bitmap of few keys.
 BITS = 1 << 24
@@ -18,10 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders of intermediate tables that are still there, by application.
-_HELD: dict[str, set[str]] = {}
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
@@ -29,38 +25,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     tasks it was running.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/granum-{tag}-{uuid.uuid4().hex}"
+    path = new_folder(spark, tag)
     df.write.parquet(path)
-    _HELD.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    fs, p = hadoop_path(spark, path)
-    fs.delete(p, True)
-
-
 def discard(df: DataFrame) -> None:
     """Remove the files behind a frame that :func:`materialize` returned."""
     spark = df.sparkSession
-    held = _HELD.get(spark.sparkContext.applicationId, set())
+    held = HELD.get(spark.sparkContext.applicationId, set())
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/granum-" in path:
-            _remove(spark, path)
+            remove(spark, path)
             held -= {h for h in held if h.rsplit("/", 1)[1] == path.rsplit("/", 1)[1]}
 
 
-def release(spark: SparkSession) -> int:
-    """Remove every intermediate table of this application and tell how many.
-
-    Results are lazy and read them, so an application calls this once its results are written.
-    """
-    held = _HELD.pop(spark.sparkContext.applicationId, set())
-    for path in held:
-        _remove(spark, path)
-    return len(held)
-
-
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, whatever its letter case."""
     have = {c.lower() for c in df.columns}
