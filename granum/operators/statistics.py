@@ -183,29 +183,94 @@ def logit_summary(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "term string, coef double, std_err double, z double, p double, odds_ratio double, low double, high double, pseudo_r2 double, lr_p double, n long")
 
 
-def bootstrap(values: DataFrame, x: str, stat: Callable[[np.ndarray], float], replicates: int = 10_000, level: float = 0.95, seed: int = 42, most: int = 5_000_000) -> DataFrame:
-    """``estimate, low, high`` of any statistic by resampling with replacement.
+Statistic = Callable[[np.ndarray, np.ndarray], float]
 
-    The column, of at most ``most`` values (more raise an error: see :func:`bootstrap_ci`), is
-    broadcast, and replicates are spread over tasks; each draws from its own generator.
+
+def weighted_mean(x: np.ndarray, w: np.ndarray) -> float:
+    """The mean of values that occur ``w`` times."""
+    return float((x * w).sum() / w.sum())
+
+
+def weighted_quantile(x: np.ndarray, w: np.ndarray, q: float = 0.5) -> float:
+    """The least value that at least a share ``q`` of the weight does not exceed; ``x`` ascends."""
+    run = np.cumsum(w)
+    return float(x[min(int(np.searchsorted(run, q * run[-1])), len(x) - 1)])
+
+
+def weighted_trimmed_mean(x: np.ndarray, w: np.ndarray, share: float = 0.1) -> float:
+    """The mean without the lowest and highest ``share`` of the weight, in whole rows; ``x`` ascends."""
+    run = np.cumsum(w)
+    cut = int(run[-1] * share)
+    inside = np.clip(run, cut, run[-1] - cut)
+    return weighted_mean(x, np.diff(inside, prepend=cut))
+
+
+#: Replicates of a bag in one task, and the fewest a bag has.
+DRAWS, FEWEST = 500, 100
+
+
+def _dealt(value: float, n: int, bags: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """To which bags the ``n`` rows of a value go, and how many to each; the same wherever it is asked."""
+    rng = np.random.default_rng([seed, int(np.float64(value).view(np.uint64))])
+    if n < bags:
+        return np.unique(rng.integers(0, bags, n), return_counts=True)
+    each = rng.multinomial(n, np.full(bags, 1 / bags))
+    return np.flatnonzero(each), each[each > 0]
+
+
+def bootstrap(values: DataFrame, x: str, stat: Statistic, replicates: int = 10_000, level: float = 0.95, seed: int = 42, room: int = 262_144) -> DataFrame:
+    """``estimate, low, high, bags`` of any statistic, by a bag of little bootstraps, for any number of rows.
+
+    ``stat(values, weights)`` gets ascending values and how often each occurs (see
+    :func:`weighted_mean`, :func:`weighted_quantile`, :func:`weighted_trimmed_mean`).  Rows
+    are dealt to ``n / room`` bags; every row is in one bag, and a replicate of a bag draws as many rows as
+    the table has, as multinomial weights on the bag's values.  Estimate and bounds are the
+    means over bags.  Up to ``room`` rows there is one bag, and this is the plain bootstrap.
+    Bags share ``replicates``, and each has ``FEWEST`` at least.
+
+    A task holds the values of one bag: about ``room`` rows, fewer where values repeat, as
+    only distinct values with their counts are dealt, each by a generator that it seeds.  So
+    one value may hold most rows, and lost tasks and other partitions give the same result.
+    Null and NaN take no part; without rows everything is null.
     """
-    spark = values.sparkSession
-    held = values.select(F.col(x).cast("double").alias("x")).where("x is not null")
-    if held.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} values; bootstrap_ci takes any number")
-    data = np.sort(np.array([r[0] for r in held.collect()], dtype=np.float64))
-    if not len(data):
-        return spark.createDataFrame([(None, None, None)], "estimate double, low double, high double")
-    shared = spark.sparkContext.broadcast(data)
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        for f in batches:
-            yield pd.DataFrame({"s": [float(stat(own[np.random.default_rng([seed, int(b)]).integers(0, len(own), len(own))])) for b in f["id"]]})
+    held = values.select(F.col(x).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    counts = held.select((F.col("x") + 0.0).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    names = ["bag", "x", "n", "whole", "bags"]
+    whole = counts.withColumn("whole", counts.agg(F.sum("n")).scalar())
 
-    draws = spark.range(replicates).mapInPandas(draw, "s double")
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            held, rows = [], 0
+            for value, n, total in zip(f["x"], f["n"], f["whole"], strict=True):
+                bags = -(-int(total) // room)
+                at, each = _dealt(value, int(n), bags, seed)
+                held.append((at, np.full(len(at), value), each, np.full(len(at), total), np.full(len(at), bags)))
+                rows += len(at)
+                if rows > 100_000:
+                    yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(names, zip(*held, strict=True), strict=True)})
+                    held, rows = [], 0
+            if held:
+                yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(names, zip(*held, strict=True), strict=True)})
+
+    dealt = whole.mapInPandas(deal, "bag long, x double, n long, whole long, bags long")
+    runs = F.greatest(F.lit(FEWEST), F.ceil(F.lit(replicates) / F.col("bags")))
+    parts = dealt.withColumn("runs", runs.cast("long")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("runs") / DRAWS).cast("long") - 1)))
+
+    def draw(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("x")
+        own, n = f["x"].to_numpy(), f["n"].to_numpy()
+        bag, part, total, last = (int(f[c].iloc[0]) for c in ("bag", "part", "whole", "runs"))
+        share = n / n.sum()
+        out = []
+        for b in range(part * DRAWS, min((part + 1) * DRAWS, last)):
+            w = np.random.default_rng([seed, bag, b]).multinomial(total, share)
+            out.append(float(stat(own[w > 0], w[w > 0])))
+        return pd.DataFrame({"bag": bag, "s": out, "point": float(stat(own, n))})
+
+    draws = parts.groupBy("bag", "part").applyInPandas(draw, "bag long, s double, point double")
     tail = (1 - level) / 2
-    return draws.agg(F.percentile("s", F.array(F.lit(tail), F.lit(1 - tail))).alias("q")).select(F.lit(float(stat(data))).alias("estimate"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    by_bag = draws.groupBy("bag").agg(F.percentile("s", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"), F.min("point").alias("point"))
+    return by_bag.agg(F.avg("point").alias("estimate"), F.avg(F.col("q")[0]).alias("low"), F.avg(F.col("q")[1]).alias("high"), F.nullif(F.count("*"), F.lit(0)).alias("bags"))
 
 
 def _weights(value: float, n: int, replicates: int, seed: int) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -132,57 +133,89 @@ def adf(df: DataFrame, y: str) -> DataFrame:
     return df.groupBy("series").applyInPandas(fit, "series string, stat double, lags int, n long, p double")
 
 
-#: Points of a differenced series up to which its likelihood is exact; the covariance matrix of longer ones is left out.
-EXACT = 600
+#: Prior variance, in innovations, of states that nothing is known of.
+DIFFUSE = 1e9
+#: A filter whose gain moves by less than this keeps it.
+SETTLED = 1e-13
 
 
-def _polynomials(p: np.ndarray, season: int) -> tuple[np.ndarray, np.ndarray]:
-    """Autoregressive and moving-average polynomials of parameters held inside (-1, 1)."""
-    ar, ma, sar, sma = np.tanh(np.concatenate((p, np.zeros(4 - len(p)))))
+@dataclass(frozen=True)
+class Space:
+    """A model in state space: ``y = see @ state``, then ``state = move @ state + shock * innovation``.
+
+    The states are the last points that differencing needs and those of the moving average;
+    ``prior`` is the variance of the first ones, and that many points (``unknown``) are
+    spent on finding those of which nothing is known.
+    """
+
+    see: np.ndarray
+    move: np.ndarray
+    shock: np.ndarray
+    prior: np.ndarray
+    unknown: int
+
+
+def _space(p: np.ndarray, season: int) -> Space:
+    """The (1,1,1) or, with a season, (1,1,1)(1,1,1) model of parameters ``p``.
+
+    Without a season the differenced series starts from its stationary distribution, whose
+    parameters are held inside (-1, 1); with one, nothing is known of its start and nothing
+    asked of its parameters.
+    """
+    ar, ma, lags = np.array([1.0, -p[0]]), np.array([1.0, p[1]]), np.array([1.0, -1.0])
+    if season:
+        gap = np.zeros(season - 1)
+        ar, ma, lags = np.convolve(ar, [1.0, *gap, -p[2]]), np.convolve(ma, [1.0, *gap, p[3]]), np.convolve(lags, [1.0, *gap, -1.0])
+    past, own = len(lags) - 1, max(len(ar) - 1, len(ma))
+    see = np.concatenate((-lags[1:], [1.0], np.zeros(own - 1)))
+    move, shock = np.zeros((past + own, past + own)), np.zeros(past + own)
+    move[0] = see
+    move[np.arange(1, past), np.arange(past - 1)] = 1.0
+    inner = np.eye(own, k=1)
+    inner[: len(ar) - 1, 0] = -ar[1:]
+    move[past:, past:] = inner
+    shock[past : past + len(ma)] = ma
+    prior = DIFFUSE * np.eye(past + own)
     if not season:
-        return np.array([1.0, -ar]), np.array([1.0, ma])
-    gap = np.zeros(season - 1)
-    return np.convolve([1.0, -ar], np.concatenate(([1.0], gap, [-sar]))), np.convolve([1.0, ma], np.concatenate(([1.0], gap, [sma])))
-
-
-def _weights(ar: np.ndarray, ma: np.ndarray, n: int) -> np.ndarray:
-    """The first ``n`` moving-average weights of a model."""
-    psi = np.zeros(n)
-    at = [k for k in range(1, len(ar)) if ar[k]]
-    for t in range(n):
-        psi[t] = (ma[t] if t < len(ma) else 0.0) - sum(ar[k] * psi[t - k] for k in at if k <= t)
-    return psi
-
-
-def _covariance(ar: np.ndarray, ma: np.ndarray, n: int) -> np.ndarray:
-    """Covariances of ``n`` points of a stationary series with unit innovations."""
-    lags = max(600, 2 * n)
-    psi = _weights(ar, ma, lags)
-    gamma = np.array([psi[: lags - k] @ psi[k:] for k in range(n)])
-    return gamma[np.abs(np.subtract.outer(np.arange(n), np.arange(n)))]
-
-
-def _loss(p: np.ndarray, w: np.ndarray, season: int) -> float:
-    """The negative log likelihood with the variance worked out; without covariances for long series."""
-    ar, ma = _polynomials(p, season)
-    if len(w) > EXACT:
-        e = _residuals(ar, ma, w)
-        return len(w) / 2 * np.log(max(e @ e, 1e-300) / len(w))
-    try:
-        root = np.linalg.cholesky(_covariance(ar, ma, len(w)))
-    except np.linalg.LinAlgError:
-        return np.inf
-    e = np.linalg.solve(root, w)
-    return len(w) / 2 * np.log(max(e @ e, 1e-300) / len(w)) + np.log(np.diag(root)).sum()
-
-
-def _residuals(ar: np.ndarray, ma: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Innovations of a series whose earlier points and innovations are 0."""
-    e = np.zeros(len(w))
-    back = [k for k in range(1, max(len(ar), len(ma)))]
-    for t in range(len(w)):
-        e[t] = w[t] + sum((ar[k] * w[t - k] if k < len(ar) else 0.0) - (ma[k] * e[t - k] if k < len(ma) else 0.0) for k in back if k <= t)
-    return e
+        prior[past:, past:] = np.linalg.solve(np.eye(own * own) - np.kron(inner, inner), np.outer(shock[past:], shock[past:]).ravel()).reshape(own, own)
+    return Space(see, move, shock, prior, past + own if season else past)
+
+
+def kalman(m: Space, z: np.ndarray, ahead: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
+    """The negative log likelihood of ``z``, and its forecasts ``ahead`` with their deviations.
+
+    Linear in the length; missing points (NaN) are stepped over.  The variance of the
+    innovations is worked out of the likelihood.
+    """
+    state, var, gain, scale = np.zeros(len(m.see)), m.prior, None, 0.0
+    noise = np.outer(m.shock, m.shock)
+    seen, squares, logs, same = 0, 0.0, 0.0, False
+    for y in z:
+        if not np.isfinite(y):
+            state, var, same = m.move @ state, m.move @ var @ m.move.T + noise, False
+            continue
+        if not same:
+            at = var @ m.see
+            last, scale, gain = gain, float(m.see @ at), m.move @ at
+            if not scale > 0:
+                return np.inf, np.zeros(ahead), np.zeros(ahead)
+            gain = gain / scale
+            new = m.move @ var @ m.move.T + noise - scale * np.outer(gain, gain)
+            same = seen > m.unknown and last is not None and np.abs(gain - last).max() < SETTLED
+            var = (new + new.T) / 2
+        off = y - m.see @ state
+        state = m.move @ state + gain * off
+        seen += 1
+        if seen > m.unknown:
+            squares, logs = squares + off * off / scale, logs + np.log(scale)
+    n = max(seen - m.unknown, 1)
+    level = max(squares, 1e-300) / n
+    path, spread = np.zeros(ahead), np.zeros(ahead)
+    for k in range(ahead):
+        path[k], spread[k] = m.see @ state, np.sqrt(level * max(float(m.see @ var @ m.see), 0.0))
+        state, var = m.move @ state, m.move @ var @ m.move.T + noise
+    loss = (n * np.log(level) + logs) / 2
+    return loss if np.isfinite(loss) else np.inf, path, spread
 
 
 def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, size: float = 0.4, rounds: int = 300, close: float = 1e-9) -> np.ndarray:
@@ -214,34 +247,33 @@ def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, size: float = 0
 def arima_path(z: np.ndarray, season: int, ahead: int) -> tuple[np.ndarray, np.ndarray]:
     """Forecast and deviation, on the scale of ``z``, of (1,1,1) or, with a season, (1,1,1)(1,1,1).
 
-    Parameters have the greatest Gaussian likelihood of the differenced series, and its
-    forecasts are the best linear ones given all of its points.
+    Parameters have the greatest Gaussian likelihood, by the filter of :func:`kalman`, at any
+    length.  Points may be missing (NaN).
     """
-    d = np.diff(z)
-    w = d[season:] - d[:-season] if season else d
-    ar, ma = _polynomials(simplex(lambda p: _loss(p, w, season), np.array([0.1, -0.3, 0.05, -0.3] if season else [0.1, -0.3])), season)
-    n = min(len(w), EXACT)
-    cov, tail = _covariance(ar, ma, n + ahead), w[len(w) - n :]
-    steps = [*d, *(cov[n:, :n] @ np.linalg.solve(cov[:n, :n], tail))]
-    for k in range(len(d), len(steps)):
-        steps[k] += steps[k - season] if season else 0.0
-    whole = np.convolve(ar, [1.0, -1.0])
-    if season:
-        whole = np.convolve(whole, np.concatenate(([1.0], np.zeros(season - 1), [-1.0])))
-    e = np.linalg.solve(np.linalg.cholesky(cov[:n, :n]), tail)
-    return z[-1] + np.cumsum(steps[len(d) :]), np.sqrt(e @ e / n * np.cumsum(_weights(whole, ma, ahead) ** 2))
+    base = z[np.isfinite(z)][0]
+    held = (lambda p: p) if season else np.tanh
+    with np.errstate(over="ignore", invalid="ignore"):
+        best = simplex(lambda p: kalman(_space(held(p), season), z - base)[0], np.array([0.1, -0.3, 0.05, -0.3] if season else [0.1, -0.3]))
+        _, path, sd = kalman(_space(held(best), season), z - base, ahead)
+    return base + path, sd
+
+
+#: Points that a series must have beyond those that the start of its model takes.
+SPARE = 10
 
 
 def arima_forecast(df: DataFrame, y: str = "y", season: int = 12, ahead: int = 12) -> DataFrame:
     """``series, step, forecast, low, high`` of a model on logs; ``season`` 0 leaves the seasonal part out.
 
-    Fitted by likelihood (see :func:`arima_path`); bounds come from the model's moving-average
-    weights.  Series too short for two seasons and four points give no rows.
+    Series are fitted side by side (see :func:`arima_path`), each in time linear in its
+    length; bounds are those of the filter.  A null value is a gap.  Series of fewer known
+    points than the model's unknown states and ten more give no rows.
     """
+    least = (_space(np.zeros(4), season).unknown if season else 1) + SPARE
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         s = frame.sort_values("t")[y].to_numpy(dtype=float)
-        if len(s) < 2 * season + 6:
+        if np.isfinite(s).sum() < least:
             return pd.DataFrame(columns=["series", "step", "forecast", "low", "high"])
         path, sd = arima_path(np.log(np.maximum(s, 1e-12)), season, ahead)
         return pd.DataFrame({"series": frame["series"].iloc[0], "step": np.arange(1, ahead + 1), "forecast": np.exp(path), "low": np.exp(path - 1.96 * sd), "high": np.exp(path + 1.96 * sd)})

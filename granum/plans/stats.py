@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -223,8 +222,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bootstrap_stat")
 def bootstrap_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bootstrap interval of a statistic of the caller's: the trimmed mean of supplier balances."""
-    trimmed = lambda x: float(np.sort(x)[len(x) // 10 : len(x) - len(x) // 10].mean())
-    return S.bootstrap(parquet(spark, sf_dir, "supplier"), "s_acctbal", trimmed)
+    return S.bootstrap(parquet(spark, sf_dir, "supplier"), "s_acctbal", S.weighted_trimmed_mean)
 
 
 _M = "(SELECT strftime(o_orderdate, '%Y-%m') AS t, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS y FROM orders GROUP BY 1)"
@@ -336,3 +334,11 @@ def forecast_seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve months ahead with bounds; the last month is incomplete and left out."""
     m = monthly(spark, sf_dir)
     return T.sarima_forecast(m.where(F.col("t") < m.agg(F.max("t")).scalar()))
+
+
+@query("forecast_segments")
+def forecast_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve months ahead of the revenue of every market segment, fitted side by side."""
+    orders = parquet(spark, sf_dir, "orders").join(parquet(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("series")), F.col("o_custkey") == F.col("c_custkey"))
+    m = orders.groupBy("series", F.date_format("o_orderdate", "yyyy-MM").alias("t")).agg(dsum("o_totalprice").alias("y"))
+    return T.sarima_forecast(m.where(F.col("t") < m.agg(F.max("t")).scalar()))
