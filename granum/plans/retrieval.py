@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granum import storage
+from granum.functions import html as H
 from granum.functions import text as X
 from granum.operators import documents as D
 from granum.operators import evaluation as E
@@ -27,6 +28,12 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "pages").select("page_id", X.html_text(F.col("html")).alias("body"))
 
 
+@query("html_visible", f"SELECT page_id, {_HTML} AS body FROM pages")
+def html_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same text by the tokenizer that takes broken pages too; on well-formed ones both agree."""
+    return parquet(spark, sf_dir, "pages").select("page_id", H.visible_text(F.col("html")).alias("body"))
+
+
 @query("section_split")
 def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of filings made of five documents each under item headings."""

@@ -11,6 +11,7 @@ from granum import storage
 from granum.functions import text as X
 from granum.operators import sources as I
 from granum.plans.registry import query
+from granum.sources import variants as V
 from granum.sources.tables import parquet
 from granum.sources.versioned import VersionedTable
 from granum.streaming import windows as W
@@ -366,3 +367,44 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = W.read_stream(spark, f"{sf_dir}/orders.parquet").select("o_custkey", *order, "o_totalprice")
     W.latest_per_key(o, target, ["o_custkey"], order, storage.new_folder(spark, "state")).awaitTermination()
     return _latest_order(VersionedTable(spark, target, ["o_custkey"]))
+
+
+# ------------------------------------------------------------------ captures of drifting shape
+
+#: Where a capture holds what is wanted: three shapes of one record.
+_FIELDS: V.Fields = {
+    "id": ("bigint", ["$.id"], None),
+    "role": ("string", ["$.attributes.speaker.data.attributes.name", "$.attributes.speaker.name", "$.attributes.speaker"], None),
+    "length": ("bigint", ["$.attributes.length"], -1),
+}
+
+
+def _captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as JSON, a third in each of three shapes; some of the second lose their last character."""
+    t = parquet(spark, sf_dir, "conversations")
+    nested = lambda c, *names: nested(F.struct(c.alias(names[-1])), *names[:-1]) if names else c
+    split = F.split("text", "\n").alias("lines")
+    shapes = (
+        F.to_json(F.struct(F.col("conv_id").alias("id"), F.struct(nested(F.col("role"), "data", "attributes", "name").alias("speaker"), split).alias("attributes"))),
+        F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.struct(nested(F.col("role"), "name").alias("speaker"), F.length("text").alias("length"), split).alias("attributes"))),
+        F.to_json(F.struct(F.col("conv_id").alias("id"), F.struct(F.col("role").alias("speaker"), F.col("text").alias("body")).alias("attributes"))),
+    )
+    shape = F.col("turn") % 3
+    whole = F.when(shape == 0, shapes[0]).when(shape == 1, shapes[1]).otherwise(shapes[2])
+    cut = F.when((shape == 1) & (F.col("conv_id") % 5 == 2), F.expr("left(capture, length(capture) - 1)")).otherwise(F.col("capture"))
+    return V.parsed(t.select("conv_id", "turn", whole.alias("capture")).withColumn("capture", cut), "capture")
+
+
+_CUT = "(turn % 3 = 1 AND conv_id % 5 = 2)"
+
+
+@query("captures_typed", f"SELECT conv_id, turn, NOT {_CUT} AS valid, CASE WHEN NOT {_CUT} THEN conv_id END AS id, CASE WHEN NOT {_CUT} THEN role END AS role, CASE WHEN turn % 3 = 1 AND NOT {_CUT} AND text IS NOT NULL THEN length(text) ELSE -1 END AS length FROM conversations")
+def captures_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested captures of three shapes, read without a schema; what is no JSON is marked."""
+    return V.typed(_captured(spark, sf_dir), _FIELDS).select("conv_id", "turn", "valid", "id", "role", "length")
+
+
+@query("captures_lines", f"SELECT conv_id, turn, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS line FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations WHERE turn % 3 < 2 AND NOT {_CUT})")
+def captures_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements of the captures' nested arrays as rows."""
+    return V.elements(_captured(spark, sf_dir), "$.attributes.lines").select("conv_id", "turn", "pos", F.col("value").cast("string").alias("line"))
