@@ -44,16 +44,21 @@ def fixed_chunks(df: DataFrame, id_col: str, text_col: str, width: int = TARGET,
     return cut.select(id_col, "chunk_index", F.substr("t", F.col("s") + 1, F.lit(width)).alias("text")).where((F.col("chunk_index") == 0) | (F.length("text") >= least))
 
 
+def sentence_patterns() -> tuple[str, str, str]:
+    """What becomes one space, what parts sentences, and what is trimmed off them."""
+    gap = rf"(?:\s+(?=[{OPENERS}])|\s*(?={BULLET}))"
+    return rf"(?U){_ABBREVIATED}{gap}", rf"(?U){_NOT_ABBREVIATED}(?:(?<=[.!?])\s+(?=[{OPENERS}])|\s*(?={BULLET}))", r"(?U)^\s+|\s+$"
+
+
 def sentences(text: Column) -> Column:
     """Sentences of a text as an array: cut behind ``.!?`` before an opening character, and at bullets.
 
     A break behind an abbreviation is none; its white space becomes one space.  Null and
     blank texts have no sentence.
     """
-    gap = rf"(?:\s+(?=[{OPENERS}])|\s*(?={BULLET}))"
-    whole = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?U){_ABBREVIATED}{gap}", " ")
-    pieces = F.split(whole, rf"(?U){_NOT_ABBREVIATED}(?:(?<=[.!?])\s+(?=[{OPENERS}])|\s*(?={BULLET}))")
-    return F.filter(F.transform(pieces, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+    joined, parting, trimmed = sentence_patterns()
+    pieces = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), joined, " "), parting)
+    return F.filter(F.transform(pieces, lambda p: F.regexp_replace(p, trimmed, "")), lambda p: p != "")
 
 
 def bounded_parts(parts: Column, most: int = MAXIMUM) -> Column:

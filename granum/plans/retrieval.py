@@ -13,6 +13,7 @@ from granum.operators import evaluation as E
 from granum.operators import search as R
 from granum.operators import text_index as L
 from granum.operators import vector_index as V
+from granum.operators import table_functions as TF
 from granum.plans.registry import query
 from granum.plans.textual import _CLEAN, _COLLAPSE, _unescape_sql, docs
 from granum.sources.tables import parquet
@@ -92,6 +93,20 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.chunk_stats(chunks(spark, sf_dir))
 
 
+@query("chunk_fixed_sql", f"SELECT doc_id, chunk_index, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS digest FROM {_CH}")
+def chunk_fixed_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows from SQL."""
+    TF.register(spark)
+    return spark.sql("SELECT doc_id, chunk_index, length(c.text) AS n_chars, md5(c.text) AS digest FROM (SELECT doc_id, fixed_chunks(text, 1500, 1300, 300) AS chunks FROM {docs}) AS d, LATERAL inline(d.chunks) AS c", docs=docs(spark, sf_dir))
+
+
+@query("chunk_structural_sql")
+def chunk_structural_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of whole sentences from SQL."""
+    TF.register(spark)
+    return spark.sql("SELECT * FROM sentence_chunks(TABLE(SELECT doc_id, bounded_sentences(text) AS parts FROM {docs}), 'parts')", docs=docs(spark, sf_dir))
+
+
 @query("chunk_structural")
 def chunk_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of whole sentences."""

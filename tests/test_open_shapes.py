@@ -1,13 +1,17 @@
-"""Captures of drifting shape, and pages that are not well formed."""
+"""Captures of drifting shape, pages that are not well formed, and one row to many from SQL."""
 
 from __future__ import annotations
 
 import time
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from granum.functions import html as H
+from granum.operators import documents as D
+from granum.operators import table_functions as TF
+from granum.plans import retrieval
 from granum.sources import variants as V
 
 PAGES = {
@@ -64,3 +68,30 @@ def test_objects_are_no_strings(spark) -> None:  # noqa: ANN001
 def test_lines_of_json(spark, tmp_path) -> None:  # noqa: ANN001
     (tmp_path / "x.jsonl").write_text('{"a":1}\n\n{"a":"b"}\n{broken\n')
     assert sorted((r["valid"], r["text"]) for r in V.lines(spark, str(tmp_path)).collect() if not r["valid"]) == [(False, "{broken")]
+
+
+def test_chunks_from_sql_equal_those_of_frames(spark) -> None:  # noqa: ANN001
+    sf = "/root/testdata/sf0.001"
+    for a, b in ((retrieval.chunk_fixed_sql, retrieval.chunk_fixed), (retrieval.chunk_structural_sql, retrieval.chunk_structural)):
+        got, want = a(spark, sf), b(spark, sf)
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = retrieval.chunk_fixed_sql(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    plan = retrieval.chunk_structural_sql(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_chunks_from_sql_of_odd_rows(spark) -> None:  # noqa: ANN001
+    TF.register(spark)
+    rows = [(1, None, "n"), (2, "", None), (3, "   ", "b"), (4, "It\'s \"one\". Two\u2019s \\ here! (Three) Inc. Four", "x"), (4, "word " * 3000, "x"), (5, "A. " * 900, "y")]
+    df = spark.createDataFrame(rows, "id int, body string, extra string")
+    fixed = spark.sql("SELECT id, c.* FROM (SELECT id, fixed_chunks(body, 1500, 1300, 300) AS chunks FROM {t}) AS d, LATERAL inline(d.chunks) AS c", t=df)
+    assert sorted(map(tuple, fixed.collect())) == sorted(map(tuple, D.fixed_chunks(df, "id", "body").collect()))
+    packed = spark.sql("SELECT id, extra, chunk_index, text FROM sentence_chunks(TABLE(SELECT extra, bounded_sentences(body) AS parts, id FROM {t}), 'parts')", t=df)
+    assert sorted(map(tuple, packed.drop("extra").collect())) == sorted(map(tuple, D.structural_chunks(df, "id", "body").collect()))
+    assert {r["extra"] for r in packed.collect()} == {"x", "y"}
+    null = spark.sql("SELECT * FROM sentence_chunks(TABLE(SELECT id, CAST(NULL AS ARRAY<STRING>) AS parts FROM {t}), 'parts')", t=df)
+    assert null.count() == 0 and null.columns == ["id", "chunk_index", "text"]
+    for call, word in (("TABLE(SELECT 1 AS a), 'parts'", "names one of"), ("TABLE(SELECT 'x' AS parts), 'parts'", "one array"), ("TABLE(SELECT array('x') AS parts, 1 AS text), 'parts'", "those of the result"), ("array('x'), 'parts'", "first argument")):
+        with pytest.raises(AnalysisException, match=word):
+            spark.sql(f"SELECT * FROM sentence_chunks({call})")
