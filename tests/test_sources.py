@@ -163,6 +163,81 @@ def test_web_sources(spark, tmp_path, site) -> None:  # noqa: ANN001
     assert time.monotonic() - began >= 0.095
 
 
+@pytest.fixture
+def counted():  # noqa: ANN201
+    """A local server whose number of pages can grow, with the time of each request of a page."""
+    held = {"pages": 0, "asked": [], "fail": set()}
+
+    class Handler(SimpleHTTPRequestHandler):
+        def do_GET(self) -> None:  # noqa: N802
+            if self.path.endswith("/size"):
+                body, status = held["pages"], 200
+            else:
+                key = (self.path.split("?")[0], int(self.path.rsplit("=", 1)[1]))
+                held["asked"].append((time.monotonic(), key))
+                status = 500 if key in held["fail"] and sum(k == key for _, k in held["asked"]) == 1 else 200
+                body = [{"id": key[1]}] if key[1] < held["pages"] else []
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *args: object) -> None:
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", held
+    server.shutdown()
+
+
+def _most_in_a_second(asked: list) -> int:  # noqa: ANN001
+    at = sorted(t for t, _ in asked)
+    return max(sum(a <= t < a + 0.99 for t in at) for a in at)  # the server's clock lags the client's by some thousandths
+
+
+def test_pages_as_a_stream_resume_and_keep_one_rate(spark, tmp_path, counted) -> None:  # noqa: ANN001
+    base, held = counted
+    fetch = lambda e, p: json.loads(web.get(f"{base}/{e}?page={p}"))
+    paged.register(spark, "grown_board", fetch, lambda e: json.loads(web.get(f"{base}/{e}/size")))
+
+    def run() -> None:
+        rows = spark.readStream.format("grown_board").option("perSecond", 20).option("tasks", 4).load("jobs,more")
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination(120)
+
+    for pages in (13, 13, 21):
+        held["pages"] = pages
+        run()
+        assert sorted(k for _, k in held["asked"]) == sorted((f"/{e}", p) for e in ("jobs", "more") for p in range(pages))
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r["endpoint"], r["page"]) for r in got.where("error is null").collect()) == sorted((e, p) for e in ("jobs", "more") for p in range(21))
+    assert _most_in_a_second(held["asked"]) <= 20
+
+
+def test_pages_in_one_read_keep_one_rate(spark, counted) -> None:  # noqa: ANN001
+    base, held = counted
+    held["pages"], held["fail"] = 10, {("/jobs", 3)}
+    paged.register(spark, "paced_board", lambda e, p: json.loads(web.get(f"{base}/{e}?page={p}")))
+    for pages in (10, None):
+        held["asked"].clear()
+        reader = spark.read.format("paced_board").option("perSecond", 13).option("tasks", 4)
+        rows = (reader.option("pages", pages) if pages else reader).load("jobs,more").collect()
+        assert sorted((r["endpoint"], r["page"]) for r in rows if r["error"] is None) == sorted((e, p) for e in ("jobs", "more") for p in range(10))
+        assert _most_in_a_second(held["asked"]) <= 13
+
+
+def test_shares_of_pages() -> None:
+    R = paged.PageRange  # noqa: N806
+    for sizes, shares in (((10,), 4), ((1, 1), 4), ((7, 0, 30, 2), 3), ((5, 5), 1)):
+        got = paged.dealt([R(str(i), 2, 2 + n) for i, n in enumerate(sizes)], shares)
+        assert sorted((r.endpoint, p) for g in got for r in g for p in range(r.first, r.last)) == sorted((str(i), p + 2) for i, n in enumerate(sizes) for p in range(n))
+        counts = [sum(r.last - r.first for r in g) for g in got]
+        assert len(got) <= shares and max(counts) - min(counts) <= 1
+    assert paged.dealt([], 3) == [] and paged.dealt([R("a", 0, None), R("b", 0, None), R("c", 0, None)], 2) == [[R("a", 0, None), R("c", 0, None)], [R("b", 0, None)]]
+    assert paged.pace(10, 4) == (4, 0.5) and paged.pace(2, 4) == (2, 1.0) and paged.pace(0.5, 4) == (1, 2.0) and paged.pace(13, 4) == (4, 1 / 3)
+    with pytest.raises(ValueError, match="positive"):
+        paged.pace(0, 1)
+
+
 def test_service(spark) -> None:  # noqa: ANN001
     df = spark.createDataFrame([(w * 3, float(i)) for i, w in enumerate(("bad poor ", "good fine ")) for _ in range(5)], "text string, label double")
     server = serving.serve(serving.Service(spark, models.text_pipeline(models.naive_bayes(), 64).fit(df)))
