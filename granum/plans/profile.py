@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granum import storage
 from granum.operators import classification as K
 from granum.functions.money import dsum
 from granum.operators import features as X
 from granum.operators import models as M
+from granum.operators import networks as N
 from granum.operators import profiling as P
 from granum.plans.registry import query
 from granum.sources.tables import parquet
@@ -290,3 +292,14 @@ def columns_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lines = parquet(spark, sf_dir, "lineitem")
     return lines.agg(*[F.sum(c).alias(c) for c in select_by(lines, ("number",), suffix="key")])
+
+
+@query("network_scores")
+def network_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and confidence of every vector, by a network fitted on four fifths of them, saved and loaded again."""
+    rows = parquet(spark, sf_dir, "embeddings")
+    width = rows.agg(F.mode(F.size("embedding"))).first()[0]
+    path = storage.new_folder(spark, "network")
+    held_out = F.crc32(F.col("vec_id").cast("string")) % 5 == 0
+    N.save(spark, N.fit(rows.where(~held_out), "embedding", "label", width), path)
+    return N.scores(rows, "embedding", N.load(spark, path)).select("vec_id", "label", held_out.alias("held_out"), "predicted", F.round("confidence", 6).alias("confidence"))
