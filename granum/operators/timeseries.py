@@ -278,7 +278,8 @@ def arima_forecast(df: DataFrame, y: str = "y", season: int = 12, ahead: int = 1
         path, sd = arima_path(np.log(np.maximum(s, 1e-12)), season, ahead)
         return pd.DataFrame({"series": frame["series"].iloc[0], "step": np.arange(1, ahead + 1), "forecast": np.exp(path), "low": np.exp(path - 1.96 * sd), "high": np.exp(path + 1.96 * sd)})
 
-    return df.groupBy("series").applyInPandas(fit, "series string, step int, forecast double, low double, high double")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is kept: few rows are much work here
+    return df.repartition(parts, "series").groupBy("series").applyInPandas(fit, "series string, step int, forecast double, low double, high double")
 
 
 def sarima_forecast(df: DataFrame, y: str = "y", season: int = 12, ahead: int = 12) -> DataFrame:
