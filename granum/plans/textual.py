@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granum import storage
 from granum.functions import text as X
+from granum.operators import cleaning as L
 from granum.operators import sources as I
 from granum.plans.registry import query
 from granum.sources import variants as V
@@ -42,10 +43,33 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("clean_text", f"SELECT doc_id, array_to_string({_CLEAN}, ' ') AS clean FROM documents")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review cleaning (the lemmatiser is the identity)."""
+    """Review cleaning without a lexicon, so every word is its own lemma."""
     return docs(spark, sf_dir).select("doc_id", F.array_join(X.clean_words(F.col("text")), " ").alias("clean"))
 
 
+_FORMS = " UNION ALL ".join(
+    [
+        "SELECT word, word AS form, 0 AS nth FROM v",
+        *[
+            f"SELECT word, left(word, length(word) - {len(end)}) || {_q(new)}, {i} FROM v WHERE word LIKE {_q('%' + end)}" + (" AND word NOT LIKE '%ss'" if end == "s" else "")
+            for i, (end, new) in enumerate(X.NOUN_ENDINGS, 1)
+        ],
+    ]
+)
+
+
+@query(
+    "clean_lemmas",
+    f"""WITH c AS (SELECT doc_id, {_CLEAN} AS ws FROM documents), t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM c),
+    v AS (SELECT DISTINCT word FROM t), f AS ({_FORMS}), l AS (SELECT word, arg_min(form, length(form) * 100 + nth) AS lemma FROM f WHERE form IN (SELECT word FROM v) GROUP BY word),
+    j AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY pos) AS clean FROM t JOIN l USING (word) GROUP BY doc_id)
+    SELECT doc_id, coalesce(clean, '') AS clean FROM c LEFT JOIN j USING (doc_id)""",
+)
+def clean_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review cleaning with lemmas; the lexicon is the corpus's own words."""
+    return L.clean_text(docs(spark, sf_dir), "doc_id", "text")
+
+
 @query("normalize_text", f"SELECT doc_id, md5({_NORM('text')}) AS norm_md5 FROM documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the normalised text."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from granum.functions import special
 from granum.functions import text as X
 from granum.operators import classification as K
+from granum.operators import cleaning
 from granum.operators import customers as C
 from granum.operators import documents as D
 from granum.operators import evaluation as E
@@ -539,6 +540,26 @@ def test_lemmas(spark) -> None:  # noqa: ANN001
     assert got == [["church", "bus", "wolf", "box", "quizzes", "man", "city", "dog", "glass", "mouse", "unknowns", "leave"], None]
 
 
+def test_cleaning_by_joins_equals_word_by_word(spark) -> None:  # noqa: ANN001
+    rng = random.Random(2)
+    stems = "church bus wolf box quiz man city dog glass leave wolve axe fly class".split()
+    known, odd = frozenset(stems), {"mice": "mouse", "dogs": "hound"}
+    pool = [s + e for s in stems for e in ("", "s", "es", "ves", "men")] + ["cities", "flies", "wolves", "women", "mice", "unknowns"]
+    texts: list[str | None] = [None, "", "<b>The</b> 12 of", *[" ".join(rng.choice(pool).title() + rng.choice(["", ",", "<br/>"]) for _ in range(rng.randint(1, 40))) for _ in range(40)]]
+    rows = [*enumerate(texts), (None, "Churches and mice"), (7, "boxes boxes dogs"), (7, "boxes boxes dogs")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3).withColumn("clean", F.lit("x")).withColumn("word", F.lit(1))
+    lexicon = spark.createDataFrame([(w,) for w in [*stems, None]], "word string")
+    words = dict(df.select("text", X.clean_words(F.col("text"))).distinct().collect())
+    want = sorted(str((i, " ".join(X.lemma(w, known, odd) for w in words[t]))) for i, t in rows)
+    assert sorted(str(tuple(r)) for r in cleaning.clean_text(df, "id", "text", lexicon, odd).collect()) == want
+    own = frozenset(w for ws in words.values() for w in ws)
+    assert sorted(str(tuple(r)) for r in cleaning.clean_text(df, "id", "text").collect()) == sorted(str((i, " ".join(X.lemma(w, own, {}) for w in words[t]))) for i, t in rows)
+    assert cleaning.clean_text(df.limit(0), "id", "text", lexicon).count() == 0
+    arrays = spark.createDataFrame([(1, None, "k"), (2, ["dogs", None], "l")], "id int, ws array<string>, kept string")
+    some = cleaning.changed_words(spark.createDataFrame([("dogs",), (None,)], "word string"), lexicon)
+    assert sorted(map(tuple, cleaning.lemmatised(arrays, "id", "ws", some).collect())) == [(1, None, "k"), (2, ["dog", None], "l")]
+
+
 def test_citations_names_and_maps(spark) -> None:  # noqa: ANN001
     rows = [([1, 3, 9], ["gold  text here", "b", "other"], ["gold text"]), ([2], ["a", "b"], []), ([7], ["a"], ["a"])]
     df = spark.createDataFrame(rows, "c array<int>, g array<string>, w array<string>")
