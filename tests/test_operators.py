@@ -709,3 +709,16 @@ def test_images(spark, tmp_path) -> None:  # noqa: ANN001
     assert rows["c.png"]["pixels"] is None and rows["c.png"]["error"] == "no PNG"
     empty = spark.createDataFrame([(1, None), (2, bytearray())], "error int, content binary")
     assert [tuple(r) for r in images.digits(empty).collect()] == [(None, "empty file")] * 2
+
+
+def test_boosting_in_folds_and_its_importances(spark) -> None:  # noqa: ANN001
+    rng = random.Random(8)
+    rows = [(i, float(x > 0.6), x, rng.random()) for i in range(300) for x in [rng.random()]]
+    data = models.assembled(spark.createDataFrame(rows, "doc_id long, label double, decides double, noise double"), ["decides", "noise"]).cache()
+    top = [tuple(r) for r in models.importances(models.boosted(rounds=3, share=1.0).fit(data), ["decides", "noise"], spark).collect()]
+    assert top[0][0] == "decides" and top[0][1] > 0.9 and abs(sum(t[1] for t in top) - 1) < 1e-9
+    aucs = models.fold_auc(data, {"boosted": models.boosted(rounds=3, share=1.0)}, folds=3)
+    got = [r["auc"] for r in aucs.orderBy("fold").collect()]
+    assert len(got) == 3 and min(got) > 0.97
+    summary = models.fold_summary(aucs).first()
+    assert summary["mean_auc"] == round(float(np.mean(got)), 4) and abs(summary["std_auc"] - float(np.std(got))) < 1e-4

@@ -14,7 +14,7 @@ from granum.plans import registry
 SF = "/root/testdata/sf0.001"
 QUERIES = registry.queries()
 #: Fits of iterative models, checked by rows only and slow.
-SLOW = {"cv_auc", "ml_forest", "ml_gbt", "ml_logreg", "logit_grid", "kmeans_segments"}
+SLOW = {"cv_auc", "cv_tabular", "ml_importances", "ml_forest", "ml_gbt", "ml_logreg", "logit_grid", "kmeans_segments"}
 
 
 @pytest.fixture(scope="module")
