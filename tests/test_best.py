@@ -39,3 +39,24 @@ def test_bm25_takes_rows_of_one_id_as_one_document(spark) -> None:  # noqa: ANN0
     asked = spark.createDataFrame([(7, "red fox"), (8, "")], "qid long, query string")
     got = {(r["qid"], r["rank"]): r["id"] for r in R.bm25(docs, asked, 3).collect()}
     assert got == {(7, 1): 1, (7, 2): 2, (7, 3): 3, (8, 1): 1, (8, 2): 2, (8, 3): 3}
+
+
+def test_tfidf_deals_out_counts_by_term_alone(spark) -> None:  # noqa: ANN001
+    rows = [(i, ["red", "fox"] * (i % 4) + ["tree", f"w{i % 7}"]) for i in range(60)] + [(3, ["red", "owl"]), (90, []), (91, ["fox"])]
+    df = spark.createDataFrame(rows, "doc_id long, w array<string>")
+    held: dict[int, dict[str, int]] = {}
+    for i, w in rows:
+        own = held.setdefault(i, {})
+        for t in [*w, *[f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]]:
+            own[t] = own.get(t, 0) + 1
+    terms = {t for own in held.values() for t in own}
+    idf = {t: np.log((1 + len(rows)) / (1 + n)) + 1 for t in terms if (n := sum(t in own for own in held.values())) >= 5}
+    want = {}
+    for i, own in held.items():
+        x = {t: n * idf[t] for t, n in own.items() if t in idf}
+        unit = sorted(((-round(v / np.sqrt(sum(y * y for y in x.values())), 6), t) for t, v in x.items()))[:3]
+        want |= {(i, t): -v for v, t in unit}
+    got = {(r["id"], r["term"]): r["weight"] for r in R.tfidf(df, F.col("w"), k=3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want)
+    plan = R.tfidf_weights(df.where("doc_id > 3"), F.col("w"), R.tfidf_vocabulary(df, F.col("w")), k=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # one row an id: nothing is dealt out
