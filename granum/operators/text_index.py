@@ -11,13 +11,18 @@ Results are those of :func:`granum.operators.search.bm25`.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from granum.functions.text import tokens
-from granum.operators.search import B, EPSILON, K1, TOP_K, top
+from granum.operators.search import B, EPSILON, K1, TOP_K, few_words, top
 from granum.operators.sizes import broadcast_if_small
 from granum.storage import new_folder, read_text, write_text
 
@@ -31,6 +36,46 @@ def _shard(term: str = "term") -> Column:
     return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
 
 
+def _block_schema(kind: T.DataType) -> T.StructType:
+    posting = T.StructType([T.StructField("id", kind), T.StructField("tf", T.LongType()), T.StructField("dl", T.IntegerType())])
+    return T.StructType([T.StructField("term", T.StringType()), T.StructField("range", T.LongType()), T.StructField("n", T.LongType()), T.StructField("most", T.DoubleType()), T.StructField("postings", T.ArrayType(posting))])
+
+
+def _block_maker(rows: T.StructType, avgdl: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows ``id, w, range``, those of a range together, to blocks."""
+    names, kind = rows.fieldNames(), to_arrow_type(rows["id"].dataType)
+
+    def blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, within = batch.column(1), batch.column(2).to_numpy()
+        dl = pc.list_value_length(words).to_numpy()
+        coded = words.flatten().dictionary_encode()
+        width = max(1, len(words))
+        pair, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * width + np.repeat(np.arange(len(words)), dl), return_counts=True)
+        term, row = np.divmod(pair, width)
+        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (within[row][1:] != within[row][:-1])))[: len(pair)])
+        ends = np.concatenate((first, [len(pair)]))
+        impact = tf / (tf + K1 * (1 - B + B * dl[row] / avgdl))
+        most = np.maximum.reduceat(impact, first) if len(first) else impact
+        fields = [batch.column(0).take(pa.array(row)).cast(kind), pa.array(tf.astype(np.int64)), pa.array(dl[row].astype(np.int32))]
+        postings = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays(fields, names=["id", "tf", "dl"]))
+        columns = [coded.dictionary.take(pa.array(term[first])), pa.array(within[row[first]]), pa.array(np.diff(ends).astype(np.int64)), pa.array(most), postings]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "range", "n", "most", "postings"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for part in few_words(batches):
+            now = part if held is None else pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
+            within = now.column(names.index("range")).to_numpy()
+            whole = int(np.searchsorted(within, within[-1]))  # the last range may go on
+            if whole:
+                yield blocks(now.slice(0, whole))
+            held = now.slice(whole)
+        if held is not None and held.num_rows:
+            yield blocks(held)
+
+    return each
+
+
 def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", scope: list[str] | None = None) -> None:
     """Write the index of ``docs`` to ``path``; texts are tokenised once, null ones as empty.
 
@@ -40,19 +85,17 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     none is gathered.  Ids must be unique, as what bounds a document is its range.
     """
     spark = docs.sparkSession
-    # row numbers are fixed by writing them
-    words = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("number"), tokens(F.col(text_col)).alias("w"), *(scope or []))
+    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"), *(scope or []))
     held = f"{path}/words"
     words.write.parquet(held)
     words = spark.read.schema(words.schema).parquet(held)
     words.select("id", *(scope or [])).write.parquet(f"{path}/documents")
     n_docs, avgdl = words.agg(F.count("*"), F.avg(F.size("w"))).first()
 
-    found = words.select(F.shiftright("number", RANGE_BITS).alias("range"), "number", "id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    found = found.groupBy("term", "range", "number", "id", "dl").agg(F.count("*").alias("tf"))
-    impact = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
-    blocks = found.groupBy("term", "range").agg(F.count("*").alias("n"), F.max(impact).alias("most"), F.collect_list(F.struct("id", "tf", "dl")).alias("postings"))
-    blocks = blocks.withColumn("shard", _shard()).repartition(SHARDS, "shard", F.pmod("range", F.lit(8))).sortWithinPartitions("shard", "term", "range")
+    # a range is rows that follow each other in one task, so blocks are made where the rows are and nothing is dealt out
+    placed = words.select("id", "w", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS).alias("range"))
+    blocks = placed.mapInArrow(_block_maker(placed.schema, avgdl or 1.0), _block_schema(placed.schema["id"].dataType))
+    blocks = blocks.withColumn("shard", _shard()).sortWithinPartitions("shard", "term", "range")
     blocks.write.partitionBy("shard").parquet(f"{path}/blocks")
 
     kept = spark.read.schema(blocks.schema).parquet(f"{path}/blocks").select("term", "n", "most", "shard")

@@ -200,3 +200,14 @@ def test_content_match_carries_no_bodies_beside_runs(spark) -> None:  # noqa: AN
     win = spark.createDataFrame([(7, "a b c d e f"), (8, "b c d e f z"), (9, "b c d e f g"), (10, "x y")], "gold int, window string")
     assert rows_of(E.content_match(docs, win)) == sorted([(7, 1), (8, 2), (9, 1), (10, 1)], key=str)
     assert versioned.BUCKETS > 0
+
+
+def test_text_index_blocks_are_made_without_a_shuffle(spark, tmp_path) -> None:  # noqa: ANN001
+    docs = spark.createDataFrame([(i, f"red w{i % 5} red") for i in range(100)], "doc_id long, text string").repartition(3)
+    text_index.build(docs.localCheckpoint(), str(tmp_path / "index"))
+    blocks = spark.read.parquet(str(tmp_path / "index" / "blocks"))
+    assert blocks.groupBy("term", "range").count().where("count > 1").count() == 0
+    assert blocks.agg(F.sum("n")).first()[0] == 200 and blocks.where("n <> size(postings)").count() == 0
+    # no task gathers blocks of several tasks: each range is in the files of one
+    files = blocks.select("range", F.regexp_extract(F.input_file_name(), "part-([0-9]+)", 1).alias("task"))
+    assert files.distinct().groupBy("range").count().where("count > 1").count() == 0
