@@ -18,10 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from granum.operators import best
 from granum.operators.search import TOP_K, top
 from granum.operators.sizes import broadcast_if_small
 from granum.storage import read_text, write_text
@@ -37,7 +40,7 @@ AIM, ASKING, DEPTHS = 0.97, 512, (8, 16, 32, 64, 128, 256, 512)
 #: Candidates rescored for each result asked for.
 RESCORED = 16
 #: Bytes of queries that one broadcast may hold, and rows scored together.
-QUERY_BYTES, ROWS = 16 << 20, 4096
+QUERY_BYTES, ROWS = 16 << 20, best.ROWS
 
 
 @dataclass(frozen=True)
@@ -196,14 +199,18 @@ def search(
     def flush() -> None:
         if ids and sizes.any():
             q = np.array(vectors)
-            found.append(_scanned(inside, model, list(ids), q, probes(model, q, sizes, share, 4 * k), keep, kind))
+            asks = np.zeros((len(model.centres), len(q)), dtype=bool)
+            for lo in range(0, len(q), best.QUERIES):
+                for i, cells in enumerate(probes(model, q[lo : lo + best.QUERIES], sizes, share, 4 * k)):
+                    asks[cells, lo + i] = True
+            found.append(_scanned(inside, model, list(ids), q, asks, keep, kind))
         ids.clear()
         vectors.clear()
 
     for qid, q in asked.toLocalIterator():
         ids.append(qid)
         vectors.append(q)
-        if len(ids) * 8 * len(q) >= QUERY_BYTES:
+        if len(ids) * 8 * len(q) >= QUERY_BYTES or len(ids) * keep >= best.HELD:
             flush()
     flush()
     if not found:
@@ -211,45 +218,45 @@ def search(
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    few = top(every, keep).select("qid", "id", "cell_")
-    held = inside.select(F.col("id").alias("id_"), "cell", "x")
-    met = held.join(broadcast_if_small(few), (F.col("id_") == F.col("id")) & (F.col("cell") == F.col("cell_"))).join(asked, "qid")
+    few = top(every, keep).select("qid", "id")
+    met = inside.select("id", "x").join(broadcast_if_small(few), "id").join(asked, "qid")
     cosine = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     return top(met.select("qid", "id", F.round(cosine, 6).alias("score")).distinct(), k)
 
 
-def _scanned(inside: DataFrame, model: Model, ids: list, q: np.ndarray, near: list[np.ndarray], keep: int, kind: T.DataType) -> DataFrame:
-    """``qid, id, score, cell_``: each task's best rows of the probed cells by the codes alone."""
-    by_cell: dict[int, list[int]] = {}
-    for i, cells in enumerate(near):
-        for c in cells.tolist():
-            by_cell.setdefault(c, []).append(i)
-    shared = inside.sparkSession.sparkContext.broadcast((model, q, {c: np.array(v) for c, v in by_cell.items()}))
-    part = inside.where(F.col("cell").isin(sorted(by_cell))).select("id", "cell", "code")
-    schema = T.StructType([T.StructField("at", T.LongType()), part.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("cell_", T.IntegerType())])
+def _scanned(inside: DataFrame, model: Model, ids: list, q: np.ndarray, asks: np.ndarray, keep: int, kind: T.DataType) -> DataFrame:
+    """``qid, id, score``: each task's best rows of the probed cells (``asks[cell, query]``) by the codes alone.
+
+    A block of queries meets a block of rows at a time, so tables of products are those of one block.
+    """
+    shared = inside.sparkSession.sparkContext.broadcast((model, q, asks))
+    part = inside.where(F.col("cell").isin(np.flatnonzero(asks.any(axis=1)).tolist())).select("id", "cell", "code")
+    schema = T.StructType([T.StructField("at", T.LongType()), part.schema["id"], T.StructField("score", T.DoubleType())])
+    id_kind = to_arrow_type(part.schema["id"].dataType)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, q, asked = shared.value
-        tables = model.tables(q)
-        best: dict[int, tuple[np.ndarray, list, np.ndarray]] = {}
+        model, q, asks = shared.value
+        found = best.Best(keep)
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
-                names, cell = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-                code = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(len(names), -1)
-                for c in np.unique(cell):
-                    own = np.flatnonzero(cell == c)
-                    for i in asked[int(c)]:
-                        score = q[i] @ model.centres[c] + tables[i, np.arange(code.shape[1]), code[own]].sum(axis=1)
-                        old = best.get(int(i), (np.zeros(0), [], np.zeros(0, dtype=np.int32)))
-                        score, who = np.concatenate((old[0], score)), [*old[1], *[names[j] for j in own]]
-                        where = np.concatenate((old[2], np.full(len(own), c, dtype=np.int32)))
-                        if len(score) > keep:
-                            first = np.argpartition(-score, keep)[:keep]
-                            score, who, where = score[first], [who[j] for j in first], where[first]
-                        best[int(i)] = score, who, where
-        for i, (score, who, where) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), i)), pa.array(who, batch.schema.field(0).type), pa.array(score), pa.array(where)], names=schema.names)
+                batch = batch.take(pc.array_sort_indices(batch.column(0), null_placement="at_start"))
+                cell = batch.column(1).to_numpy()
+                code = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(len(cell), -1)
+                rows_of = [(c, np.flatnonzero(cell == c)) for c in np.unique(cell)]
+                for first in range(0, len(q), best.QUERIES):
+                    block = q[first : first + best.QUERIES]
+                    tables = model.tables(block)
+                    score = np.full((len(block), len(cell)), np.nan)
+                    for c, own in rows_of:
+                        who = np.flatnonzero(asks[c, first : first + best.QUERIES])
+                        near = np.repeat((block[who] @ model.centres[c])[:, None], len(own), axis=1)
+                        for p in range(code.shape[1]):
+                            near += tables[who, p][:, code[own, p]]
+                        score[np.ix_(who, own)] = near
+                    found.add(first, best.points(score), batch.column(0))
+        for at, names, score in found.rows():
+            yield pa.RecordBatch.from_arrays([pa.array(at), names.cast(id_kind), pa.array(score)], names=schema.names)
 
     names = inside.sparkSession.createDataFrame(list(enumerate(ids)), T.StructType([T.StructField("at", T.LongType()), T.StructField("qid", kind)]))
-    return part.mapInArrow(each, schema).join(F.broadcast(names), "at").select("qid", "id", "score", "cell_")
+    return part.mapInArrow(each, schema).join(F.broadcast(names), "at").select("qid", "id", "score")

@@ -60,3 +60,19 @@ def test_tfidf_deals_out_counts_by_term_alone(spark) -> None:  # noqa: ANN001
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want)
     plan = R.tfidf_weights(df.where("doc_id > 3"), F.col("w"), R.tfidf_vocabulary(df, F.col("w")), k=3)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan  # one row an id: nothing is dealt out
+
+
+def test_vector_scan_makes_tables_for_a_block_of_queries(monkeypatch, spark, tmp_path) -> None:  # noqa: ANN001
+    from granum.operators import vector_index as V
+
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(700)], "vec_id long, embedding array<double>")
+    V.build(df, str(tmp_path / "index"))
+    asked = df.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v"))
+    scanned = []
+    held = V._scanned  # noqa: SLF001
+    monkeypatch.setattr(V, "_scanned", lambda *a: scanned.append(held(*a)) or scanned[-1])
+    monkeypatch.setattr(V.best, "HELD", 300 * 16 * 4)
+    got = V.search(spark, str(tmp_path / "index"), asked, 4, share=1.0)
+    assert got.where("rank = 1 and qid = id").count() == 700
+    assert len(scanned) == 3  # no task holds results of more than 300 queries
