@@ -191,6 +191,25 @@ def test_near_dedup_of_a_crowded_bucket(spark, monkeypatch, cell) -> None:  # no
     assert _kept(documents(spark, texts)) == sorted(set(want))
 
 
+def test_near_dedup_meets_all_rows_of_a_golay_bucket(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Pairs of near copies in one Golay bucket that no band brings together."""
+    rng = random.Random(5)
+    bands = neardup.band_keys
+
+    def alone(hashes):  # noqa: ANN001, ANN202
+        keys, bits = bands(hashes)
+        return [i << 56 | int(hashes.sum()) >> 9 for i in range(len(keys))], bits
+
+    monkeypatch.setattr(neardup, "majority", lambda hashes: 0)
+    monkeypatch.setattr(neardup, "band_keys", alone)
+    for n in (3, 12):
+        texts = []
+        for _ in range(n):
+            words = [f"v{rng.randrange(9000)}" for _ in range(120)]
+            texts += [" ".join(words), " ".join([*words, "more"])]
+        assert _kept(documents(spark, texts)) == list(range(0, 2 * n, 2))
+
+
 def test_near_dedup_of_a_chain_in_one_bucket(spark) -> None:  # noqa: ANN001
     """A group held together by single links only: each text is near the next, no other."""
     rng = random.Random(8)
