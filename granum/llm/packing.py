@@ -11,7 +11,8 @@ Inside each bucket a batch holds as many documents as fit the token budget at th
 bucket's padded length.  The place of a document in its bucket is its rank by id: rows are
 dealt to ranges of the order (bucket, id, length, row number), as many as the table's size
 asks for, numbered inside each and offset by the totals of the ranges before, so neither a
-bucket nor a hot id meets in one task.
+bucket nor a hot id meets in one task.  Only the order's own columns are dealt to ranges and
+numbered; the documents' columns join their places once, unsorted and without leaving the JVM.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granum.llm.common import discard, free_name, materialize
+from granum.llm.common import free_name, materialize
 from granum.operators.ranking import numbered
 
-#: Rows and tokens of a range on average.
-PER_RANGE, RANGE_TOKENS = 1 << 18, 1 << 25
+#: Rows of a range on average.
+PER_RANGE = 1 << 18
 
 
 def _step(best: np.ndarray, docs: np.ndarray, tokens: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,9 +119,9 @@ def pack(docs: DataFrame, length: Column, buckets: int = 8, budget: int = 16384,
         bucket = next((b for b in bounds if n <= b), bounds[-1])
         sizes[bucket] = sizes.get(bucket, 0) + c
     first = dict(zip(sizes, accumulate(sizes.values(), initial=0)))  # noqa: B905
-    parts = 1 + max(sum(h[1] for h in hist) // PER_RANGE, sum(h[0] * h[1] for h in hist) // RANGE_TOKENS)
-    dealt = materialize(numbered(held.withColumn("bucket", place("n")), ["bucket", "id", "n", "number"], None, parts), "ranges")
-    discard(held)
+    parts = 1 + sum(h[1] for h in hist) // PER_RANGE
+    order = held.select(place("n").alias("bucket"), "id", "n", "number")
+    dealt = materialize(numbered(order, ["bucket", "id", "n", "number"], None, parts).drop("id", "run_"), "ranges")
     totals = sorted(map(tuple, dealt.groupBy("part_").agg(F.count("*")).collect()))
     offsets = [(p, o) for (p, _), o in zip(totals, accumulate((t[1] for t in totals), initial=0))]  # noqa: B905
     dealt = dealt.join(F.broadcast(src.sparkSession.createDataFrame(offsets, "part_ int, rows_ long")), "part_")
@@ -129,10 +130,11 @@ def pack(docs: DataFrame, length: Column, buckets: int = 8, budget: int = 16384,
         start = F.when(F.col("bucket") == b, o).otherwise(start)
     rows = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket"), F.lit(1))))
     at = F.col("rows_") + F.col("at_") - start
-    return dealt.select(
+    places = dealt.select("number", "n", "bucket", at.alias("at"), rows.alias("rows"))
+    return held.select("row", "number").join(places.hint("shuffle_hash"), "number").select(
         *[F.col("row").getField(c).alias(c) for c in keep],
-        F.col("n").alias("n_tokens"), F.col("bucket").alias("bucket_len"), F.floor(at / rows).alias("batch"),
-        (at % rows).cast("bigint").alias("slot"), (F.col("bucket") - F.col("n")).alias("n_pad"),
+        F.col("n").alias("n_tokens"), F.col("bucket").alias("bucket_len"), F.floor(F.col("at") / F.col("rows")).alias("batch"),
+        (F.col("at") % F.col("rows")).cast("bigint").alias("slot"), (F.col("bucket") - F.col("n")).alias("n_pad"),
     )
 
 
