@@ -45,9 +45,15 @@ def fixed_chunks(df: DataFrame, id_col: str, text_col: str, width: int = TARGET,
 
 
 def sentence_patterns() -> tuple[str, str, str]:
-    """What becomes one space, what parts sentences, and what is trimmed off them."""
+    """What becomes one space, what parts sentences, and what is trimmed off them.
+
+    A place is tried for abbreviations, which are looked for backwards at every length, only
+    where the characters around it can be a break at all.
+    """
     gap = rf"(?:\s+(?=[{OPENERS}])|\s*(?={BULLET}))"
-    return rf"(?U){_ABBREVIATED}{gap}", rf"(?U){_NOT_ABBREVIATED}(?:(?<=[.!?])\s+(?=[{OPENERS}])|\s*(?={BULLET}))", r"(?U)^\s+|\s+$"
+    at = rf"(?=[\s{BULLET}])"
+    parting = rf"(?:(?<=[.!?])(?=\s+[{OPENERS}]){_NOT_ABBREVIATED}\s+|(?=\s*{BULLET}){_NOT_ABBREVIATED}\s*)"
+    return rf"(?U)(?<=\.){at}{_ABBREVIATED}{gap}", rf"(?U){at}{parting}", r"(?U)^\s+|\s+$"
 
 
 def sentences(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 
 import pytest
@@ -95,3 +96,28 @@ def test_chunks_from_sql_of_odd_rows(spark) -> None:  # noqa: ANN001
     for call, word in (("TABLE(SELECT 1 AS a), 'parts'", "names one of"), ("TABLE(SELECT 'x' AS parts), 'parts'", "one array"), ("TABLE(SELECT array('x') AS parts, 1 AS text), 'parts'", "those of the result"), ("array('x'), 'parts'", "first argument")):
         with pytest.raises(AnalysisException, match=word):
             spark.sql(f"SELECT * FROM sentence_chunks({call})")
+
+
+def test_sentence_patterns_are_the_plain_ones_and_quick(spark) -> None:  # noqa: ANN001
+    """The guarded patterns cut as those without a guard do, on any mixture of breaks, and in a fraction of their time."""
+    gap = rf"(?:\s+(?=[{D.OPENERS}])|\s*(?={D.BULLET}))"
+    plain = rf"(?U){D._ABBREVIATED}{gap}", rf"(?U){D._NOT_ABBREVIATED}(?:(?<=[.!?])\s+(?=[{D.OPENERS}])|\s*(?={D.BULLET}))"
+    rng = random.Random(3)
+    bits = ["Inc", "inc.", "u.s.", "e.g", ".", "..", "!", "?", " ", "  ", "\n", " ", " ", "•", "•", "A", "The", "word", "(", '"', "“", "a", "5", "No.", "x.inc."]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(20_000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+
+    def cut(joined: str, parting: str):  # noqa: ANN202
+        return F.split(F.regexp_replace("t", joined, " "), parting)
+
+    guarded = D.sentence_patterns()[:2]
+    assert rows.where(~cut(*guarded).eqNullSafe(cut(*plain))).count() == 0
+    prose = spark.createDataFrame([(" ".join(rng.choice(["some", "words", "of", "prose", "Inc.", "end.", "Then"]) for _ in range(60_000)),)], "t string")
+
+    def seconds(patterns: tuple[str, str]) -> float:
+        began = time.monotonic()
+        prose.select(F.size(cut(*patterns))).collect()
+        return time.monotonic() - began
+
+    seconds(guarded)
+    assert seconds(guarded) < seconds(plain) / 2
