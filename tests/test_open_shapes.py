@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -121,3 +122,10 @@ def test_sentence_patterns_are_the_plain_ones_and_quick(spark) -> None:  # noqa:
 
     seconds(guarded)
     assert seconds(guarded) < seconds(plain) / 2
+
+
+def test_visible_text_gives_a_batch_back_in_pieces() -> None:
+    pages = pa.array([f"<p>{i}</p>" if i % 5 else None for i in range(3 * H.PAGES + 1)])
+    out = list(H._visible.func(iter([pages, pages[:0]])))
+    assert [len(x) for x in out] == [H.PAGES] * 3 + [1]
+    assert [t for x in out for t in x.to_pylist()] == [str(i) if i % 5 else "" for i in range(len(pages))]
