@@ -722,3 +722,27 @@ def test_boosting_in_folds_and_its_importances(spark) -> None:  # noqa: ANN001
     assert len(got) == 3 and min(got) > 0.97
     summary = models.fold_summary(aucs).first()
     assert summary["mean_auc"] == round(float(np.mean(got)), 4) and abs(summary["std_auc"] - float(np.std(got))) < 1e-4
+
+
+def test_heading_runs_deal_documents_by_the_number_of_headings(spark, monkeypatch) -> None:  # noqa: ANN001
+    heads = spark.range(3000).select((F.col("id") % 300).alias("doc"), (F.hash("id") % 5000).alias("pos"), (F.hash("id", F.lit(1)) % 9).alias("rk"))
+    whole = sorted(map(tuple, D.heading_runs(heads, "doc", "pos", "rk", 400, 2).collect()))
+    monkeypatch.setattr(D, "TASK_HEADINGS", 100)
+    dealt = D.heading_runs(heads, "doc", "pos", "rk", 400, 2)
+    assert "31), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, dealt.collect())) == whole and whole
+
+
+def test_folds_make_their_features_once(spark) -> None:  # noqa: ANN001
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x: float) -> float:
+        made.add(1)
+        return x
+
+    rows = [(i, float(i % 3 == 0), float(i % 3 == 0) + (i * 7 % 10) / 5) for i in range(120)]
+    data = spark.createDataFrame(rows, "doc_id long, label double, x double").withColumn("x", counted("x"))
+    data = models.assembled(data, ["x"]).select("doc_id", "label", "features")
+    assert models.fold_auc(data, {"nb": models.naive_bayes()}, folds=2).count() == 2 and made.value == 120
+    assert models.held_out(data, {"nb": models.naive_bayes()}, folds=2).count() == 1 and made.value == 240
