@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from granum.functions import text as X
 from granum.operators import best
 from granum.operators import search as R
+from granum.plans import retrieval
 
 
 def test_best_rows_are_bounded_and_exact() -> None:
@@ -62,6 +66,39 @@ def test_tfidf_deals_out_counts_by_term_alone(spark) -> None:  # noqa: ANN001
     assert "Exchange" not in plan  # one row an id: nothing is dealt out
 
 
+def test_clean_lists_are_clean_words(spark) -> None:  # noqa: ANN001
+    texts = [None, "", "The Cat's <b\n>Hat</b> a<bc>dog\tsat", "one < two > three", "na\u00efve\u0130x don't\x0bstop \u65e5\u672c sun", "<", "abc", "  word\r\nnext ", "", "end"]
+    texts += ["".join(random.Random(i).choices([*"abcXYZ \t\n\x0c<>/\u00e91'.", "the ", "hello"], k=i % 60)) for i in range(400)]
+    want = [r["w"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.clean_words(F.col("t")).alias("w")).orderBy("i").collect()]
+    held = pa.array(texts, pa.string())
+    assert X.clean_lists(held).to_pylist() == want and X.clean_lists(held.slice(7, 90)).to_pylist() == want[7:97] and len(X.clean_lists(held[:0])) == 0
+
+
+def test_tfidf_counts_only_bigrams_that_may_be_terms(spark, monkeypatch) -> None:  # noqa: ANN001
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("bcdfgh", k=4)) for _ in range(90)]
+    rows = [(i, " ".join(rnd.choices(words, [1 / (j + 1) for j in range(90)], k=40))) for i in range(150)]
+    rows += [(i % 3, "apart alone") for i in range(9)] + [(200 + i % 4, "apart alone") for i in range(8)] + [(300, None)]  # a bigram that only rows of shared ids have
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counted = []
+    held = R._term_counts  # noqa: SLF001
+    monkeypatch.setattr(R, "_term_counts", lambda *a: counted.append(held(*a)) or counted[-1])
+    for vocabulary in (25, 10_000):
+        want = set(map(tuple, R.tfidf(df, X.clean_words(F.col("text")), vocabulary=vocabulary).collect()))
+        assert set(map(tuple, R.tfidf(df, F.col("text"), vocabulary=vocabulary, split=X.clean_lists).collect())) == want
+        assert any(t == "apart alone" for _, t, _ in want) or vocabulary == 25
+    every, few = (c.select("term").distinct().count() for c in counted[:2])
+    assert few < every / 10  # the rest is counted by slots alone
+
+
+def test_term_contributions_clean_no_text_in_the_plan(spark, monkeypatch) -> None:  # noqa: ANN001
+    def refuse(*_):  # noqa: ANN002, ANN202
+        raise AssertionError("patterns run over every text")
+
+    monkeypatch.setattr(X, "clean_words", refuse)
+    assert retrieval.term_contributions(spark, "/root/testdata/sf0.001").count() == 10
+
+
 def test_vector_scan_makes_tables_for_a_block_of_queries(monkeypatch, spark, tmp_path) -> None:  # noqa: ANN001
     from granum.operators import vector_index as V
 
