@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from granum.functions import text as X
@@ -27,6 +28,27 @@ def test_best_rows_are_bounded_and_exact() -> None:
         assert names.to_numpy()[q == i].tolist() == want and np.allclose(got[q == i], score[i, want], atol=1e-6)
 
 
+@pytest.mark.parametrize("equal", [False, True])
+def test_points_are_made_of_few_scores(monkeypatch, equal) -> None:  # noqa: ANN001
+    rng = np.random.default_rng(2)
+    score = rng.normal(size=(4, 3000)).round(3)
+    score[1, ::7], score[2, 5], score[3, 9] = np.nan, np.inf, -np.inf
+    if equal:
+        score[0] = 0.5 + 2e-7 * rng.integers(0, 2, 3000)  # equal points of unequal scores
+    order = rng.permutation(3000)
+    whole, seen = best.Best(5), []
+    held = best.points
+    monkeypatch.setattr(best, "points", lambda x: seen.append(x.size) or held(x))
+    found = best.Best(5)
+    for lo in range(0, 3000, 100):
+        own = np.sort(order[lo : lo + 100])
+        found.add_scores(0, score[:, own], pa.array(own))
+        whole.add(0, held(score[:, own]), pa.array(own))
+    as_set = lambda b: {x for q, names, got in b.rows() for x in zip(q.tolist(), names.to_pylist(), got.tolist(), strict=True)}
+    assert as_set(found) == as_set(whole) and len(as_set(found)) == 20
+    assert equal or sum(seen) < score.size / 5
+
+
 def test_bm25_deals_out_only_each_tasks_best(spark) -> None:  # noqa: ANN001
     docs = spark.createDataFrame([(i, "alpha beta" if i % 3 else "alpha gamma") for i in range(900)], "doc_id long, text string").repartition(3).localCheckpoint()
     asked = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "qid long, query string")
