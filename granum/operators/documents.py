@@ -228,11 +228,12 @@ def heading_runs(df: DataFrame, doc: str, pos: str, rank: str, gap: int, least:
     """``doc, start, stop, n_items`` of the first run of close, ascending headings with enough items.
 
     Documents are dealt to as many tasks as their headings ask for, since headings are so
-    narrow that partitions of even bytes would hold many millions of them.
+    narrow that partitions of even bytes would hold many millions of them. A heading without a rank
+    comes behind those of its place, as in SQL, and ends the run there.
     """
     parts = 1 + df.count() // TASK_HEADINGS
     df = df.repartition(parts, doc) if parts > 1 else df
-    w = Window.partitionBy(doc).orderBy(pos, rank)
+    w = Window.partitionBy(doc).orderBy(F.asc_nulls_last(pos), F.asc_nulls_last(rank))
     near = (F.col(pos) - F.lag(pos).over(w) <= gap) & (F.col(rank) > F.lag(rank).over(w))
     marked = df.withColumn("_new", F.when(near, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = marked.groupBy(doc, "_run").agg(F.min(pos).alias("start"), F.max(pos).alias("stop"), F.count(rank).alias("n_items")).where(F.col("n_items") >= least)  # ranks of a run ascend

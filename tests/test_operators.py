@@ -733,6 +733,13 @@ def test_heading_runs_deal_documents_by_the_number_of_headings(spark, monkeypatc
     assert sorted(map(tuple, dealt.collect())) == whole and whole
 
 
+def test_heading_runs_keep_the_first_of_equal_headings(spark) -> None:  # noqa: ANN001
+    rows = [(4664929, p, r) for p, r in ((342, 17), (922, 2), (1843, 1), (1951, 13), (1968, 18), (1968, 18))]
+    runs = D.heading_runs(spark.createDataFrame(rows, "doc long, pos long, rk long"), "doc", "pos", "rk", 400, 3)
+    assert runs._jdf.queryExecution().executedPlan().toString().count("ASC NULLS LAST], false, 0") == 1  # one sort for both windows
+    assert list(map(tuple, runs.collect())) == [(4664929, 1843, 1968, 3)]
+
+
 def test_folds_make_their_features_once(spark) -> None:  # noqa: ANN001
     made = spark.sparkContext.accumulator(0)
 

@@ -62,3 +62,12 @@ def test_order_of_rows_does_not_matter(spark, tmp_path) -> None:  # noqa: ANN001
     for name in ("pareto_curve", "rfm_segments", "bm25_topk", "dedup_last_wins", "country_revenue", "roc_auc"):
         a, b = QUERIES[name](spark, SF), QUERIES[name](spark, str(tmp_path))
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())), name
+
+
+def test_toc_runs_take_a_heading_without_rank_last(spark, tmp_path) -> None:  # noqa: ANN001
+    rows = [(1, 0, 5, 1), (1, 0, None, 1), (1, 0, 7, 2), (1, 0, 9, 3), (2, 0, None, 1), (2, 0, 2, 1), (2, 0, 3, 2), (2, 0, 4, 2), (2, 0, 5, 3), (3, None, 1, 1), (3, 0, 2, 1), (3, 0, 4, 2), (3, 0, 6, 3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(registry.oracles()["toc_runs"]).fetchall()
+    assert sorted(map(tuple, QUERIES["toc_runs"](spark, str(tmp_path)).collect())) == sorted(want) == [(2, 600, 900, 3), (3, 300, 900, 3)]
